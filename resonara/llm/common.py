@@ -40,14 +40,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bounded(keys: DataFrame, on: str) -> DataFrame:
+    keys = keys.select(on).distinct()
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys``.
 
     ``keys`` is counted first; up to BROADCAST_ROWS it is broadcast, which
     spares ``df`` a shuffle, and beyond that both sides are shuffled.
     """
-    keys = keys.select(on).distinct()
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, "left_semi")
+    return df.join(_bounded(keys, on), on, "left_semi")
+
+
+def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is not in ``keys``; as ``semi_join``."""
+    return df.join(_bounded(keys, on), on, "left_anti")
 
 
 def ascii_lower(column: Column) -> Column:
