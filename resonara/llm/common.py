@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,3 +71,57 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[
         step = max(1, int(batch.num_rows * min(1.0, limit / max(1, batch.nbytes))))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class WordIndex(dict):
+    """Word -> number in order of first sight; ``fresh`` holds those met since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.fresh.append(word)
+        return at
+
+
+class WordRuns:
+    """For each word, by its number, a run of ids; texts become ids by looking words up."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.index = WordIndex()
+        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def number(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of the words of each text; new words wait in ``index.fresh``."""
+        get = self.index.__getitem__
+        return [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
+
+    def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of the fresh words, one after the other."""
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.index.fresh = []
+
+    def spell(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if not numbers:
+            return []
+        every = np.concatenate(numbers)
+        lengths = self.length[every]
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[every] - (ends - lengths), lengths)]
+        cuts = np.cumsum([len(n) for n in numbers])[:-1]
+        return np.split(ids, np.concatenate([[0], ends])[cuts])

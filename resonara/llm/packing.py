@@ -18,7 +18,9 @@ further columns are not looked at.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import WordRuns, byte_alphabet, slices
 
 #: A group is packed when it has so many tokens or examples.
 GROUP_TOKENS, GROUP_EXAMPLES = 1 << 20, 2048
 #: Words whose ids a worker remembers; forgotten when full.
-MEMORY = 300_000
+MEMORY = 600_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -136,40 +138,69 @@ def pack(tokens: list[int], loss_from: list[int], limits: Limits) -> list[Piece]
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer that drops white space and never looks past it."""
+    """Ids of texts by a BPE tokenizer that drops white space, lower-cases and marks word ends.
 
-    #: What str.split() takes for white space, but the tokenizer doesn't.
-    ODD = "\x1c\x1d\x1e\x1f"
+    Words of letters, with a full stop or comma behind them or not, are merged by
+    one call for a whole batch; the tokenizer itself does all others.  Texts with
+    characters that only Python takes for white space, or with the mark that
+    stands for word ends here, go to the tokenizer as they are.
+    """
+
+    END = "\x00"
+    ODD = "\x00\x1c\x1d\x1e\x1f"
+    #: Letters whose lower case depends on their neighbours or isn't one letter.
+    SPECIAL = "\u03a3\u0130"
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        to_byte = byte_alphabet()
+        ranks = {bytes(to_byte[c] for c in t.removesuffix("</w>")) + b"\x00" * t.endswith("</w>"): i for t, i in model["vocab"].items()}
+        # ids follow the order of merges, single bytes and word ends first
+        ordered = all(model["vocab"]["".join(pair)] == 512 + i for i, pair in enumerate(model["merges"]))
+        self.merges = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ordered else None
+        self.ends = np.zeros(1 << 20, dtype=bool)
+        self.ends[[i for t, i in ranks.items() if t.endswith(b"\x00")]] = True
+        self.known = WordRuns()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _marked(self, word: str) -> str | None:
+        """Lower-case pieces of a simple word with their ends marked; None for others."""
+        stem, stop = (word[:-1], word[-1] + self.END) if word[-1] in ".," else (word, "")
+        if self.merges is None or not stem.isalpha() or any(c in stem for c in self.SPECIAL):
+            return None
+        return (stem if stem.isascii() else unicodedata.normalize("NFC", stem)).lower() + self.END + stop
+
+    def _learn(self) -> None:
+        fresh = self.known.index.fresh
+        marked = [self._marked(w) for w in fresh]
+        simple = [m for m in marked if m is not None]
+        flat = np.array(self.merges("".join(simple)) if simple else [], dtype=np.uint32)
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        pieces = np.cumsum([m.count(self.END) for m in simple], dtype=np.int64)
+        runs = iter(np.split(flat, ends[pieces[:-1] - 1])) if simple else iter(())
+        others = iter(self._ids([w for w, m in zip(fresh, marked, strict=True) if m is None]))
+        ids = [next(others) if m is None else next(runs) for m in marked]
+        self.known.learn(np.concatenate([np.asarray(i, dtype=np.uint32) for i in ids]), np.array([len(i) for i in ids]))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         odd = {i for i, t in enumerate(texts) if any(c in t for c in self.ODD)}
-        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        missing = list({w for ws in words for w in ws}.difference(self.known))
-        # a full stop or comma behind a letter or digit is a word of its own
-        stems = {w: w[:-1] for w in missing if len(w) > 1 and w[-1] in ".," and w[-2].isalnum()}
-        fresh = list(({stems.get(w, w) for w in missing} | {".", ","}).difference(self.known))
-        for start in range(0, len(fresh), 4096):
-            block = fresh[start : start + 4096]
-            self.known.update(zip(block, self._ids(block), strict=True))
-        for word, stem in stems.items():
-            self.known[word] = self.known[stem] + self.known[word[-1]]
-        get = self.known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in words]
+        numbers = self.known.number([[] if i in odd else t.split() for i, t in enumerate(texts)])
+        if self.known.index.fresh:
+            self._learn()
+        out = self.known.spell(numbers)
         for i in odd:
-            out[i] = self._ids([texts[i]])[0]
-        if len(self.known) > MEMORY:
-            self.known.clear()
+            out[i] = np.array(self._ids([texts[i]])[0], dtype=np.uint32)
+        if len(self.known.index) > MEMORY:
+            self.known.forget()
         return out
 
 
@@ -183,20 +214,20 @@ def word_tokens(path: str) -> WordTokens:
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
     """Pieces of all documents; every id of a document, its end id included, bears loss."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype=np.uint32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokens(path)
         sequence = TaskContext.get().partitionId() << 40
-        group: list[tuple[int | None, bytes]] = []
+        group: list[tuple[int | None, np.ndarray]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence, group, held
-            sizes = [len(ids) // 4 for _, ids in group]
+            sizes = [len(ids) for _, ids in group]
             pieces = pack(sizes, [0] * len(sizes), limits)
             rows = [
-                (group[p.example][0], p.start, p.length, zlib.crc32(group[p.example][1][4 * p.start : 4 * (p.start + p.length)]), sizes[p.example], sequence + p.sequence, p.offset)
+                (group[p.example][0], p.start, p.length, zlib.crc32(group[p.example][1][p.start : p.start + p.length].astype("<u4").tobytes()), sizes[p.example], sequence + p.sequence, p.offset)
                 for p in pieces
             ]
             sequence += max(p.sequence for p in pieces) + 1
@@ -205,8 +236,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, limits: Limits =
 
         for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True):
-                group.append((doc_id, ids + end))
-                held += len(ids) // 4 + 1
+                group.append((doc_id, np.concatenate([ids, end])))
+                held += len(ids) + 1
                 if held >= GROUP_TOKENS or len(group) >= GROUP_EXAMPLES:
                     yield flush()
         if group:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import byte_alphabet, slices
 
 #: Words that a worker remembers; forgotten when full.
 MEMORY = 400_000
@@ -91,18 +91,11 @@ class Automaton:
         return total
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def pieces_of(path: str) -> set[bytes]:
     """Byte strings of a tokenizer file's vocabulary, without its mark of word ends."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    to_byte = _byte_alphabet()
+    to_byte = byte_alphabet()
     plain = (t.removesuffix("</w>") for t in vocab)
     return {bytes(to_byte[c] for c in t) for t in plain if t and all(c in to_byte for c in t)}
 
