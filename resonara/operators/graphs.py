@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resonara.functions.scoring import coupling_label
-from resonara.plans.scratch import cut
+from resonara.plans.scratch import kept
 
 from .components import connected_components
 
@@ -26,7 +26,7 @@ def shells(atoms: DataFrame, bonds: DataFrame, radius: int) -> DataFrame:
     frontier = reached
     for d in range(1, radius + 1):
         new = frontier.join(step, ["compound_id", "atom"]).select("compound_id", "pos", c("_to").alias("atom")).distinct()
-        frontier = cut(new.join(reached.select("compound_id", "pos", "atom"), ["compound_id", "pos", "atom"], "left_anti").withColumn("distance", F.lit(d).cast("bigint")))
+        frontier = kept(new.join(reached.select("compound_id", "pos", "atom"), ["compound_id", "pos", "atom"], "left_anti").withColumn("distance", F.lit(d).cast("bigint")))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -40,7 +40,7 @@ def sphere_codes(atoms: DataFrame, bonds: DataFrame, radius: int = 3) -> DataFra
     """
     from pyspark.sql import Window as W
 
-    reach = cut(shells(atoms, bonds, radius))
+    reach = kept(shells(atoms, bonds, radius))
     signs = F.create_map(*(x for k, v in BOND_SIGNS.items() for x in (F.lit(k), F.lit(v))))
     inner = reach.select("compound_id", "pos", c("atom").alias("i"), c("distance").alias("d"))
     outer = reach.select("compound_id", "pos", c("atom").alias("j"), c("distance").alias("e"))
@@ -89,7 +89,7 @@ def ego_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, radius
     known = signals.where("atom_index IS NOT NULL").select("compound_id", c("atom_index").alias("atom"), "shift_c")
     centres = atoms.join(known.select("compound_id", c("atom").alias("pos")), ["compound_id", "pos"], "left_semi")
     reach = shells(centres, bonds, radius)
-    members = cut(reach.withColumn("radius", F.explode(F.sequence(F.greatest("distance", F.lit(1)), F.lit(radius).cast("bigint")))))
+    members = kept(reach.withColumn("radius", F.explode(F.sequence(F.greatest("distance", F.lit(1)), F.lit(radius).cast("bigint")))))
     shifts = members.join(known, ["compound_id", "atom"]).groupBy("compound_id", "pos", "radius").agg(F.sort_array(F.collect_list("shift_c")).alias("shifts"))
     return _keyed(members, atoms, bonds, ["pos", "radius"]).join(shifts, ["compound_id", "pos", "radius"])
 
@@ -115,7 +115,7 @@ def ring_members(bonds: DataFrame, sizes: range = range(3, 7)) -> DataFrame:
 
 def ring_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, largest: int = 6) -> DataFrame:
     """Rings with their direct neighbours and the known shifts inside."""
-    rings = cut(ring_members(bonds, range(3, largest + 1)))
+    rings = kept(ring_members(bonds, range(3, largest + 1)))
     around = rings.join(bonds.select("compound_id", c("i").alias("atom"), "j"), ["compound_id", "atom"]).select("compound_id", "ring", c("j").alias("atom"))
     members = rings.select("compound_id", "ring", "atom").unionByName(around).distinct()
     known = signals.where("atom_index IS NOT NULL").select("compound_id", c("atom_index").alias("atom"), "shift_c")

@@ -74,7 +74,7 @@ def replace_into(table: DataFrame, rows: DataFrame, key: list[str], seq: str) ->
 def insert_ignore(table: DataFrame, rows: DataFrame, key: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, counts inserted and skipped): the first by ``seq`` of each key the table lacks."""
     columns = [x for x in rows.columns if x not in key]
-    first = rows.groupBy(*key).agg(F.min_by(F.struct(*columns), F.struct(seq, *columns)).alias("r"), F.count("*").alias("_n"))
+    first = rows.groupBy(*key).agg(F.min(F.struct(F.col(seq).alias("_seq"), F.struct(*columns).alias("r")))["r"].alias("r"), F.count("*").alias("_n"))
     judged = first.join(table.select(*key).distinct().withColumn("_there", F.lit(True)), key, "left")
     new = c("_there").isNull()
     counts = judged.agg(F.count_if(new).alias("inserted"), F.coalesce(F.sum(c("_n") - F.when(new, 1).otherwise(0)), F.lit(0)).alias("skipped"))

@@ -11,7 +11,7 @@ from .views import Views, duckdb_sql
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ["scalars", "statistics", "matching", "validation"]
+_MODULES = ["scalars", "statistics", "matching", "validation", "spectra", "ranking", "graphs", "text_sources", "incremental"]
 
 
 def query(name: str, oracle: str | None = None):

@@ -8,6 +8,7 @@ only where that is unset (tests, notebooks) is a folder of this machine set.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` eagerly in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder; unlike ``cut`` the plan above knows nothing of the one below."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
