@@ -76,7 +76,7 @@ def name_token_sets(name: Column) -> Column:
         clean = F.regexp_replace(F.lower(synonym), r"[,()'\-–—.]", " ")
         return F.array_distinct(F.filter(F.split(clean, r"\s+"), lambda t: (t != "") & ~t.isin(FILLERS)))
 
-    synonyms = F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), ";"), F.trim), lambda s: (s != "") & ~is_accession(s))
+    synonyms = F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), ";"), lambda s: F.trim(s)), lambda s: (s != "") & ~is_accession(s))
     return F.filter(F.transform(synonyms, tokens), lambda t: F.size(t) > 0)
 
 
@@ -136,7 +136,7 @@ def page_hz(page: Column) -> Column:
 
 def shift_list(text: Column) -> Column:
     """MAP index -> shift of a JSON object or a comma-separated list; empty if malformed."""
-    listed = F.filter(F.transform(F.split(text, ","), F.trim), lambda v: v != "")
+    listed = F.filter(F.transform(F.split(text, ","), lambda v: F.trim(v)), lambda v: v != "")
     values = F.transform(listed, lambda v: v.try_cast("double"))
     from_list = F.when(~F.exists(values, lambda v: v.isNull()), F.map_from_entries(F.transform(values, lambda v, i: F.struct(i.cast("bigint"), v))))
     loaded = F.from_json(text, "map<string,double>")

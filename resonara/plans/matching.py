@@ -171,9 +171,9 @@ def _(v):
     return judged.agg((F.count("hit").cast("double") / F.count("*").cast("double")).alias("recall"))
 
 
-@query("J28_fetch_by_id", "SELECT fragment_id, smiles FROM {fragment} WHERE fragment_id IN (SELECT ord * 32 + pos FROM {item} WHERE line < 4)")
+@query("J28_fetch_by_id", "SELECT fragment_id, smiles FROM {fragment} WHERE fragment_id IN (SELECT part FROM {item} WHERE line > 6 AND qty > 40)")
 def _(v):
-    return joins.fetch_by_id(v.item.where("line < 4").select((c("ord") * 32 + c("pos")).alias("fragment_id")), v.fragment, "fragment_id").select("fragment_id", "smiles")
+    return joins.fetch_by_id(v.item.where("line > 6 AND qty > 40").select(c("part").alias("fragment_id")), v.fragment, "fragment_id").select("fragment_id", "smiles")
 
 
 @query(

@@ -58,12 +58,12 @@ def _(v):
 
 @query(
     "A6_insert_ignore",
-    "SELECT part, arg_min(ord, ord * 32 + pos) AS ord FROM {item} WHERE line > 5 AND part NOT IN (SELECT part FROM {item} WHERE line <= 2) GROUP BY part",
+    "SELECT part, supp, arg_min(ord, ord * 32 + pos) AS ord FROM {item} WHERE line > 5 AND (part, supp) NOT IN (SELECT part, supp FROM {item} WHERE line <= 2) GROUP BY part, supp",
 )
 def _(v):
-    rows = v.item.select("part", "ord", (c("ord") * 32 + c("pos")).alias("seq"), "line")
-    new, _counts = statistics.insert_ignore(rows.where("line <= 2"), rows.where("line > 5").drop("line"), ["part"], "seq")
-    return new.select("part", "ord")
+    rows = v.item.select("part", "supp", "ord", (c("ord") * 32 + c("pos")).alias("seq"), "line")
+    new, _counts = statistics.insert_ignore(rows.where("line <= 2"), rows.where("line > 5").drop("line"), ["part", "supp"], "seq")
+    return new.select("part", "supp", "ord")
 
 
 @query(

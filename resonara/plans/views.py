@@ -102,9 +102,9 @@ VIEWS: dict[str, str] = {
     "truth": "SELECT c_custkey AS problem, md5(cast(c_custkey % 97 AS string)) AS true_key, CASE WHEN c_custkey % 4 = 0 THEN 'A' ELSE 'B' END AS arm, 8 + c_custkey % 30 AS heavy FROM {customer}",
     "dept": "SELECT list_id, peak_id, pos_c, CASE WHEN intensity > 0 THEN 'CH/CH3' ELSE 'CH2' END AS mult, dept90 FROM {peak1d} WHERE intensity % 3 <> 0",
     "fragment": """
-        SELECT min(ord * 32 + pos) AS fragment_id, p_type || '/' || p_brand || '/' || cast(p_size AS string) AS smiles, min(p_size) AS atom_count,
-               min(part * 37 % 22000) AS s1, max(part * 37 % 22000) AS s2, cast(round(avg(part * 37 % 22000)) AS bigint) AS s3
-        FROM {item} JOIN {part} ON part = p_partkey GROUP BY p_type || '/' || p_brand || '/' || cast(p_size AS string)""",
+        SELECT p_partkey AS fragment_id, p_type || '/' || p_brand || '/' || cast(p_partkey AS string) AS smiles, p_size AS atom_count,
+               p_partkey * 37 % 22000 AS s1, (p_partkey * 37 + 1100) % 22000 AS s2, (p_partkey * 53 + 500) % 22000 AS s3
+        FROM {part}""",
 }
 
 _NAME = re.compile(r"\{(\w+)\}")
