@@ -82,7 +82,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode().translate(_FOLD).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > 200_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))

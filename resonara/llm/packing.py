@@ -36,7 +36,7 @@ from .common import WordRuns, byte_alphabet, slices
 #: A group is packed when it has so many tokens or examples.
 GROUP_TOKENS, GROUP_EXAMPLES = 1 << 20, 2048
 #: Words whose ids a worker remembers; forgotten when full.
-MEMORY = 600_000
+MEMORY = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -234,7 +234,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, limits: Limits =
             group, held = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True):
                 group.append((doc_id, np.concatenate([ids, end])))
                 held += len(ids) + 1

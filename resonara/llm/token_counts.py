@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import byte_alphabet, slices
 
 #: Words that a worker remembers; forgotten when full.
-MEMORY = 400_000
+MEMORY = 250_000
 _WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
