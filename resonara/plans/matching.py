@@ -115,7 +115,8 @@ def _(v):
     return joins.nearest_sorted(predicted.select("formula_norm", "compound_id", "pos", "shift_c"), v.observed, ["formula_norm"], ["compound_id", "pos"]).select("formula_norm", "compound_id", "pos", "shift_c", "error_c")
 
 
-_Q = "SELECT compound_id AS query_id, pos, shift_c FROM {signal}"
+#: One query for each formula, its reference compound, against all fragments.
+_Q = "SELECT s.compound_id AS query_id, s.pos, s.shift_c FROM {signal} s JOIN {reference} r ON r.id = s.compound_id"
 _BINS = "SELECT DISTINCT query_id, least(greatest(shift_c // 200 + d, 0), 255) AS b FROM ({q}) q, (SELECT unnest([{d}]) AS d) e"
 _HITS = """SELECT q.query_id, f.fragment_id FROM ({bins}) q JOIN (SELECT fragment_id, unnest(list_distinct([s1 // 200, s2 // 200, s3 // 200])) AS b, len(list_distinct([s1 // 200, s2 // 200, s3 // 200])) AS n FROM {{fragment}}) f ON f.b = q.b GROUP BY q.query_id, f.fragment_id, f.n HAVING count(*) = f.n"""
 
@@ -125,7 +126,7 @@ def _hits(d: str) -> str:
 
 
 def _queries(v):
-    return v.signal.groupBy(c("compound_id").alias("query_id")).agg(F.collect_list("shift_c").alias("shifts"))
+    return v.sql(_Q).groupBy("query_id").agg(F.collect_list("shift_c").alias("shifts"))
 
 
 def _fragments(v):
@@ -137,7 +138,7 @@ def _(v):
     return joins.prescreen(_queries(v), _fragments(v))
 
 
-_FINE = f"""WITH RECURSIVE start AS (SELECT h.query_id, h.fragment_id, list_sort([f.s1, f.s2, f.s3]) AS s, q.shifts AS rest FROM ({_hits('-1, 0, 1')}) h JOIN {{fragment}} f ON f.fragment_id = h.fragment_id JOIN (SELECT compound_id AS query_id, list(struct_pack(v := shift_c, p := pos)) AS shifts FROM {{signal}} GROUP BY compound_id) q ON q.query_id = h.query_id),
+_FINE = f"""WITH RECURSIVE start AS (SELECT h.query_id, h.fragment_id, list_sort([f.s1, f.s2, f.s3]) AS s, q.shifts AS rest FROM ({_hits('-1, 0, 1')}) h JOIN {{fragment}} f ON f.fragment_id = h.fragment_id JOIN (SELECT query_id, list(struct_pack(v := shift_c, p := pos)) AS shifts FROM ({_Q}) s GROUP BY query_id) q ON q.query_id = h.query_id),
     step AS (SELECT query_id, fragment_id, s, rest, 0 AS k, 0::BIGINT AS dev_c FROM start
       UNION ALL SELECT query_id, fragment_id, s, list_filter(rest, lambda x: x.p <> best.p), k + 1, dev_c + best.d FROM (
         SELECT *, list_sort(list_transform(rest, lambda x: struct_pack(d := abs(x.v - s[k + 1]), v := x.v, p := x.p)))[1] AS best FROM step WHERE k < 3) t WHERE best IS NOT NULL AND best.d <= 200),
@@ -163,7 +164,7 @@ def _(v):
     return ranking.rank_fragments(_fine(v), limit=5).select("query_id", "fragment_id", "atom_count", "rank")
 
 
-@query("A27_self_recall", f"SELECT count(DISTINCT h.query_id)::DOUBLE / (SELECT count(DISTINCT compound_id) FROM {{signal}})::DOUBLE AS recall FROM ({_hits('0')}) h")
+@query("A27_self_recall", f"SELECT count(DISTINCT h.query_id)::DOUBLE / (SELECT count(DISTINCT query_id) FROM ({_Q}) s)::DOUBLE AS recall FROM ({_hits('0')}) h")
 def _(v):
     asked = _queries(v)
     found = joins.prescreen(asked, _fragments(v), bins=0).select("query_id").distinct()
