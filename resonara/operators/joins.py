@@ -140,9 +140,9 @@ def nearest_sorted(predicted: DataFrame, experimental: DataFrame, on: Sequence[s
     both = predicted.select(*on, *keys, "shift_c", F.lit(None).cast("bigint").alias("exp_c")).unionByName(
         experimental.select(*on, *(F.lit(None).cast(predicted.schema[k].dataType).alias(k) for k in keys), "shift_c", c("shift_c").alias("exp_c"))
     )
-    order = W.partitionBy(*on).orderBy("shift_c", F.col("exp_c").isNull())
-    below = F.last("exp_c", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    above = F.first("exp_c", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    # two running frames, one a direction; a frame up to the end would be computed anew for each row
+    up, down = (W.partitionBy(*on).orderBy(o, F.col("exp_c").isNull()).rowsBetween(W.unboundedPreceding, 0) for o in (c("shift_c").asc(), c("shift_c").desc()))
+    below, above = (F.last("exp_c", ignorenulls=True).over(w) for w in (up, down))
     found = both.withColumns({"_lo": below, "_hi": above}).where(c(keys[0]).isNotNull())
     return found.select(*on, *keys, "shift_c", F.least(F.abs(c("shift_c") - c("_lo")), F.abs(c("_hi") - c("shift_c"))).alias("error_c"))
 
