@@ -34,29 +34,35 @@ from .common import written
 
 #: Vectors of a block; pivots of the top level at most; vectors it is chosen from.
 BLOCK, PIVOTS, PIVOT_SAMPLE = 4096, 256, 4096
+#: Blocks that one block meets in a task.
+PARTNERS = 8
 #: Sums of single-precision chords and radii are off by less.
 SLACK = 5e-3
 
 
-def _points(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, print of the vector, its length, the unit vector; null where a vector can't link."""
-    for batch in batches:
-        prints, sizes, units = [], [], []
-        for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            v = None if vec_id is None or not values or None in values else np.array(values, dtype=np.float64) + 0.0
-            top = np.abs(v).max() if v is not None else 0.0
-            if v is None or not np.isfinite(top) or top == 0:
-                prints.append(None), sizes.append(None), units.append(None)
-                continue
-            scaled = v / top  # so that squares neither overflow nor vanish
-            prints.append(xxhash.xxh3_128_digest(v.tobytes()))
-            sizes.append(len(v))
-            units.append((scaled / np.sqrt((scaled * scaled).sum())).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "print", "dims", "unit"])
+def _points(kind: np.dtype):
+    """vec_id, print of the vector, its length and its bytes; null where a vector can't link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, raws = [], [], []
+            for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = None if vec_id is None or not values or None in values else np.array(values, dtype=kind) + kind.type(0)
+                top = np.abs(v).max() if v is not None else 0.0
+                good = v is not None and np.isfinite(top) and top > 0
+                prints.append(xxhash.xxh3_128_digest(v.tobytes()) if good else None)
+                sizes.append(len(v) if good else None)
+                raws.append(v.tobytes() if good else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(raws, pa.binary())], names=["vec_id", "print", "dims", "raw"])
+
+    return run
 
 
-def _matrix(units: Iterable[bytes], dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(units), np.float64).reshape(-1, dims)
+def _units(raws: Iterable[bytes], dims: int, kind: np.dtype) -> np.ndarray:
+    """Unit vectors in double precision, scaled first so that squares neither overflow nor vanish."""
+    v = np.frombuffer(b"".join(raws), kind).reshape(-1, dims).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def _chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -74,7 +80,7 @@ def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Points in tree order; for each level the centres, their parents and covering radii; the leaves' ends."""
+    """Points in tree order; for each level the centres (as points), their parents and covering radii; the leaves' ends."""
 
     points: np.ndarray
     centres: list[np.ndarray]
@@ -88,7 +94,7 @@ def build(points: np.ndarray, least_radius: float = 0.25) -> Tree:
     """Cover tree of unit vectors: levels of radius 1, 1/2, ... under one root."""
     single = points.astype(np.float32)
     groups = [np.arange(len(points))]
-    centres, parents = [single[:1]], [np.zeros(1, dtype=np.int64)]
+    centres, parents = [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
     levels = [groups]
     radius = 1.0
     while True:
@@ -104,25 +110,27 @@ def build(points: np.ndarray, least_radius: float = 0.25) -> Tree:
                 rest = rest[~near]
         groups = below
         levels.append(groups)
-        centres.append(single[[g[0] for g in groups]])
+        centres.append(np.array([g[0] for g in groups]))
         parents.append(np.array(from_))
         radius /= 2
         if radius < least_radius:
             break
-    radii = [np.array([np.sqrt(max(0.0, 2 - 2 * float((single[g] @ c).min()))) for g, c in zip(groups, centre, strict=True)], dtype=np.float32) for groups, centre in zip(levels, centres, strict=True)]
+    radii = [np.array([np.sqrt(max(0.0, 2 - 2 * float((single[g] @ single[c]).min()))) for g, c in zip(groups, centre, strict=True)], dtype=np.float32) for groups, centre in zip(levels, centres, strict=True)]
     order = np.concatenate(groups)
-    return Tree(points[order], centres, parents, radii, np.cumsum([len(g) for g in groups]), order)
+    place = np.argsort(order)
+    return Tree(points[order], [place[c] for c in centres], parents, radii, np.cumsum([len(g) for g in groups]), order)
 
 
 def links(a: Tree, b: Tree, chord: float, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of a, rows of b (in tree order) that were compared, and whether they link, by dual traversal."""
     alive = np.ones((1, 1), dtype=bool)
+    single_a, single_b = a.points.astype(np.float32), b.points.astype(np.float32)
     for level in range(len(a.centres)):
         alive = alive[a.parents[level]][:, b.parents[level]]
         x, y = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
         if not len(x) or not len(y):
             return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros((0, 0), dtype=bool)
-        far = _chords(a.centres[level][x], b.centres[level][y]) > a.radii[level][x][:, None] + b.radii[level][y][None, :] + np.float32(chord + SLACK)
+        far = _chords(single_a[a.centres[level][x]], single_b[b.centres[level][y]]) > a.radii[level][x][:, None] + b.radii[level][y][None, :] + np.float32(chord + SLACK)
         pruned = np.zeros_like(alive)
         pruned[np.ix_(x, y)] = ~far
         alive &= pruned
@@ -136,23 +144,27 @@ def links(a: Tree, b: Tree, chord: float, cosine: float) -> tuple[np.ndarray, np
     return rows, columns, linked
 
 
-def _trees(rows: pd.DataFrame) -> pd.DataFrame:
-    points = _matrix(rows["unit"], int(rows["dims"].iloc[0]))
-    tree = build(points)
-    ids, counts = rows["vec_id"].to_numpy()[tree.order], rows["copies"].to_numpy()[tree.order]
-    packed = pa.serialize_pandas(pd.DataFrame({"level": np.repeat(np.arange(len(tree.radii)), [len(r) for r in tree.radii]), "parent": np.concatenate(tree.parents), "radius": np.concatenate(tree.radii)})).to_pybytes()
-    centres = np.concatenate(tree.centres).tobytes()
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "dims": [points.shape[1]], "ids": [ids.tobytes()], "copies": [counts.tobytes()], "points": [tree.points.tobytes()], "ends": [tree.ends.tobytes()], "nodes": [packed], "centres": [centres]})
+_NODES = "dims int, ids binary, copies binary, raw binary, ends binary, level binary, parent binary, radius binary, centre binary"
+
 
+def _trees(kind: np.dtype):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        dims = int(rows["dims"].iloc[0])
+        tree = build(_units(rows["raw"], dims, kind))
+        ids, counts = rows["vec_id"].to_numpy()[tree.order], rows["copies"].to_numpy()[tree.order]
+        level = np.repeat(np.arange(len(tree.radii), dtype=np.int32), [len(r) for r in tree.radii])
+        arrays = {"ids": ids, "copies": counts, "ends": tree.ends.astype(np.int32), "level": level, "parent": np.concatenate(tree.parents).astype(np.int32), "radius": np.concatenate(tree.radii), "centre": np.concatenate(tree.centres).astype(np.int32)}
+        packed = {k: [x.tobytes()] for k, x in arrays.items()}
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "dims": [dims], "raw": [b"".join(rows["raw"].iloc[tree.order])]} | packed)[["block", *(x.split()[0] for x in _NODES.split(", "))]]
 
-def _unpacked(r: dict, side: str) -> tuple[Tree, np.ndarray, np.ndarray]:
-    nodes = pa.deserialize_pandas(r[f"nodes_{side}"])
-    level = nodes["level"].to_numpy()
-    cuts = np.flatnonzero(np.diff(level)) + 1
-    centres = np.frombuffer(r[f"centres_{side}"], np.float32).reshape(-1, r["dims"])
-    ids, copies = (np.frombuffer(r[f"{c}_{side}"], np.int64) for c in ("ids", "copies"))
-    points = np.frombuffer(r[f"points_{side}"], np.float64).reshape(-1, r["dims"])
-    tree = Tree(points, np.split(centres, cuts), np.split(nodes["parent"].to_numpy(), cuts), np.split(nodes["radius"].to_numpy(), cuts), np.frombuffer(r[f"ends_{side}"], np.int64), np.arange(len(ids)))
+    return run
+
+
+def _unpacked(r, kind: np.dtype) -> tuple[Tree, np.ndarray, np.ndarray]:
+    of = lambda name: np.frombuffer(getattr(r, name), np.int32).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(of("level"))) + 1
+    ids, copies = np.frombuffer(r.ids, np.int64), np.frombuffer(r.copies, np.int64)
+    tree = Tree(_units([r.raw], int(r.dims), kind), np.split(of("centre"), cuts), np.split(of("parent"), cuts), np.split(np.frombuffer(r.radius, np.float32), cuts), of("ends"), np.arange(len(ids)))
     return tree, ids, copies
 
 
@@ -170,28 +182,37 @@ def _labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _joined(chord: float, cosine: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                r = batch.slice(at, 1).to_pylist()[0]
-                same = r["i"] == r["j"]
-                a, ids_a, copies_a = _unpacked(r, "a")
-                b, ids_b, copies_b = (a, ids_a, copies_a) if same else _unpacked(r, "b")
-                rows, columns, linked = links(a, b, chord, cosine)
-                if same and len(rows):
-                    linked[rows[:, None] == columns[None, :]] = False
-                if not linked.any():
-                    continue
-                weights = linked.astype(np.float64)
-                ids = [ids_a[rows]] if same else [ids_a[rows], ids_b[columns]]
-                count = [weights @ copies_b[columns]] if same else [weights @ copies_b[columns], copies_a[rows] @ weights]
-                ids, count = np.concatenate(ids), np.concatenate(count).astype(np.int64)
-                names, place = np.unique(np.concatenate([ids_a[rows], ids_b[columns]]), return_inverse=True)
-                x, y = np.nonzero(linked)
-                label = names[_labels(len(names), place[x], place[len(rows) + y])]
-                some = count > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(label[np.searchsorted(names, ids[some])])], names=["vec_id", "n", "label"])
+def _linked_blocks(left: tuple, right: tuple, same: bool, chord: float, cosine: float) -> pd.DataFrame | None:
+    """Links of two blocks: for each vector their number and the smallest vector it reaches by them."""
+    (a, ids_a, copies_a), (b, ids_b, copies_b) = left, right
+    rows, columns, linked = links(a, b, chord, cosine)
+    if same and len(rows):
+        linked[rows[:, None] == columns[None, :]] = False
+    if not linked.any():
+        return None
+    weights = linked.astype(np.float64)
+    ids = [ids_a[rows]] if same else [ids_a[rows], ids_b[columns]]
+    count = [weights @ copies_b[columns]] if same else [weights @ copies_b[columns], copies_a[rows] @ weights]
+    ids, count = np.concatenate(ids), np.concatenate(count).astype(np.int64)
+    names, place = np.unique(np.concatenate([ids_a[rows], ids_b[columns]]), return_inverse=True)
+    x, y = np.nonzero(linked)
+    label = names[_labels(len(names), place[x], place[len(rows) + y])]
+    some = count > 0
+    return pd.DataFrame({"vec_id": ids[some], "n": count[some], "label": label[np.searchsorted(names, ids[some])]})
+
+
+def _joined(chord: float, cosine: float, kind: np.dtype):
+    """Links of one block with a bounded number of others."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i = rows["i"].iloc[0]
+        first = _unpacked(next(rows[rows["own"]].itertuples()), kind)
+        found = []
+        for r in rows[~rows["own"]].itertuples():
+            same = r.block == i
+            found.append(_linked_blocks(first, first if same else _unpacked(r, kind), same, chord, cosine))
+        found = [f for f in found if f is not None]
+        return pd.concat(found) if found else pd.DataFrame({"vec_id": [], "n": [], "label": []}, dtype="int64")
 
     return run
 
@@ -200,15 +221,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) ->
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     chord = float(np.sqrt(2 - 2 * cosine))
-    points = written(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_points, "vec_id long, print binary, dims int, unit binary"), "vectors")
+    # single-precision vectors stay so until they are compared
+    kind = np.dtype(np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64)
+    given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if kind.itemsize == 4 else "array<double>"))
+    points = written(given.mapInArrow(_points(kind), "vec_id long, print binary, dims int, raw binary"), "vectors")
     classes = written(points.where("print IS NOT NULL").groupBy("print", "dims").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "vector-classes")
     reps = written(
-        points.join(classes.select("print", F.col("class_id").alias("vec_id"), "copies"), ["print", "vec_id"]).dropDuplicates(["vec_id", "print"]).select("vec_id", "dims", "unit", "copies"),
+        points.join(classes.select("print", F.col("class_id").alias("vec_id"), "copies"), ["print", "vec_id"]).dropDuplicates(["vec_id", "print"]).select("vec_id", "dims", "raw", "copies"),
         "vector-representatives",
     )
     found = []
     for (dims,) in reps.select("dims").distinct().collect():  # a row a vector length
-        found.append(_block_links(spark, reps.where(F.col("dims") == dims), dims, chord, cosine, block))
+        found.append(_block_links(spark, reps.where(F.col("dims") == dims), dims, kind, chord, cosine, block))
     result = points.select("vec_id", "print").join(classes.select("print", "class_id", "copies"), "print", "left")
     if found:
         every = found[0]
@@ -227,19 +251,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) ->
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _block_links(spark, reps: DataFrame, dims: int, chord: float, cosine: float, block: int) -> DataFrame:
+def _block_links(spark, reps: DataFrame, dims: int, kind: np.dtype, chord: float, cosine: float, block: int) -> DataFrame:
     """vec_id, links in one pair of blocks (n), smallest vec_id it reaches there (label)."""
     n = reps.count()
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("unit").toPandas()
-    pivots = _pivots(_matrix(sample["unit"], dims), max(1, min(PIVOTS, n // block)))
+    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("raw").toPandas()
+    pivots = _pivots(_units(sample["raw"], dims, kind), max(1, min(PIVOTS, n // block)))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = _chords(_matrix(batch.column("unit").to_pylist(), dims), pivots)
+                d = _chords(_units(batch.column("raw").to_pylist(), dims, kind), pivots)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1))], names=[*batch.schema.names, "cell", "distance"])
 
-    placed = written(reps.mapInArrow(assign, "vec_id long, dims int, unit binary, copies long, cell int, distance double"), "cells")
+    placed = written(reps.mapInArrow(assign, "vec_id long, dims int, raw binary, copies long, cell int, distance double"), "cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).orderBy("cell").collect()  # PIVOTS rows at most
     first, blocks, of = {}, {}, []
     for c in cells:
@@ -248,16 +272,15 @@ def _block_links(spark, reps: DataFrame, dims: int, chord: float, cosine: float,
     cell, radius = np.array([c for c, _ in of]), np.array([r for _, r in of])
     between = _chords(pivots[cell], pivots[cell])
     near = np.triu(between <= radius[:, None] + radius[None, :] + chord + SLACK)
-    pairs = spark.createDataFrame(pd.DataFrame(np.argwhere(near), columns=["i", "j"]))
+    i, j = np.nonzero(near)
+    # block i meets PARTNERS others at a time, so that a task's group is bounded
+    pairs = pd.DataFrame({"i": i, "block": j, "chunk": pd.Series(i).groupby(i).cumcount() // PARTNERS, "own": False})
+    pairs = pd.concat([pairs, pairs[["i", "chunk"]].drop_duplicates().assign(block=lambda d: d["i"], own=True)])
     as_map = lambda d: F.create_map(*(F.lit(int(x)) for kv in d.items() for x in kv))
     dealt = placed.withColumn("block", (as_map(first)[F.col("cell")] + F.pmod(F.xxhash64("vec_id"), as_map(blocks)[F.col("cell")])).cast("long"))
-    trees = written(
-        dealt.groupBy("block").applyInPandas(_trees, "block long, dims int, ids binary, copies binary, points binary, ends binary, nodes binary, centres binary"),
-        "trees",
-    )
-    side = lambda end, s: trees.select(F.col("block").alias(end), *([F.col("dims")] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "points", "ends", "nodes", "centres")))
-    work = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").repartition(max(len(of), spark.sparkContext.defaultParallelism), "i", "j")
-    return work.mapInArrow(_joined(chord, cosine), "vec_id long, n long, label long")
+    trees = written(dealt.groupBy("block").applyInPandas(_trees(kind), f"block long, {_NODES}"), "trees")
+    asked = spark.createDataFrame(pairs[["i", "block", "chunk", "own"]].astype({"i": "int64", "block": "int64", "chunk": "int64"}))
+    return asked.join(trees, "block").groupBy("i", "chunk").applyInPandas(_joined(chord, cosine, kind), "vec_id long, n long, label long")
 
 
 ORACLE_SQL = """
