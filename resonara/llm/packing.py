@@ -173,22 +173,34 @@ class WordTokens:
 
     def _marked(self, word: str) -> str | None:
         """Lower-case pieces of a simple word with their ends marked; None for others."""
-        stem, stop = (word[:-1], word[-1] + self.END) if word[-1] in ".," else (word, "")
-        if self.merges is None or not stem.isalpha() or any(c in stem for c in self.SPECIAL):
+        if word.isalpha():
+            stem, stop = word, ""
+        elif word[-1] in ".," and word[:-1].isalpha():
+            stem, stop = word[:-1], word[-1] + self.END
+        else:
             return None
-        return (stem if stem.isascii() else unicodedata.normalize("NFC", stem)).lower() + self.END + stop
+        if not stem.isascii():
+            if any(c in stem for c in self.SPECIAL):
+                return None
+            stem = unicodedata.normalize("NFC", stem)
+        return stem.lower() + self.END + stop
 
     def _learn(self) -> None:
         fresh = self.known.index.fresh
-        marked = [self._marked(w) for w in fresh]
-        simple = [m for m in marked if m is not None]
-        flat = np.array(self.merges("".join(simple)) if simple else [], dtype=np.uint32)
+        marked = [self._marked(w) if self.merges else None for w in fresh]
+        simple = np.array([m is not None for m in marked], dtype=bool)
+        flat = np.array(self.merges("".join(filter(None, marked))) if simple.any() else [], dtype=np.uint32)
+        others = self._ids([w for w, m in zip(fresh, marked, strict=True) if m is None])
+        lengths = np.zeros(len(fresh), dtype=np.int64)
         ends = np.flatnonzero(self.ends[flat]) + 1
-        pieces = np.cumsum([m.count(self.END) for m in simple], dtype=np.int64)
-        runs = iter(np.split(flat, ends[pieces[:-1] - 1])) if simple else iter(())
-        others = iter(self._ids([w for w, m in zip(fresh, marked, strict=True) if m is None]))
-        ids = [next(others) if m is None else next(runs) for m in marked]
-        self.known.learn(np.concatenate([np.asarray(i, dtype=np.uint32) for i in ids]), np.array([len(i) for i in ids]))
+        pieces = np.cumsum([m.count(self.END) for m in marked if m is not None], dtype=np.int64)
+        lengths[simple] = np.diff(ends[pieces - 1], prepend=0)
+        lengths[~simple] = [len(i) for i in others]
+        ids = np.empty(lengths.sum(), dtype=np.uint32)
+        from_merges = np.repeat(simple, lengths)
+        ids[from_merges] = flat
+        ids[~from_merges] = [i for own in others for i in own]
+        self.known.learn(ids, lengths)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
