@@ -13,14 +13,11 @@ from pyspark.sql import functions as F
 from resonara.llm import language_id, line_dedup, near_dedup, packing
 from resonara.llm.common import anti_join, written
 
-#: Least share of the predicted language among all languages' corrected hit rates.
-LEAST_SCORE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters or of no clear language go."""
+    """Documents with a language; only what language ID calls ``und`` goes, whatever the score of the rest."""
     judged = language_id.with_language(docs)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*(F.col("own").getField(c).alias(c) for c in docs.columns))
+    return judged.where(F.col("lang_pred") != "und").select(*(F.col("own").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -379,3 +379,17 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "packing"]
+
+
+def test_pipeline_drops_only_undetermined_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    real = docs.collect()
+    parts = [next(r.text for r in real if r.lang == lang and len(r.text) > 400)[:400] for lang in ("de", "es", "fr")]
+    clean = ["Re.", "A.", "De.", "\n".join(parts), "\n".join(reversed(parts)), "我们"]
+    planted = [(10**9 + i, t, "en", "x", len(t)) for i, t in enumerate(clean)]
+    undetermined = [(2 * 10**9 + i, t, "en", "x", len(t or "")) for i, t in enumerate(["", "12 - 34", None])]
+    both = docs.unionByName(spark.createDataFrame(planted + undetermined, docs.schema))
+    left = {r.doc_id for r in corpus_pipeline.identify_language(spark, both, "").select("doc_id").collect()}
+    assert left == {r.doc_id for r in real if any(ch.isalpha() for ch in r.text)} | {r[0] for r in planted}
