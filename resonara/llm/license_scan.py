@@ -9,6 +9,12 @@ the answer is unknown.  A named family is confirmed only if the paragraph shares
 enough word bigrams with one of its templates, so paragraphs without a bigram of
 any template are unknown at once.
 
+Lines can be far longer than a notice.  So each template is sought along the whole
+line, in windows of about its length; the best windows that don't overlap are
+classified by themselves, without the words around them, and need a bigram that
+only their family has.  A line counts once and gives all families found in it.  A
+line without such a window is classified as a whole.
+
 Paragraphs are the lines of the whole text; null texts have none.  Documents are
 independent, so repeated rows give equal results; an empty table gives an empty
 result; further columns are not looked at.
@@ -70,6 +76,10 @@ VARIANTS = 40
 CONFIDENT = 0.5
 #: Share of the smaller bigram set that a template and a paragraph must have in common.
 CONFIRMED = 0.5
+#: Bigrams of a template that suffice for a window, where half of them are more.
+ENOUGH = 12
+#: A window's words for each word of its template.
+SLACK = 1.25
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -92,6 +102,49 @@ class Classifier:
     temperature: float = 1.0
     templates: dict[str, list[set]] = field(default_factory=dict)
     known: set = field(default_factory=set)
+    owners: dict = field(default_factory=dict)
+    only: list[set] = field(default_factory=list)
+
+    def index_templates(self) -> None:
+        """Bigrams by the templates that have them, and those of a single family."""
+        every = [(k, t) for k, f in enumerate(self.families) for t in self.templates[f]]
+        for n, (_, t) in enumerate(every):
+            for g in t:
+                self.owners.setdefault(g, []).append(n)
+        union = [set().union(*self.templates[f]) for f in self.families]
+        self.only = [u - set().union(*(x for x in union if x is not u)) for u in union]
+
+    def spans(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(shared bigrams, first word, end) of windows that share enough with a template, one for each stretch of overlapping ones."""
+        at: dict[int, list[int]] = {}
+        pairs = bigrams(words)
+        for i, g in enumerate(pairs):
+            for n in self.owners.get(g, ()):
+                at.setdefault(n, []).append(i)
+        sizes = [len(t) for f in self.families for t in self.templates[f]]
+        out = []
+        for n, places in at.items():
+            need, width = min(CONFIRMED * sizes[n], ENOUGH), int(SLACK * (sizes[n] + 1)) + 1
+            if len(places) < need:
+                continue
+            inside: dict = {}
+            first, best = 0, None
+            for last, i in enumerate(places):
+                inside[pairs[i]] = inside.get(pairs[i], 0) + 1
+                # a repeated bigram at the start adds nothing
+                while places[first] + width <= i or inside[pairs[places[first]]] > 1:
+                    inside[pairs[places[first]]] -= 1
+                    if not inside[pairs[places[first]]]:
+                        del inside[pairs[places[first]]]
+                    first += 1
+                if best and places[first] >= best[2]:
+                    out.append(best)
+                    best = None
+                if len(inside) >= need and (best is None or len(inside) > best[0]):
+                    best = (len(inside), places[first], places[last] + 2)
+            if best:
+                out.append(best)
+        return out
 
     def vector(self, words: list[str]) -> list[int]:
         """Indices of the known n-grams; the last feature is the bias."""
@@ -106,9 +159,27 @@ class Classifier:
         e = np.exp((logits - logits.max()) / self.temperature)
         return e / e.sum()
 
-    def classify(self, paragraph: str) -> tuple[str, float]:
-        """Family (or unknown) and its probability."""
+    def find(self, paragraph: str) -> list[tuple[str, float]]:
+        """Families in a paragraph of any length with their probabilities; none where it is unknown."""
         words = words_of(paragraph)
+        if set(bigrams(words)).isdisjoint(self.known):
+            return []
+        named = []
+        for shared, a, b in self.spans(words):
+            family, p = self.judge(words[a:b])
+            if family != "unknown" and not self.only[self.families.index(family)].isdisjoint(bigrams(words[a:b])):
+                named.append((shared, p, a, b, family))
+        taken: list[tuple] = []
+        for x in sorted(named, key=lambda x: (-x[0], -x[1], x[2])):
+            if all(x[3] <= y[2] or y[3] <= x[2] for y in taken):
+                taken.append(x)
+        if taken:
+            return [(x[4], x[1]) for x in taken]
+        family, p = self.judge(words)
+        return [] if family == "unknown" else [(family, p)]
+
+    def judge(self, words: list[str]) -> tuple[str, float]:
+        """Family (or unknown) of some words as a whole, and its probability."""
         pairs = set(bigrams(words))
         if pairs.isdisjoint(self.known):
             return "unknown", 1.0
@@ -147,9 +218,10 @@ def fit(paragraphs: list[str]) -> Classifier:
     model.known = set().union(*(t for ts in model.templates.values() for t in ts))
     grams = sorted({g for ts in TEMPLATES.values() for t in ts for g in words_of(t)}) + sorted(model.known)
     model.features = {g: i for i, g in enumerate(grams)}
+    model.index_templates()
     corpus = [w for w in map(words_of, paragraphs) if w]
     # corpus paragraphs that look like a notice say nothing about what is none
-    corpus = [w for w in corpus if len(set(bigrams(w)) & model.known) < 0.3 * max(1, len(w) - 1)]
+    corpus = [w for w in corpus if len(set(bigrams(w)) & model.known) < 0.3 * max(1, len(w) - 1) and not model.spans(w)]
     rows, labels = [], []
     for label, family in enumerate(model.families):
         for template in TEMPLATES[family]:
@@ -204,13 +276,14 @@ def license_scan(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(sorted(sample)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = shared.value.classify
+        find = shared.value.find
         for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 paragraphs = text.split("\n") if text else []
-                found = [f for f in map(classify, paragraphs) if f[0] != "unknown"]
-                rows.append((len(paragraphs), len(found), ",".join(sorted({f for f, _ in found})), max((p for _, p in found), default=0.0)))
+                found = [x for x in map(find, paragraphs) if x]
+                named = [y for x in found for y in x]
+                rows.append((len(paragraphs), len(found), ",".join(sorted({f for f, _ in named})), max((p for _, p in named), default=0.0)))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3], pa.float64())],

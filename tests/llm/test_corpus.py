@@ -393,3 +393,22 @@ def test_pipeline_drops_only_undetermined_documents(spark):
     both = docs.unionByName(spark.createDataFrame(planted + undetermined, docs.schema))
     left = {r.doc_id for r in corpus_pipeline.identify_language(spark, both, "").select("doc_id").collect()}
     assert left == {r.doc_id for r in real if any(ch.isalpha() for ch in r.text)} | {r[0] for r in planted}
+
+
+def test_license_scan_finds_notices_inside_long_lines(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = ("licen", "redistribut", "permission", "warrant")
+    prose = " ".join(r.text for r in real.orderBy("doc_id").collect() if not any(k in r.text.lower() for k in known)).split()
+    chunk = lambda i: " ".join(prose[100 * i : 100 * i + 100])
+    planted = [(f, t) for f, ts in sorted(license_scan.TEMPLATES.items()) for t in ts]
+    rows, wanted = [], {}
+    for i, (family, notice) in enumerate(planted):
+        for k, line in enumerate((f"{chunk(i)} {notice} {chunk(i + 1)}", f"{notice} {chunk(i)} {chunk(i + 1)}", f"{chunk(i)} {chunk(i + 1)} {notice}")):
+            rows.append((10**9 + 3 * i + k, line))
+            wanted[rows[-1][0]] = (1, 1, family)
+    mit, apache = license_scan.TEMPLATES["mit"][2], license_scan.TEMPLATES["apache"][1]
+    rows += [(2 * 10**9, f"{chunk(1)} {mit} {chunk(2)} {apache} {chunk(3)}"), (2 * 10**9 + 1, f"{chunk(4)} {chunk(5)}")]
+    wanted |= {2 * 10**9: (1, 1, "apache,mit"), 2 * 10**9 + 1: (1, 0, "")}
+    both = real.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: (r.n_paragraphs, r.n_licensed, r.families) for r in license_scan.license_scan(both).collect()}
+    assert {k: got[k] for k in wanted} == wanted
