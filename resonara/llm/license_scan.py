@@ -1,23 +1,26 @@
 """License scans by a trained paragraph classifier.
 
-A sparse logistic regression over word unigrams and bigrams names a paragraph's
-licence family or ``unknown``.  It is trained on variants of the families'
-notices (words lost, foreign words around them, cut short) against paragraphs of
-the corpus (a bounded sample) and against scattered licence words.  A temperature
-fitted on variants kept apart calibrates its probabilities; below ``CONFIDENT``
-the answer is unknown.  A named family is confirmed only if the paragraph shares
-enough word bigrams with one of its templates, so paragraphs without a bigram of
-any template are unknown at once.
-
-Lines can be far longer than a notice.  So each template is sought along the whole
-line, in windows of about its length; the best windows that don't overlap are
-classified by themselves, without the words around them, and need a bigram that
-only their family has.  A line counts once and gives all families found in it.  A
-line without such a window is classified as a whole.
-
-Paragraphs are the lines of the whole text; null texts have none.  Documents are
-independent, so repeated rows give equal results; an empty table gives an empty
-result; further columns are not looked at.
+A sparse logistic regression over word unigrams and bigrams names a span's
+licence family or ``unknown``.  Its positive rows are variants of public notices
+and of short grants made by rule (``FORMS`` with the families' names), with words
+lost and cut short.  Its negative rows are windows of the corpus, mentions of
+licences that grant nothing, grants of invented licences, and licence words out
+of order.  A temperature calibrates its probabilities on rows kept apart: other
+forms, and families that it never saw (``UNSEEN``), which must be unknown.
+
+A paragraph ends at a line without a letter or digit; its other lines are joined,
+so that wrapped and commented notices are read as one.  Spans of a paragraph are
+sought along the whole of it, around each bigram that only one family's templates
+have: the words that a template's bigrams reach there.  A span names a family if
+the classifier does, with a probability of ``CONFIDENT`` or more, and a template
+of that family confirms it by sharing enough bigrams.  A title, such as a licence's
+name, counts only where it makes up most of its paragraph.  Of overlapping spans
+the one that shares most stays.  Paragraphs without such a bigram are unknown.
+
+Null texts have no paragraph.  Documents are independent and the training sample
+is chosen by hash, so repeated rows give equal results, whatever the order or the
+partitions of the input; an empty table gives an empty result; further columns
+are not looked at.  Work is linear in the length of a text.
 """
 
 from __future__ import annotations
@@ -33,261 +36,333 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Notices of public licences by family: fixed values.
-TEMPLATES = {
+#: Names of public licences by family: fixed values.
+NAMES = {
+    "agpl": ["GNU Affero General Public License, version 3", "AGPL v3", "AGPLv3", "GNU AGPL", "Affero GPL"],
+    "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 license"],
+    "boost": ["Boost Software License, Version 1.0", "Boost Software License"],
+    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License", "3-clause BSD license", "2-clause BSD license", "New BSD License", "Simplified BSD License", "BSD license"],
+    "cc": [
+        "CC BY 4.0", "CC BY-SA 4.0", "CC BY-NC 4.0", "CC BY-ND 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC BY-SA 3.0",
+        "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution License",
+    ],
+    "cc0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0"],
+    "epl": ["Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "EPL 2.0", "EPL v1.0"],
+    "gpl": ["GNU General Public License, version 3", "GNU General Public License v2.0", "GNU GPL v3", "GNU GPL", "GPL v2", "GPL v3", "GPL version 2", "GPLv2", "GPLv3"],
+    "isc": ["ISC License", "ISC licence"],
+    "lgpl": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v3.0", "LGPL v2.1", "LGPL v3", "LGPLv3", "GNU LGPL"],
+    "mit": ["MIT License", "MIT License (MIT)", "MIT licence", "Expat License", "MIT/Expat license"],
+    "mpl": ["Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"],
+    "unlicense": ["Unlicense"],
+    "zlib": ["zlib License", "zlib/libpng license"],
+}
+#: SPDX identifiers by family: fixed values.
+SPDX = {
+    "agpl": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"], "apache": ["Apache-2.0"], "boost": ["BSL-1.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "cc": ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"], "cc0": ["CC0-1.0"], "epl": ["EPL-1.0", "EPL-2.0"],
+    "gpl": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "isc": ["ISC"],
+    "lgpl": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"], "mit": ["MIT"], "mpl": ["MPL-2.0"], "unlicense": ["Unlicense"], "zlib": ["Zlib"],
+}
+#: Paragraphs of public notices by family: fixed values.
+NOTICES = {
     "agpl": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
-        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see the web site of the GNU licenses.",
     ],
     "apache": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Released under the BSD 3-Clause License.",
+    "boost": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.",
     ],
-    "cc": [
-        "Licensed under CC BY-NC 4.0.",
-        "Licensed under CC BY 4.0.",
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ],
+    "cc": ["This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit the Creative Commons web site."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which accompanies this distribution."],
     "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see the web site of the GNU licenses.",
     ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "lgpl": [
-        "Licensed under the GNU Lesser General Public License, version 2.1 or later.",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ],
     "mit": [
-        "Released under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial, and by any means."],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."],
 }
-#: Corpus paragraphs that the classifier is trained against.
-SAMPLE_PARAGRAPHS = 3000
-VARIANTS = 40
+#: Short grants; those of ``APART`` serve calibration alone.
+FORMS = ["Licensed under the {}", "Licensed under {}", "Released under the {}", "Distributed under the terms of the {}", "This project is licensed under the terms of the {}", "This work is licensed under {}", "Published under {}, or any later version"]
+APART = ["Made available under the {}", "Subject to the terms of the {}", "You may use this file under the {}"]
+#: Licences that training never sees; calibration expects them to be unknown.
+UNSEEN = ["Artistic License 2.0", "European Union Public Licence 1.2", "SIL Open Font License 1.1", "Microsoft Public License", "CeCILL Free Software License", "Academic Free License 3.0", "Python Software Foundation License"]
+MENTIONS = ["the {} was discussed at length", "a history of the {}", "many people like the {} more than others", "the {} and its critics", "compared with the {} this is long", "the {}", "what is the {}"]
+
+#: Windows of the corpus that the classifier is trained against, and words of each.
+SAMPLE_WINDOWS, WINDOW_WORDS = 3000, 60
+VARIANTS = 6
 CONFIDENT = 0.5
-#: Share of the smaller bigram set that a template and a paragraph must have in common.
-CONFIRMED = 0.5
-#: Bigrams of a template that suffice for a window, where half of them are more.
-ENOUGH = 12
-#: A window's words for each word of its template.
+#: Share of the smaller bigram set that a template and a span must have in common, and what suffices for a span.
+CONFIRMED, ENOUGH = 0.62, 12
+#: A span's words for each word of its template.
 SLACK = 1.25
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_BREAK = re.compile(r"\n(?:[^\w\n]*\n)+")
 
 
 def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
+def paragraphs_of(text: str | None) -> list[list[str]]:
+    """Words of each paragraph that has any."""
+    return [w for w in map(words_of, _BREAK.split(text)) if w] if text else []
+
+
 def bigrams(words: list[str]) -> list[tuple[str, str]]:
     return list(zip(words, words[1:], strict=False))
 
 
+def templates(family: str) -> list[list[str]]:
+    """Words of a family's notices and of the grants made by rule."""
+    tags = [words_of(f"SPDX-License-Identifier: {i}") for i in SPDX[family]]
+    return [words_of(n) for n in NOTICES[family]] + [words_of(f.format(n)) for n in NAMES[family] for f in FORMS] + tags
+
+
+@dataclass
+class Template:
+    family: int
+    grams: frozenset
+    #: Words before the first place of each bigram.
+    places: dict
+    size: int
+    #: Names count where they make up most of a paragraph.
+    title: bool = False
+
+
 @dataclass
 class Classifier:
-    """Weights (features x classes; the last class is unknown) and what confirms a family."""
+    """Weights (features and bias and strangeness x classes; the last class is unknown) and the templates that confirm."""
 
     families: list[str]
     features: dict = field(default_factory=dict)
     weights: np.ndarray | None = None
     temperature: float = 1.0
-    templates: dict[str, list[set]] = field(default_factory=dict)
-    known: set = field(default_factory=set)
-    owners: dict = field(default_factory=dict)
-    only: list[set] = field(default_factory=list)
+    #: Bigram of a single family -> its templates.
+    anchors: dict = field(default_factory=dict)
 
     def index_templates(self) -> None:
-        """Bigrams by the templates that have them, and those of a single family."""
-        every = [(k, t) for k, f in enumerate(self.families) for t in self.templates[f]]
-        for n, (_, t) in enumerate(every):
-            for g in t:
-                self.owners.setdefault(g, []).append(n)
-        union = [set().union(*self.templates[f]) for f in self.families]
-        self.only = [u - set().union(*(x for x in union if x is not u)) for u in union]
-
-    def spans(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """(shared bigrams, first word, end) of windows that share enough with a template, one for each stretch of overlapping ones."""
-        at: dict[int, list[int]] = {}
-        pairs = bigrams(words)
-        for i, g in enumerate(pairs):
-            for n in self.owners.get(g, ()):
-                at.setdefault(n, []).append(i)
-        sizes = [len(t) for f in self.families for t in self.templates[f]]
-        out = []
-        for n, places in at.items():
-            need, width = min(CONFIRMED * sizes[n], ENOUGH), int(SLACK * (sizes[n] + 1)) + 1
-            if len(places) < need:
-                continue
-            inside: dict = {}
-            first, best = 0, None
-            for last, i in enumerate(places):
-                inside[pairs[i]] = inside.get(pairs[i], 0) + 1
-                # a repeated bigram at the start adds nothing
-                while places[first] + width <= i or inside[pairs[places[first]]] > 1:
-                    inside[pairs[places[first]]] -= 1
-                    if not inside[pairs[places[first]]]:
-                        del inside[pairs[places[first]]]
-                    first += 1
-                if best and places[first] >= best[2]:
-                    out.append(best)
-                    best = None
-                if len(inside) >= need and (best is None or len(inside) > best[0]):
-                    best = (len(inside), places[first], places[last] + 2)
-            if best:
-                out.append(best)
-        return out
-
-    def vector(self, words: list[str]) -> list[int]:
-        """Indices of the known n-grams; the last feature is the bias."""
+        every = []
+        for k, family in enumerate(self.families):
+            for words, title in [*((w, False) for w in templates(family)), *((words_of(n), True) for n in [*NAMES[family], *SPDX[family]])]:
+                pairs = bigrams(words)
+                every.append(Template(k, frozenset(pairs), {g: i for i, g in reversed(list(enumerate(pairs)))}, len(words), title))
+        owner: dict = {}
+        for t in every:
+            for g in t.grams:
+                owner[g] = t.family if owner.get(g, t.family) == t.family else -1
+        for t in every:
+            for g in t.grams:
+                if owner[g] >= 0:
+                    self.anchors.setdefault(g, []).append(t)
+
+    def index_of(self, words: list[str]) -> tuple[list[int], float]:
+        """Known n-grams and the share of those it doesn't know."""
         found = {self.features[g] for g in (*words, *bigrams(words)) if g in self.features}
-        return [*sorted(found), len(self.features)]
+        return sorted(found), 1 - len(found) / max(1, 2 * len(words) - 1)
 
     def probabilities(self, words: list[str]) -> np.ndarray:
-        index = self.vector(words)
-        # n-grams it doesn't know count for unknown
-        strange = 1 - (len(index) - 1) / max(1, 2 * len(words) - 1)
-        logits = self.weights[index].sum(axis=0) + strange * self.weights[-1]
-        e = np.exp((logits - logits.max()) / self.temperature)
+        index, strange = self.index_of(words)
+        logits = (self.weights[index].sum(axis=0) + self.weights[-2] + strange * self.weights[-1]) / self.temperature
+        e = np.exp(logits - logits.max())
         return e / e.sum()
 
-    def find(self, paragraph: str) -> list[tuple[str, float]]:
-        """Families in a paragraph of any length with their probabilities; none where it is unknown."""
-        words = words_of(paragraph)
-        if set(bigrams(words)).isdisjoint(self.known):
-            return []
-        named = []
-        for shared, a, b in self.spans(words):
-            family, p = self.judge(words[a:b])
-            if family != "unknown" and not self.only[self.families.index(family)].isdisjoint(bigrams(words[a:b])):
-                named.append((shared, p, a, b, family))
+    def find(self, words: list[str]) -> list[tuple[str, float, int, int]]:
+        """(family, probability, first word, end) of the licence spans of a paragraph of any length."""
+        pairs = bigrams(words)
+        anchors, named, done = self.anchors, [], {}
+        for i, g in enumerate(pairs):
+            if g not in anchors:
+                continue
+            for t in anchors[g]:
+                if done.get(t.family, -1) > i:
+                    continue
+                at = t.places[g]
+                a, b = max(0, i - int(SLACK * at) - 1), i + int(SLACK * (t.size - 1 - at)) + 2
+                there = [j for j, p in enumerate(pairs[a:b], a) if p in t.grams]
+                shared = len({pairs[j] for j in there})
+                first, end = there[0], there[-1] + 2
+                wide = len(pairs) if t.title else min(len(pairs), b) - a
+                need = CONFIRMED * max(len(t.grams), wide) if t.title else min(CONFIRMED * min(len(t.grams), wide), ENOUGH)
+                if shared < need:
+                    continue
+                p = self.probabilities(words[first:end])
+                if int(p.argmax()) == t.family and p[t.family] >= CONFIDENT:
+                    named.append((shared, float(p[t.family]), first, end, t.family))
+                    if shared >= ENOUGH:
+                        done[t.family] = end - 1
         taken: list[tuple] = []
         for x in sorted(named, key=lambda x: (-x[0], -x[1], x[2])):
             if all(x[3] <= y[2] or y[3] <= x[2] for y in taken):
                 taken.append(x)
-        if taken:
-            return [(x[4], x[1]) for x in taken]
-        family, p = self.judge(words)
-        return [] if family == "unknown" else [(family, p)]
-
-    def judge(self, words: list[str]) -> tuple[str, float]:
-        """Family (or unknown) of some words as a whole, and its probability."""
-        pairs = set(bigrams(words))
-        if pairs.isdisjoint(self.known):
-            return "unknown", 1.0
-        p = self.probabilities(words)
-        best = int(p[:-1].argmax())
-        family = self.families[best]
-        if p[best] < CONFIDENT or not any(len(pairs & t) >= CONFIRMED * min(len(pairs), len(t)) for t in self.templates[family]):
-            return "unknown", float(1 - p[best])
-        return family, float(p[best])
-
-
-def _variants(words: list[str], others: list[list[str]], rng: np.random.Generator) -> list[list[str]]:
+        return [(self.families[x[4]], x[1], x[2], x[3]) for x in sorted(taken, key=lambda x: x[2])]
+
+
+def _variants(words: list[str], rng: np.random.Generator) -> list[list[str]]:
+    """A notice or grant, whole, with words lost, and cut at either end."""
     out = [words]
     for _ in range(VARIANTS):
         kept = [w for w in words if rng.random() > 0.08] or words
-        if rng.random() < 0.3 and len(kept) > 8:
-            kept = kept[: int(len(kept) * rng.uniform(0.5, 1))]
-        if others and rng.random() < 0.5:
-            around = others[rng.integers(len(others))]
-            n = int(rng.integers(0, 1 + min(len(around), len(kept) // 2)))
-            kept = around[:n] + kept if rng.random() < 0.5 else kept + around[:n]
+        if rng.random() < 0.4 and len(kept) > 8:
+            cut = int(len(kept) * rng.uniform(0.3, 0.9))
+            kept = kept[:cut] if rng.random() < 0.5 else kept[cut:]
         out.append(kept)
     return out
 
 
-def _negatives(words: list[str], rng: np.random.Generator) -> list[list[str]]:
-    """Words of a notice out of order and far fewer than it has."""
-    return [list(rng.permutation(words)[: max(1, len(words) // 3)]) for _ in range(VARIANTS // 4)]
+def _invented(rng: np.random.Generator) -> str:
+    """The name of a licence that there isn't."""
+    syllables = ["zor", "vex", "plim", "tar", "quo", "ner", "bal", "mi", "osk", "ul", "gra", "phe"]
+    word = lambda: "".join(rng.choice(syllables, int(rng.integers(2, 4)))).capitalize()
+    kinds = ["{} License", "{} Public License", "{} {} License", "{} General License, version 3", "{} License 2.0", "{} v2", "{} Free Software License"]
+    return str(rng.choice(kinds)).format(word(), word())
+
+
+def training_rows(corpus: list[list[str]], apart: bool) -> list[tuple[list[str], str, str]]:
+    """(words, family or unknown, kind of row); with ``apart`` those for calibration.  All rows of a kind weigh as much as those of another."""
+    rng = np.random.default_rng(23 if apart else 11)
+    rows: list[tuple[list[str], str, str]] = []
+    for family in sorted(NAMES):
+        if apart:
+            positive = [words_of(f.format(n)) for n in NAMES[family] for f in APART] + [w for n in NOTICES[family] for w in _variants(words_of(n), rng)[1:]]
+        else:
+            titles = [words_of(n) for n in NAMES[family] + SPDX[family]]
+            positive = [v for t in templates(family) for v in _variants(t, rng)] + [[*t, *x] for t in titles for x in ([], [t[-1]])]
+            positive += [["under", "the", *words_of(n)] for n in NAMES[family]]
+        rows += [(w, family, family) for w in positive]
+        for n in NAMES[family]:
+            rows += [(words_of(m.format(n)), "unknown", "mention of " + family) for m in (MENTIONS[::2] if apart else MENTIONS)]
+            rows.append((list(rng.permutation(words_of(FORMS[0].format(n)))), "unknown", "disorder"))
+    names = UNSEEN if apart else [_invented(rng) for _ in range(150)]
+    rows += [(words_of(f.format(n)), "unknown", "other licence") for n in names for f in (APART if apart else FORMS)] + [(words_of(n), "unknown", "other licence") for n in names]
+    return rows + [(w, "unknown", "corpus") for w in corpus[apart::2]]
+
+
+def _even(kinds: list[str]) -> np.ndarray:
+    """Weights of rows that give each kind the same total."""
+    _, kind, counts = np.unique(kinds, return_inverse=True, return_counts=True)
+    return 1 / counts[kind] / len(counts)
 
 
-def fit(paragraphs: list[str]) -> Classifier:
-    """Classifier from the templates and a sample of the corpus's paragraphs."""
-    rng = np.random.default_rng(11)
-    model = Classifier(sorted(TEMPLATES))
-    model.templates = {f: [set(bigrams(words_of(t))) for t in TEMPLATES[f]] for f in model.families}
-    model.known = set().union(*(t for ts in model.templates.values() for t in ts))
-    grams = sorted({g for ts in TEMPLATES.values() for t in ts for g in words_of(t)}) + sorted(model.known)
-    model.features = {g: i for i, g in enumerate(grams)}
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+@dataclass
+class _Rows:
+    """Rows of a sparse 0/1 matrix: features by row, and the same by feature."""
+
+    features: np.ndarray
+    row_ends: np.ndarray
+    strange: np.ndarray
+
+    @classmethod
+    def of(cls, model: Classifier, rows: list[list[str]]) -> _Rows:
+        found = [model.index_of(r) for r in rows]
+        return cls(np.array([i for index, _ in found for i in index], dtype=np.int64), np.cumsum([len(index) for index, _ in found]), np.array([s for _, s in found]))
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        sums = np.vstack([np.zeros(weights.shape[1]), np.cumsum(weights[self.features], axis=0)])
+        own = sums[self.row_ends] - sums[np.concatenate([[0], self.row_ends[:-1]])]
+        return own + weights[-2] + self.strange[:, None] * weights[-1]
+
+    def gradient(self, delta: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        out = np.zeros(shape)
+        row = np.repeat(np.arange(len(self.row_ends)), np.diff(self.row_ends, prepend=0))
+        order = np.argsort(self.features, kind="stable")
+        sorted_ = self.features[order]
+        first = np.flatnonzero(np.r_[True, np.diff(sorted_) != 0]) if len(order) else np.zeros(0, dtype=int)
+        if len(first):
+            out[sorted_[first]] = np.add.reduceat(delta[row[order]], first, axis=0)
+        out[-2] = delta.sum(axis=0)
+        out[-1] = (self.strange[:, None] * delta).sum(axis=0)
+        return out
+
+
+def fit(windows: list[str]) -> Classifier:
+    """Classifier from the templates, the forms and a sample of the corpus's windows."""
+    model = Classifier(sorted(NAMES))
     model.index_templates()
-    corpus = [w for w in map(words_of, paragraphs) if w]
-    # corpus paragraphs that look like a notice say nothing about what is none
-    corpus = [w for w in corpus if len(set(bigrams(w)) & model.known) < 0.3 * max(1, len(w) - 1) and not model.spans(w)]
-    rows, labels = [], []
-    for label, family in enumerate(model.families):
-        for template in TEMPLATES[family]:
-            words = words_of(template)
-            rows += _variants(words, corpus, rng)
-            labels += [label] * (len(rows) - len(labels))
-            rows += _negatives(words, rng)
-            labels += [len(model.families)] * (len(rows) - len(labels))
-    rows += corpus
-    labels += [len(model.families)] * len(corpus)
-    order = rng.permutation(len(rows))
-    x = np.zeros((len(rows), len(model.features) + 2))
-    for i, r in enumerate(order):
-        index = model.vector(rows[r])
-        x[i, index] = 1
-        x[i, -1] = 1 - (len(index) - 1) / max(1, 2 * len(rows[r]) - 1)
-    y = np.array(labels)[order]
-    apart = np.arange(len(y)) % 5 == 0
-    target = np.eye(len(model.families) + 1)[y]
-    model.weights = np.zeros((x.shape[1], target.shape[1]))
-    trained, wanted = x[~apart], target[~apart]
-    weight = 1 / np.bincount(y[~apart], minlength=target.shape[1]).clip(1)[y[~apart]]
-    weight /= weight.sum()
-    velocity = np.zeros_like(model.weights)
-    for _ in range(300):
-        logits = trained @ model.weights
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        gradient = trained.T @ ((e / e.sum(axis=1, keepdims=True) - wanted) * weight[:, None]) + 1e-5 * model.weights
-        velocity = 0.9 * velocity - 2.0 * gradient
+    corpus = [w for w in map(words_of, windows) if w]
+    # corpus windows that hold the better part of a template say nothing about what is none
+    looks = lambda w: any(len(t.grams & set(bigrams(w))) >= CONFIRMED * len(t.grams) for g in bigrams(w) if g in model.anchors for t in model.anchors[g])
+    corpus = [w for w in corpus if not looks(w)]
+    rows, apart = training_rows(corpus, False), training_rows(corpus, True)
+    own = [w for w, label, _ in rows if label != "unknown"] + [words_of(m.format("")) for m in MENTIONS]
+    model.features = {g: i for i, g in enumerate(sorted({g for w in own for g in w}) + sorted({g for w in own for g in bigrams(w)}))}
+    classes = [*model.families, "unknown"]
+    shape = (len(model.features) + 2, len(classes))
+    model.weights = np.zeros(shape)
+    x, share = _Rows.of(model, [w for w, _, _ in rows]), _even([kind for _, _, kind in rows])
+    target, velocity = np.eye(len(classes))[[classes.index(label) for _, label, _ in rows]], np.zeros(shape)
+    for _ in range(150):
+        gradient = x.gradient((_softmax(x.logits(model.weights)) - target) * share[:, None], shape) + 1e-6 * model.weights
+        velocity = 0.9 * velocity - 4.0 * gradient
         model.weights += velocity
-    logits = x[apart] @ model.weights
+    z, wanted = _Rows.of(model, [w for w, _, _ in apart]).logits(model.weights), np.array([classes.index(label) for _, label, _ in apart])
+    weight = _even([kind for _, _, kind in apart])
+    loss = lambda t: -float((np.log(_softmax(z / t)[np.arange(len(z)), wanted].clip(1e-12)) * weight).sum())
+    model.temperature = min(np.geomspace(0.05, 4, 40).tolist(), key=loss)
+    return model
 
-    def loss(t: float) -> float:
-        z = logits / t
-        z -= z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), y[apart]]).mean())
 
-    model.temperature = min(np.geomspace(0.1, 4, 40).tolist(), key=loss)
-    return model
+def sample_windows(docs: DataFrame, size: int = SAMPLE_WINDOWS, words: int = WINDOW_WORDS) -> list[str]:
+    """``size`` windows of ``words`` words from as many documents, all chosen by hash of id and text, in order."""
+    n = docs.count()
+    mixed = F.xxhash64("text", "doc_id")
+    picked = docs.where(F.col("text").isNotNull() & (F.pmod(mixed, F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, 2 * size / max(1, n)))))
+    parts = F.split("text", "[ \n]+")
+    begin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.size(parts) - F.lit(words - 1))) + 1
+    rows = picked.select(mixed.alias("mixed"), F.array_join(F.slice(parts, begin.cast("int"), words), " ").alias("window")).orderBy("mixed", "window").limit(size)
+    return [r["window"] for r in rows.collect()]  # bounded by size and words
+
 
+def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
+    """doc_id, n_paragraphs, n_licensed, families (sorted, comma-separated), score (highest), findings of every row.
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_licensed, families (sorted, comma-separated), score (highest) of every row."""
+    ``findings`` lists paragraph, family, score, and the first word and end of each span.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = own.count()
-    # about as many documents as paragraphs are wanted, one paragraph of each, by hash
-    lines = F.split("text", "\n")
-    picked = own.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(max(1, n // SAMPLE_PARAGRAPHS))) == 0)).select(
-        F.element_at(lines, (F.pmod(F.xxhash64("doc_id"), F.size(lines)) + 1).cast("int")).alias("line")
-    )
-    sample = [r["line"][:2000] for r in picked.limit(2 * SAMPLE_PARAGRAPHS).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sorted(sample)))
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(sample_windows(own)))
+    kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value.find
         for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                paragraphs = text.split("\n") if text else []
-                found = [x for x in map(find, paragraphs) if x]
-                named = [y for x in found for y in x]
-                rows.append((len(paragraphs), len(found), ",".join(sorted({f for f, _ in named})), max((p for _, p in named), default=0.0)))
+                paragraphs = paragraphs_of(text)
+                found = [{"paragraph": k, "family": f, "score": p, "first_word": a, "end_word": b} for k, w in enumerate(paragraphs) for f, p, a, b in find(w)]
+                rows.append((len(paragraphs), len({x["paragraph"] for x in found}), ",".join(sorted({x["family"] for x in found})), max((x["score"] for x in found), default=0.0), found))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3], pa.float64())],
-                names=["doc_id", "n_paragraphs", "n_licensed", "families", "score"],
+                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3], pa.float64()), pa.array(columns[4], kind)],
+                names=["doc_id", "n_paragraphs", "n_licensed", "families", "score", "findings"],
             )
 
-    return own.mapInArrow(run, "doc_id long, n_paragraphs long, n_licensed long, families string, score double")
+    schema = "doc_id long, n_paragraphs long, n_licensed long, families string, score double, findings array<struct<paragraph:long,family:string,score:double,first_word:long,end_word:long>>"
+    return own.mapInArrow(run, schema)

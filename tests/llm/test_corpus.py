@@ -332,13 +332,73 @@ def test_license_scan_finds_notices(spark, docs, empty):
     notices = {"MIT License": "mit", "Apache License": "apache", "GNU General Public": "gpl", "CC BY-NC": "cc"}
     got = {r.doc_id: r for r in license_scan.license_scan(real).collect()}
     for r in real.collect():
-        wanted = sorted({f for n, f in notices.items() if any(n in line for line in r.text.split("\n"))})
+        wanted = sorted({f for n, f in notices.items() if n in r.text})
         assert got[r.doc_id].families == ",".join(wanted)
-        assert got[r.doc_id].n_paragraphs == r.text.count("\n") + 1
     assert {r.families for r in license_scan.license_scan(docs).collect()} == {""}
     assert license_scan.license_scan(empty).count() == 0
 
 
+def _licence_prose(spark):
+    known = ("licen", "redistribut", "permission", "warrant")
+    return " ".join(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if not any(k in r.text.lower() for k in known)).split()
+
+
+@pytest.fixture(scope="module")
+def licences(spark):
+    return license_scan.fit(license_scan.sample_windows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")))
+
+
+#: Grants and notices that are no training texts, by family.
+PLANTED = [
+    ("apache", "You can use it under the terms of the Apache License 2.0"), ("bsd", "This library may be used under the BSD 3-Clause License."), ("mit", "// Copyright somebody.\n// SPDX-License-Identifier: MIT"),
+    ("gpl", "GPL v2 or later"), ("gpl", "This software is licensed under the GPLv3, see the file COPYING"), ("epl", "Eclipse Public License 2.0"), ("isc", "ISC License"), ("mit", "The MIT License (MIT)"),
+    ("cc", "All texts of this site are licensed under CC BY-SA 4.0 unless noted."), ("mpl", "Files here are released under the Mozilla Public License 2.0"), ("lgpl", "It is distributed under the terms of the LGPL v2.1 by its authors"),
+]
+#: Mentions, licences that training never sees, and near misses.
+CLEAN = [
+    "The MIT License was discussed at length by the committee.", "We like the Apache License 2.0 for its clarity", "Licensed under the Foo Public License, version 2.", "Released under the Nethack General License.",
+    "European Union Public Licence 1.2", "software is provided as is", "the version 3 of this license, or any later one", "a copy of the software and its documentation", "", "\n\n \n",
+]
+
+
+def test_license_families_and_unknowns(licences):
+    name = lambda t: sorted({f for w in license_scan.paragraphs_of(t) for f, *_ in licences.find(w)})
+    assert [(name(t), t) for _, t in PLANTED] == [([f], t) for f, t in PLANTED]
+    assert [(name(t), t) for t in CLEAN] == [([], t) for t in CLEAN]
+    # licences of calibration's unseen families are unknown as well
+    assert {t for n in license_scan.UNSEEN for t in (n, f"Licensed under the {n}") if name(t)} == set()
+    for family, notices in license_scan.NOTICES.items():
+        for notice in notices:
+            words = notice.split()
+            wrapped = "\n".join(" * " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+            assert name(wrapped) == [family], notice
+            assert name(f"before\n\n{wrapped}\n\nafter") == [family]
+    # the second half of a wrapped notice alone
+    words = license_scan.NOTICES["mit"][0].split()
+    assert name(" ".join(words[len(words) // 2 :])) == ["mit"]
+    assert len(license_scan.paragraphs_of("a\nb\n\n--\n c\n\t\nd")) == 3 and license_scan.paragraphs_of(None) == []
+
+
+def test_license_spans_equal_a_search_of_all_windows(spark, licences):
+    """Brute force: every span of a long line that starts and ends with a template's bigram."""
+    prose = _licence_prose(spark)
+    for i, (family, notice) in enumerate(sorted((f, n) for f, ns in license_scan.NOTICES.items() for n in ns)):
+        words = license_scan.words_of(" ".join(prose[80 * i : 80 * i + 80]) + f" {notice} " + " ".join(prose[80 * i + 80 : 80 * i + 160]))
+        found = licences.find(words)
+        inside = license_scan.words_of(notice)
+        start = next(k for k in range(len(words)) if words[k : k + len(inside)] == inside)
+        best = max((len(set(license_scan.bigrams(words[a:b])) & set(license_scan.bigrams(inside))), a - b) for a in range(start - 3, start + 3) for b in range(start + len(inside) - 3, start + len(inside) + 3))
+        assert [f for f, *_ in found] == [family] and found[0][2] <= start + 2 and found[0][3] >= start - best[1] - 3, notice
+
+
+def test_license_sample_does_not_depend_on_order(spark, docs):
+    own = docs.select("doc_id", "text")
+    assert license_scan.sample_windows(own, 20, 8) == license_scan.sample_windows(own.repartition(7).orderBy(F.rand(3)), 20, 8)
+    twice = own.unionByName(own)
+    got = Counter((r.doc_id, r.families) for r in license_scan.license_scan(twice).collect())
+    assert all(n % 2 == 0 for n in got.values())
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(120, 16))
@@ -395,20 +455,19 @@ def test_pipeline_drops_only_undetermined_documents(spark):
     assert left == {r.doc_id for r in real if any(ch.isalpha() for ch in r.text)} | {r[0] for r in planted}
 
 
-def test_license_scan_finds_notices_inside_long_lines(spark):
-    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    known = ("licen", "redistribut", "permission", "warrant")
-    prose = " ".join(r.text for r in real.orderBy("doc_id").collect() if not any(k in r.text.lower() for k in known)).split()
+def test_license_scan_finds_notices_inside_long_lines(spark, licences):
+    prose = _licence_prose(spark)
     chunk = lambda i: " ".join(prose[100 * i : 100 * i + 100])
-    planted = [(f, t) for f, ts in sorted(license_scan.TEMPLATES.items()) for t in ts]
+    grants = [(f, license_scan.FORMS[i % len(license_scan.FORMS)].format(n)) for f, ns in sorted(license_scan.NAMES.items()) for i, n in enumerate(ns)]
+    planted = [(f, t) for f, ts in sorted(license_scan.NOTICES.items()) for t in ts] + grants
     rows, wanted = [], {}
     for i, (family, notice) in enumerate(planted):
         for k, line in enumerate((f"{chunk(i)} {notice} {chunk(i + 1)}", f"{notice} {chunk(i)} {chunk(i + 1)}", f"{chunk(i)} {chunk(i + 1)} {notice}")):
             rows.append((10**9 + 3 * i + k, line))
             wanted[rows[-1][0]] = (1, 1, family)
-    mit, apache = license_scan.TEMPLATES["mit"][2], license_scan.TEMPLATES["apache"][1]
-    rows += [(2 * 10**9, f"{chunk(1)} {mit} {chunk(2)} {apache} {chunk(3)}"), (2 * 10**9 + 1, f"{chunk(4)} {chunk(5)}")]
-    wanted |= {2 * 10**9: (1, 1, "apache,mit"), 2 * 10**9 + 1: (1, 0, "")}
-    both = real.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    got = {r.doc_id: (r.n_paragraphs, r.n_licensed, r.families) for r in license_scan.license_scan(both).collect()}
-    assert {k: got[k] for k in wanted} == wanted
+    mit, apache = license_scan.NOTICES["mit"][0], license_scan.NOTICES["apache"][0]
+    rows += [(2 * 10**9, f"{chunk(1)} {mit} {chunk(2)} {apache} {chunk(3)}"), (2 * 10**9 + 1, f"{chunk(4)} {chunk(5)}"), (2 * 10**9 + 2, None)]
+    wanted |= {2 * 10**9: (1, 1, "apache,mit"), 2 * 10**9 + 1: (1, 0, ""), 2 * 10**9 + 2: (0, 0, "")}
+    both = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_paragraphs, r.n_licensed, r.families) for r in license_scan.license_scan(both, licences).collect()}
+    assert {k: (v, wanted[k]) for k, v in got.items() if v != wanted[k]} == {}
