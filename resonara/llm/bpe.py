@@ -10,6 +10,11 @@ long ones one after the other.
 without special tokens; null and empty texts give no ids.  Rows are independent,
 so repeated rows give equal results; an empty table gives an empty result;
 further columns are not looked at.
+
+Texts are first cut before single spaces between other characters, where patterns
+that join at most one space to what follows (as ``public_tokenizers.PATTERN``
+does) always split.  Workers remember words and pieces of up to ``LONG`` characters,
+and of ``MEMORY_BYTES`` together at most.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,14 +33,19 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Pieces and words that a worker remembers; both are forgotten when full.
-MEMORY = 250_000
+#: Bytes of pieces and words that a worker remembers; all are forgotten when full.
+MEMORY_BYTES = 64 << 20
+#: Characters of a word or piece that is remembered.
+LONG = 64
+#: What an entry of a dictionary takes beside its characters.
+_ENTRY = 200
 #: Pieces of at most so many bytes are merged in lockstep.
 SHORT = 120
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _AT = 24
 _NO_ID = (1 << 20) - 1
+_SINGLE = regex.compile(r"(?<=\S) (?=\S)")
 
 
 class Ranks:
@@ -141,16 +152,18 @@ def _one(piece: bytes, vocab: Ranks) -> np.ndarray:
     """Ids of one long piece."""
     n = len(piece)
     size = 1 << max(1, n - 1).bit_length()
-    ids = [*vocab.bytes_ids[np.frombuffer(piece, np.uint8)].tolist(), _NO_ID]
-    after, before = list(range(1, n + 2)), list(range(-1, n))
+    # 8 bytes a number, however long the piece
+    ids = array("q", vocab.bytes_ids[np.frombuffer(piece, np.uint8)].tobytes())
+    ids.append(_NO_ID)
+    after, before = array("q", range(1, n + 2)), array("q", range(-1, n))
     none, pairs = 1 << 62, vocab.pairs
 
     def leaf(at: int) -> int:
         rank = pairs.get(ids[at] << 20 | ids[after[at]], -1)
         return none if rank < 0 else rank << 40 | at
 
-    tree = [none] * (2 * size)
-    tree[size : size + n] = map(leaf, range(n))
+    tree = array("q", [none]) * (2 * size)
+    tree[size : size + n] = array("q", map(leaf, range(n)))
     for node in range(size - 1, 0, -1):
         tree[node] = min(tree[2 * node], tree[2 * node + 1])
     while tree[1] != none:
@@ -192,39 +205,41 @@ def merge_pieces(pieces: list[bytes], vocab: Ranks) -> list[np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts; remembers the words and pieces it has met."""
+    """Encodes texts; remembers the short words and pieces it has met."""
 
     def __init__(self, vocab: Ranks, pattern: str):
         self.vocab, self.split = vocab, regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _words(text: str) -> list[str]:
-        """Parts at whose ends the pattern always splits: each from one single space to before the next."""
+        """Parts at whose ends the pattern always splits."""
         if not text:
             return []
-        if "  " in text:
-            return [text]
-        first, *others = text.split(" ")
+        first, *others = _SINGLE.split(text) if "  " in text else text.split(" ")
         return [first, *(" " + w for w in others)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         parted = [self._words(t) for t in texts]
-        missing = {w for words in parted for w in words}.difference(self.words)
-        split = {w: self.split(w) for w in missing}
+        split = {w: self.split(w) for w in {w for words in parted for w in words}.difference(self.words)}
         fresh = list({p for pieces in split.values() for p in pieces}.difference(self.pieces))
+        pieces = {}
         for piece, ids in zip(fresh, merge_pieces([p.encode() for p in fresh], self.vocab), strict=True):
-            self.pieces[piece] = ids.astype("<u4").tobytes()
-        for word, pieces in split.items():
-            self.words[word] = b"".join([self.pieces[p] for p in pieces])
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in parted]
-        if len(self.words) > MEMORY:
+            pieces[piece] = ids.astype("<u4").tobytes()
+        words = {word: b"".join([pieces[p] if p in pieces else self.pieces[p] for p in parts]) for word, parts in split.items()}
+        for known, met in ((self.words, words), (self.pieces, pieces)):
+            short = {k: v for k, v in met.items() if len(k) <= LONG}
+            known.update(short)
+            self.held += sum(2 * len(k) + len(v) for k, v in short.items()) + _ENTRY * len(short)
+        known = self.words
+        out = [b"".join([known[w] if w in known else words[w] for w in ws]) for ws in parted]
+        if self.held > MEMORY_BYTES:
             self.words.clear()
-        if len(self.pieces) > MEMORY:
             self.pieces.clear()
+            self.held = 0
         return out
 
     def decode(self, ids: bytes) -> bytes:
