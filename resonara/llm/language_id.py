@@ -6,10 +6,12 @@ slice l is the Bloom filter of language l).  A text's hits are counted for each
 language; the hit rate is corrected by the filter's false-positive rate, which
 its fill determines; the largest corrected rate decides.
 
-The filters are fitted on a bounded sample of labelled rows (``SAMPLE_DOCS`` a
-language, by hash of id and text) and hold the n-grams (4 bytes of the lower-case
-text, letters and word ends) that a language uses at least ``CONTRAST`` times as
-often as the language that uses them most.  Prediction reads whole texts and
+The filters are fitted on a bounded sample of labelled rows (about ``SAMPLE_DOCS``
+a language, by hash of id and text).  They hold n-grams (4 bytes of the lower-case
+text, letters and word ends) that ``MIN_DOCS`` documents of the sample or more
+have, the ``GRAMS`` most frequent ones of each language at most, as far as the
+language uses them at least ``CONTRAST`` times as often as the language that uses
+them most.  Prediction reads whole texts, in windows of ``WINDOW`` bytes, and
 nothing but the text.
 
 ``und`` with score 0 is given for null texts, texts without a letter, and all
@@ -39,6 +41,8 @@ GRAMS = 50_000
 MIN_DOCS = 3
 CONTRAST = 0.25
 SLOT_BITS = 20
+#: Bytes of text that are looked at together.
+WINDOW = 2 << 20
 HASHES = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 #: ASCII letters stay; all other ASCII is a word's end.
@@ -64,9 +68,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all valid n-grams and the text each is from."""
-    parts = [(" " + t.lower() + " ").encode().translate(_TABLE) for t in texts]
+def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of all valid n-grams and the text each is from, about ``WINDOW`` bytes of text at a time."""
+    parts, owners, held = [], [], 0
+    for i, t in enumerate(texts):
+        raw = (" " + t.lower() + " ").encode().translate(_TABLE)
+        # windows overlap by the three bytes that the last n-gram of one reaches into the next
+        for start in range(0, max(1, len(raw) - 3), WINDOW):
+            parts.append(raw[start : start + WINDOW + 3])
+            owners.append(i)
+            held += len(parts[-1])
+            if held >= WINDOW:
+                yield _grams(parts, owners)
+                parts, owners, held = [], [], 0
+    if parts:
+        yield _grams(parts, owners)
+
+
+def _grams(parts: list[bytes], owners: list[int]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     raw = np.frombuffer(b"".join(parts) + b"    ", np.uint8)
     n = len(raw) - 4
@@ -76,7 +95,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for j in (1, 2, 3):
         code |= raw[j : n + j].astype(np.uint32) << np.uint32(8 * j)
         count += blanks[j : n + j]
-    own = np.repeat(np.arange(len(parts)), lengths)
+    own = np.repeat(np.array(owners, dtype=np.int64), lengths)
     last = np.repeat(np.cumsum(lengths), lengths) - 3
     valid = (count <= 1) & (np.arange(n) < last)
     return code[valid], own[valid]
@@ -98,9 +117,13 @@ def _has_letter(text: str) -> bool:
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        codes, own = _grams(batch.column(1).to_pylist())
+        met = [np.unique(np.stack([own, codes.astype(np.int64)]), axis=1, return_counts=True) for codes, own in _windows(batch.column(1).to_pylist())]
+        if not met:
+            continue
+        # a text's windows come together
+        pairs, place = np.unique(np.concatenate([p for p, _ in met], axis=1), axis=1, return_inverse=True)
+        uses = np.bincount(place.ravel(), np.concatenate([u for _, u in met]), pairs.shape[1]).astype(np.int64)
         langs, lang_of = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
-        pairs, uses = np.unique(np.stack([own, codes.astype(np.int64)]), axis=1, return_counts=True)
         key = np.stack([lang_of[pairs[0]], pairs[1]])
         order = np.lexsort(key[::-1])
         key, uses = key[:, order], uses[order]
@@ -142,15 +165,17 @@ def fit(docs: DataFrame) -> Model:
 
 def scores(texts: list[str], model: Model, rate: np.ndarray) -> np.ndarray:
     """Corrected hit rates (texts x languages)."""
-    codes, own = _grams(texts)
-    slots = _slots(codes)
-    n = np.bincount(own, minlength=len(texts)).astype(np.float64)
-    hits = np.zeros((len(texts), 8 * model.masks.shape[1]))
+    n, hits = np.zeros(len(texts)), np.zeros((len(texts), 8 * model.masks.shape[1]))
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
-    for w in range(model.masks.shape[1]):
-        column = np.ascontiguousarray(model.masks[:, w])
-        mask = column[slots[0]] & column[slots[1]] & column[slots[2]]
-        hits[:, 8 * w : 8 * w + 8] = np.bincount(own * 256 + mask, minlength=256 * len(texts)).reshape(len(texts), 256) @ bits
+    for codes, own in _windows(texts):
+        slots = _slots(codes)
+        n += np.bincount(own, minlength=len(texts))
+        first = int(own[0]) if len(own) else 0
+        span = int(own[-1]) - first + 1 if len(own) else 0
+        for w in range(model.masks.shape[1]):
+            column = np.ascontiguousarray(model.masks[:, w])
+            mask = column[slots[0]] & column[slots[1]] & column[slots[2]]
+            hits[first : first + span, 8 * w : 8 * w + 8] += np.bincount((own - first) * 256 + mask, minlength=256 * span).reshape(span, 256) @ bits
     hits = hits[:, : len(model.languages)]
     return np.clip((hits / np.maximum(n, 1)[:, None] - rate) / np.maximum(1e-9, 1 - rate), 0, 1)
 
