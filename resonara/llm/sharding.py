@@ -6,7 +6,9 @@ it lands below n, permutes the numbers.  Position p of the permutation is slot
 ``p // n_shards`` of shard ``p % n_shards``, so any row's place can be computed
 from its number alone, and back (``row_at``).
 
-Law ``rows``: the shards' row counts differ by one at most.
+Law ``rows``: the shards' row counts differ by one at most.  Equal texts form a
+group, ``text_group`` (64 bits of hash), and are dealt like other rows: a group
+that holds a third of all rows can't stay together under this law.
 Null texts count as empty (size 1, CRC 0); null ids sort first; repeated rows
 each get a place of their own; an empty table gives an empty result.
 """
@@ -66,13 +68,14 @@ def row_at(positions, n: int, seed: int) -> np.ndarray:
 
 
 def shard(docs: DataFrame, n_shards: int = 8, seed: int = 7) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, text_group of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     order = ["doc_id", "text_crc32", "size"]
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_group"),
     )
     # partition and position are written down, so that a lost executor can't renumber rows
     placed = written(
@@ -103,4 +106,5 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = 7) -> DataFrame:
         F.pmod("position", F.lit(n_shards)).cast("int").alias("shard"),
         F.expr(f"position div {n_shards}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        "text_group",
     )

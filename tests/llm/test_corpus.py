@@ -103,7 +103,14 @@ def test_bpe_equals_tiktoken_and_decodes(docs, rows, empty):
     rng = random.Random(1)
     encoder = bpe.encoder(path, pattern)
     texts = ["".join(rng.choice("aeinrst AB é中\n\t.,'19 ") for _ in range(rng.randint(0, 300))) for _ in range(200)] + ["a" * 700, "the" * 200]
+    texts += ["def f(x):\n    return x  # two   spaces \n\n\n  if  y:\n\t\tpass " * 200, " a  b   c ", "  ", " ", "\u3000 a \xa0 b\r\n c"]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [wanted.encode_ordinary(t) for t in texts]
+    # indented texts are cut into words as well, and long words aren't remembered
+    encoder.encode(["x" * 5000 + "  " + "indented  word pair " * 1000])
+    assert max(map(len, encoder.words)) <= bpe.LONG and max(map(len, encoder.pieces)) <= bpe.LONG
+    small = bpe.Encoder(encoder.vocab, pattern)
+    small.held = bpe.MEMORY_BYTES
+    assert small.encode(["all is forgotten"]) == encoder.encode(["all is forgotten"]) and not small.words and not small.held
 
 
 def test_token_counts_equal_greedy_matching(docs, rows, empty):
@@ -318,6 +325,35 @@ def test_language_accuracy_on_held_out_rows(spark, split):
     assert got[1] > 100 and got[0] > 0.97
 
 
+def test_language_filters_equal_sets(monkeypatch):
+    """Brute force: n-gram sets for each language instead of filters, whole texts instead of windows."""
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(80)] for lang, a in (("aa", "abcdeo"), ("bb", "klmnoe"), ("cc", "ästuz"))}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+
+    def grams(t):
+        raw = (" " + t.lower() + " ").encode().translate(language_id._TABLE)
+        return [raw[i : i + 4] for i in range(len(raw) - 3) if raw[i : i + 4].count(32) <= 1]
+
+    known = {lang: set(grams(text(lang, 400))) for lang in words}
+    languages = sorted(words)
+    masks = np.zeros((1 << language_id.SLOT_BITS, 1), dtype=np.uint8)
+    for k, lang in enumerate(languages):
+        codes = np.array([int.from_bytes(g, "little") for g in known[lang]], dtype=np.uint32)
+        for slot in language_id._slots(codes):
+            np.bitwise_or.at(masks[:, 0], slot, np.uint8(1 << k))
+    model = language_id.Model(languages, masks, "aa")
+    texts = [text(lang, rng.randint(1, 300)) for lang in languages for _ in range(10)] + ["", "12 - 3", "É! x", text("aa", 40) + " " + text("bb", 40)]
+    exact = np.array([[sum(g in known[lang] for g in grams(t)) / max(1, len(grams(t))) for lang in languages] for t in texts])
+    for window in (language_id.WINDOW, 64, 5):
+        monkeypatch.setattr(language_id, "WINDOW", window)
+        got = language_id.scores(texts, model, model.false_positives())
+        assert np.abs(got - exact).max() < 1e-2
+        named, score = language_id.predict([*texts, None], model, model.false_positives())
+        assert named[30] == named[31] == named[34] == "und" and score[34] == 0
+        assert named[:30].tolist() == [lang for lang in languages for _ in range(10)]
+
+
 def test_language_edges(docs, rows, empty):
     got = {r.doc_id: r for r in language_id.language_id(docs).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (100, 101, 104))
