@@ -32,15 +32,36 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the folder all executors share and read it back."""
-    spark = df.sparkSession
+def _new_path(spark, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.append((spark.sparkContext, path))
+    return path
+
+
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the folder all executors share, in a folder for each value of ``by``, and read it back."""
+    spark = df.sparkSession
+    path = _new_path(spark, label)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> DataFrame:
+    """As ``written``, dealt by the hash of ``keys`` into buckets that are sorted by them.
+
+    Joins and groupings of such tables by ``keys`` need no exchange.  Where ``df``
+    comes from a grouping by ``keys``, each bucket is one file, so that they need no
+    sort either while ``spark.sql.legacy.bucketedTableScan.outputOrdering`` is set.
+    """
+    spark = df.sparkSession
+    path = _new_path(spark, label)
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay until the session ends
+    return table
+
+
 def _bounded(keys: DataFrame, on: str) -> DataFrame:
     keys = keys.select(on).distinct()
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

@@ -5,11 +5,16 @@ and with A-Z lower-cased.  Keys of ``min_chars`` code points or more that
 ``min_docs`` documents or more hold lose all their lines, except in the largest
 doc_id that holds them.
 
-``LineRuns`` keeps what is known of line keys as sorted runs in levels.  A new
-batch is merge-joined with the keys the runs already have: the rows the runs
-lack (the anti-join) enter as first sightings, the others as increments, and
-both form the batch's own run.  ``fanout`` runs of a level are compacted into
-one run of the next.
+``LineRuns`` keeps what is known of line keys as sorted runs in levels, each dealt
+into the same buckets by hash and sorted in them.  A new batch is grouped once and
+then merge-joined with the runs, bucket by bucket, without moving or sorting them:
+the keys that no run has (the anti-join) enter as firsts, the others as updates,
+and both form the batch's own run.  ``fanout`` runs of a level are compacted into
+one run of the next, bucket by bucket as well.  A key has one first over all runs;
+what is known of it is its first and its updates together.
+
+Keys of many documents are looked up by broadcast after being counted, so that no
+task gets all rows of one line; each other key has a bounded number of rows.
 
 Null texts count as one empty line.  Every row is a document of its own; rows
 that share a doc_id lose the same keys; a null doc_id is smaller than any other.
@@ -19,14 +24,17 @@ Further columns are not looked at, or are kept by ``without_repeated_lines``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import BROADCAST_ROWS, ascii_lower, bucketed, written
 
 #: 0x20 and 0x09-0x0D.
 BLANKS = " \t\n\x0b\f\r"
 BATCHES = 3
+#: Documents of a line beyond which it is looked up by broadcast.
+HOT_DOCS = 100_000
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def _lines(text: Column) -> Column:
@@ -42,34 +50,39 @@ def _hashes(key: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n, last, fresh)."""
+    """Levelled sorted runs of (h1, h2, n, last, firsts)."""
+
+    KEYS = ["h1", "h2"]
 
-    def __init__(self, fanout: int = 2):
-        self.fanout = fanout
+    def __init__(self, spark: SparkSession, fanout: int = 2):
+        self.spark, self.fanout = spark, fanout
+        # as many as a grouping has partitions, so that the batch meets the runs where they are
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
-    def _runs(self) -> list[DataFrame]:
+    @property
+    def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    @staticmethod
-    def _sorted(rows: DataFrame, level: int) -> DataFrame:
-        return written(rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), f"line-run-{level}")
-
-    def _all(self) -> DataFrame | None:
-        found = None
-        for run in self._runs():
-            found = run if found is None else found.unionByName(run)
-        return found
+    def _stored(self, rows: DataFrame, level: int) -> DataFrame:
+        before = self.spark.conf.get(_ORDERED)
+        self.spark.conf.set(_ORDERED, "true")
+        try:
+            return bucketed(rows, f"line-run-{level}", self.KEYS, self.buckets)
+        finally:
+            self.spark.conf.set(_ORDERED, before)
+
+    def marked(self, batch: DataFrame) -> DataFrame:
+        """The batch's rows with ``firsts``: 1 for keys that the anti-join with all runs leaves, 0 for updates."""
+        met = batch.withColumn("known", F.lit(False))
+        for run in self.runs:
+            keys = run.where("firsts > 0").select(*self.KEYS, F.lit(True).alias("there"))
+            met = met.join(keys.hint("merge"), self.KEYS, "left").withColumn("known", F.col("known") | F.col("there").isNotNull()).drop("there")
+        return met.withColumn("firsts", F.when(F.col("known"), 0).otherwise(1)).drop("known")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of (h1, h2, n, last), one row a key; returns its run, where ``fresh`` marks new keys."""
-        known = self._all()
-        if known is None:
-            run = batch.withColumn("fresh", F.lit(True))
-        else:
-            keys = known.where("fresh").select("h1", "h2").withColumn("known", F.lit(True))
-            run = batch.join(keys, ["h1", "h2"], "left").withColumn("fresh", F.col("known").isNull()).drop("known")
-        run = self._sorted(run, 0)
+        """Add a batch of (h1, h2, n, last), grouped by key; returns its run."""
+        run = self._stored(self.marked(batch), 0)
         self._push(run, 0)
         return run
 
@@ -78,19 +91,40 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self.levels[level][0]
-            for other in self.levels[level][1:]:
-                merged = merged.unionByName(other)
-            self.levels[level] = []
-            self._push(self._sorted(self._summed(merged, F.max("fresh").alias("fresh")), level + 1), level + 1)
-
-    @staticmethod
-    def _summed(rows: DataFrame, *more: Column) -> DataFrame:
-        return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"), *more)
+            together, self.levels[level] = self.levels[level], []
+            self._push(self._compacted(together, level + 1), level + 1)
+
+    def _compacted(self, runs: list[DataFrame], level: int) -> DataFrame:
+        """One run of several, merged two at a time."""
+        merged = runs[0]
+        for other in runs[1:]:
+            merged = self._stored(self.merged(merged, other), level)
+        return merged
+
+    def merged(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        """A row a key of two runs, by a merge join of their buckets."""
+        side = lambda run, x: run.select(*self.KEYS, *(F.col(c).alias(f"{c}{x}") for c in ("n", "last", "firsts")))
+        total = lambda c: F.coalesce(f"{c}0", F.lit(0)) + F.coalesce(f"{c}1", F.lit(0))
+        both = side(one, 0).join(side(other, 1).hint("merge"), self.KEYS, "full")
+        return both.select(*self.KEYS, total("n").alias("n"), F.greatest("last0", "last1").alias("last"), total("firsts").alias("firsts"))
 
     def totals(self) -> DataFrame:
         """h1, h2, documents and largest doc_id over all batches."""
-        return self._summed(self._all())
+        once = F.when(F.col("firsts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("a line key must enter the runs once")).cast("long"))
+        return self._compacted(self.runs, len(self.levels)).select(*self.KEYS, once.alias("n"), "last")
+
+
+def _with_frequent(held: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Rows of ``held`` whose key is frequent, with its largest doc_id."""
+    keys = written(frequent, "frequent-lines")
+    found = keys.count()
+    if found <= BROADCAST_ROWS:
+        return held.join(F.broadcast(keys), ["h1", "h2"])
+    # keys of more than so many documents are few enough to be broadcast, whatever the table's size
+    many = max(HOT_DOCS, -(-held.count() // BROADCAST_ROWS))
+    hot, rest = keys.where(F.col("n") > many), keys.where(F.col("n") <= many)
+    cold = held.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"])
+    return held.join(F.broadcast(hot), ["h1", "h2"]).unionByName(cold)
 
 
 def _dropped(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
@@ -101,13 +135,13 @@ def _dropped(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> Da
             "doc_id", "k.h1", "k.h2", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
         ),
         "lines",
+        by="batch",
     )
-    runs = LineRuns()
+    runs = LineRuns(docs.sparkSession)
     for b in range(batches):
         runs.add(held.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")))
-    frequent = runs.totals().where(F.col("n") >= min_docs)
     return (
-        held.join(frequent, ["h1", "h2"])
+        _with_frequent(held, runs.totals().where(F.col("n") >= min_docs))
         .where(~F.col("doc_id").eqNullSafe(F.col("last")))
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))

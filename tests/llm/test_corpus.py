@@ -166,16 +166,51 @@ def test_line_dedup(docs, rows, empty):
     assert {r.doc_id for r in kept.where("text IS NULL").collect()} == {100}
 
 
+def _line_batch(spark, *keys):
+    rows = spark.createDataFrame([(k, k, k) for k in keys], "h1 bigint, h2 int, doc bigint")
+    return rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
+
+
 def test_line_runs_know_first_sightings(spark):
-    runs = line_dedup.LineRuns(fanout=2)
-    batch = lambda *keys: spark.createDataFrame([(k, k, 1, k) for k in keys], "h1 bigint, h2 int, n bigint, last bigint")
-    assert {r.h1 for r in runs.add(batch(1, 2)).where("fresh").collect()} == {1, 2}
-    assert {r.h1 for r in runs.add(batch(2, 3)).where("fresh").collect()} == {3}
-    assert {r.h1 for r in runs.add(batch(3, 1, 4)).where("fresh").collect()} == {4}
-    assert {(r.h1, r.n) for r in runs.totals().collect()} == {(1, 2), (2, 2), (3, 2), (4, 1)}
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    assert {r.h1 for r in runs.add(_line_batch(spark, 1, 2)).where("firsts = 1").collect()} == {1, 2}
+    assert {r.h1 for r in runs.add(_line_batch(spark, 2, 3, 3)).where("firsts = 1").collect()} == {3}
+    assert {r.h1 for r in runs.add(_line_batch(spark, 3, 1, 4)).where("firsts = 1").collect()} == {4}
+    assert {(r.h1, r.n) for r in runs.totals().collect()} == {(1, 2), (2, 2), (3, 3), (4, 1)}
     assert [len(level) for level in runs.levels] == [1, 1]
 
 
+def test_line_runs_need_their_anti_join(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup.LineRuns, "marked", lambda self, batch: batch.withColumn("firsts", F.lit(1)))
+    runs = line_dedup.LineRuns(spark)
+    for keys in ((1, 2), (2, 3)):
+        runs.add(_line_batch(spark, *keys))
+    with pytest.raises(Exception, match="must enter the runs once"):
+        runs.totals().collect()
+
+
+def test_line_runs_stay_where_they_are(spark):
+    """A batch moves once to be grouped; the runs are neither moved nor sorted."""
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    for keys in ((1, 2), (2, 3)):
+        runs.add(_line_batch(spark, *keys))
+    spark.conf.set(line_dedup._ORDERED, "true")
+    try:
+        plan = runs.marked(_line_batch(spark, 3, 4))._jdf.queryExecution().executedPlan().toString()
+        whole = runs.merged(*runs.runs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(line_dedup._ORDERED, "false")
+    assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2 and plan.count("Sort [") == 1
+    assert "Exchange" not in whole and "Sort [" not in whole and whole.count("SortMergeJoin") == 1
+
+
+def test_line_dedup_with_more_frequent_lines_than_are_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0 + 1)
+    for hot in (1, 8, 10**6):
+        monkeypatch.setattr(line_dedup, "HOT_DOCS", hot)
+        assert Counter(map(tuple, line_dedup.line_dedup(docs, min_docs=2).collect())) == _line_brute(rows, 2)
+
+
 def _groups(n, linked):
     parent = list(range(n))
 
