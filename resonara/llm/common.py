@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from resonara.plans.scratch import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a key table (16 bytes a row or less) up to which it may be broadcast.
+#: Rows of a key table (64 bytes a row or less) up to which it may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of a key beyond which it counts as hot in ``looked_up``.
+HOT_ROWS = 100_000
 
 _written: list[tuple] = []
 
@@ -46,8 +48,8 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> DataFrame:
-    """As ``written``, dealt by the hash of ``keys`` into buckets that are sorted by them.
+def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int, order: list[str] | None = None) -> DataFrame:
+    """As ``written``, dealt by the hash of ``keys`` into buckets that are sorted by them (or by ``order``).
 
     Joins and groupings of such tables by ``keys`` need no exchange.  Where ``df``
     comes from a grouping by ``keys``, each bucket is one file, so that they need no
@@ -56,7 +58,7 @@ def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> DataFr
     spark = df.sparkSession
     path = _new_path(spark, label)
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
-    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*(order or keys)).option("path", path).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay until the session ends
     return table
@@ -81,6 +83,23 @@ def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(_bounded(keys, on), on, "left_anti")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], size: str, label: str) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row a key (64 bytes or less), of which ``size`` counts the key's rows.
+
+    No task gets all rows of a hot key.  The table is written and counted; up to
+    BROADCAST_ROWS it is broadcast.  Beyond that only its hot keys are, which the
+    number of rows bounds, and the other keys, of a bounded number of rows each,
+    meet in a shuffle.
+    """
+    table = written(table, label)
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on)
+    many = max(HOT_ROWS, -(-rows.count() // BROADCAST_ROWS))
+    hot, rest = table.where(F.col(size) > many), table.where(F.col(size) <= many)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, LOWER)

@@ -1,13 +1,18 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-1. Each sender (a bounded run of rows of one task) sorts the distinct 48-bit
-   fingerprints of its normalised texts and sends every owner, a range of the
-   fingerprint space, its share, Golomb-Rice coded.
+1. A sender is a bounded run of rows of one input partition.  It keeps its rows
+   (ids and digests) in a table bucketed by sender, where they stay.  It sends
+   every owner, a range of the fingerprint space, its sorted distinct 48-bit
+   fingerprints there, Golomb-Rice coded, and nothing else.
 2. Owners decode what they got and answer each message with a bitmap of the
    fingerprints that other senders have too.
-3. Only suspects (bit set, or repeated within their sender) have their texts
+3. Bitmaps go back to the senders, which mark as suspects the rows whose bit is
+   set and those that repeat within the sender.  Only suspects have their texts
    shuffled; grouping by the whole normalised text verifies them byte by byte.
 
+Groups are looked up by broadcast after being counted, so that no task gets all
+rows of one text.
+
 Texts are equal when identical after lower-casing A-Z; null counts as empty.
 Of equal texts the row with the largest doc_id stays; null ids are smaller than
 any other.  Rows that repeat id and text share their decision.  An empty table
@@ -16,24 +21,21 @@ gives an empty result; further columns of the input are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, semi_join, written
+from .common import ascii_lower, bucketed, looked_up, semi_join, written
 
 FINGERPRINT_BITS = 48
-#: Rows of a sender; bounds what a task holds.
-SENDER_ROWS = 50_000
-#: Rows for each owner of the fingerprint space.
-OWNER_ROWS = 250_000
+#: Rows of a sender at most; bounds what a task holds.
+SENDER_ROWS = 1_000_000
+#: Rows for each owner of the fingerprint space, and owners at most.
+OWNER_ROWS, MOST_OWNERS = 500_000, 4096
 
-_MESSAGE = "sender long, owner int, n long, rice_bits int, unary binary, rest binary, places array<long>, doc_ids array<long>, digests array<binary>"
+_MESSAGE = "sender long, owner int, n long, rice_bits int, unary binary, rest binary"
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -59,33 +61,36 @@ def golomb_decode(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
     return np.cumsum((quotients << k) + (bits << np.arange(k)[None, :]).sum(axis=1))
 
 
+def _prints(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A sender's sorted distinct fingerprints, and the place of each row's among them."""
+    digests = np.frombuffer(b"".join(table.column("digest").to_pylist()), np.uint8).reshape(-1, 32)
+    size = FINGERPRINT_BITS // 8
+    raw = np.zeros((len(digests), 8), dtype=np.uint8)
+    raw[:, 8 - size :] = digests[:, :size]
+    return np.unique(raw.view(">i8").ravel().astype(np.int64), return_inverse=True)
+
+
+def _width(owners: int) -> int:
+    """Fingerprints of an owner's range."""
+    return -(-(1 << FINGERPRINT_BITS) // owners)
+
+
+def _shares(distinct: np.ndarray, owners: int) -> np.ndarray:
+    """Bounds of the owners' shares of sorted fingerprints."""
+    return np.searchsorted(distinct // _width(owners), np.arange(owners + 1))
+
+
 def _messages(owners: int):
-    width = -(-(1 << FINGERPRINT_BITS) // owners)
-
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for start in range(0, batch.num_rows, SENDER_ROWS):
-                part = batch.slice(start, SENDER_ROWS)
-                ids, digests = part.column(0).to_pylist(), part.column(1).to_pylist()
-                prints = np.array([int.from_bytes(d[:6], "big") for d in digests], dtype=np.int64)
-                distinct, place = np.unique(prints, return_inverse=True)
-                rows = []
-                by_place = np.argsort(place, kind="stable")
-                bounds = np.searchsorted(distinct // width, np.arange(owners + 1))
-                row_ends = np.searchsorted(place[by_place], bounds)
-                for owner in range(owners):
-                    lo, hi = int(bounds[owner]), int(bounds[owner + 1])
-                    if lo == hi:
-                        continue
-                    mine = by_place[row_ends[owner] : row_ends[owner + 1]]
-                    k, unary, rest = golomb_encode(distinct[lo:hi] - owner * width)
-                    rows.append((sender, owner, hi - lo, k, unary, rest, (place[mine] - lo).tolist(), [ids[i] for i in mine], [digests[i] for i in mine]))
-                sender += 1
-                names = ["sender", "owner", "n", "rice_bits", "unary", "rest", "places", "doc_ids", "digests"]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=names)
+    """One message from a sender to each owner that it has fingerprints for."""
+
+    def send(table: pa.Table) -> pa.Table:
+        distinct, _ = _prints(table)
+        bounds = _shares(distinct, owners)
+        to = np.flatnonzero(np.diff(bounds))
+        coded = [golomb_encode(distinct[bounds[o] : bounds[o + 1]] - o * _width(owners)) for o in to.tolist()]
+        columns = [pa.array([table.column("sender")[0].as_py()] * len(to), pa.int64()), pa.array(to, pa.int32()), pa.array(np.diff(bounds)[to], pa.int64())]
+        columns += [pa.array([c[k] for c in coded], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in _MESSAGE.split(", ")])
 
     return send
 
@@ -98,29 +103,39 @@ def _answers(messages: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sender": messages["sender"], "owner": messages["owner"], "bitmap": bitmaps})
 
 
-def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            places = np.array(r["places"], dtype=np.int64)
-            elsewhere = np.unpackbits(np.frombuffer(r["bitmap"], np.uint8))[: r["n"]].astype(bool)
-            here = np.bincount(places, minlength=r["n"]) > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r["doc_ids"], pa.int64()), pa.array(r["digests"], pa.binary()), pa.array((elsewhere | here)[places])],
-                names=["doc_id", "digest", "suspect"],
-            )
+def _marked(owners: int):
+    """A sender's rows with ``suspect``, from the owners' bitmaps."""
+
+    def mark(own: pa.Table, answers: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "digest": pa.array([], pa.binary()), "suspect": pa.array([], pa.bool_())})
+        distinct, place = _prints(own)
+        bounds = _shares(distinct, owners)
+        elsewhere = np.zeros(len(distinct), dtype=bool)
+        for owner, bitmap in zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True):
+            lo, hi = bounds[owner], bounds[owner + 1]
+            elsewhere[lo:hi] = np.unpackbits(np.frombuffer(bitmap, np.uint8))[: hi - lo].astype(bool)
+        here = np.bincount(place.ravel(), minlength=len(distinct)) > 1
+        return pa.Table.from_arrays([own.column("doc_id"), own.column("digest"), pa.array((elsewhere | here)[place.ravel()])], names=["doc_id", "digest", "suspect"])
+
+    return mark
+
+
+def marked_rows(digests: DataFrame, owners: int) -> DataFrame:
+    """doc_id, digest and whether the row may have an equal one, by the exchange of fingerprints."""
+    spark = digests.sparkSession
+    row = F.monotonically_increasing_id()  # the partition's number above, the row's below
+    senders = F.shiftright(row, 33) * F.lit(1 << 20) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(SENDER_ROWS))
+    home = bucketed(digests.select(senders.cast("long").alias("sender"), "doc_id", "digest"), "fingerprints", ["sender"], int(spark.conf.get("spark.sql.shuffle.partitions")), ["sender", "digest"])
+    answers = home.groupBy("sender").applyInArrow(_messages(owners), _MESSAGE).groupBy("owner").applyInPandas(_answers, "sender long, owner int, bitmap binary")
+    return home.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(_marked(owners), "doc_id long, digest binary, suspect boolean")
 
 
 def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     own = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
-    owners = owners or max(16, -(-docs.count() // OWNER_ROWS))
-    digests = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"))
-    sent = written(digests.mapInArrow(_messages(owners), _MESSAGE), "fingerprints")
-    answers = sent.select("sender", "owner", "n", "rice_bits", "unary", "rest").groupBy("owner").applyInPandas(_answers, "sender long, owner int, bitmap binary")
-    marked = written(
-        sent.select("sender", "owner", "n", "places", "doc_ids", "digests").join(answers, ["sender", "owner"]).mapInArrow(_marked, "doc_id long, digest binary, suspect boolean"),
-        "suspects",
-    )
+    owners = owners or min(MOST_OWNERS, max(16, -(-docs.count() // OWNER_ROWS)))
+    marked = written(marked_rows(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest")), owners), "suspects")
     suspects = marked.where("suspect")
     # ids without a value can't be joined, so their rows are all looked at
     texts = semi_join(own, suspects, "doc_id").unionByName(own.where(F.col("doc_id").isNull()))
@@ -133,7 +148,7 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     )
     unique = marked.where("NOT suspect").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return (
-        unique.unionByName(suspects.select("doc_id", "digest").join(groups, "digest"))
+        unique.unionByName(looked_up(suspects.select("doc_id", "digest"), groups, ["digest"], "group_size", "text-groups"))
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     )
 

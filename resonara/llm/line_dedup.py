@@ -27,13 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, bucketed, written
+from .common import ascii_lower, bucketed, looked_up, written
 
 #: 0x20 and 0x09-0x0D.
 BLANKS = " \t\n\x0b\f\r"
 BATCHES = 3
-#: Documents of a line beyond which it is looked up by broadcast.
-HOT_DOCS = 100_000
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
@@ -114,19 +112,6 @@ class LineRuns:
         return self._compacted(self.runs, len(self.levels)).select(*self.KEYS, once.alias("n"), "last")
 
 
-def _with_frequent(held: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Rows of ``held`` whose key is frequent, with its largest doc_id."""
-    keys = written(frequent, "frequent-lines")
-    found = keys.count()
-    if found <= BROADCAST_ROWS:
-        return held.join(F.broadcast(keys), ["h1", "h2"])
-    # keys of more than so many documents are few enough to be broadcast, whatever the table's size
-    many = max(HOT_DOCS, -(-held.count() // BROADCAST_ROWS))
-    hot, rest = keys.where(F.col("n") > many), keys.where(F.col("n") <= many)
-    cold = held.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"])
-    return held.join(F.broadcast(hot), ["h1", "h2"]).unionByName(cold)
-
-
 def _dropped(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
     """doc_id and the array of key hashes it loses, for documents that lose any."""
     keys = F.filter(F.transform(_lines(F.col("text")), _key), lambda k: F.length(k) >= min_chars)
@@ -141,7 +126,7 @@ def _dropped(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> Da
     for b in range(batches):
         runs.add(held.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")))
     return (
-        _with_frequent(held, runs.totals().where(F.col("n") >= min_docs))
+        looked_up(held, runs.totals().where(F.col("n") >= min_docs), ["h1", "h2"], "n", "frequent-lines")
         .where(~F.col("doc_id").eqNullSafe(F.col("last")))
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
