@@ -12,11 +12,15 @@ No pair of a bucket's documents is lost, and none is enumerated in a bucket:
 1. Documents with equal sets form a class; its smallest doc_id represents it.
 2. Each bucket links its members to its smallest one; verified links give
    components.
-3. Buckets whose members are then still in several components join those into
-   clusters.  A cluster's documents are dealt into blocks of a bounded number of
-   shingles, and tasks, one for each pair of blocks, compare all sets exactly,
+3. Buckets whose members are then still in several components are compared
+   exactly, each bucket by itself, and buckets of the same documents once.  A
+   bucket's documents are dealt into blocks of a bounded number of shingles and
+   documents, and tasks, one for each pair of blocks, compare all sets exactly,
    and return no more than a spanning forest of the links found.
 
+No task gets all rows of a hot bucket: buckets are looked up by broadcast after
+being counted, or the hot ones of them.
+
 With 48 bands of 7 registers a pair of similarity 0.8 shares a bucket with
 probability 0.99999, one of 0.85 with 0.9999999.
 
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 
 from resonara.operators.components import connected_components
 
-from .common import semi_join, slices, written
+from .common import looked_up, semi_join, slices, written
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -55,8 +59,9 @@ class Sketch:
     base: float = 1.02
     rate: float = 20.0
     margin: float = 0.13
-    #: Shingles of a block of a cluster.
+    #: Shingles and documents of a block of a bucket.
     block: int = 300_000
+    block_docs: int = 2048
 
     @property
     def size(self) -> int:
@@ -240,31 +245,38 @@ def compared_blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _across(members: DataFrame, sets: DataFrame, components: DataFrame, percent: int, sketch: Sketch) -> DataFrame | None:
-    """Links between components that still share buckets; None if no bucket has several."""
+def mixed_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, doc_id, component) of buckets that hold several components, without buckets of the same documents."""
     labelled = written(
         members.where("n > 2").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")),
         "labelled",
     )
-    mixed = written(labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", "least"), "mixed-buckets")
-    if mixed.isEmpty():
-        return None
-    rows = written(labelled.join(mixed, "key").select("doc_id", "component", "least").distinct(), "mixed")
-    clusters = connected_components(rows.select(F.col("least").alias("a"), F.col("component").alias("b")))
-    docs = (
-        rows.select("doc_id", "component").distinct()
-        .join(clusters.select(F.col("component").alias("cluster"), F.col("node").alias("component")), "component")
-        .join(sets, "doc_id")
+    facts = labelled.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("docs"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("xor")
     )
-    docs = written(docs, "clusters")
-    blocks = docs.groupBy("cluster").agg(F.ceil(F.sum(F.length("shingles") / F.lit(8)) / F.lit(sketch.block)).cast("int").alias("blocks"))
-    dealt = (
-        docs.join(blocks, "cluster")
+    once = facts.where("least < most").groupBy("docs", "sum", "xor").agg(F.min("key").alias("key")).select("key", "docs")
+    return looked_up(labelled, once, ["key"], "docs", "mixed-buckets").select("key", "doc_id", "component")
+
+
+def dealt_blocks(docs: DataFrame, sketch: Sketch) -> DataFrame:
+    """(key, lo, hi, block, component, shingles): each document of a bucket with each pair of blocks it has to meet in."""
+    size = docs.groupBy("key").agg(F.sum(F.length("shingles") / F.lit(8)).alias("shingles"), F.count("*").alias("docs"))
+    blocks = size.select("key", F.greatest(F.ceil(F.col("shingles") / F.lit(sketch.block)), F.ceil(F.col("docs") / F.lit(sketch.block_docs))).cast("int").alias("blocks"), "docs")
+    return (
+        looked_up(docs, blocks, ["key"], "docs", "bucket-blocks")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "component", "shingles")
+        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "component", "shingles")
     )
-    return written(dealt.groupBy("cluster", "lo", "hi").applyInPandas(lambda rows: compared_blocks(rows, percent), "a long, b long"), "cluster-links")
+
+
+def _across(members: DataFrame, sets: DataFrame, components: DataFrame, percent: int, sketch: Sketch) -> DataFrame | None:
+    """Links between components that still share buckets; None if no bucket has several."""
+    rows = written(mixed_buckets(members, components), "mixed")
+    if rows.isEmpty():
+        return None
+    docs = written(rows.join(sets, "doc_id"), "bucket-sets")
+    return written(dealt_blocks(docs, sketch).groupBy("key", "lo", "hi").applyInPandas(lambda rows: compared_blocks(rows, percent), "a long, b long").distinct(), "bucket-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
@@ -280,8 +292,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     width = 2 * sketch.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(sketch.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
     buckets = reps.select("doc_id", F.explode(keys).alias("key"))
-    shared = written(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "buckets")
-    members = written(buckets.join(shared, "key"), "members")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    members = written(looked_up(buckets, shared, ["key"], "n", "buckets"), "members")
     edges = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     def side(table: DataFrame, end: str, **names: str) -> DataFrame:
