@@ -10,9 +10,13 @@ which need no padding.
 
 A group is a bounded run of examples of one task; every group is packed on its
 own, so nothing is shuffled, and a sequence is known by task and number.  Every
-id lies in exactly one piece.  Null and empty texts still have their end id.
-Repeated rows are packed separately; an empty table gives an empty result;
-further columns are not looked at.
+id lies in exactly one piece, and pieces carry their ids.
+
+``pack_documents`` packs documents, whose every id bears loss.  ``pack_conversations``
+packs instruction data: the ids of assistant turns bear loss, those of other turns
+don't.  Null and empty texts still have their end id.  Repeated documents are
+packed separately; an empty table gives an empty result; further columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ import functools
 import json
 import os
 import unicodedata
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordRuns, byte_alphabet, slices
@@ -38,7 +42,10 @@ GROUP_TOKENS, GROUP_EXAMPLES = 1 << 20, 2048
 #: Words whose ids a worker remembers; forgotten when full.
 MEMORY = 250_000
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Turns of a conversation that an example is made from, by number.
+STRETCH = 64
+
+_PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 @dataclass(frozen=True)
@@ -61,19 +68,28 @@ class Piece:
     offset: int
 
 
-def pack(tokens: list[int], loss_from: list[int], limits: Limits) -> list[Piece]:
-    """Pieces of examples with so many tokens, of which those from ``loss_from`` on bear loss."""
+#: Tokens from a number on bear loss, or those that a running count says (one longer than the tokens).
+Loss = int | np.ndarray
+
+
+def pack(tokens: list[int], losses: list[Loss], limits: Limits) -> list[Piece]:
+    """Pieces of examples with so many tokens."""
     out: list[Piece] = []
     sequence = 0
     room = np.array([limits.tokens, limits.segments, limits.loss_tokens], dtype=np.float64)
     start, left = [0] * len(tokens), list(tokens)
 
     def loss(i: int, length: int) -> int:
-        return max(0, start[i] + length - max(start[i], loss_from[i]))
+        """Loss-bearing ones of the next ``length`` tokens of example i."""
+        own, s = losses[i], start[i]
+        return max(0, s + length - max(s, own)) if isinstance(own, int) else int(own[s + length] - own[s])
 
     def most(i: int, length: int, loss_room: int) -> int:
         """Tokens of example i that may be taken, of at most ``length``."""
-        return min(length, max(0, loss_from[i] - start[i]) + loss_room)
+        own, s = losses[i], start[i]
+        if isinstance(own, int):
+            return min(length, max(0, own - s) + loss_room)
+        return min(length, int(np.searchsorted(own, own[s] + loss_room, side="right")) - 1 - s)
 
     def close(taken: list[tuple[int, int, int]]) -> None:
         nonlocal sequence
@@ -123,7 +139,7 @@ def pack(tokens: list[int], loss_from: list[int], limits: Limits) -> list[Piece]
                 used = most(i, min(left[i], int(free[0])), int(free[2]))
                 if used == 0:
                     # the loss limit is met: only examples with a prompt left can go on
-                    able = [j for j in candidates.tolist() if loss_from[j] > start[j]]
+                    able = [j for j in candidates.tolist() if most(j, 1, 0)]
                     if not able:
                         break
                     i = able[0]
@@ -223,36 +239,94 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
-    """Pieces of all documents; every id of a document, its end id included, bears loss."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    end = np.array([end_id], dtype=np.uint32)
+def _packed(examples: DataFrame, schema: str, made, limits: Limits) -> DataFrame:
+    """Pieces of examples; ``made`` gives keys, ids and losses of a batch's rows."""
+    names = [x.split()[0] for x in f"{schema}, {_PIECE}".split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokens(path)
         sequence = TaskContext.get().partitionId() << 40
-        group: list[tuple[int | None, np.ndarray]] = []
+        group: list[tuple[tuple, np.ndarray, Loss]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence, group, held
-            sizes = [len(ids) for _, ids in group]
-            pieces = pack(sizes, [0] * len(sizes), limits)
-            rows = [
-                (group[p.example][0], p.start, p.length, zlib.crc32(group[p.example][1][p.start : p.start + p.length].astype("<u4").tobytes()), sizes[p.example], sequence + p.sequence, p.offset)
-                for p in pieces
-            ]
+            sizes, losses = [len(ids) for _, ids, _ in group], [loss for *_, loss in group]
+            pieces = pack(sizes, losses, limits)
+            rows = []
+            for p in pieces:
+                key, ids, loss = group[p.example]
+                end = p.start + p.length
+                bearing = max(0, end - max(p.start, loss)) if isinstance(loss, int) else int(loss[end] - loss[p.start])
+                rows.append((*key, p.start, p.length, ids[p.start : end].astype("<u4").tobytes(), sizes[p.example], sequence + p.sequence, p.offset, bearing))
             sequence += max(p.sequence for p in pieces) + 1
             group, held = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
         for batch in slices(batches, 2 << 20):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True):
-                group.append((doc_id, np.concatenate([ids, end])))
-                held += len(ids) + 1
+            for example in made(batch):
+                group.append(example)
+                held += len(example[1])
                 if held >= GROUP_TOKENS or len(group) >= GROUP_EXAMPLES:
                     yield flush()
         if group:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).mapInArrow(run, SCHEMA)
+    return examples.mapInArrow(run, f"{schema}, {_PIECE}")
+
+
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, loss_tokens.
+
+    Every id of a document, its end id included, bears loss.
+    """
+    end = np.array([end_id], dtype=np.uint32)
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, Loss]]:
+        for doc_id, ids in zip(batch.column(0).to_pylist(), word_tokens(path).encode(batch.column(1).to_pylist()), strict=True):
+            yield (doc_id,), np.concatenate([ids, end]), 0
+
+    return _packed(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))), "doc_id long", made, limits)
+
+
+def conversation_examples(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, turns): each assistant turn with the turns before it, back to the assistant turn before.
+
+    ``turns`` is an array of (turn, role, text) in order, ``turn`` the first one's
+    number.  Examples are made within stretches of ``STRETCH`` turns, so that a
+    conversation of any length is many bounded groups; turns without an assistant
+    turn after them in their stretch, and rows without a conv_id or a turn, are
+    examples of their own.  Rows that agree in conv_id, turn, role and text are one.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    row = F.struct("turn", "role", "text")
+    named = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).distinct().withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    # from the last turn on: the number of the assistant turn that each leads to
+    onward = W.partitionBy("conv_id", "stretch").orderBy(F.col("turn").desc(), F.col("role").desc(), F.col("text").desc()).rowsBetween(W.unboundedPreceding, 0)
+    after = F.last(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(onward)
+    led = named.withColumn("leads", F.coalesce(after, -1 - F.col("turn"))).groupBy("conv_id", "stretch", "leads").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    alone = rows.where(F.col("conv_id").isNull() | F.col("turn").isNull()).select("conv_id", "turn", F.array(row).alias("turns"))
+    return led.select("conv_id", F.col("turns")[0]["turn"].alias("turn"), "turns").unionByName(alone)
+
+
+def pack_conversations(conversations: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(segments=16, loss_tokens=1024)) -> DataFrame:
+    """Pieces of all examples of ``conversation_examples``: conv_id, turn (the example's first) and as ``pack_documents``.
+
+    Each turn ends with ``end_id``; ids of assistant turns bear loss, end included.
+    """
+    end = np.array([end_id], dtype=np.uint32)
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, Loss]]:
+        turns = batch.column(2).to_pylist()
+        encoded = iter(word_tokens(path).encode([t["text"] for ts in turns for t in ts]))
+        for conv_id, turn, ts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), turns, strict=True):
+            ids = [np.concatenate([next(encoded), end]) for _ in ts]
+            bears = np.concatenate([np.full(len(x), t["role"] == "assistant") for x, t in zip(ids, ts, strict=True)])
+            yield (conv_id, turn), np.concatenate(ids), np.concatenate([[0], np.cumsum(bears)])
+
+    return _packed(conversation_examples(conversations), "conv_id long, turn long", made, limits)
+
+
+def cut_report(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """examples, pieces, examples that were cut, tokens."""
+    by_example = pieces.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+    return by_example.agg(F.count("*").alias("examples"), F.sum("n").alias("pieces"), F.count_if(F.col("n") > 1).alias("cut"), F.sum("length").alias("tokens"))

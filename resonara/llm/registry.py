@@ -42,7 +42,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+    pieces = packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data, where the limit on loss-bearing tokens binds."""
+    pieces = packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path(WORD_BPE))
+    return pieces.select("conv_id", "turn", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +72,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "packing_of_conversations": op7_conversations,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resonara.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, registry, sharding, token_counts
+from resonara.llm import bpe, common, embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, registry, sharding, token_counts
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\f\r"
@@ -205,9 +205,9 @@ def test_line_runs_stay_where_they_are(spark):
 
 
 def test_line_dedup_with_more_frequent_lines_than_are_broadcast(docs, rows, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0 + 1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 40)
     for hot in (1, 8, 10**6):
-        monkeypatch.setattr(line_dedup, "HOT_DOCS", hot)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         assert Counter(map(tuple, line_dedup.line_dedup(docs, min_docs=2).collect())) == _line_brute(rows, 2)
 
 
@@ -246,7 +246,29 @@ def test_near_duplicates(docs, rows, empty, k):
     assert near_dedup.near_duplicates(empty, k=k).count() == 0
 
 
-def test_near_duplicates_of_a_chain_across_blocks(spark):
+def _pair(rng, n, common):
+    """Two random sets of 64-bit hashes with so many in common, ``n`` in their union."""
+    union = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    rest = rng.permutation(union)
+    extra = rest[common:]
+    return np.sort(np.r_[rest[:common], extra[: len(extra) // 2]]), np.sort(np.r_[rest[:common], extra[len(extra) // 2 :]])
+
+
+def test_bands_meet_in_similar_pairs():
+    """Recall of the candidate search, measured: similarities from 0.80 on, small and large sets."""
+    rng, sketch = np.random.default_rng(5), near_dedup.Sketch()
+    pairs = [_pair(rng, n, round(j * n)) for j in (0.80, 0.82, 0.85) for n in (40, 200, 1000) for _ in range(400)]
+    regs = near_dedup.registers([s for p in pairs for s in p], sketch).reshape(len(pairs), 2, sketch.bands, sketch.rows)
+    met = (regs[:, 0] == regs[:, 1]).all(axis=2).any(axis=1)
+    assert met.mean() >= 0.9995
+    sizes = np.array([[len(a), len(b)] for a, b in pairs], dtype=np.float64)
+    flat = regs.reshape(len(pairs), 2, -1)
+    guess = near_dedup.estimate(flat[:, 0], flat[:, 1], sizes[:, 0], sizes[:, 1], sketch.base)
+    assert (guess >= 0.8 - sketch.margin).mean() >= 0.9995
+
+
+@pytest.mark.parametrize("bounds", [{"block": 900}, {"block_docs": 3}])
+def test_near_duplicates_of_a_chain_across_blocks(spark, bounds):
     """A group whose members are linked through each other only, in more blocks than one."""
     rng = random.Random(4)
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
@@ -258,10 +280,17 @@ def test_near_duplicates_of_a_chain_across_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     sets = [set(zip(t.split(), t.split()[1:], strict=False)) for _, t in rows]
     group = _groups(len(rows), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
-    got = near_dedup.near_duplicates(docs, k=2, sketch=near_dedup.Sketch(block=900))
+    got = near_dedup.near_duplicates(docs, k=2, sketch=near_dedup.Sketch(**bounds))
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(group))
 
 
+def test_buckets_of_the_same_documents_are_compared_once(spark):
+    members = spark.createDataFrame([(k, d, 3) for k, ds in ((1, (1, 2, 3)), (2, (3, 2, 1)), (3, (1, 2, 4)), (4, (5, 6, 7))) for d in ds] + [(9, 1, 2), (9, 8, 2)], "key bigint, doc_id bigint, n bigint")
+    components = spark.createDataFrame([(5, 5), (6, 5), (7, 5), (2, 1), (1, 1)], "node bigint, component bigint")
+    got = {(r.key, r.doc_id, r.component) for r in near_dedup.mixed_buckets(members, components).collect()}
+    assert got == {(1, 1, 1), (1, 2, 1), (1, 3, 3), (3, 1, 1), (3, 2, 1), (3, 4, 4)}
+
+
 def test_compared_blocks_finds_all_links_between_components():
     import pandas as pd
 
@@ -286,7 +315,7 @@ def test_sketch_estimates_and_merges():
     assert abs(guess[0] - 1500 / 2500) < 0.1
 
 
-def test_exact_dedup(docs, rows, empty):
+def _exact_brute(rows):
     by = defaultdict(list)
     for i, t, *_ in rows:
         by[fold(t)].append(i)
@@ -295,8 +324,39 @@ def test_exact_dedup(docs, rows, empty):
         ids = by[fold(t)]
         keep = max((x for x in ids if x is not None), default=None)
         expected[i, keep, len(ids), i == keep, hashlib.sha256(fold(t).encode()).hexdigest()] += 1
-    assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) == expected
+    return expected
+
+
+def test_exact_dedup(docs, rows, empty, monkeypatch):
+    assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) == _exact_brute(rows)
     assert exact_dedup.exact_dedup(empty).count() == 0
+    # senders of few rows, and more groups than are broadcast
+    monkeypatch.setattr(exact_dedup, "SENDER_ROWS", 7)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    for hot in (1, 2, 10**6):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert Counter(map(tuple, exact_dedup.exact_dedup(docs, owners=5).collect())) == _exact_brute(rows)
+
+
+def test_exact_dedup_needs_the_exchange(docs, rows, monkeypatch):
+    """Without the owners' answers, equal texts of different senders aren't found."""
+    answers = exact_dedup._answers
+    monkeypatch.setattr(exact_dedup, "_answers", lambda messages: answers(messages).assign(bitmap=lambda d: [bytes(len(b)) for b in d["bitmap"]]))
+    assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) != _exact_brute(rows)
+
+
+def test_fingerprints_travel_compressed_and_alone(spark):
+    digests = spark.range(40_000).select(F.col("id").alias("doc_id"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest")).repartition(3)
+    marked = exact_dedup.marked_rows(digests, 16)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    # messages to owners and bitmaps back; the senders' rows stay in their buckets
+    assert plan.count("Exchange") == 2 and "digest" not in plan[plan.index("Exchange") :].split("\n")[0]
+    assert marked.where("suspect").count() == 0
+    table = digests.toArrow()
+    sender = table.append_column("sender", [[1] * len(table)])
+    coded = exact_dedup._messages(16)(sender)
+    sent = sum(len(x) for c in ("unary", "rest") for x in coded.column(c).to_pylist())
+    assert sum(coded.column("n").to_pylist()) == 40_000 and sent < 0.8 * 40_000 * exact_dedup.FINGERPRINT_BITS / 8
 
 
 def test_golomb_round_trip():
@@ -320,8 +380,8 @@ def test_packing_covers_every_id_once(docs, rows, empty):
     for r in got:
         by_doc[r.doc_id].append(r)
         by_sequence[r.sequence_id].append(r)
-        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
-        assert r.doc_tokens == len(ids[r.doc_id])
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.loss_tokens == r.length
     for i, pieces in by_doc.items():
         pieces.sort(key=lambda r: r.start)
         assert [r.start for r in pieces] == np.cumsum([0, *(r.length for r in pieces[:-1])]).tolist() and sum(r.length for r in pieces) == len(ids[i])
@@ -341,16 +401,88 @@ def test_packing_keeps_all_three_limits():
     tokens = [rng.randint(1, 90) for _ in range(200)] + [500, 64]
     loss_from = [rng.randint(0, t) for t in tokens]
     limits = packing.Limits(tokens=64, segments=5, loss_tokens=40)
-    pieces = packing.pack(tokens, loss_from, limits)
-    covered = defaultdict(list)
-    sequences = defaultdict(list)
-    for p in pieces:
-        covered[p.example] += range(p.start, p.start + p.length)
-        sequences[p.sequence].append(p)
-    assert all(sorted(covered[i]) == list(range(t)) for i, t in enumerate(tokens))
-    for ps in sequences.values():
-        assert sum(p.length for p in ps) <= 64 and len(ps) <= 5
-        assert sum(max(0, p.start + p.length - max(p.start, loss_from[p.example])) for p in ps) <= 40
+    counts = [np.r_[0, np.cumsum(np.arange(t) >= x)] for t, x in zip(tokens, loss_from, strict=True)]
+    mixed = [np.r_[0, np.cumsum([rng.random() < 0.5 for _ in range(t)])] for t in tokens]
+    # a prompt's end and a running count say the same
+    assert packing.pack(tokens, loss_from, limits) == packing.pack(tokens, counts, limits)
+    for losses in (counts, mixed):
+        pieces = packing.pack(tokens, losses, limits)
+        covered = defaultdict(list)
+        sequences = defaultdict(list)
+        for p in pieces:
+            covered[p.example] += range(p.start, p.start + p.length)
+            sequences[p.sequence].append(p)
+        assert all(sorted(covered[i]) == list(range(t)) for i, t in enumerate(tokens))
+        for ps in sequences.values():
+            assert sum(p.length for p in ps) <= 64 and len(ps) <= 5
+            assert sum(losses[p.example][p.start + p.length] - losses[p.example][p.start] for p in ps) <= 40
+
+
+def test_packing_chooses_by_dot_product():
+    """Brute force: examples that need no cut, one after the other by the largest dot product of demand and room."""
+    rng = random.Random(4)
+    limits = packing.Limits(tokens=64, segments=4, loss_tokens=24)
+    for _ in range(20):
+        tokens = [rng.choice([4, 8, 16, 32]) for _ in range(30)]
+        losses = [t - rng.choice([0, 2, t // 2]) for t in tokens]
+        left, wanted = set(range(30)), []
+        while left:
+            free = [limits.tokens, limits.segments, limits.loss_tokens]
+            taken = []
+            while True:
+                need = {i: (tokens[i], 1, tokens[i] - losses[i]) for i in left}
+                fits = [i for i in left if all(n <= f for n, f in zip(need[i], free, strict=True))]
+                if not fits:
+                    break
+                worth = lambda i: sum(n * f / r**2 for n, f, r in zip(need[i], free, (limits.tokens, limits.segments, limits.loss_tokens), strict=True))  # noqa: B023, E731
+                best = max(fits, key=lambda i: (round(worth(i), 12), -i))
+                free = [f - n for f, n in zip(free, need[best], strict=True)]
+                taken.append(best)
+                left.discard(best)
+            wanted.append(taken)
+            if any(f for f in free[:1]) and left:
+                break  # a sequence that isn't full cuts an example next
+        pieces = packing.pack(tokens, losses, limits)
+        first = wanted[0]
+        got = []
+        for p in sorted(pieces, key=lambda p: (p.sequence, p.offset)):
+            if p.example not in got:
+                got.append(p.example)
+        assert got[: len(first)] == first
+
+
+def test_packing_of_conversations(spark, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(registry.WORD_BPE)
+    tokenizer = Tokenizer.from_file(path)
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hello there"), (1, 2, "assistant", "good morning to you"), (1, 3, "user", "bye"), (1, 4, "assistant", "so long"), (1, 5, "user", "unanswered")]
+    rows += [(1, 4, "assistant", "so long"), (2, 63, "user", "the last of a stretch"), (2, 64, "assistant", "the first of the next"), (3, 0, "user", None), (3, 1, "assistant", ""), (None, 0, "user", "whose is this"), (4, None, "assistant", "when")]
+    rows += [(5, 2 * i + k, ("user", "assistant")[k], " ".join(["word"] * (40 * k + 3))) for i in range(100) for k in (0, 1)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    examples = {(r.conv_id, r.turn): [(t.turn, t.role, t.text) for t in r.turns] for r in packing.conversation_examples(frame).collect()}
+    assert [t[0] for t in examples[1, 0]] == [0, 1, 2] and [t[0] for t in examples[1, 3]] == [3, 4] and examples[1, 5] == [(5, "user", "unanswered")]
+    assert examples[2, 63] == [(63, "user", "the last of a stretch")] and examples[3, 0] == [(0, "user", ""), (1, "assistant", "")] and (None, 0) in examples and (4, None) in examples
+    limits = packing.Limits(tokens=256, segments=8, loss_tokens=60)
+    got = packing.pack_conversations(frame, path, limits=limits).collect()
+    ids, bears = {}, {}
+    for key, turns in examples.items():
+        parts = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for _, _, t in turns]
+        ids[key], bears[key] = sum(parts, []), sum(([role == "assistant"] * len(p) for p, (_, role, _) in zip(parts, turns, strict=True)), [])
+    covered, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        key, span = (r.conv_id, r.turn), slice(r.start, r.start + r.length)
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids[key][span] and r.loss_tokens == sum(bears[key][span])
+        covered[key] += range(r.start, r.start + r.length)
+        sequences[r.sequence_id].append(r)
+    assert {k: sorted(v) for k, v in covered.items()} == {k: list(range(len(v))) for k, v in ids.items()}
+    assert all(sum(r.length for r in rs) <= 256 and len(rs) <= 8 and sum(r.loss_tokens for r in rs) <= 60 for rs in sequences.values())
+    # the limit on loss binds: without it far fewer sequences do
+    wide = packing.pack_conversations(frame, path, limits=packing.Limits(tokens=256, segments=8, loss_tokens=256))
+    assert len(sequences) > 1.5 * wide.select("sequence_id").distinct().count()
+    report = packing.cut_report(packing.pack_conversations(frame, path, limits=limits), ["conv_id", "turn"]).first()
+    assert report.examples == len(examples) and report.pieces == len(got) and report.tokens == sum(map(len, ids.values()))
+    assert packing.pack_conversations(frame.limit(0), path).count() == 0
 
 
 @pytest.mark.parametrize("split", ["sf0.01"])
@@ -470,29 +602,72 @@ def test_license_sample_does_not_depend_on_order(spark, docs):
     assert all(n % 2 == 0 for n in got.values())
 
 
+def _vector_brute(rows):
+    """(vec_id, links, smallest id reached) of every row by comparing all pairs."""
+    good = [(k, np.array(v, dtype=np.float64)) for k, (i, v, _) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and np.abs(v).max() > 0]
+    unit = [(v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max()) for _, v in good]
+    linked = lambda a, b: len(unit[a]) == len(unit[b]) and float(unit[a] @ unit[b]) >= 0.9
+    group = _groups(len(good), linked)
+    least = defaultdict(list)
+    for a, (k, _) in enumerate(good):
+        least[group[a]].append(rows[k][0])
+    out = {k: (rows[k][0], 0, rows[k][0]) for k in range(len(rows))}
+    out |= {k: (rows[k][0], sum(linked(a, b) for b in range(len(good)) if b != a), min(least[group[a]])) for a, (k, _) in enumerate(good)}
+    return Counter(out.values())
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(120, 16))
     vectors = [v.tolist() for v in base] + [(base[i] * 3 + rng.normal(size=16) * 0.25).tolist() for i in range(60)] + [base[0].tolist(), (base[0] * 2).tolist()]
     hub = rng.normal(size=16)
     vectors += [(hub + rng.normal(size=16) * 0.28).tolist() for _ in range(150)]
+    # a tight group, whose nodes are accepted whole
+    vectors += [(10 * base[3] + rng.normal(size=16) * 0.1).tolist() for _ in range(40)]
     odd = [None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [0.0] * 15, [1e-200] * 16, [1.0, 2.0], [2.0, 4.0]]
     rows = [(i, v, i % 3) for i, v in enumerate(vectors + odd)] + [(None, base[1].tolist(), 0)]
+    # a vec_id of several vectors, one row repeated
+    rows += [(1000, base[5].tolist(), 0), (1000, base[7].tolist(), 0), (1000, base[7].tolist(), 0)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
-    good = {i: np.array(v, dtype=np.float64) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.abs(v).max() > 0}
-    ids = sorted(good)
-    unit = {i: (good[i] / np.abs(good[i]).max()) / np.linalg.norm(good[i] / np.abs(good[i]).max()) for i in ids}
-    linked = lambda a, b: len(unit[ids[a]]) == len(unit[ids[b]]) and float(unit[ids[a]] @ unit[ids[b]]) >= 0.9
-    group = _groups(len(ids), linked)
-    links = [sum(linked(a, b) for b in range(len(ids)) if b != a) for a in range(len(ids))]
-    expected = {i: (links[k], ids[group[k]]) for k, i in enumerate(ids)}
-    got = embedding_dedup.near_vectors(frame, block=64).collect()
-    assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id in good} == expected
-    assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in got if r.vec_id not in good)
-    assert len(got) == len(rows) and max(links) > 20
+    for block in (64, 4096):
+        got = embedding_dedup.near_vectors(frame, block=block).collect()
+        assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == _vector_brute(rows)
+        assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_at_the_threshold_link(spark):
+    """Exactly 0.9 in double precision, and one unit of the last place below."""
+    step = float(np.nextafter(1.0, 0.0))
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [0.9, float(np.sqrt(1 - 0.81)), 0.0], 0), (3, [0.0, 0.0, 1.0], 0), (4, [0.0, 0.9 * step - 1e-13, float(np.sqrt(1 - 0.81))], 0)]
+    unit = {i: np.array(v) / np.sqrt((np.array(v) ** 2).sum()) for i, v, _ in rows}
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {i: sum(float(unit[i] @ unit[j]) >= 0.9 for j in unit if j != i) for i in unit}
+
+
+def test_traversal_looks_at_live_pairs_only():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 24))
+    points = np.concatenate([c + rng.normal(size=(25, 24)) * 0.02 for c in centres])
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    a, b = embedding_dedup.build(units[::2]), embedding_dedup.build(units[1::2])
+    for tree in (a, b):
+        assert len(tree.radii) > 2 and max(tree.radii[-1]) < 2 * embedding_dedup.LEAST_RADIUS or (np.diff(tree.starts[-1]) == 1).all()
+        for level, starts in enumerate(tree.starts):
+            for k, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                assert (np.linalg.norm(tree.points[s:e] - tree.points[tree.centres[level][k]], axis=1) <= tree.radii[level][k] + 2e-3).all()
+    chord = float(np.sqrt(0.2))
+    found = embedding_dedup.links(a, b, chord, 0.9)
+    near = a.points @ b.points.T >= 0.9
+    marked = np.zeros_like(near, dtype=int)
+    for s, e, t, f in found.ranges:
+        marked[s:e, t:f] += 1
+    np.add.at(marked, (found.x, found.y), 1)
+    assert (marked == near).all()
+    # clusters are pruned or accepted as such; single pairs hardly occur
+    assert found.nodes + found.points < near.size / 20
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline
 
