@@ -4,7 +4,8 @@ Unit vectors are compared by chord length (cosine c is chord sqrt(2 - 2c)).  The
 top level is a set of pivots, far from each other and more of them as the table
 grows (``PIVOTS`` at most); each vector belongs to its nearest pivot's cell, and
 cells are dealt into blocks.  In each block a tree is built once: nested levels of
-halving radii, down to nodes of one point each or of radius ``LEAST_RADIUS``.
+halving radii, down to nodes of one point each or of radius ``LEAST_RADIUS``;
+levels that group hardly anything are left out.
 
 For each pair of blocks both trees are walked down together, from the pair of
 roots.  Only children of live node pairs are looked at.  A pair of nodes is
@@ -44,8 +45,8 @@ from .common import looked_up, written
 BLOCK, PIVOTS, PIVOT_SAMPLE = 4096, 1024, 4096
 #: Blocks of a tile at most, and the number of tiles that is aimed at before tiles grow.
 TILE, TILES = 16, 8
-#: Nodes below this radius are not split.
-LEAST_RADIUS = 1 / 64
+#: Nodes below this radius are not split; a level of more than this share of the next one's nodes is left out.
+LEAST_RADIUS, SPARSE = 1 / 64, 0.75
 #: Sums of single-precision chords and radii are off by less.
 SLACK = 5e-3
 
@@ -69,9 +70,9 @@ def _points(kind: np.dtype):
 
 
 def _units(raws: Iterable[bytes], dims: int, kind: np.dtype) -> np.ndarray:
-    """Unit vectors in double precision, scaled first so that squares neither overflow nor vanish."""
+    """Unit vectors in double precision, scaled first by a power of two so that squares neither overflow nor vanish."""
     v = np.frombuffer(b"".join(raws), kind).reshape(-1, dims).astype(np.float64)
-    v /= np.abs(v).max(axis=1, keepdims=True)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -103,33 +104,35 @@ class Tree:
 
 
 def build(points: np.ndarray) -> Tree:
-    """Cover tree of unit vectors: levels of radius 1, 1/2, ... under one root."""
+    """Cover tree of unit vectors: levels of radius 1, 1/2, ... under one root.
+
+    A level that groups hardly anything, next to the one below it, is left out.
+    """
     single = points.astype(np.float32)
-    groups = [np.arange(len(points))]
-    levels, children, radius = [groups], [], 1.0
-    while radius >= LEAST_RADIUS and any(len(g) > 1 for g in groups):
-        below, counts = [], []
-        for members in groups:
-            rest, n = members, len(below)
+    dots = single @ single.T  # a block's at most
+    levels, radius = [[np.arange(len(points))]], 1.0
+    while radius >= LEAST_RADIUS and any(len(g) > 1 for g in levels[-1]):
+        below = []
+        for rest in levels[-1]:
             while len(rest) > 1:
                 # half the square of the radius is the loss of the dot product
-                near = single[rest] @ single[rest[0]] >= 1 - radius * radius / 2
+                near = dots[rest[0]][rest] >= 1 - radius * radius / 2
                 near[0] = True
                 below.append(rest[near])
                 rest = rest[~near]
             if len(rest):
                 below.append(rest)
-            counts.append(len(below) - n)
-        groups = below
-        levels.append(groups)
-        children.append(np.cumsum([0, *counts]))
+        levels.append(below)
         radius /= 2
-    order = np.concatenate(groups)
+    levels = [x for k, x in enumerate(levels) if k in (0, len(levels) - 1) or len(x) <= SPARSE * len(levels[k + 1])]
+    order = np.concatenate(levels[-1])
     place = np.argsort(order)
     centres = [np.array([g[0] for g in level]) for level in levels]
-    radii = [np.array([0.0 if len(g) == 1 else np.sqrt(max(0.0, 2 - 2 * float((single[g] @ single[c]).min()))) for g, c in zip(level, centre, strict=True)], dtype=np.float32) for level, centre in zip(levels, centres, strict=True)]
+    radii = [np.array([0.0 if len(g) == 1 else np.sqrt(max(0.0, 2 - 2 * float(dots[x][g].min()))) for g, x in zip(level, centre, strict=True)], dtype=np.float32) for level, centre in zip(levels, centres, strict=True)]
     starts = [np.cumsum([0, *map(len, level)]) for level in levels]
-    return Tree(points[order], [place[c] for c in centres], radii, starts, children, order)
+    # nodes are nested runs of points, so a node's children begin where it does
+    children = [np.searchsorted(below, own) for own, below in zip(starts, starts[1:], strict=False)]
+    return Tree(points[order], [place[x] for x in centres], radii, starts, children, order)
 
 
 @dataclass
@@ -179,21 +182,29 @@ class _Walk:
 
     def judged(self, level: tuple[int, int], i: np.ndarray, j: np.ndarray, dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The node pairs that live on; accepted ones are put down."""
-        self.nodes += dot.size
+        self.nodes += len(i)
         reach = self.a.radii[level[0]][i] + self.b.radii[level[1]][j]
         # a dot product below this is a chord above the radii and the threshold
         live = dot >= 1 - (reach + np.float32(self.chord + SLACK)) ** 2 / 2
-        if dot.ndim == 2:
-            x, y = np.nonzero(live)
-            i, j, dot, reach = i[x, 0], j[0, y], dot[x, y], reach[x, y]
-        else:
-            i, j, dot, reach = i[live], j[live], dot[live], reach[live]
+        i, j, dot, reach = i[live], j[live], dot[live], reach[live]
         spare = np.float32(self.chord - SLACK) - reach
         sure = (spare > 0) & (dot > 1 - spare**2 / 2)
         s, t = self.a.starts[level[0]], self.b.starts[level[1]]
         self.ranges.append(np.stack([s[i[sure]], s[i[sure] + 1], t[j[sure]], t[j[sure] + 1]], axis=1))
         return i[~sure], j[~sure]
 
+    def multiplied(self, level: tuple[int, int], i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Live pairs of all nodes i and j: one bound for a row of the product, then each pair's own."""
+        there = self.single[1][self.b.centres[level[1]][j]].T
+        widest = self.b.radii[level[1]][j].max() + np.float32(self.chord + SLACK)
+        step = max(1, _STRIP // len(j))
+        for start in range(0, len(i), step):
+            some = i[start : start + step]
+            dot = self.single[0][self.a.centres[level[0]][some]] @ there
+            self.nodes += dot.size
+            x, y = np.nonzero(dot >= (1 - (self.a.radii[level[0]][some] + widest) ** 2 / 2)[:, None])
+            yield self.judged(level, some[x], j[y], dot[x, y])
+
     def compared(self, level: tuple[int, int], first_a, count_a, first_b, count_b) -> tuple[np.ndarray, np.ndarray]:
         """Live pairs among the products of ranges of nodes."""
         ca, cb = self.a.centres[level[0]], self.b.centres[level[1]]
@@ -201,14 +212,13 @@ class _Walk:
         size = count_a * count_b
         large = size >= 4096
         for fa, na, fb, nb in zip(first_a[large].tolist(), count_a[large].tolist(), first_b[large].tolist(), count_b[large].tolist(), strict=True):
-            step = max(1, _STRIP // nb)
             j = np.arange(fb, fb + nb)
-            there = self.single[1][cb[j]].T
-            for start in range(fa, fa + na, step):
-                i = np.arange(start, min(start + step, fa + na))
-                x, y = self.judged(level, i[:, None], j[None, :], self.single[0][ca[i]] @ there)
-                left.append(x)
-                right.append(y)
+            wide = self.b.radii[level[1]][j] > self.chord
+            # wide nodes, whose bound prunes little, don't loosen that of the others
+            for part in (j[~wide], j[wide]):
+                for x, y in self.multiplied(level, np.arange(fa, fa + na), part) if len(part) else ():
+                    left.append(x)
+                    right.append(y)
         first_a, count_a, first_b, count_b, size = (v[~large] for v in (first_a, count_a, first_b, count_b, size))
         for part in _strips(size):
             i, j = _products(first_a[part], count_a[part], first_b[part], count_b[part])

@@ -637,12 +637,10 @@ def test_near_vectors(spark):
 
 
 def test_vectors_at_the_threshold_link(spark):
-    """Exactly 0.9 in double precision, and one unit of the last place below."""
-    step = float(np.nextafter(1.0, 0.0))
-    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [0.9, float(np.sqrt(1 - 0.81)), 0.0], 0), (3, [0.0, 0.0, 1.0], 0), (4, [0.0, 0.9 * step - 1e-13, float(np.sqrt(1 - 0.81))], 0)]
-    unit = {i: np.array(v) / np.sqrt((np.array(v) ** 2).sum()) for i, v, _ in rows}
+    """A cosine of exactly 9/10, and a little less."""
+    rows = [(1, [10.0, 0.0, 0.0, 0.0], 0), (2, [9.0, 3.0, 3.0, 1.0], 0), (3, [-20.0, 0.0, 0.0, 0.0], 0), (4, [-9.0, -3.0, -3.0, -1.0001], 0)]
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
-    assert got == {i: sum(float(unit[i] @ unit[j]) >= 0.9 for j in unit if j != i) for i in unit}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
 def test_traversal_looks_at_live_pairs_only():
