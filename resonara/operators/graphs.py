@@ -19,19 +19,28 @@ c = F.col
 BOND_SIGNS = {1: "-", 2: "=", 3: "#"}
 
 
-def shells(atoms: DataFrame, bonds: DataFrame, radius: int) -> DataFrame:
-    """(compound_id, pos, atom, distance) of all atoms within ``radius`` bonds, the centre included."""
+def shells(atoms: DataFrame, bonds: DataFrame, radius: int | None) -> DataFrame:
+    """(compound_id, pos, atom, distance) of all atoms within ``radius`` bonds, the centre included.
+
+    Without a radius the search goes on until no atom is new, so that whatever an
+    atom can reach is found, however far.
+    """
     step = bonds.select("compound_id", c("i").alias("atom"), c("j").alias("_to"))
     reached = atoms.select("compound_id", "pos", c("pos").alias("atom"), F.lit(0).cast("bigint").alias("distance"))
-    frontier = reached
-    for d in range(1, radius + 1):
+    frontier, d = reached, 0
+    while radius is None or d < radius:
+        d += 1
         new = frontier.join(step, ["compound_id", "atom"]).select("compound_id", "pos", c("_to").alias("atom")).distinct()
         frontier = kept(new.join(reached.select("compound_id", "pos", "atom"), ["compound_id", "pos", "atom"], "left_anti").withColumn("distance", F.lit(d).cast("bigint")))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
+        if d % 8 == 0:
+            reached = kept(reached)
     return reached
 
 
-def sphere_codes(atoms: DataFrame, bonds: DataFrame, radius: int = 3) -> DataFrame:
+def sphere_codes(atoms: DataFrame, bonds: DataFrame, radius: int = 6) -> DataFrame:
     """(compound_id, pos, radius, code): equal neighbourhoods have equal codes (G1).
 
     Sphere k is the sorted list of bond sign and element of the atoms k bonds
@@ -52,24 +61,24 @@ def sphere_codes(atoms: DataFrame, bonds: DataFrame, radius: int = 3) -> DataFra
     return every.select("compound_id", "pos", c("sphere").alias("radius"), F.concat(c("element"), F.lit(";"), F.array_join(F.transform(upto, lambda s: s["text"]), "/")).alias("code"))
 
 
-def path_lengths(bonds: DataFrame, pairs: DataFrame, longest: int = 6) -> DataFrame:
-    """Pairs (compound_id, a, b) with their shortest path in bonds; null beyond ``longest`` or unreachable."""
+def path_lengths(bonds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (compound_id, a, b) with their shortest path in bonds, of any length; null if unreachable."""
     starts = pairs.select("compound_id", c("a").alias("pos")).distinct()
-    reach = shells(starts, bonds, longest).select("compound_id", c("pos").alias("a"), c("atom").alias("b"), c("distance").alias("path"))
+    reach = shells(starts, bonds, None).select("compound_id", c("pos").alias("a"), c("atom").alias("b"), c("distance").alias("path"))
     return pairs.join(reach, ["compound_id", "a", "b"], "left")
 
 
 def j_summary(paths: DataFrame) -> DataFrame:
-    """Histogram of couplings per compound, the longest, whether all are at most three bonds."""
+    """Histogram of couplings per compound, the longest, whether all of pairs that are connected are at most three bonds."""
     j = c("path") + 1
     return paths.groupBy("compound_id").agg(
         *(F.count_if(j == k).alias(f"j{k}") for k in (2, 3, 4)), F.count_if(c("path").isNull()).alias("unreachable"), F.max(j).alias("max_j"), F.coalesce(F.every(j <= 3), F.lit(True)).alias("all_3j")
     )
 
 
-def path_report(bonds: DataFrame, pairs: DataFrame, longest: int = 6) -> DataFrame:
+def path_report(bonds: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with path and coupling label."""
-    return path_lengths(bonds, pairs, longest).withColumn("label", coupling_label(c("path")))
+    return path_lengths(bonds, pairs).withColumn("label", coupling_label(c("path")))
 
 
 def _keyed(members: DataFrame, atoms: DataFrame, bonds: DataFrame, by: list[str]) -> DataFrame:
@@ -113,6 +122,40 @@ def ring_members(bonds: DataFrame, sizes: range = range(3, 7)) -> DataFrame:
     return out
 
 
+#: Elements that make a neighbour of a kind.
+HALOGENS = ("F", "Cl", "Br", "I")
+#: Bond orders of the bond block that count as double; 4 is an aromatic bond.
+DOUBLE = (2, 4)
+
+
+def atom_facts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(compound_id, pos, element, state, has_c, has_o, has_n, has_s, has_x, ring3, ring4, aromatic) of every atom.
+
+    ``state`` is sp1 with a triple bond or two double ones, sp2 with one double
+    bond or an aromatic one, else sp3.  Aromatic are the members of rings of six
+    whose atoms all have a double bond to a ring's atom, and of rings of five where
+    four have and the fifth is N, O or S.
+    """
+    order = c("bond_order")
+    other = atoms.select("compound_id", c("pos").alias("j"), c("element").alias("_e"))
+    kinds = {"has_c": ("C",), "has_o": ("O",), "has_n": ("N",), "has_s": ("S",), "has_x": HALOGENS}
+    around = bonds.join(other, ["compound_id", "j"]).groupBy("compound_id", c("i").alias("pos")).agg(
+        F.count_if(order == 3).alias("_triple"), F.count_if(order == 2).alias("_double"), F.count_if(order == 4).alias("_shared"), *(F.bool_or(c("_e").isin(*es)).alias(k) for k, es in kinds.items())
+    )
+    rings = kept(ring_members(bonds, range(3, 7)))
+    small = rings.groupBy("compound_id", c("atom").alias("pos")).agg(F.bool_or(c("size") == 3).alias("ring3"), F.bool_or(c("size") == 4).alias("ring4"))
+    cyclic = rings.where("size >= 5").select("compound_id", c("atom").alias("j")).distinct()
+    unsaturated = bonds.where(order.isin(*DOUBLE)).join(cyclic, ["compound_id", "j"], "left_semi").select("compound_id", c("i").alias("atom"), F.lit(True).alias("_pi")).distinct()
+    members = rings.where("size >= 5").join(unsaturated, ["compound_id", "atom"], "left").join(atoms.select("compound_id", c("pos").alias("atom"), "element"), ["compound_id", "atom"])
+    closed = members.groupBy("compound_id", "size", "ring").agg(F.count("_pi").alias("_n"), F.count_if(c("_pi").isNull() & c("element").isin("N", "O", "S")).alias("_lone"))
+    good = closed.where("size = 6 AND _n = 6 OR size = 5 AND _n = 4 AND _lone = 1").select("compound_id", "ring")
+    aromatic = rings.join(good, ["compound_id", "ring"], "left_semi").select("compound_id", c("atom").alias("pos"), F.lit(True).alias("aromatic")).distinct()
+    found = atoms.select("compound_id", "pos", "element").join(around, ["compound_id", "pos"], "left").join(small, ["compound_id", "pos"], "left").join(aromatic, ["compound_id", "pos"], "left")
+    n = lambda x: F.coalesce(x, F.lit(0))
+    state = F.when((n("_triple") > 0) | (n("_double") > 1), "sp1").when((n("_double") > 0) | (n("_shared") > 0), "sp2").otherwise("sp3")
+    return found.select("compound_id", "pos", "element", state.alias("state"), *(F.coalesce(x, F.lit(False)).alias(x) for x in (*kinds, "ring3", "ring4", "aromatic")))
+
+
 def ring_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, largest: int = 6) -> DataFrame:
     """Rings with their direct neighbours and the known shifts inside."""
     rings = kept(ring_members(bonds, range(3, largest + 1)))
@@ -123,21 +166,24 @@ def ring_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, large
     return _keyed(members, atoms, bonds, ["ring"]).join(shifts, ["compound_id", "ring"])
 
 
-def connected_regions(cells: DataFrame, side: int = 1 << 20) -> DataFrame:
-    """(plane_id, i, j, region) of grid cells that touch, corners included (G5); region is the smallest cell's number.
+def connected_regions(cells: DataFrame) -> DataFrame:
+    """(plane_id, i, j, region_i, region_j) of grid cells that touch, corners included (G5); a region's cell is its first one.
 
-    Cell numbers put the plane first, so one run of connected components does
-    for all planes.
+    A plane and its cell are one number, so that one run of connected components
+    does for all planes; its digits follow from the largest indices there are.
     """
-    # a plane and its cell in one number: planes have fewer than 2**10 rows and columns
-    name = lambda i, j: (c("plane_id") * side + i * F.lit(1024) + j).cast("bigint")
-    own = cells.select("plane_id", "i", "j", name(c("i"), c("j")).alias("a"))
+    most = cells.agg(F.max("i").alias("i"), F.max("j").alias("j"), F.max("plane_id").alias("plane"), F.min(F.least("i", "j", "plane_id")).alias("least")).first()
+    width, height = (most["j"] or 0) + 1, (most["i"] or 0) + 1
+    if (most["least"] or 0) < 0 or ((most["plane"] or 0) + 1) * width * height >= 1 << 63:
+        raise ValueError("plane and cell indices must not be negative, nor too many for 63 bits")
+    own = cells.select("plane_id", "i", "j", ((c("plane_id").cast("bigint") * height + c("i")) * width + c("j")).alias("a"))
     near = own.select("a", F.explode(F.array(*(F.struct((c("plane_id")).alias("p"), (c("i") + di).alias("i"), (c("j") + dj).alias("j")) for di, dj in ((0, 1), (1, -1), (1, 0), (1, 1))))).alias("n")).select(
         "a", c("n.p").alias("plane_id"), c("n.i").alias("i"), c("n.j").alias("j")
     )
     edges = near.join(own.select("plane_id", "i", "j", c("a").alias("b")), ["plane_id", "i", "j"]).select("a", "b")
-    regions = connected_components(edges)
-    return own.join(regions, own.a == regions.node, "left").select("plane_id", "i", "j", F.coalesce("component", "a").alias("region"))
+    first = F.coalesce("component", "a")
+    found = own.join(connected_components(edges), own.a == c("node"), "left")
+    return found.select("plane_id", "i", "j", F.call_function("mod", F.call_function("div", first, F.lit(width).cast("bigint")), F.lit(height)).cast("bigint").alias("region_i"), (first % F.lit(width)).alias("region_j"))
 
 
 def hetero_pairs(atoms: DataFrame, bonds: DataFrame) -> DataFrame:

@@ -48,9 +48,14 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
 
 
 def lookup_by_formula(queries: DataFrame, compounds: DataFrame, signals: DataFrame) -> DataFrame:
-    """Compounds of each asked formula with their signals as an ordered array."""
-    lists = signals.groupBy("compound_id").agg(F.array_sort(F.collect_list(F.struct("pos", "shift_c", "h_count"))).alias("refs"))
-    return queries.join(compounds, "formula_norm").join(lists.withColumnRenamed("compound_id", "id"), "id")
+    """Compounds of each asked formula with their signals as an ordered array.
+
+    Signals are grouped only for the compounds that a formula asks for.
+    """
+    asked = queries.join(compounds, "formula_norm")
+    wanted = signals.join(asked.select(c("id").alias("compound_id")), "compound_id", "left_semi")
+    lists = wanted.groupBy("compound_id").agg(F.array_sort(F.collect_list(F.struct("pos", "shift_c", "h_count"))).alias("refs"))
+    return asked.join(lists.withColumnRenamed("compound_id", "id"), "id")
 
 
 def lookup_env(keys: DataFrame, stats: DataFrame) -> DataFrame:
@@ -257,14 +262,20 @@ def refine_multiplicity(dept: DataFrame, second: DataFrame, tolerance: int = 100
 def prescreen(queries: DataFrame, fragments: DataFrame, bins: int = 1) -> DataFrame:
     """Pairs (query_id, fragment_id) whose fragment bits are all in the (expanded) query bits.
 
-    A fragment can only be contained where the query has its lowest bit, so the
-    pairs meet on that bin; the eight ANDs decide.
+    A fragment can only be contained where the query has all of its bits, so the
+    pairs meet on one of them: the one that the fewest queries have.  The eight
+    ANDs decide.
     """
     wanted = queries.select("query_id", bits.expanded(c("shifts")).alias("qfp"), F.array_distinct(F.flatten(F.transform("shifts", lambda s: F.transform(F.sequence(F.lit(-bins), F.lit(bins)), lambda d: F.least(F.greatest(bits.bin_of(s) + d, F.lit(0)), F.lit(255)))))).alias("qbins"))
     if bins == 0:
         wanted = wanted.withColumn("qfp", bits.words(c("qbins")))
-    stored = fragments.select("fragment_id", bits.fingerprint(c("shifts")).alias("fp"), bits.bin_of(F.array_min("shifts")).alias("low"))
-    pairs = wanted.withColumn("low", F.explode("qbins")).join(stored, "low")
+    # a count for each of the 256 bits
+    held = {r["bit"]: r["n"] for r in wanted.select(F.explode("qbins").alias("bit")).groupBy("bit").agg(F.count("*").alias("n")).collect()}
+    counts = F.array(*(F.lit(held.get(b, 0)).cast("bigint") for b in range(bits.BITS)))
+    own = F.filter(F.transform("shifts", bits.bin_of), lambda b: b.isNotNull())
+    rarest = F.array_min(F.transform(own, lambda b: F.struct(F.get(counts, b).alias("n"), b.alias("bit"))))
+    stored = fragments.select("fragment_id", bits.fingerprint(c("shifts")).alias("fp"), rarest["bit"].alias("bit"))
+    pairs = wanted.withColumn("bit", F.explode("qbins")).join(stored, "bit")
     return pairs.where(bits.contained(c("fp"), c("qfp"))).select("query_id", "fragment_id")
 
 

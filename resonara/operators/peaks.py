@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from resonara.functions.scoring import multiplicity_compatible, ratio
+from resonara.plans.scratch import kept
 
 c = F.col
 
@@ -121,19 +122,74 @@ def minimum_spacing(peaks: DataFrame, by: Sequence[str], value: str, distance: i
     return sized.where("_size = 1").drop("_size").unionByName(kept.groupBy(*by, "_chain").applyInPandas(keep, kept.schema)).drop("_chain", "_d")
 
 
+#: Nodes below one node of the tree of minima.
+_FAN = 16
+
+
+def _minima(points: DataFrame, by: Sequence[str], value: str, mirrored: bool) -> tuple[DataFrame, int]:
+    """(by, level, node, parent, low): the points, and smallest values of ever longer stretches of a spectrum; and the number of levels."""
+    at = -c("i") if mirrored else c("i")
+    level = points.select(*by, at.cast("bigint").alias("node"), c(value).cast("double").alias("low"))
+    top = points.agg(F.max(F.abs("i"))).first()[0] or 0
+    out, levels = None, 0
+    while True:
+        rows = level.select(*by, F.lit(levels).alias("level"), "node", F.floor(c("node") / _FAN).alias("parent"), "low")
+        out, levels = rows if out is None else out.unionByName(rows), levels + 1
+        if top < _FAN:
+            break
+        # numbers of one sign all come to lie under one node
+        level, top = level.groupBy(*by, F.floor(c("node") / _FAN).alias("node")).agg(F.min("low").alias("low")), top // _FAN
+    return kept(out), levels
+
+
+def _crossings(points: DataFrame, tops: DataFrame, by: Sequence[str], value: str, mirrored: bool) -> DataFrame:
+    """(by, at, found): the nearest point before each top (or after it) at or below half its height.
+
+    Each top looks at up to ``_FAN`` nodes at a time: at those before it under its
+    parent, then under its grandparent and so on up, and from the nearest node that
+    is low enough down to the point.  So no top meets its whole spectrum.
+    """
+    tree, levels = _minima(points, by, value, mirrored)
+    start = -c("_at") if mirrored else c("_at")
+    asked = tops.select(*by, "_at", (c("_top") / F.lit(2.0)).alias("_half"), F.lit(True).alias("_up"), F.lit(0).alias("_level"), start.cast("bigint").alias("_node"), F.lit(None).cast("bigint").alias("_found"))
+    done = None
+    for _ in range(2 * levels):
+        at_level = F.when(c("_up"), c("_level")).otherwise(c("_level") - 1)
+        under = F.when(c("_up"), F.floor(c("_node") / _FAN)).otherwise(c("_node"))
+        looking = asked.withColumns({"level": at_level, "parent": under})
+        met = looking.join(tree, [*by, "level", "parent"], "left")
+        fits = (c("low") <= c("_half")) & (~c("_up") | (c("node") < c("_node")))
+        best = met.groupBy(*by, "_at", "_half", "_up", "_level", "_node").agg(F.max(F.when(fits, c("node"))).alias("_best"))
+        hit, lowest = c("_best").isNotNull(), F.when(c("_up"), c("_level")).otherwise(c("_level") - 1)
+        moved = kept(best.select(
+            *by, "_at", "_half", (c("_up") & ~hit).alias("_up"), F.when(hit, lowest).otherwise(c("_level") + 1).alias("_level"), F.when(hit, c("_best")).otherwise(F.floor(c("_node") / _FAN)).alias("_node"),
+            F.when(hit & (lowest == 0), c("_best")).alias("_found"),
+        ))
+        over = c("_found").isNotNull() | (c("_up") & (c("_level") >= levels))
+        part = moved.where(over).select(*by, "_at", (-c("_found") if mirrored else c("_found")).alias("found"))
+        done = part if done is None else done.unionByName(part)
+        asked = moved.where(~over)
+        if asked.isEmpty():
+            break
+    return done
+
+
 def line_widths(points: DataFrame, peaks: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Width in points at half height of each peak, between the nearest crossings, interpolated."""
-    tops = peaks.select(*by, c("i").alias("_at"), c(value).alias("_top"))
-    joined = points.join(tops, list(by))
+    """Width in points at half height of each peak, between the nearest crossings, interpolated.
+
+    Where one side has no crossing, the spectrum's end counts.
+    """
+    tops = kept(peaks.select(*by, c("i").alias("_at"), c(value).alias("_top")))
+    ends = points.groupBy(*by).agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"))
+    out = tops.join(ends, list(by))
+    for side, step, mirrored in (("_l", 1, False), ("_r", -1, True)):
+        crossed = _crossings(points, tops, by, value, mirrored).select(*by, "_at", c("found").alias(side))
+        value_at = lambda name, shift, side=side: points.select(*by, (c("i") - shift).alias(side), c(value).cast("double").alias(name))
+        out = out.join(crossed, [*by, "_at"], "left").join(value_at(f"{side}v", 0), [*by, side], "left").join(value_at(f"{side}n", step), [*by, side], "left")
     half = c("_top") / F.lit(2.0)
-    at = F.struct(c("i"), c(value).cast("double").alias("v"))
-    sides = joined.groupBy(*by, "_at", "_top").agg(
-        F.max(F.when((c("i") < c("_at")) & (c(value) <= half), at)).alias("l"), F.min(F.when((c("i") > c("_at")) & (c(value) <= half), at)).alias("r"), F.min("i").alias("lo"), F.max("i").alias("hi"),
-        F.map_from_arrays(F.collect_list("i"), F.collect_list(c(value).cast("double"))).alias("v"),
-    )
-    left = F.coalesce(c("l.i") + F.try_divide(c("_top") / F.lit(2.0) - c("l.v"), F.try_element_at("v", c("l.i") + 1) - c("l.v")), c("lo").cast("double"))
-    right = F.coalesce(c("r.i") - F.try_divide(c("_top") / F.lit(2.0) - c("r.v"), F.try_element_at("v", c("r.i") - 1) - c("r.v")), c("hi").cast("double"))
-    return sides.select(*by, c("_at").alias("i"), (right - left).alias("width"))
+    left = F.coalesce(c("_l") + F.try_divide(half - c("_lv"), c("_ln") - c("_lv")), c("_lo").cast("double"))
+    right = F.coalesce(c("_r") - F.try_divide(half - c("_rv"), c("_rn") - c("_rv")), c("_hi").cast("double"))
+    return out.select(*by, c("_at").alias("i"), (right - left).alias("width"))
 
 
 def width_summary(widths: DataFrame, by: Sequence[str], ppm_per_point: float, factor: float = 1.5, widest: float = 1.0) -> DataFrame:
@@ -168,17 +224,33 @@ def pick_1d(points: DataFrame, by: Sequence[str], value: str = "y", share: float
     return found.select(*by, "i", value, snr.alias("snr"))
 
 
-def pick_2d(grid: DataFrame, limit: Column, negative: bool = False) -> DataFrame:
-    """One apex for each connected region above the limit (W12); the first cell on ties."""
+def pick_2d(grid: DataFrame, share: float | None = None, snr_floor: float = 5.0, negative: bool = False) -> DataFrame:
+    """One apex for each connected region above the threshold, with its snr and its rank in the plane.
+
+    The threshold is ``snr_floor`` times the plane's noise, or with ``share`` that
+    share of its largest absolute value; snr is then null.  The first cell wins on
+    ties.  Peaks rank by descending shifts: those of columns f1 and f2 if ``grid``
+    has them, else by rising indices, along which shifts fall.
+    """
     from .graphs import connected_regions
 
-    def one_sign(df: DataFrame) -> DataFrame:
-        above = df.where(c("z") >= limit)
+    if share is None:
+        limits = noise_sigma(grid, ["plane_id"], "z", k=5.0).select("plane_id", "sigma", (F.lit(snr_floor) * c("sigma")).alias("_limit"))
+    else:
+        limits = grid.groupBy("plane_id").agg(F.lit(None).cast("double").alias("sigma"), (F.lit(share) * F.max(F.abs("z"))).alias("_limit"))
+    shifts = [x for x in ("f1", "f2") if x in grid.columns]
+    facts = grid.join(kept(limits), "plane_id")
+
+    def one_sign(sign: int) -> DataFrame:
+        above = kept(facts.withColumn("_h", c("z") * sign).where(c("_h").cast("double") >= c("_limit")))
         regions = connected_regions(above.select("plane_id", "i", "j"))
-        return above.join(regions, ["plane_id", "i", "j"]).groupBy("plane_id", "region").agg(F.count("*").alias("cells"), F.min_by(F.struct("i", "j", "z"), F.struct(-c("z"), c("i"), c("j"))).alias("t")).select("plane_id", "cells", "t.*")
+        best = F.min_by(F.struct("i", "j", "z", "sigma", *shifts), F.struct(-c("_h"), c("i"), c("j")))
+        return above.join(regions, ["plane_id", "i", "j"]).groupBy("plane_id", "region_i", "region_j").agg(F.count("*").alias("cells"), best.alias("t")).select("plane_id", "cells", "t.*")
 
-    found = one_sign(grid)
-    return found.unionByName(one_sign(grid.withColumn("z", -c("z"))).withColumn("z", -c("z"))) if negative else found
+    found = one_sign(1).unionByName(one_sign(-1)) if negative else one_sign(1)
+    order = [c(x).desc() for x in shifts] if len(shifts) == 2 else [c("i"), c("j")]
+    rank = F.row_number().over(W.partitionBy("plane_id").orderBy(*order, "i", "j")).cast("bigint")
+    return found.select("plane_id", "cells", "i", "j", "z", *shifts, (F.abs("z").cast("double") / c("sigma")).alias("snr"), rank.alias("rank"))
 
 
 def threshold_search(peaks: DataFrame, refs: DataFrame, by: Sequence[str], tolerance: int, first: float = 0.10, least: float = 0.005, step: float = 0.5) -> DataFrame:

@@ -18,35 +18,41 @@ def _reach(r: int) -> str:
     return "WITH RECURSIVE " + _REACH.replace("{r}", str(r))
 
 
+#: Without a bound on the distance: a walk longer than a compound has atoms is no shortest path.
+_ANY = "WITH RECURSIVE " + _REACH.replace("WHERE w.d < {r}", "JOIN (SELECT compound_id, count(*) AS n FROM {atom} GROUP BY compound_id) k ON k.compound_id = w.compound_id WHERE w.d < k.n")
+
+
 @query("G_shells", f"{_reach(3)} SELECT compound_id, pos, node AS atom, d AS distance FROM reach")
 def _(v):
     return graphs.shells(v.atom, v.bond, 3)
 
 
-@query(
-    "G1_sphere_codes",
-    f"""{_reach(3)}, s AS (SELECT x.compound_id, x.pos, y.d AS sphere, string_agg(CASE b.bond_order WHEN 1 THEN '-' WHEN 2 THEN '=' ELSE '#' END || a.element, ',' ORDER BY CASE b.bond_order WHEN 1 THEN '-' WHEN 2 THEN '=' ELSE '#' END || a.element) AS t
-          FROM b JOIN reach x ON x.compound_id = b.compound_id AND x.node = b.i JOIN reach y ON y.compound_id = b.compound_id AND y.pos = x.pos AND y.node = b.j AND y.d = x.d + 1 JOIN {{atom}} a ON a.compound_id = b.compound_id AND a.pos = b.j GROUP BY ALL)
-        SELECT a.compound_id, a.pos, r.r AS radius, a.element || ';' || (SELECT string_agg(coalesce(s.t, ''), '/' ORDER BY k) FROM (SELECT unnest(range(1, r.r + 1)) AS k) q LEFT JOIN s ON s.compound_id = a.compound_id AND s.pos = a.pos AND s.sphere = q.k) AS code FROM {{atom}} a, (SELECT unnest(range(1, 4)) AS r) r""",
-)
+_SIGN = "CASE b.bond_order WHEN 1 THEN '-' WHEN 2 THEN '=' ELSE '#' END || a.element"
+#: What CODES is selected from.
+CODES_CTE = f"""{_reach(6)}, s AS (SELECT x.compound_id, x.pos, y.d AS sphere, string_agg({_SIGN}, ',' ORDER BY {_SIGN}) AS t
+          FROM b JOIN reach x ON x.compound_id = b.compound_id AND x.node = b.i JOIN reach y ON y.compound_id = b.compound_id AND y.pos = x.pos AND y.node = b.j AND y.d = x.d + 1 JOIN {{atom}} a ON a.compound_id = b.compound_id AND a.pos = b.j GROUP BY ALL)"""
+CODES = """SELECT a.compound_id, a.pos, r.r AS radius, a.element || ';' || (SELECT string_agg(coalesce(s.t, ''), '/' ORDER BY k) FROM (SELECT unnest(range(1, r.r + 1)) AS k) q LEFT JOIN s ON s.compound_id = a.compound_id AND s.pos = a.pos AND s.sphere = q.k) AS code FROM {atom} a, (SELECT unnest(range(1, 7)) AS r) r"""
+
+
+@query("G1_sphere_codes", f"{CODES_CTE} {CODES}")
 def _(v):
-    return graphs.sphere_codes(v.atom, v.bond, 3)
+    return graphs.sphere_codes(v.atom, v.bond, 6)
 
 
 _PAIRS = "SELECT ord AS compound_id, pos AS a, supp % 6 AS b FROM {item}"
 
 
-@query("G2_path_lengths", f"{_reach(6)} SELECT p.compound_id, p.a, p.b, r.d AS path FROM ({_PAIRS}) p LEFT JOIN reach r ON r.compound_id = p.compound_id AND r.pos = p.a AND r.node = p.b")
+@query("G2_path_lengths", f"{_ANY} SELECT p.compound_id, p.a, p.b, r.d AS path FROM ({_PAIRS}) p LEFT JOIN reach r ON r.compound_id = p.compound_id AND r.pos = p.a AND r.node = p.b")
 def _(v):
-    return graphs.path_lengths(v.bond, v.sql(_PAIRS), 6)
+    return graphs.path_lengths(v.bond, v.sql(_PAIRS))
 
 
 @query(
     "A26_j_summary",
-    f"{_reach(4)} SELECT compound_id, count(*) FILTER (d + 1 = 2) AS j2, count(*) FILTER (d + 1 = 3) AS j3, count(*) FILTER (d + 1 = 4) AS j4, count(*) FILTER (d IS NULL) AS unreachable, max(d + 1) AS max_j, coalesce(bool_and(d + 1 <= 3), true) AS all_3j FROM (SELECT p.compound_id, r.d FROM ({_PAIRS}) p LEFT JOIN reach r ON r.compound_id = p.compound_id AND r.pos = p.a AND r.node = p.b) q GROUP BY compound_id",
+    f"{_ANY} SELECT compound_id, count(*) FILTER (d + 1 = 2) AS j2, count(*) FILTER (d + 1 = 3) AS j3, count(*) FILTER (d + 1 = 4) AS j4, count(*) FILTER (d IS NULL) AS unreachable, max(d + 1) AS max_j, coalesce(bool_and(d + 1 <= 3), true) AS all_3j FROM (SELECT p.compound_id, r.d FROM ({_PAIRS}) p LEFT JOIN reach r ON r.compound_id = p.compound_id AND r.pos = p.a AND r.node = p.b) q GROUP BY compound_id",
 )
 def _(v):
-    return graphs.j_summary(graphs.path_lengths(v.bond, v.sql(_PAIRS), 4))
+    return graphs.j_summary(graphs.path_lengths(v.bond, v.sql(_PAIRS)))
 
 
 _KEY = "string_agg(least(x.element, y.element) || e.bond_order || greatest(x.element, y.element), ',' ORDER BY least(x.element, y.element) || e.bond_order || greatest(x.element, y.element))"
@@ -54,14 +60,14 @@ _KEY = "string_agg(least(x.element, y.element) || e.bond_order || greatest(x.ele
 
 @query(
     "G3_ego_fragments",
-    f"""{_reach(2)}, m AS MATERIALIZED (SELECT r.compound_id, r.pos, k AS radius, r.node FROM reach r JOIN (SELECT unnest([1, 2]) AS k) q ON r.d <= k WHERE EXISTS (SELECT 1 FROM {{signal}} s WHERE s.compound_id = r.compound_id AND s.atom_index = r.pos)),
+    f"""{_reach(3)}, m AS MATERIALIZED (SELECT r.compound_id, r.pos, k AS radius, r.node FROM reach r JOIN (SELECT unnest([1, 2, 3]) AS k) q ON r.d <= k WHERE EXISTS (SELECT 1 FROM {{signal}} s WHERE s.compound_id = r.compound_id AND s.atom_index = r.pos)),
         t AS (SELECT compound_id, pos, radius, count(*) AS atom_count FROM m GROUP BY ALL), s AS (SELECT m.compound_id, m.pos, m.radius, string_agg(cast(s.shift_c AS string), ',' ORDER BY s.shift_c) AS shifts FROM m JOIN {{signal}} s ON s.compound_id = m.compound_id AND s.atom_index = m.node GROUP BY ALL),
         k AS (SELECT e.compound_id, p.pos, p.radius, {_KEY} AS key FROM {{edge}} e JOIN m p ON p.compound_id = e.compound_id AND p.node = e.i JOIN m q ON q.compound_id = e.compound_id AND q.pos = p.pos AND q.radius = p.radius AND q.node = e.j
               JOIN {{atom}} x ON x.compound_id = e.compound_id AND x.pos = e.i JOIN {{atom}} y ON y.compound_id = e.compound_id AND y.pos = e.j GROUP BY ALL)
         SELECT t.compound_id, t.pos, t.radius::BIGINT AS radius, t.atom_count, k.key, s.shifts FROM t JOIN k USING (compound_id, pos, radius) JOIN s USING (compound_id, pos, radius)""",
 )
 def _(v):
-    found = graphs.ego_fragments(v.atom, v.bond, v.signal, 2)
+    found = graphs.ego_fragments(v.atom, v.bond, v.signal, 3)
     return found.select("compound_id", "pos", "radius", "atom_count", "key", F.array_join(F.transform("shifts", lambda s: s.cast("string")), ",").alias("shifts"))
 
 
@@ -91,14 +97,30 @@ def _(v):
     return found.select("compound_id", "ring", "atom_count", F.size("shifts").cast("bigint").alias("known"))
 
 
+_EGO_KEYS = f"""{_reach(3)}, m AS MATERIALIZED (SELECT r.compound_id, r.pos, k AS radius, r.node FROM reach r JOIN (SELECT unnest([1, 2, 3]) AS k) q ON r.d <= k WHERE EXISTS (SELECT 1 FROM {{signal}} s WHERE s.compound_id = r.compound_id AND s.atom_index = r.pos)),
+        ek AS (SELECT e.compound_id, p.pos, p.radius, {_KEY} AS key FROM {{edge}} e JOIN m p ON p.compound_id = e.compound_id AND p.node = e.i JOIN m q ON q.compound_id = e.compound_id AND q.pos = p.pos AND q.radius = p.radius AND q.node = e.j
+              JOIN {{atom}} x ON x.compound_id = e.compound_id AND x.pos = e.i JOIN {{atom}} y ON y.compound_id = e.compound_id AND y.pos = e.j GROUP BY ALL),
+        rings AS MATERIALIZED ({' UNION ALL '.join(_ring_sql(n) for n in (3, 4, 5, 6))}), rm AS (SELECT compound_id, ring, atom FROM rings UNION SELECT r.compound_id, r.ring, b.j FROM rings r JOIN {{bond}} b ON b.compound_id = r.compound_id AND b.i = r.atom),
+        rk AS (SELECT e.compound_id, p.ring, {_KEY} AS key FROM {{edge}} e JOIN rm p ON p.compound_id = e.compound_id AND p.atom = e.i JOIN rm q ON q.compound_id = e.compound_id AND q.ring = p.ring AND q.atom = e.j
+              JOIN {{atom}} x ON x.compound_id = e.compound_id AND x.pos = e.i JOIN {{atom}} y ON y.compound_id = e.compound_id AND y.pos = e.j
+              WHERE EXISTS (SELECT 1 FROM rm z JOIN {{signal}} s ON s.compound_id = z.compound_id AND s.atom_index = z.atom WHERE z.compound_id = p.compound_id AND z.ring = p.ring) GROUP BY ALL)"""
+
+
+@query("build_fragments", f"{_EGO_KEYS} SELECT 'ego' AS kind, key, min(compound_id) AS compound_id FROM ek GROUP BY key UNION ALL SELECT 'ring', key, min(compound_id) FROM rk GROUP BY key")
+def _(v):
+    from resonara.api import build_fragments
+
+    return build_fragments(v.atom, v.bond, v.signal).select("kind", "key", "compound_id")
+
+
 @query(
     "G5_connected_regions",
     """WITH RECURSIVE e AS (SELECT plane_id, i, j, i * 1024 + j AS n FROM {grid2d} WHERE z >= 110),
        reach AS (SELECT plane_id, n AS start, n AS node FROM e UNION SELECT r.plane_id, r.start, y.n FROM reach r JOIN e x ON x.plane_id = r.plane_id AND x.n = r.node JOIN e y ON y.plane_id = x.plane_id AND abs(y.i - x.i) <= 1 AND abs(y.j - x.j) <= 1)
-       SELECT e.plane_id, e.i, e.j, min(r.node) AS region FROM e JOIN reach r ON r.plane_id = e.plane_id AND r.start = e.n GROUP BY ALL""",
+       SELECT plane_id, i, j, region // 1024 AS region_i, region % 1024 AS region_j FROM (SELECT e.plane_id, e.i, e.j, min(r.node) AS region FROM e JOIN reach r ON r.plane_id = e.plane_id AND r.start = e.n GROUP BY ALL) x""",
 )
 def _(v):
-    return graphs.connected_regions(v.grid2d.where("z >= 110").select("plane_id", "i", "j")).withColumn("region", c("region") % (1 << 20))
+    return graphs.connected_regions(v.grid2d.where("z >= 110").select("plane_id", "i", "j"))
 
 
 @query("G6_hetero_bonds", "SELECT DISTINCT b.compound_id, least(x.element, y.element) AS element1, greatest(x.element, y.element) AS element2 FROM {edge} b JOIN {atom} x ON x.compound_id = b.compound_id AND x.pos = b.i JOIN {atom} y ON y.compound_id = b.compound_id AND y.pos = b.j WHERE x.element <> 'C' AND y.element <> 'C'")

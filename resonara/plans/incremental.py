@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from resonara.streaming import jobs
 
 from .catalog import query
-from .scratch import shared_dir
+from .graphs import CODES, CODES_CTE, _ring_sql
+from .scratch import new_folder
 from .statistics import _STATE
 
 c = F.col
 
 
 def _folder(v) -> str:
-    return f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
+    return new_folder(v.spark, "stream")
 
 
 @query("T1_build_stats", f"SELECT {_STATE} FROM {{env_state}}")
@@ -26,28 +25,43 @@ def _(v):
     return jobs.build_stats(v.spark, f"{base}/in", obs.schema, f"{base}/state", f"{base}/checkpoint", 2)
 
 
+_DOUBLED = "SELECT DISTINCT b.compound_id, b.i AS atom FROM {bond} b JOIN five ON five.compound_id = b.compound_id AND five.atom = b.j WHERE b.bond_order IN (2, 4)"
+_FACTS = f"""ring AS MATERIALIZED ({' UNION ALL '.join(_ring_sql(n) for n in (3, 4, 5, 6))}), five AS MATERIALIZED (SELECT DISTINCT compound_id, atom FROM ring WHERE size >= 5), pi AS MATERIALIZED ({_DOUBLED}),
+    closed AS (SELECT r.compound_id, r.size, r.ring, count(p.atom) AS n, count(*) FILTER (p.atom IS NULL AND a.element IN ('N', 'O', 'S')) AS lone FROM ring r JOIN {{atom}} a ON a.compound_id = r.compound_id AND a.pos = r.atom LEFT JOIN pi p ON p.compound_id = r.compound_id AND p.atom = r.atom WHERE r.size >= 5 GROUP BY ALL),
+    arom AS (SELECT DISTINCT r.compound_id, r.atom FROM ring r JOIN closed k ON k.compound_id = r.compound_id AND k.ring = r.ring WHERE k.size = 6 AND k.n = 6 OR k.size = 5 AND k.n = 4 AND k.lone = 1),
+    around AS (SELECT b.compound_id, b.i AS pos, count(*) FILTER (b.bond_order = 3) AS tr, count(*) FILTER (b.bond_order = 2) AS dbl, bool_or(x.element = 'C') AS has_c, bool_or(x.element = 'O') AS has_o, bool_or(x.element = 'N') AS has_n, bool_or(x.element = 'S') AS has_s FROM {{bond}} b JOIN {{atom}} x ON x.compound_id = b.compound_id AND x.pos = b.j GROUP BY ALL),
+    fact AS MATERIALIZED (SELECT a.compound_id, a.pos, CASE WHEN coalesce(n.tr, 0) > 0 OR coalesce(n.dbl, 0) > 1 THEN 'sp1' WHEN coalesce(n.dbl, 0) > 0 THEN 'sp2' ELSE 'sp3' END AS state, n.has_c, n.has_o, n.has_n, n.has_s,
+       EXISTS (SELECT 1 FROM ring r WHERE r.compound_id = a.compound_id AND r.atom = a.pos AND r.size = 3) AS ring3, EXISTS (SELECT 1 FROM ring r WHERE r.compound_id = a.compound_id AND r.atom = a.pos AND r.size = 4) AS ring4,
+       EXISTS (SELECT 1 FROM arom r WHERE r.compound_id = a.compound_id AND r.atom = a.pos) AS aromatic FROM {{atom}} a LEFT JOIN around n ON n.compound_id = a.compound_id AND n.pos = a.pos WHERE a.element = 'C')"""
+
+
 @query(
     "T2_build_stats_from_sdf",
-    """SELECT a.element || ';' || coalesce(s.t, '') AS code, 1::BIGINT AS radius, count(*) AS n, sum(g.shift_c)::BIGINT AS sum_c FROM {atom} a JOIN {signal} g ON g.compound_id = a.compound_id AND g.atom_index = a.pos
-       LEFT JOIN (SELECT b.compound_id, b.i, string_agg(CASE b.bond_order WHEN 1 THEN '-' WHEN 2 THEN '=' ELSE '#' END || x.element, ',' ORDER BY CASE b.bond_order WHEN 1 THEN '-' WHEN 2 THEN '=' ELSE '#' END || x.element) AS t FROM {bond} b JOIN {atom} x ON x.compound_id = b.compound_id AND x.pos = b.j GROUP BY ALL) s ON s.compound_id = a.compound_id AND s.i = a.pos GROUP BY ALL""",
+    f"""{CODES_CTE}, codes AS MATERIALIZED ({CODES}), {_FACTS}
+       SELECT k.code, k.radius, count(*) AS n, sum(g.shift_c)::BIGINT AS sum_c, sum(g.shift_c * g.shift_c)::BIGINT AS sumsq_c, count(*) FILTER (f.state = 'sp3') AS sp3, count(*) FILTER (f.state = 'sp2') AS sp2, count(*) FILTER (f.state = 'sp1') AS sp1,
+         count(*) FILTER (f.has_c) AS carbon, count(*) FILTER (f.has_o) AS oxygen, count(*) FILTER (f.has_n) AS nitrogen, count(*) FILTER (f.has_s) AS sulfur, 0::BIGINT AS halogen, count(*) FILTER (f.ring3) AS ring3, count(*) FILTER (f.ring4) AS ring4, count(*) FILTER (f.aromatic) AS aromatic
+       FROM codes k JOIN fact f ON f.compound_id = k.compound_id AND f.pos = k.pos JOIN {{signal}} g ON g.compound_id = k.compound_id AND g.atom_index = k.pos GROUP BY k.code, k.radius""",
 )
 def _(v):
     from .text_sources import write_measured
 
     base = _folder(v)
     write_measured(v, f"{base}/in")
-    return jobs.build_stats_from_sdf(v.spark, f"{base}/in", "measured", f"{base}/state", f"{base}/checkpoint", radius=1, files_per_batch=4).select("code", "radius", "n", "sum_c")
+    return jobs.build_stats_from_sdf(v.spark, f"{base}/in", "measured", f"{base}/state", f"{base}/checkpoint", files_per_batch=4)
 
 
 _ALL_FRAGMENTS = "SELECT p_type || '/' || p_brand AS smiles, ord * 32 + pos AS fragment_id, part FROM {item} JOIN {part} ON p_partkey = part"
 
 
-@query("T3_extract_fragments", "SELECT smiles, count(*) AS n FROM (SELECT DISTINCT p_type || '/' || p_brand AS smiles FROM {item} JOIN {part} ON p_partkey = part) f GROUP BY smiles")
+@query("T3_extract_fragments", "SELECT smiles, min(fragment_id) AS fragment_id, arg_min(part, fragment_id) AS part FROM (SELECT p_type || '/' || p_brand AS smiles, ord * 32 + pos AS fragment_id, part FROM {item} JOIN {part} ON p_partkey = part) f GROUP BY smiles")
 def _(v):
     base, rows = _folder(v), v.sql(_ALL_FRAGMENTS)
-    rows.repartition(4).write.parquet(f"{base}/in")
-    table = jobs.extract_fragments(v.spark, f"{base}/in", rows.schema, f"{base}/state", f"{base}/checkpoint")
-    return table.groupBy("smiles").agg(F.count("*").alias("n"))
+    most = rows.agg(F.max("fragment_id")).first()[0] or 0
+    # files one after the other, in order of ids, so that it is known which fragment of a key comes first
+    for k in range(4):
+        part = rows.where((c("fragment_id") * 4 >= k * (most + 1)) & (c("fragment_id") * 4 < (k + 1) * (most + 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return jobs.extract_fragments(v.spark, f"{base}/in", rows.schema, f"{base}/state", f"{base}/checkpoint", files_per_batch=1)
 
 
 _STATUS = """SELECT f.run_id, 'running' AS state, coalesce(try_cast(regexp_extract(coalesce(a.active_phase, ''), '^lsd-iteration-(\\d+)$', 1) AS BIGINT), 0) AS iteration, a.active_phase, f.started, f.last_epoch
@@ -65,7 +79,9 @@ def _(v):
     base = _folder(v)
     v.run_event.repartition(3).write.parquet(f"{base}/in")
     events = v.spark.readStream.schema(v.run_event.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    return jobs.follow_into(events, f"{base}/state", f"{base}/checkpoint")
+    timed = events.withColumn("ts", F.timestamp_seconds(c("epoch").cast("bigint")))
+    # the files aren't in order of time, so the watermark lies before all of them
+    return jobs.follow_into(timed, f"{base}/state", f"{base}/checkpoint", idle_minutes=10 * 365 * 24 * 60)
 
 
 @query("T5_meta", "SELECT key, arg_max(value, seq) AS value, max(seq) AS seq FROM (SELECT 'k' || cast(ord % 300 AS string) AS key, cast(part AS string) AS value, ord * 32 + pos AS seq FROM {item}) x GROUP BY key UNION ALL SELECT 'bin_size', '2.0', 0::BIGINT")

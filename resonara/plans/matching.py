@@ -115,8 +115,8 @@ def _(v):
     return joins.nearest_sorted(predicted.select("formula_norm", "compound_id", "pos", "shift_c"), v.observed, ["formula_norm"], ["compound_id", "pos"]).select("formula_norm", "compound_id", "pos", "shift_c", "error_c")
 
 
-#: One query for each formula, its reference compound, against all fragments.
-_Q = "SELECT s.compound_id AS query_id, s.pos, s.shift_c FROM {signal} s JOIN {reference} r ON r.id = s.compound_id"
+#: Every compound whose id is divisible by 100, against all fragments.
+_Q = "SELECT compound_id AS query_id, pos, shift_c FROM {signal} WHERE compound_id % 100 = 0"
 _BINS = "SELECT DISTINCT query_id, least(greatest(shift_c // 200 + d, 0), 255) AS b FROM ({q}) q, (SELECT unnest([{d}]) AS d) e"
 _HITS = """SELECT q.query_id, f.fragment_id FROM ({bins}) q JOIN (SELECT fragment_id, unnest(list_distinct([s1 // 200, s2 // 200, s3 // 200])) AS b, len(list_distinct([s1 // 200, s2 // 200, s3 // 200])) AS n FROM {{fragment}}) f ON f.b = q.b GROUP BY q.query_id, f.fragment_id, f.n HAVING count(*) = f.n"""
 
@@ -164,6 +164,17 @@ def _(v):
     return ranking.rank_fragments(_fine(v), limit=5).select("query_id", "fragment_id", "atom_count", "rank")
 
 
+@query(
+    "fragment_search",
+    f"{_FINE} SELECT query_id, count(*) AS n, max(atom_count) AS largest FROM (SELECT x.query_id, f.atom_count::BIGINT AS atom_count, row_number() OVER (PARTITION BY x.query_id ORDER BY f.atom_count DESC, x.dev_c::DOUBLE / 3.0::DOUBLE, x.fragment_id) AS rank FROM fine x JOIN {{fragment}} f ON f.fragment_id = x.fragment_id WHERE f.atom_count >= 3) r WHERE rank <= 5 GROUP BY query_id",
+)
+def _(v):
+    from resonara.api import fragment_search
+
+    found = fragment_search(_queries(v), _fragments(v), limit=5)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("atom_count").alias("largest"))
+
+
 @query("A27_self_recall", f"SELECT count(DISTINCT h.query_id)::DOUBLE / (SELECT count(DISTINCT query_id) FROM ({_Q}) s)::DOUBLE AS recall FROM ({_hits('0')}) h")
 def _(v):
     asked = _queries(v)

@@ -2,17 +2,42 @@
 
 Iterative operators cut their lineage by writing to the folder all executors
 share.  The folder is the one the cluster names in ``spark.checkpoint.dir``;
-only where that is unset (tests, notebooks) is a folder of this machine set.
+only where that is unset and Spark runs on one machine (tests, notebooks) is a
+folder of this machine set; elsewhere its absence is an error.  What is written
+here is deleted when the session's process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[tuple] = []
+
+
+def _forget() -> None:
+    for context, path in _written:
+        try:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may have ended already
+            return
+
+
+atexit.register(_forget)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; what is written there is deleted at the end."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, path))
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; sets one of our own only where none is set."""
     context = spark.sparkContext
@@ -20,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         current = context.getCheckpointDir()
         if current is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="resonara-"))
             current = context.getCheckpointDir()
         return current
@@ -36,6 +63,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def kept(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` as a Parquet table in the shared folder; unlike ``cut`` the plan above knows nothing of the one below."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

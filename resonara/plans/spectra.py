@@ -20,7 +20,10 @@ def _(v):
     return peaks.noise_sigma(v.point1d, ["spectrum_id"], "y")
 
 
-@query("A20_noise_2d", _NOISE.replace("{point1d}", "{grid2d}").replace("spectrum_id", "plane_id").replace("y", "z").replace("3.0::DOUBLE", "5.0::DOUBLE").replace("anz", "any"))
+_NOISE_2D = _NOISE.replace("{point1d}", "{grid2d}").replace("spectrum_id", "plane_id").replace("y", "z").replace("3.0::DOUBLE", "5.0::DOUBLE").replace("anz", "any")
+
+
+@query("A20_noise_2d", _NOISE_2D)
 def _(v):
     return peaks.noise_sigma(v.grid2d, ["plane_id"], "z", k=5.0)
 
@@ -48,7 +51,17 @@ def _(v):
     return peaks.pick_1d(v.point1d, ["spectrum_id"], "y", snr_floor=2.0)
 
 
-@query("A22_line_widths")
+_TOPS = f"SELECT * FROM (SELECT *, max(abs(y)) OVER (PARTITION BY spectrum_id) AS top FROM ({_MAXIMA}) m) t WHERE abs(y)::DOUBLE >= 0.5::DOUBLE * top::DOUBLE"
+
+
+@query(
+    "A22_line_widths",
+    f"""WITH t AS MATERIALIZED (SELECT spectrum_id, i AS at_, y::DOUBLE / 2.0::DOUBLE AS half FROM ({_TOPS}) x),
+        s AS (SELECT t.spectrum_id, t.at_, any_value(t.half) AS half, max(p.i) FILTER (p.i < t.at_ AND p.y::DOUBLE <= t.half) AS l, min(p.i) FILTER (p.i > t.at_ AND p.y::DOUBLE <= t.half) AS r, min(p.i) AS lo, max(p.i) AS hi FROM t JOIN {{point1d}} p ON p.spectrum_id = t.spectrum_id GROUP BY t.spectrum_id, t.at_),
+        w AS (SELECT s.spectrum_id, (coalesce(s.r - (s.half - rv.y) / (rn.y - rv.y)::DOUBLE, s.hi::DOUBLE) - coalesce(s.l + (s.half - lv.y) / (ln_.y - lv.y)::DOUBLE, s.lo::DOUBLE)) * 0.01::DOUBLE AS w FROM s
+              LEFT JOIN {{point1d}} lv ON lv.spectrum_id = s.spectrum_id AND lv.i = s.l LEFT JOIN {{point1d}} ln_ ON ln_.spectrum_id = s.spectrum_id AND ln_.i = s.l + 1 LEFT JOIN {{point1d}} rv ON rv.spectrum_id = s.spectrum_id AND rv.i = s.r LEFT JOIN {{point1d}} rn ON rn.spectrum_id = s.spectrum_id AND rn.i = s.r - 1)
+        SELECT spectrum_id, median(w) AS "median", min(w) AS "min", max(w) AS "max", median(w) * 1.5::DOUBLE AS distance, count(*) AS n FROM (SELECT *, count(*) FILTER (w < 1.0) OVER (PARTITION BY spectrum_id) AS narrow FROM w) x WHERE narrow = 0 OR w < 1.0 GROUP BY spectrum_id""",
+)
 def _(v):
     tops = peaks.above_share_of_max(peaks.local_maxima(v.point1d, ["spectrum_id"], "y"), ["spectrum_id"], "y", 0.5)
     return peaks.width_summary(peaks.line_widths(v.point1d, tops, ["spectrum_id"], "y"), ["spectrum_id"], 0.01)
@@ -110,13 +123,14 @@ def _(v):
 
 @query(
     "W12_pick_2d",
-    """WITH RECURSIVE e AS (SELECT plane_id, i, j, z, i * 1024 + j AS n FROM {grid2d} WHERE z >= 110),
+    f"""WITH RECURSIVE noise AS MATERIALIZED ({_NOISE_2D}), e AS MATERIALIZED (SELECT g.plane_id, i, j, z, n.sigma, i * 1024 + j AS n FROM {{grid2d}} g JOIN noise n ON n.plane_id = g.plane_id WHERE z::DOUBLE >= 3.0::DOUBLE * n.sigma),
        reach AS (SELECT plane_id, n AS start, n AS node FROM e UNION SELECT r.plane_id, r.start, y.n FROM reach r JOIN e x ON x.plane_id = r.plane_id AND x.n = r.node JOIN e y ON y.plane_id = x.plane_id AND abs(y.i - x.i) <= 1 AND abs(y.j - x.j) <= 1),
-       region AS (SELECT plane_id, start, min(node) AS region FROM reach GROUP BY ALL), r AS (SELECT e.*, region FROM e JOIN region g ON g.plane_id = e.plane_id AND g.start = e.n)
-       SELECT plane_id, count(*) AS cells, arg_min(i, struct_pack(z := -z, i := i, j := j)) AS i, arg_min(j, struct_pack(z := -z, i := i, j := j)) AS j, max(z) AS z FROM r GROUP BY plane_id, region""",
+       region AS (SELECT plane_id, start, min(node) AS region FROM reach GROUP BY ALL), r AS (SELECT e.*, region FROM e JOIN region g ON g.plane_id = e.plane_id AND g.start = e.n),
+       best AS (SELECT plane_id, count(*) AS cells, arg_min(i, struct_pack(z := -z, i := i, j := j)) AS i, arg_min(j, struct_pack(z := -z, i := i, j := j)) AS j, max(z) AS z, any_value(sigma) AS sigma FROM r GROUP BY plane_id, region)
+       SELECT plane_id, cells, i, j, z, abs(z)::DOUBLE / sigma AS snr, row_number() OVER (PARTITION BY plane_id ORDER BY i, j) AS rank FROM best""",
 )
 def _(v):
-    return peaks.pick_2d(v.grid2d, F.lit(110))
+    return peaks.pick_2d(v.grid2d, snr_floor=3.0)
 
 
 @query(

@@ -1,22 +1,20 @@
-"""Queries over text sources and sinks."""
+"""Queries over text sources and sinks (S1-S19, S24, F8, X1-X5) and the surface over them."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from resonara.operators import joins
 from resonara.sources import jcamp, sdf, text
 
 from .catalog import query
-from .scratch import shared_dir
+from .scratch import new_folder
 
 c = F.col
 
 
 def _folder(v, name: str) -> str:
-    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(v.spark, name)
 
 
 _T = "cast(cast((shift_c - shift_c % 100) / 100 AS bigint) AS string) || '.' || lpad(cast(shift_c % 100 AS string), 2, '0')"
@@ -78,7 +76,7 @@ def _(v):
     return sdf.sdf_bonds(sdf.records(v.spark, path))
 
 
-@query("S4_detect_flavour")
+@query("S4_detect_flavour", "SELECT 'first' AS file, 'measured' AS flavour UNION ALL SELECT 'second', 'predicted'")
 def _(v):
     a, b = _folder(v, "sdf"), _folder(v, "sdf")
     write_measured(v, a)
@@ -114,13 +112,63 @@ def _(v):
 
 @query("S8_jcamp_affn", "SELECT cast(spectrum_id AS string) AS path, i, y::DOUBLE * 0.5::DOUBLE AS value FROM {point1d}")
 def _(v):
-    # a difference-packed line for every 50 points, after a plain first one
+    # a plain line for every 50 points
     lines = v.point1d.groupBy("spectrum_id", F.floor(c("i") / 50).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda p: p["y"].cast("string")), " ").alias("ys"))
     table = lines.groupBy("spectrum_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "ys"))), lambda b: F.concat((b["block"] * 50).cast("string"), F.lit(" "), b["ys"])), "\n").alias("t"))
     content = F.concat(F.lit("##TITLE= x\n##YFACTOR= 0.5\n##FIRSTX= 100\n##LASTX= 0\n##XYDATA= (X++(Y..Y))\n"), c("t"), F.lit("\n##END=\n"))
     return jcamp.parse_jcamp(table.select(c("spectrum_id").cast("string").alias("path"), content.alias("content"))).select("path", "i", "value")
 
 
+_NUMBER = "(CASE WHEN {x} < 0 THEN substring('{minus}', cast(substring(cast(abs({x}) AS string), 1, 1) AS int), 1) ELSE substring('{plus}', cast(substring(cast({x} AS string), 1, 1) AS int) + 1, 1) END || substring(cast(abs({x}) AS string), 2))"
+_SQUEEZED, _STEP = (lambda x: _NUMBER.replace("{x}", x).replace("{plus}", "@ABCDEFGHI").replace("{minus}", "abcdefghi")), (lambda x: _NUMBER.replace("{x}", x).replace("{plus}", "%JKLMNOPQR").replace("{minus}", "jklmnopqr"))
+
+
+@query("S8_jcamp_packed", "SELECT cast(spectrum_id AS string) AS path, i, y::DOUBLE * 0.5::DOUBLE AS value FROM {point1d}")
+def _(v):
+    # lines of 50 points: the last value of the line before, squeezed, as a check, then differences
+    rows = v.sql("SELECT *, floor(i / 50) AS block, lag(y) OVER (PARTITION BY spectrum_id ORDER BY i) AS before, y - lag(y) OVER (PARTITION BY spectrum_id ORDER BY i) AS d FROM {point1d}")
+    entry = F.expr(f"CASE WHEN i = 0 THEN {_SQUEEZED('y')} WHEN i % 50 = 0 THEN {_SQUEEZED('before')} || {_STEP('d')} ELSE {_STEP('d')} END")
+    lines = rows.select("spectrum_id", "block", "i", entry.alias("e")).groupBy("spectrum_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda p: p["e"]), "").alias("ys"))
+    at = lambda b: F.greatest(b["block"] * 50 - 1, F.lit(0)).cast("string")
+    table = lines.groupBy("spectrum_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "ys"))), lambda b: F.concat(at(b), F.lit(" "), b["ys"])), "\n").alias("t"))
+    content = F.concat(F.lit("##TITLE= x\n##YFACTOR= 0.5\n##FIRSTX= 100\n##LASTX= 0\n##XYDATA= (X++(Y..Y))\n"), c("t"), F.lit("\n##END=\n"))
+    return jcamp.parse_jcamp(table.select(c("spectrum_id").cast("string").alias("path"), content.alias("content"))).select("path", "i", "value")
+
+
+def _pages(v, head: str = ""):
+    """Every plane as a 2D document of 48 pages; cells without a value are 0."""
+    cells = v.grid2d.select("plane_id").distinct().select("plane_id", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("i")).select("plane_id", "i", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("j")).join(v.grid2d, ["plane_id", "i", "j"], "left")
+    rows = cells.groupBy("plane_id", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.coalesce("z", F.lit(0)).alias("z")))), lambda p: p["z"].cast("string")), " ").alias("ys"))
+    page = lambda r: F.concat(F.lit("##PAGE= F1= "), (47 - r["i"]).cast("string"), F.lit("\n##DATA TABLE= (F2++(Y..Y)), PROFILE\n0 "), r["ys"])
+    pages = rows.groupBy("plane_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "ys"))), page), "\n").alias("t"))
+    content = F.concat(F.lit(f"##TITLE= x\n{head}##SYMBOL= F1, F2, Y\n##VAR_DIM= 48, 48, 2304\n##FACTOR= 1, 1, 1\n##FIRST= 4700, 4700, 0\n##LAST= 0, 0, 0\n"), c("t"), F.lit("\n##END=\n"))
+    return pages.select(F.concat(F.lit("/in/"), c("plane_id").cast("string"), F.lit("/plane.dx")).alias("path"), content.alias("content"))
+
+
+@query(
+    "S8_jcamp_pages",
+    "SELECT '/in/' || p.plane_id || '/plane.dx' AS path, p.r AS row, p.k AS i, coalesce(g.z, 0)::DOUBLE AS value FROM (SELECT plane_id, r, k FROM (SELECT DISTINCT plane_id FROM {grid2d}) d, (SELECT unnest(range(48)) AS r) x, (SELECT unnest(range(48)) AS k) y) p LEFT JOIN {grid2d} g ON g.plane_id = p.plane_id AND g.i = p.r AND g.j = p.k",
+)
+def _(v):
+    return jcamp.parse_jcamp(_pages(v)).select("path", "row", "i", "value")
+
+
+@query(
+    "ingest_jcamp",
+    """WITH RECURSIVE top AS (SELECT plane_id, 0.4::DOUBLE * max(abs(z))::DOUBLE AS t FROM {grid2d} GROUP BY plane_id), e AS MATERIALIZED (SELECT g.plane_id, i, j, z, i * 1024 + j AS n FROM {grid2d} g JOIN top ON top.plane_id = g.plane_id WHERE z::DOUBLE >= top.t),
+       reach AS (SELECT plane_id, n AS start, n AS node FROM e UNION SELECT r.plane_id, r.start, y.n FROM reach r JOIN e x ON x.plane_id = r.plane_id AND x.n = r.node JOIN e y ON y.plane_id = x.plane_id AND abs(y.i - x.i) <= 1 AND abs(y.j - x.j) <= 1),
+       region AS (SELECT plane_id, start, min(node) AS region FROM reach GROUP BY ALL), r AS (SELECT e.*, region FROM e JOIN region g ON g.plane_id = e.plane_id AND g.start = e.n),
+       best AS (SELECT plane_id, arg_min(i, struct_pack(z := -z, i := i, j := j)) AS i, arg_min(j, struct_pack(z := -z, i := i, j := j)) AS j, max(z) AS z FROM r GROUP BY plane_id, region)
+       SELECT 'COSY' AS experiment, (47 - i) * 100 AS f1_c, (47 - j) * 100 AS f2_c, count(*) AS peaks, sum(z)::DOUBLE AS total FROM best GROUP BY ALL""",
+)
+def _(v):
+    from resonara.api import ingest_jcamp
+
+    docs = _pages(v, "##.PULSE SEQUENCE= cosygpqf\n##.OBSERVE NUCLEUS= ^1H\n##.OBSERVE FREQUENCY= 100\n")
+    found = ingest_jcamp(docs, thresholds=["COSY=0.4"]).peaks_2d
+    return found.groupBy("experiment", "f1_c", "f2_c").agg(F.count("*").alias("peaks"), F.sum("intensity").alias("total"))
+
+
 @query(
     "S8b_resolve_dim",
     "SELECT ord AS id, CASE WHEN supp % 4 = 0 THEN NULL WHEN supp % 4 = 1 THEN 1.5 WHEN supp % 4 = 2 THEN 2.5 END::DOUBLE AS \"offset\", CASE supp % 4 WHEN 0 THEN 'length' WHEN 3 THEN 'not_found' END AS error FROM {item} WHERE pos = 0",
@@ -261,12 +309,14 @@ def _(v):
 
     atoms = number_atoms(v.peak1d).select("list_id", "atom_no", F.lit("C").alias("element"), F.lit("sp3").alias("hybridisation"), F.lit(0).cast("bigint").alias("h_count"), "pos_c")
     pairs = v.peak2d.where("experiment = 'HSQC'").select("list_id", F.lit("HSQC").alias("kind"), (c("peak_id") % 7).alias("atom1"), (c("peak_id") % 7).alias("atom2")).distinct()
-    return text.constraint_text(atoms, pairs.join(atoms.select("list_id").distinct(), "list_id", "left_semi"))
+    path = _folder(v, "constraints")
+    text.write_constraints(text.constraint_text(atoms, pairs.join(atoms.select("list_id").distinct(), "list_id", "left_semi")), path)
+    return text.constraint_texts(v.spark, path)
 
 
-@query("S19_fragment_files", "SELECT smiles, 'fragment_' || substring(sha256(smiles), 1, 12) || '.lsd' AS file_name, 'DEFF F' || fragment_id || ' \"fragment_' || substring(sha256(smiles), 1, 12) || '.lsd\"' AS deff, 'FEXP \"F' || fragment_id || '\"' AS fexp FROM {fragment}")
+@query("S19_fragment_files", "SELECT smiles, 'fragment_' || substring(sha256(smiles), 1, 12) || '.lsd' AS file_name, 'DEFF F' || k || ' \"fragment_' || substring(sha256(smiles), 1, 12) || '.lsd\"' AS deff, 'FEXP \"F' || k || '\"' AS fexp FROM (SELECT smiles, row_number() OVER (ORDER BY smiles) AS k FROM {fragment}) f")
 def _(v):
-    return text.fragment_files(v.fragment.withColumn("number", c("fragment_id")))
+    return text.fragment_files(v.fragment)
 
 
 @query(
@@ -290,6 +340,40 @@ def _(v):
     return resolve_stats(v.spark, [path + "-missing", path]).select("code", "radius", "n")
 
 
+@query("X2_get_by_formula", "SELECT r.formula_norm, k.name, count(*) AS n, min(s.shift_c) AS min_c FROM {reference} r JOIN {compound} k ON k.formula_norm = r.formula_norm JOIN {signal} s ON s.compound_id = k.id WHERE r.id % 5 = 0 GROUP BY r.formula_norm, k.name")
+def _(v):
+    from resonara.api import get_by_formula
+
+    path = _folder(v, "sdf")
+    write_measured(v, path)
+    found = get_by_formula(v.spark, "sdf", path, v.reference.where("id % 5 = 0").select("formula_norm"))
+    return found.select("formula_norm", "name", F.size("refs").cast("bigint").alias("n"), F.array_min(F.transform("refs", lambda r: r["shift_c"])).alias("min_c"))
+
+
+@query("X3_welford_std", "SELECT code, round(stddev_pop(shift_c), 6) AS std, count(*) AS n FROM {env_key} WHERE radius = 1 GROUP BY code")
+def _(v):
+    from resonara.api import welford_std
+
+    spread = v.env_key.where("radius = 1").groupBy("code").agg(F.round(welford_std(c("shift_c").cast("double")), 6).alias("std"))
+    return spread.join(v.env_key.where("radius = 1").groupBy("code").agg(F.count("*").alias("n")), "code")
+
+
+@query("build_warehouse", "SELECT count(*) AS compounds, count(DISTINCT k.formula_norm) AS formulas FROM {compound} k WHERE EXISTS (SELECT 1 FROM {signal} s WHERE s.compound_id = k.id)")
+def _(v):
+    from resonara.api import build_warehouse
+
+    source, path = _folder(v, "sdf"), _folder(v, "warehouse")
+    write_measured(v, source)
+    return build_warehouse(v.spark, {"first": source}, path).select("compounds", "formulas")
+
+
+@query("table_info", "SELECT radius, count(*) AS codes, sum(n)::BIGINT AS observations, min(n) AS least, max(n) AS most FROM {env_state} GROUP BY radius")
+def _(v):
+    from resonara.api import table_info
+
+    return table_info(v.env_state)
+
+
 @query("X4_parse_signals_udtf", "SELECT compound_id, pos, t::DOUBLE AS shift FROM {signal_text} UNION ALL SELECT compound_id, pos, t::DOUBLE FROM {signal_text}")
 def _(v):
     from resonara.api import register

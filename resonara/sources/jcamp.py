@@ -12,6 +12,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from resonara.functions.scoring import nucleus
 
 from .text import documents
 
@@ -24,7 +27,7 @@ _PLAIN = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 _X = re.compile(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)")
 #: A first abscissa, with an exponent or not, and what follows it.
 _START = re.compile(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*(.?)")
-SCHEMA = "path string, row bigint, i bigint, x_hz double, value double, error string"
+SCHEMA = "path string, row bigint, i bigint, x_hz double, y_hz double, value double, error string"
 
 
 def decode_lines(lines: list[str]) -> list[float]:
@@ -88,7 +91,7 @@ def _numbers(text: str) -> list[float]:
 
 
 def decode(path: str, content: str) -> pd.DataFrame:
-    """Points of one file: row (0 in 1D), index, abscissa in Hz, value; or one error row."""
+    """Points of one file: row (0 in 1D), index, abscissa in Hz, place of the row in Hz (null in 1D), value; or one error row."""
     try:
         pairs = labels(content)
         first = {k: v for k, v in reversed(pairs)}
@@ -109,7 +112,7 @@ def decode(path: str, content: str) -> pd.DataFrame:
             if sizes[names.index("F1")] != len(pages) or sizes[names.index("F2")] != n:
                 raise ValueError(f"declared {sizes}, found {len(pages)} x {n}")
             factor = _numbers(first["FACTOR"])[names.index("Y")]
-            start, stop = _numbers(first["FIRST"])[names.index("F2")], _numbers(first["LAST"])[names.index("F2")]
+            (top, start), (bottom, stop) = ([_numbers(first[k])[names.index(f)] for f in ("F1", "F2")] for k in ("FIRST", "LAST"))
         else:
             if "NPOINTS" in first and int(_numbers(first["NPOINTS"])[0]) != n:
                 raise ValueError(f"declared {first['NPOINTS']} points, found {n}")
@@ -117,9 +120,10 @@ def decode(path: str, content: str) -> pd.DataFrame:
             start, stop = _numbers(first.get("FIRSTX", first.get("FIRST", "0")))[0], _numbers(first.get("LASTX", first.get("LAST", "0")))[0]
         values = np.asarray(rows, dtype=np.float64) * factor
         x = np.linspace(start, stop, n)
-        return pd.DataFrame({"path": path, "row": np.repeat(np.arange(len(rows)), n), "i": np.tile(np.arange(n), len(rows)), "x_hz": np.tile(x, len(rows)), "value": values.ravel(), "error": None})
+        y = np.linspace(top, bottom, len(rows)) if pages else np.full(len(rows), np.nan)
+        return pd.DataFrame({"path": path, "row": np.repeat(np.arange(len(rows)), n), "i": np.tile(np.arange(n), len(rows)), "x_hz": np.tile(x, len(rows)), "y_hz": np.repeat(y, n), "value": values.ravel(), "error": None})
     except (KeyError, ValueError, IndexError) as e:
-        return pd.DataFrame({"path": [path], "row": [None], "i": [None], "x_hz": [None], "value": [None], "error": [f"{type(e).__name__}: {e}"]})
+        return pd.DataFrame({"path": [path], "row": [None], "i": [None], "x_hz": [None], "y_hz": [None], "value": [None], "error": [f"{type(e).__name__}: {e}"]})
 
 
 def parse_jcamp(docs: DataFrame) -> DataFrame:
@@ -129,7 +133,7 @@ def parse_jcamp(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 out = decode(path, content or "")
-                yield out.astype({"row": "Int64", "i": "Int64", "x_hz": "float64", "value": "float64"})
+                yield out.astype({"row": "Int64", "i": "Int64", "x_hz": "float64", "y_hz": "float64", "value": "float64"})
 
     return docs.select("path", "content").mapInPandas(run, SCHEMA)
 
@@ -137,3 +141,10 @@ def parse_jcamp(docs: DataFrame) -> DataFrame:
 def read_jcamp(spark: SparkSession, path: str) -> DataFrame:
     """All JCAMP-DX files at ``path``, which any of Spark's file systems may hold."""
     return parse_jcamp(documents(spark, path, "*.dx"))
+
+
+def headers(docs: DataFrame) -> DataFrame:
+    """(path, nucleus, pulse_program, mhz, pages) of documents by their labels; null where they lack one."""
+    label = lambda name: F.nullif(F.trim(F.regexp_extract("content", rf"(?mi)^##\.?{name}\s*=[ \t]*(.*)$", 1)), F.lit(""))
+    nucleus_ = label(r"OBSERVE\s*NUCLEUS")
+    return docs.select("path", nucleus(nucleus_).alias("nucleus"), label(r"PULSE\s*SEQUENCE").alias("pulse_program"), label(r"OBSERVE\s*FREQUENCY").try_cast("double").alias("mhz"), F.rlike("content", F.lit(r"(?mi)^##\s*PAGE\s*=")).alias("pages"))

@@ -6,6 +6,8 @@ files are split between tasks; everything else is column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +39,14 @@ def detect_sdf_flavour(spark: SparkSession, path: str) -> str | None:
     return "predicted" if found["predicted"] else "measured" if found["measured"] else None
 
 
-def parse_sdf(df: DataFrame, flavour: str) -> DataFrame:
+def parse_sdf(df: DataFrame, flavour: str, keep: Sequence[str] = ()) -> DataFrame:
     """Compounds with nested signals of raw records (S1, S2); records without a spectrum are dropped.
 
-    Columns: name, formula, inchi, inchi_key, carbon_count, signals (shift,
-    h_count, atom_index; 0-based in both flavours).
+    Columns: those of ``keep``, name, formula, inchi, inchi_key, carbon_count,
+    signals (shift, h_count, atom_index; 0-based in both flavours).
     """
     inchi = F.coalesce(sdf_property(c("record"), "InChI"), F.lit(""))
-    common = df.select("record", F.trim(F.substring_index("record", "\n", 1)).alias("name"), inchi.alias("inchi"), F.coalesce(sdf_property(c("record"), "InChI key"), F.lit("")).alias("inchi_key"))
+    common = df.select(*keep, "record", F.trim(F.substring_index("record", "\n", 1)).alias("name"), inchi.alias("inchi"), F.coalesce(sdf_property(c("record"), "InChI key"), F.lit("")).alias("inchi_key"))
     if flavour == "measured":
         # the cheap test of the field comes before anything is parsed
         spectra = common.where(F.contains("record", F.lit(f"<{MEASURED_FIELD}>")))
@@ -58,7 +60,7 @@ def parse_sdf(df: DataFrame, flavour: str) -> DataFrame:
         rows = rows.withColumn("signals", signals)
     else:
         raise ValueError(f"unknown flavour {flavour!r}")
-    return rows.where(F.size("signals") > 0).select("name", "formula", "inchi", "inchi_key", count_carbons(F.coalesce("formula", F.lit(""))).alias("carbon_count"), "signals")
+    return rows.where(F.size("signals") > 0).select(*keep, "name", "formula", "inchi", "inchi_key", count_carbons(F.coalesce("formula", F.lit(""))).alias("carbon_count"), "signals")
 
 
 def read_sdf(spark: SparkSession, path: str, flavour: str | None = None) -> DataFrame:
@@ -69,27 +71,27 @@ def read_sdf(spark: SparkSession, path: str, flavour: str | None = None) -> Data
     return parse_sdf(records(spark, path), flavour)
 
 
-def _block(df: DataFrame) -> DataFrame:
+def _block(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     lines = F.split("record", "\n")
     counts = F.get(lines, F.lit(3))
     return df.select(
-        F.trim(F.substring_index("record", "\n", 1)).alias("name"), lines.alias("_lines"),
+        *keep, F.trim(F.substring_index("record", "\n", 1)).alias("name"), lines.alias("_lines"),
         F.trim(F.substring(counts, 1, 3)).try_cast("int").alias("_atoms"), F.trim(F.substring(counts, 4, 3)).try_cast("int").alias("_bonds"),
     ).where("_atoms IS NOT NULL AND _bonds IS NOT NULL")
 
 
-def sdf_atoms(df: DataFrame) -> DataFrame:
-    """(name, pos, element, x, y, z) of the atom block, by the fixed columns of V2000 (S3)."""
-    rows = _block(df).select("name", F.posexplode(F.slice("_lines", F.lit(5), c("_atoms"))).alias("pos", "line"))
+def sdf_atoms(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(columns of ``keep``, name, pos, element, x, y, z) of the atom block, by the fixed columns of V2000 (S3)."""
+    rows = _block(df, keep).select(*keep, "name", F.posexplode(F.slice("_lines", F.lit(5), c("_atoms"))).alias("pos", "line"))
     at = lambda start, n: F.trim(F.substring("line", start, n))
-    return rows.select("name", c("pos").cast("bigint").alias("pos"), at(32, 3).alias("element"), *(at(s, 10).try_cast("double").alias(a) for a, s in (("x", 1), ("y", 11), ("z", 21))))
+    return rows.select(*keep, "name", c("pos").cast("bigint").alias("pos"), at(32, 3).alias("element"), *(at(s, 10).try_cast("double").alias(a) for a, s in (("x", 1), ("y", 11), ("z", 21))))
 
 
-def sdf_bonds(df: DataFrame) -> DataFrame:
-    """(name, i, j, bond_order) of the bond block, 0-based atoms (S3)."""
-    rows = _block(df).select("name", F.explode(F.slice("_lines", c("_atoms") + 5, c("_bonds"))).alias("line"))
+def sdf_bonds(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(columns of ``keep``, name, i, j, bond_order) of the bond block, 0-based atoms (S3)."""
+    rows = _block(df, keep).select(*keep, "name", F.explode(F.slice("_lines", c("_atoms") + 5, c("_bonds"))).alias("line"))
     at = lambda start: F.trim(F.substring("line", start, 3)).try_cast("bigint")
-    return rows.select("name", (at(1) - 1).alias("i"), (at(4) - 1).alias("j"), at(7).alias("bond_order"))
+    return rows.select(*keep, "name", (at(1) - 1).alias("i"), (at(4) - 1).alias("j"), at(7).alias("bond_order"))
 
 
 def write_sdf(df: DataFrame, path: str) -> None:

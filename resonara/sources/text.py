@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from resonara.plans.scratch import kept
+
 c = F.col
 
-#: Experiments by keyword of a file name: fixed values.
+#: Experiments by keyword of a file name, and the marks around inventories: fixed values.
 KEYWORDS = {"hsqc": "HSQC", "hmbc": "HMBC", "cosy": "COSY"}
 INVENTORY_START, INVENTORY_END, INVENTORY_V1 = "=== CONSTRAINT INVENTORY v2 ===", "=== END CONSTRAINT INVENTORY ===", "=== CONSTRAINT INVENTORY v1 ==="
+#: Characters of the notation: letters, digits, brackets, bonds, charges, stereo marks and the dot; fixed values.
 SMILES = r"^[A-Za-z0-9@\[\]\(\)=#\-\+\\/\.]+$"
 
 
@@ -190,12 +193,21 @@ def flatten_projects(df: DataFrame) -> DataFrame:
     return sets.select("project_id", "project", "owner", "study_id", "study", F.coalesce("d.identifier", "d.id", F.lit("")).alias("dataset_id"), F.coalesce("d.name", F.lit("")).alias("dataset"), c("d.type").alias("type"))
 
 
+def parse_tsv(docs: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Rows of TSV documents (path, content), each with its own header, with each wanted column under any of its names.
+
+    Names are compared without case; a column that a file lacks is null.
+    """
+    lines = F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "")
+    named = docs.select(F.transform(F.split(F.get(lines, F.lit(0)), "\t"), lambda x: F.lower(F.trim(x))).alias("_names"), F.explode(F.slice(lines, 2, F.size(lines) + 1)).alias("_line"))
+    cells = named.withColumn("_cells", F.split("_line", "\t"))
+    places = lambda names: F.array_min(F.filter(F.array(*(F.nullif(F.array_position("_names", n.lower()), F.lit(0)) for n in names)), lambda x: x.isNotNull()))
+    return cells.select(*(F.get(c("_cells"), (places(names) - 1).cast("int")).alias(k) for k, names in aliases.items()))
+
+
 def read_tsv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
-    """TSV files with each wanted column under any of its names, case-insensitively; null where a file lacks it."""
-    raw = spark.read.csv(path, sep="\t", header=True)
-    there = {x.strip().lower(): x for x in raw.columns}
-    found = {k: next((there[n.lower()] for n in names if n.lower() in there), None) for k, names in aliases.items()}
-    return raw.select(*(raw[f"`{v}`"].alias(k) if v else F.lit(None).cast("string").alias(k) for k, v in found.items()))
+    """``parse_tsv`` of the files at ``path``."""
+    return parse_tsv(documents(spark, path), aliases)
 
 
 def select_experiment(catalog: DataFrame, kind: str) -> DataFrame:
@@ -302,13 +314,39 @@ def constraint_text(atoms: DataFrame, correlations: DataFrame) -> DataFrame:
     return sections.groupBy("list_id").agg(F.concat(text, F.lit("\nEXIT")).alias("text"))
 
 
-def write_constraints(problems: DataFrame, path: str) -> None:
-    """Each problem's text as rows of a text folder partitioned by list."""
-    problems.select("list_id", c("text").alias("value")).write.mode("overwrite").partitionBy("list_id").text(path)
+def write_constraints(problems: DataFrame, path: str, files: int | None = None) -> None:
+    """Problems (list_id, text) as a text folder: one line of JSON a problem, in files of many problems, sorted by list.
+
+    ``constraint_texts`` reads them back; a solver's front end takes the texts it
+    wants from there.
+    """
+    rows = problems.repartitionByRange(files, "list_id") if files else problems.repartitionByRange("list_id")
+    rows.sortWithinPartitions("list_id").select(F.to_json(F.struct("list_id", "text")).alias("value")).write.mode("overwrite").text(path)
+
+
+def constraint_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(list_id, text) of a folder of ``write_constraints``."""
+    return spark.read.text(path).select(F.from_json("value", "list_id bigint, text string").alias("p")).select("p.*")
+
+
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with ``number``, from 1 in order of ``by``: a sort over ranges, and an offset for each range.
+
+    Every range is numbered by itself; only one count a range comes to the driver.
+    """
+    ranges = kept(df.repartitionByRange(by).sortWithinPartitions(by).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "numbered")
+    counts = {r["_part"]: r["n"] for r in ranges.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, offsets = 1, []
+    for part in range(max(counts, default=-1) + 1):
+        offsets.append(before)
+        before += counts.get(part, 0)
+    offset = F.get(F.array(*(F.lit(x).cast("bigint") for x in offsets)), c("_part")) if offsets else F.lit(1).cast("bigint")
+    return ranges.withColumn("number", c("_at") + offset).drop("_part", "_at")
 
 
 def fragment_files(fragments: DataFrame) -> DataFrame:
     """(smiles, file_name, deff, fexp) of fragments: the name is the first 12 hex digits of a SHA-256."""
     name = F.concat(F.lit("fragment_"), F.substring(F.sha2("smiles", 256), 1, 12), F.lit(".lsd"))
-    number = F.row_number().over(W.orderBy("smiles")) if "number" not in fragments.columns else c("number")
-    return fragments.select("smiles", name.alias("file_name"), F.concat(F.lit("DEFF F"), number.cast("string"), F.lit(' "'), name, F.lit('"')).alias("deff"), F.concat(F.lit('FEXP "F'), number.cast("string"), F.lit('"')).alias("fexp"))
+    rows = fragments if "number" in fragments.columns else numbered(fragments, "smiles")
+    number = c("number").cast("string")
+    return rows.select("smiles", name.alias("file_name"), F.concat(F.lit("DEFF F"), number, F.lit(' "'), name, F.lit('"')).alias("deff"), F.concat(F.lit('FEXP "F'), number, F.lit('"')).alias("fexp"))

@@ -1,13 +1,16 @@
 """Incremental builds as Structured Streaming jobs.
 
-A job's state is a table for each micro-batch, ``<state>/batch=N``, made from the
-one of batch N - 1 and the batch's own delta.  A batch that runs again writes the
-same table again, so that every input counts once; the checkpoint folder says
-where to go on, and without it a build starts afresh.
+A job's state is a table of deltas, one a micro-batch, over a base that is renewed
+every ``COMPACT`` batches; deltas in a base are removed.  So a batch costs what it
+brings, not what the table holds.  A batch that runs again writes the same delta
+again, or nothing if a base holds it, so that every input counts once.  The
+checkpoint folder says where to go on; a start without new input gives the table
+as it was.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -17,79 +20,120 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from resonara.operators import statistics
+from resonara.plans.scratch import kept
 
 c = F.col
 
+#: Micro-batches between two bases.
+COMPACT = 8
 
-def _incremental(stream: DataFrame, state: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame], schema: str | None = None) -> int:
-    """Run what is there through ``step(previous, batch)``; returns the last batch's number, -1 without any."""
-    spark = stream.sparkSession
-    last = [-1]
 
-    def apply(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{state}/batch={number - 1}") if number else None
-        step(before, batch).write.mode("overwrite").parquet(f"{state}/batch={number}")
-        last[0] = number
+class State:
+    """A table as deltas over a base; ``merged`` makes its rows from those of base and deltas, which have ``batch``."""
 
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if last[0] < 0:
-        # nothing new: the state is that of the last batch written
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
-        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
-        last[0] = max((int(m[1]) for n in names if (m := re.fullmatch(r"batch=(\d+)", n))), default=-1)
-    return last[0]
+    def __init__(self, spark: SparkSession, path: str, merged: Callable[[DataFrame], DataFrame]):
+        self.spark, self.path, self.merged = spark, path, merged
 
+    def _folder(self, kind: str, number: int | None = None):
+        name = f"{self.path}/{kind}" if number is None else f"{self.path}/{kind}/{number}"
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return name, path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-def _table(spark: SparkSession, state: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{state}/batch={number}")
+    def numbers(self, kind: str) -> list[int]:
+        """Micro-batches whose delta or base is whole."""
+        name, path, system = self._folder(kind)
+        found = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+        done = lambda n: system.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{name}/{n}/_SUCCESS"))
+        return sorted(int(n) for n in found if n.isdigit() and done(n))
+
+    def _rows(self, before: int | None) -> DataFrame | None:
+        base = max(self.numbers("base"), default=-1)
+        parts = [("base", base)] * (base >= 0) + [("delta", n) for n in self.numbers("delta") if n > base and (before is None or n < before)]
+        rows = None
+        for kind, n in parts:
+            part = self.spark.read.parquet(self._folder(kind, n)[0]).withColumn("batch", F.lit(n))
+            rows = part if rows is None else rows.unionByName(part)
+        return rows
+
+    def table(self, before: int | None = None) -> DataFrame | None:
+        """The table, or as it was before a micro-batch; None without any."""
+        rows = self._rows(before)
+        return None if rows is None else self.merged(rows)
+
+    def add(self, make: Callable[[DataFrame | None], DataFrame], number: int) -> None:
+        """Write what ``make`` gives from the table before, as the delta of a micro-batch."""
+        if number <= max(self.numbers("base"), default=-1):
+            return
+        make(self.table(number)).write.mode("overwrite").parquet(self._folder("delta", number)[0])
+        if number % COMPACT == COMPACT - 1:
+            self.table(number + 1).write.mode("overwrite").parquet(self._folder("base", number)[0])
+            for kind, n in [("delta", n) for n in self.numbers("delta")] + [("base", n) for n in self.numbers("base") if n < number]:
+                _, path, system = self._folder(kind, n)
+                system.delete(path, True)
+
+
+def _incremental(stream: DataFrame, state: State, checkpoint: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], mode: str = "append") -> DataFrame:
+    """Run what is there; ``step(batch, table before)`` gives each micro-batch's delta."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, number: state.add(lambda before: step(batch, before), number))
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    table = state.table()
+    if table is None:
+        raise ValueError("no input yet")
+    return table
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("code", "radius").agg(*(F.sum(x).alias(x) for x in statistics.STATE_COLUMNS))
 
 
 def build_stats(spark: SparkSession, source: str, schema, state: str, checkpoint: str, files_per_batch: int = 2) -> DataFrame:
     """Statistics table of all observations at ``source``, chunk by chunk."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return _incremental(stream, State(spark, state, _summed), checkpoint, lambda batch, _: statistics.env_state(batch))
 
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        delta = statistics.env_state(batch)
-        return delta if before is None else statistics.merge_into(before, delta)
 
-    return _table(spark, state, _incremental(stream, state, checkpoint, step))
+def sdf_observations(records: DataFrame, flavour: str, radius: int) -> DataFrame:
+    """Observations (code, radius, shift_c, state and counters) of the carbons of raw SD records.
 
+    Records are told apart by themselves, whatever their names.  Hybridisation,
+    neighbours, small rings and aromaticity follow from the bond block
+    (``graphs.atom_facts``).
+    """
+    from resonara.operators.graphs import atom_facts, sphere_codes
+    from resonara.sources import sdf
 
-def build_stats_from_sdf(spark: SparkSession, source: str, flavour: str, state: str, checkpoint: str, radius: int = 2, files_per_batch: int = 2) -> DataFrame:
+    # numbered once and written, so that all parts of a record keep its number
+    own = kept(records.where(F.trim("record") != "").select("record", F.monotonically_increasing_id().alias("compound_id")))
+    atoms = kept(sdf.sdf_atoms(own, ["compound_id"]).select("compound_id", "pos", "element"))
+    one_way = sdf.sdf_bonds(own, ["compound_id"]).select("compound_id", "i", "j", "bond_order")
+    bonds = kept(one_way.unionByName(one_way.select("compound_id", c("j").alias("i"), c("i").alias("j"), "bond_order")))
+    signals = sdf.parse_sdf(own, flavour, ["compound_id"]).select("compound_id", F.inline("signals")).where("atom_index IS NOT NULL")
+    shifts = signals.select("compound_id", c("atom_index").alias("pos"), F.round(c("shift") * 100).cast("bigint").alias("shift_c"))
+    codes = sphere_codes(atoms, bonds, radius)
+    return codes.join(shifts, ["compound_id", "pos"]).join(atom_facts(atoms, bonds).where("element = 'C'"), ["compound_id", "pos"])
+
+
+def build_stats_from_sdf(spark: SparkSession, source: str, flavour: str, state: str, checkpoint: str, radius: int = 6, files_per_batch: int = 2) -> DataFrame:
     """Statistics table straight from SD files: atoms, bonds and signals of each chunk make the codes."""
-    from resonara.operators.graphs import sphere_codes
     from resonara.sources import sdf
 
     stream = spark.readStream.format("text").option("lineSep", sdf.SEPARATOR).option("maxFilesPerTrigger", files_per_batch).load(source).select(c("value").alias("record"))
-
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        key = F.xxhash64("name").alias("compound_id")
-        atoms = sdf.sdf_atoms(batch).select(key, "pos", "element")
-        one_way = sdf.sdf_bonds(batch).select(key, "i", "j", "bond_order")
-        bonds = one_way.unionByName(one_way.select("compound_id", c("j").alias("i"), c("i").alias("j"), "bond_order"))
-        signals = sdf.parse_sdf(batch, flavour).select(key, F.inline("signals")).where("atom_index IS NOT NULL")
-        codes = sphere_codes(atoms, bonds, radius)
-        observed = codes.join(signals.select("compound_id", c("atom_index").alias("pos"), F.round(c("shift") * 100).cast("bigint").alias("shift_c")), ["compound_id", "pos"])
-        flags = {x: F.lit(False) for x in statistics.COUNTERS} | {"state": F.lit("")}
-        delta = statistics.env_state(observed.withColumns(flags))
-        return delta if before is None else statistics.merge_into(before, delta)
-
-    return _table(spark, state, _incremental(stream, state, checkpoint, step))
+    return _incremental(stream, State(spark, state, _summed), checkpoint, lambda batch, _: statistics.env_state(sdf_observations(batch, flavour, radius)))
 
 
 def extract_fragments(spark: SparkSession, source: str, schema, state: str, checkpoint: str, key: str = "smiles", seq: str = "fragment_id", files_per_batch: int = 2) -> DataFrame:
-    """First fragment by ``key`` of all at ``source``; insertion comes before the checkpoint and is idempotent."""
+    """First fragment by ``key`` of all at ``source``; insertion comes before the checkpoint and is idempotent.
+
+    A batch's delta holds the keys that the table lacks; only its keys are read.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
         # a first batch is measured against a table without rows
         table = batch.limit(0) if before is None else before
-        new = statistics.insert_ignore(table, batch, [key], seq)[0].select(*batch.columns)
-        return new if before is None else before.unionByName(new)
+        return statistics.insert_ignore(table, batch, [key], seq)[0].select(*batch.columns)
 
-    return _table(spark, state, _incremental(stream, state, checkpoint, step))
+    return _incremental(stream, State(spark, state, lambda rows: rows.drop("batch")), checkpoint, step)
 
 
 STATUS = "run_id bigint, state string, iteration bigint, active_phase string, started bigint, last_epoch bigint"
@@ -114,59 +158,60 @@ def run_status(events: DataFrame, finalized: DataFrame | None = None, fallback:
     return out
 
 
-def _follow(key: tuple, batches, state: GroupState):
-    """Status of one run from new events and what is kept of those before."""
-    import json
-
-    kept = json.loads(state.get[0]) if state.exists else {"starts": [], "ends": [], "started": None, "at": None, "last": None}
-    if state.hasTimedOut:
-        state.remove()
-        return
-    for batch in batches:
-        for r in batch.sort_values("seq").itertuples():
-            epoch = int(r.epoch) if str(r.epoch).lstrip("-").isdigit() else None
-            if epoch is not None:
-                kept["last"] = max(epoch, kept["last"] or epoch)
-            if r.event == "run_start" and (kept["at"] is None or r.seq < kept["at"]):
-                kept["started"], kept["at"] = epoch, int(r.seq)
-            elif r.event == "phase_start" and r.phase:
-                kept["starts"] = [p for p in kept["starts"] if p[1] != r.phase or p[0] > r.seq] + [[int(r.seq), r.phase]]
-            elif r.event == "phase_end" and r.phase and r.phase not in kept["ends"]:
-                kept["ends"].append(r.phase)
-    state.update((json.dumps(kept),))
-    open_ = [p for _, p in sorted(kept["starts"]) if p not in kept["ends"]]
-    active = open_[-1] if open_ else None
-    number = re.fullmatch(r"lsd-iteration-(\d+)", active or "")
-    yield pd.DataFrame({"run_id": [key[0]], "state": ["running"], "iteration": [int(number[1]) if number else 0], "active_phase": [active], "started": pd.array([kept["started"]], "Int64"), "last_epoch": pd.array([kept["last"]], "Int64")})
-
-
-def follow_runs(events: DataFrame) -> DataFrame:
+def _follow(idle_ms: int | None):
+    def follow(key: tuple, batches, state: GroupState):
+        """Status of one run from new events and what is kept of those before."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = json.loads(state.get[0]) if state.exists else {"starts": [], "ends": [], "started": None, "at": None, "last": None}
+        latest = 0
+        for batch in batches:
+            if idle_ms is not None and batch["ts"].notna().any():
+                latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
+            for r in batch.sort_values("seq").itertuples():
+                epoch = int(r.epoch) if str(r.epoch).lstrip("-").isdigit() else None
+                if epoch is not None:
+                    kept["last"] = max(epoch, kept["last"] or epoch)
+                if r.event == "run_start" and (kept["at"] is None or r.seq < kept["at"]):
+                    kept["started"], kept["at"] = epoch, int(r.seq)
+                elif r.event == "phase_start" and r.phase:
+                    kept["starts"] = [p for p in kept["starts"] if p[1] != r.phase or p[0] > r.seq] + [[int(r.seq), r.phase]]
+                elif r.event == "phase_end" and r.phase and r.phase not in kept["ends"]:
+                    kept["ends"].append(r.phase)
+        state.update((json.dumps(kept),))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+        open_ = [p for _, p in sorted(kept["starts"]) if p not in kept["ends"]]
+        active = open_[-1] if open_ else None
+        number = re.fullmatch(r"lsd-iteration-(\d+)", active or "")
+        yield pd.DataFrame({"run_id": [key[0]], "state": ["running"], "iteration": [int(number[1]) if number else 0], "active_phase": [active], "started": pd.array([kept["started"]], "Int64"), "last_epoch": pd.array([kept["last"]], "Int64")})
+
+    return follow
+
+
+def follow_runs(events: DataFrame, idle_minutes: int | None = 10) -> DataFrame:
     """Streaming status of runs from their event log, in update mode (T4).
 
-    ``events``: run_id, seq, event, phase, epoch, ts.  A run's state is a list of
-    its phases; a watermark on ``ts`` and a timeout would remove finished runs.
+    ``events``: run_id, seq, event, phase, epoch, ts (timestamp).  The watermark is
+    ``idle_minutes`` behind the latest event; a run without events for as long
+    after that leaves the state.  Events that come later than the watermark are
+    dropped.  With None nothing leaves and nothing is dropped; ts isn't needed.
     """
-    return events.groupBy("run_id").applyInPandasWithState(_follow, STATUS, "kept string", "update", GroupStateTimeout.NoTimeout)
+    if idle_minutes is None:
+        return events.groupBy("run_id").applyInPandasWithState(_follow(None), STATUS, "kept string", "update", GroupStateTimeout.NoTimeout)
+    marked = events.withWatermark("ts", f"{idle_minutes} minutes")
+    return marked.groupBy("run_id").applyInPandasWithState(_follow(idle_minutes * 60_000), STATUS, "kept string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def follow_into(events: DataFrame, state: str, checkpoint: str) -> DataFrame:
+def follow_into(events: DataFrame, state: str, checkpoint: str, idle_minutes: int | None = 10) -> DataFrame:
     """Latest status of every run, kept as a table while events come in (T4)."""
 
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        if before is None:
-            return batch
-        return before.join(batch.select("run_id"), "run_id", "left_anti").unionByName(batch)
-
-    spark = events.sparkSession
-    last = [-1]
-
-    def apply(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{state}/batch={number - 1}") if number else None
-        step(before, batch).write.mode("overwrite").parquet(f"{state}/batch={number}")
-        last[0] = number
+    def latest(rows: DataFrame) -> DataFrame:
+        rest = [x for x in rows.columns if x not in ("run_id", "batch")]
+        return rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("run_id", "r.*")
 
-    follow_runs(events).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return _table(spark, state, last[0])
+    return _incremental(follow_runs(events, idle_minutes), State(events.sparkSession, state, latest), checkpoint, lambda batch, _: batch, "update")
 
 
 #: Meta keys that keep their first value: fixed values.

@@ -92,7 +92,7 @@ def test_components_and_regions(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
     cells = [(0, 0), (1, 1), (5, 5), (5, 6), (4, 7)]
     grid = spark.createDataFrame([(p, i, j) for p in (0, 1) for i, j in cells], "plane_id bigint, i bigint, j bigint")
-    assert graphs.connected_regions(grid).select("region").distinct().count() == 4
+    assert graphs.connected_regions(grid).select("plane_id", "region_i", "region_j").distinct().count() == 4
 
 
 def test_paths_rings_and_codes(spark):
