@@ -226,20 +226,25 @@ def derive_correlations(peaks: DataFrame, atoms: DataFrame, tolerance: int = 100
 
     HSQC pairs an atom with itself; HMBC takes the first HSQC peak at the
     proton's place, COSY the last; what pairs an atom with itself is left out.
+    Each step carries what the next one needs through its join, so that nothing is
+    joined back.
     """
-    hsqc = assign_atoms(peaks.where("experiment = 'HSQC'"), atoms, "f1_c", tolerance)
-    direct = hsqc.where("atom IS NOT NULL").select("list_id", F.lit("HSQC").alias("kind"), c("atom").alias("atom1"), c("atom").alias("atom2")).distinct()
-    protons = hsqc.select("list_id", c("f2_c").alias("_at"), c("peak_id").alias("_order"), c("atom").alias("_atom"))
+    places = atoms.select("list_id", c("atom_no").alias("_n"), c("pos_c").alias("_at"))
 
-    def via(df: DataFrame, value: str, pick: Callable, name: str) -> DataFrame:
-        hits = band_join(df.select("list_id", "peak_id", value), protons, value, "_at", proton_tolerance, ["list_id"])
-        return df.join(hits.groupBy("list_id", "peak_id").agg(pick(F.struct("_order", "_atom")).getField("_atom").alias(name)), ["list_id", "peak_id"], "left")
+    def met(df: DataFrame, value: str, others: DataFrame, within: int, pick: Column, name: str, carry: Sequence[str], how: str = "inner") -> DataFrame:
+        hits = band_join(df.select("list_id", "peak_id", value, *carry), others, value, "_at", within, ["list_id"], how)
+        return hits.groupBy("list_id", "peak_id", *carry).agg(pick.alias(name))
 
-    hmbc = via(assign_atoms(peaks.where("experiment = 'HMBC'"), atoms, "f1_c", tolerance), "f2_c", F.min, "h_atom")
-    long_range = hmbc.where("atom IS NOT NULL AND h_atom IS NOT NULL AND atom <> h_atom").select("list_id", F.lit("HMBC").alias("kind"), c("atom").alias("atom1"), c("h_atom").alias("atom2")).distinct()
-    cosy = via(via(peaks.where("experiment = 'COSY'"), "f1_c", F.max, "a1"), "f2_c", F.max, "a2").where("a1 IS NOT NULL AND a2 IS NOT NULL AND a1 <> a2")
-    coupled = cosy.select("list_id", F.lit("COSY").alias("kind"), F.least("a1", "a2").alias("atom1"), F.greatest("a1", "a2").alias("atom2")).distinct()
-    return direct.unionByName(long_range).unionByName(coupled)
+    of = lambda kind: peaks.where(c("experiment") == kind)
+    hsqc = met(of("HSQC"), "f1_c", places, tolerance, F.min("_n"), "atom", ["f2_c"], "left")
+    direct = hsqc.where("atom IS NOT NULL").select("list_id", F.lit("HSQC").alias("kind"), c("atom").alias("atom1"), c("atom").alias("atom2"))
+    protons = hsqc.select("list_id", c("f2_c").alias("_at"), c("peak_id").alias("_order"), c("atom").alias("_atom"))
+    first, last = (pick(F.struct("_order", "_atom"))["_atom"] for pick in (F.min, F.max))
+    carbons = met(of("HMBC"), "f1_c", places, tolerance, F.min("_n"), "atom", ["f2_c"])
+    long_range = met(carbons, "f2_c", protons, proton_tolerance, first, "h_atom", ["atom"]).where("atom <> h_atom").select("list_id", F.lit("HMBC").alias("kind"), c("atom").alias("atom1"), c("h_atom").alias("atom2"))
+    one = met(of("COSY"), "f1_c", protons, proton_tolerance, last, "a1", ["f2_c"]).where("a1 IS NOT NULL")
+    coupled = met(one, "f2_c", protons, proton_tolerance, last, "a2", ["a1"]).where("a1 <> a2").select("list_id", F.lit("COSY").alias("kind"), F.least("a1", "a2").alias("atom1"), F.greatest("a1", "a2").alias("atom2"))
+    return direct.unionByName(long_range).unionByName(coupled).distinct()
 
 
 def assign_multiplicity(carbons: DataFrame, dept: DataFrame, tolerance: int = 100) -> DataFrame:

@@ -41,6 +41,10 @@ def bucket(value: str, tolerance: int) -> Column:
     return F.rint(c(value).cast("double") / F.lit(float(tolerance))).cast("bigint")
 
 
+#: Shifts that a user may give in place of DEPT.
+OVERRIDE_ROWS = 10_000
+
+
 def quaternary(carbons: DataFrame, dept: DataFrame, tolerance: int = 50) -> DataFrame:
     """Carbon shifts without a DEPT peak within tolerance."""
     return band_join(carbons, dept.select("list_id", c("pos_c").alias("_at")), "pos_c", "_at", tolerance, ["list_id"], "left_anti")
@@ -54,6 +58,9 @@ def resolve_reference(lists: DataFrame, carbons: DataFrame, dept: DataFrame, ove
     sources = given.select("list_id", F.when(c("_dept"), "dept").otherwise(fallback).alias("source"))
     found = quaternary(carbons, dept).join(with_dept.drop("_dept"), "list_id", "left_semi").select("list_id", "pos_c")
     if override is not None:
+        # a user's own short list; every list without DEPT gets all of it
+        if override.count() > OVERRIDE_ROWS:
+            raise ValueError(f"an override of more than {OVERRIDE_ROWS} shifts is no reference")
         found = found.unionByName(given.where("NOT _dept").select("list_id").crossJoin(F.broadcast(override.select("pos_c"))))
     return sources, found
 

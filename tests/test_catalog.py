@@ -1,6 +1,7 @@
 """Registered queries against DuckDB, and the entry module without the corpus part."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -14,6 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents"
 #: Run by default; RESONARA_ALL=1 runs every query that has an oracle.
 SOME = [
     "dereplicate", "predict", "A1_env_stats", "A8_detect_neighbours", "A10_detect_pairs", "A19_qc_report", "A29_paired_arms", "A32_complete_atoms", "J3_predict_fallback", "J4_band_join", "J10_guided_filter", "J21_fine_match", "J24_permute",
+    "A22_line_widths", "A26_j_summary", "G3_ego_fragments", "J17_correlations", "S8_jcamp_packed", "S19_fragment_files", "T3_extract_fragments", "W12_pick_2d", "W3_fragment_search",
     "W2_rank_candidates", "W8_group_rows", "W13_threshold_search", "G1_sphere_codes", "S2_read_sdf_predicted", "S12_solution_bonds", "S18_constraint_text", "T1_build_stats",
 ]
 
@@ -53,3 +55,18 @@ def test_query_equals_oracle(spark, duck, name):
 def test_entry_works_without_the_corpus_part(tmp_path):
     code = "import sys; sys.modules.update({'resonara.llm': None, 'corpus_pipeline': None}); import __spark_entry__ as e; q = e.queries(); assert 'dereplicate' in q and set(e.oracle_sql()) <= set(q); print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout) > 150
+
+
+def test_a_copy_without_the_corpus_folders_works(tmp_path):
+    for name in ("resonara", "__spark_entry__.py"):
+        copy = shutil.copytree if os.path.isdir(f"{ROOT}/{name}") else shutil.copy
+        copy(f"{ROOT}/{name}", tmp_path / name)
+    shutil.rmtree(tmp_path / "resonara" / "llm")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'dereplicate' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q); print(len(q))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert int(found.stdout) > 150
+
+
+def test_what_the_corpus_part_needs_may_be_missing():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'dereplicate' in q and 'op1_sharding' not in q and 'pipeline' not in q; print(len(q))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout) > 150
