@@ -685,6 +685,26 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "packing"]
 
 
+def test_pipeline_with_nulls_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    real = docs.where("length(text) > 300").orderBy("doc_id").limit(40)
+    long = real.first()
+    odd = [(None, long.text + " and more", "en", None, 1), (7 * 10**9, None, None, None, None), (7 * 10**9 + 1, "", "en", "x", 0), (long.doc_id, long.text, long.lang, long.source, long.n_chars), (7 * 10**9 + 2, " ".join(["word"] * 30_000), None, "x", 5)]
+    both = real.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.lit(1) for c in ("own", "gone", "key", "batch", "print")})
+    for table, least in ((both, 40), (both.limit(0), 0)):
+        folder = tmp_path / f"sf{least}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        pieces = corpus_pipeline.run(spark, str(folder)).collect()
+        ids = {r.doc_id for r in pieces}
+        assert len(ids) >= 0.8 * least and not ids & {7 * 10**9, 7 * 10**9 + 1}
+        if least:
+            assert None in ids and long.doc_id in ids and 7 * 10**9 + 2 in ids
+            # a document's pieces, of all rows that share its id, hold all its ids
+            assert sum(r.length for r in pieces if r.doc_id == 7 * 10**9 + 2) == next(r.doc_tokens for r in pieces if r.doc_id == 7 * 10**9 + 2)
+
+
 def test_pipeline_drops_only_undetermined_documents(spark):
     import corpus_pipeline
 
