@@ -55,9 +55,10 @@ def parse_sdf(df: DataFrame, flavour: str, keep: Sequence[str] = ()) -> DataFram
     elif flavour == "predicted":
         spectra = common.where(F.contains("record", F.lit(f"<{PREDICTED_FIELD}>")))
         hydrogens = multiplicity_map(*(sdf_property(c("record"), f) for f in ("Quaternaries", "Tertiaries", "Secondaries", "Primaries")))
-        rows = spectra.withColumns({"formula": sdf_property(c("record"), "Formula"), "_h": hydrogens})
-        signals = F.transform(predicted_signals(sdf_property(c("record"), PREDICTED_FIELD)), lambda s: F.struct(s["shift"], F.try_element_at("_h", (s["atom_index"] + 1)).cast("bigint").alias("h_count"), s["atom_index"]))
-        rows = rows.withColumn("signals", signals)
+        # one element that holds both, so that the map is made once a record and not once a signal
+        both = F.array(F.struct(hydrogens.alias("h"), predicted_signals(sdf_property(c("record"), PREDICTED_FIELD)).alias("s")))
+        counted = lambda b: F.transform(b["s"], lambda s: F.struct(s["shift"], F.try_element_at(b["h"], s["atom_index"] + 1).cast("bigint").alias("h_count"), s["atom_index"]))
+        rows = spectra.withColumns({"formula": sdf_property(c("record"), "Formula"), "signals": F.get(F.transform(both, counted), F.lit(0))})
     else:
         raise ValueError(f"unknown flavour {flavour!r}")
     return rows.where(F.size("signals") > 0).select(*keep, "name", "formula", "inchi", "inchi_key", count_carbons(F.coalesce("formula", F.lit(""))).alias("carbon_count"), "signals")
