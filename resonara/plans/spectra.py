@@ -165,7 +165,7 @@ def _(v):
 
 @query(
     "S22_peaklist_payload",
-    "SELECT list_id, experiment, count(*) AS n_cross_peaks, sum(f1_c)::BIGINT AS f1_total, count(*) FILTER (experiment = 'HSQC' AND intensity < 0 AND low::DOUBLE < -0.05::DOUBLE * top::DOUBLE) AS negatives FROM (SELECT *, min(intensity) OVER (PARTITION BY list_id, experiment) AS low, max(abs(intensity)) OVER (PARTITION BY list_id, experiment) AS top FROM {peak2d}) p GROUP BY list_id, experiment",
+    "SELECT list_id, experiment, count(*) AS n_cross_peaks, string_agg(cast(f1_c AS string), ',' ORDER BY peak_id) AS f1, count(*) FILTER (experiment = 'HSQC' AND intensity < 0 AND low::DOUBLE < -0.05::DOUBLE * top::DOUBLE) AS negatives FROM (SELECT *, min(intensity) OVER (PARTITION BY list_id, experiment) AS low, max(abs(intensity)) OVER (PARTITION BY list_id, experiment) AS top FROM {peak2d}) p GROUP BY list_id, experiment",
 )
 def _(v):
     written = payloads.peaklist_payload(v.peak2d.withColumns({"verdict": F.lit("PARTIAL"), "violated": F.array(F.lit("ridge"))}), "x")
@@ -173,7 +173,7 @@ def _(v):
     peak = F.col("p.cross_peaks")
     cents = lambda x: F.round(F.coalesce(x["c13_ppm"], x["h1a_ppm"]) * 100).cast("bigint")
     return read.select(
-        "list_id", "experiment", c("p.n_cross_peaks").alias("n_cross_peaks"), F.aggregate(peak, F.lit(0).cast("bigint"), lambda a, x: a + cents(x)).alias("f1_total"),
+        "list_id", "experiment", c("p.n_cross_peaks").alias("n_cross_peaks"), F.array_join(F.transform(peak, lambda x: cents(x).cast("string")), ",").alias("f1"),
         F.size(F.filter(peak, lambda x: (c("experiment") == "HSQC") & (x["multiplicity_hint"] == "CH2"))).cast("bigint").alias("negatives"),
     )
 

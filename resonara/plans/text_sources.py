@@ -84,14 +84,14 @@ def _(v):
     return v.spark.createDataFrame([("first", sdf.detect_sdf_flavour(v.spark, a)), ("second", sdf.detect_sdf_flavour(v.spark, b))], "file string, flavour string")
 
 
-@query("S5_formula_json", "SELECT k.formula_norm AS formula, k.source, cast(k.id AS string) AS source_id, k.smiles, count(s.pos) AS n, coalesce(sum(s.shift_c), 0)::BIGINT AS total, count(s.h_count) AS known_h FROM {compound} k LEFT JOIN {signal} s ON s.compound_id = k.id GROUP BY ALL")
+@query("S5_formula_json", "SELECT k.formula_norm AS formula, k.source, cast(k.id AS string) AS source_id, k.smiles, count(s.pos) AS n, coalesce(string_agg(cast(s.shift_c AS string), ',' ORDER BY s.shift_c), '') AS shifts, count(s.h_count) AS known_h FROM {compound} k LEFT JOIN {signal} s ON s.compound_id = k.id GROUP BY ALL")
 def _(v):
     signals = v.signal.groupBy("compound_id").agg(F.collect_list(F.array(c("shift_c") / 100, c("h_count").cast("double"))).alias("signals"))
     entries = v.compound.join(signals.withColumnRenamed("compound_id", "id"), "id", "left").withColumn("e", F.struct("smiles", "source", c("id").cast("string").alias("id"), "signals"))
     docs = entries.groupBy("formula_norm").agg(F.to_json(F.map_from_arrays(F.array(F.first("formula_norm")), F.array(F.collect_list("e")))).alias("content")).withColumn("path", c("formula_norm"))
     read = text.parse_formula_json(docs)
-    total = F.aggregate("signals", F.lit(0).cast("bigint"), lambda a, s: a + F.round(s["shift"] * 100).cast("bigint"))
-    return read.select("formula", "source", "source_id", "smiles", F.size("signals").cast("bigint").alias("n"), total.alias("total"), F.size(F.filter("signals", lambda s: s["h_count"].isNotNull())).cast("bigint").alias("known_h"))
+    shifts = F.coalesce(F.array_join(F.transform(F.array_sort(F.transform("signals", lambda s: F.round(s["shift"] * 100).cast("bigint"))), lambda x: x.cast("string")), ","), F.lit(""))
+    return read.select("formula", "source", "source_id", "smiles", F.size("signals").cast("bigint").alias("n"), shifts.alias("shifts"), F.size(F.filter("signals", lambda s: s["h_count"].isNotNull())).cast("bigint").alias("known_h"))
 
 
 @query("S6_warehouse", "SELECT id, name, formula_norm, source FROM {compound}")
@@ -171,20 +171,20 @@ def _(v):
 
 @query(
     "S8b_resolve_dim",
-    "SELECT ord AS id, CASE WHEN supp % 4 = 0 THEN NULL WHEN supp % 4 = 1 THEN 1.5 WHEN supp % 4 = 2 THEN 2.5 END::DOUBLE AS \"offset\", CASE supp % 4 WHEN 0 THEN 'length' WHEN 3 THEN 'not_found' END AS error FROM {item} WHERE pos = 0",
+    "SELECT ord * 32 + pos AS id, CASE WHEN supp % 4 = 0 THEN NULL WHEN supp % 4 = 1 THEN 1.5 WHEN supp % 4 = 2 THEN 2.5 END::DOUBLE AS \"offset\", CASE supp % 4 WHEN 0 THEN 'length' WHEN 3 THEN 'not_found' END AS error FROM {item}",
 )
 def _(v):
     kind = "CASE supp % 4 WHEN 0 THEN '1H' WHEN 1 THEN '1H' WHEN 2 THEN '13C' ELSE '15N' END"
-    meta = v.item.where("pos = 0").select(
-        c("ord").alias("id"), F.expr(kind).alias("nucleus"), F.array(F.lit("<1H>"), F.lit("^13C")).alias("nuclei"), F.expr("CASE WHEN supp % 4 = 0 THEN array(1.5D) ELSE array(1.5D, 2.5D) END").alias("offsets"), F.array(F.lit(400.0), F.lit(100.0)).alias("sfs")
+    meta = v.item.select(
+        (c("ord") * 32 + c("pos")).alias("id"), F.expr(kind).alias("nucleus"), F.array(F.lit("<1H>"), F.lit("^13C")).alias("nuclei"), F.expr("CASE WHEN supp % 4 = 0 THEN array(1.5D) ELSE array(1.5D, 2.5D) END").alias("offsets"), F.array(F.lit(400.0), F.lit(100.0)).alias("sfs")
     )
     return text.resolve_dim(meta).select("id", "offset", "error")
 
 
-@query("S9_params", "SELECT cast(ord AS string) AS folder, cast(part AS string) AS td, supp % 3 = 0 AS lacks_mode FROM {item} WHERE pos = 0")
+@query("S9_params", "SELECT cast(ord * 32 + pos AS string) AS folder, cast(part AS string) AS td, supp % 3 = 0 AS lacks_mode FROM {item}")
 def _(v):
     content = F.concat(F.lit("##TITLE= t\n##$TD= "), c("part").cast("string"), F.lit("\n##$NUC1= <13C>\n"), F.when(c("supp") % 3 != 0, "##$FnMODE= 6\n").otherwise("$$ nothing\n"))
-    docs = v.item.where("pos = 0").select(F.concat(c("ord").cast("string"), F.lit("/acqu2s")).alias("path"), content.alias("content"))
+    docs = v.item.select(F.concat((c("ord") * 32 + c("pos")).cast("string"), F.lit("/acqu2s")).alias("path"), content.alias("content"))
     read = text.parse_params(docs, ["acqu2s.TD", "acqu2s.FnMODE"])
     return read.select("folder", c("params")["acqu2s.TD"].alias("td"), (F.size("missing") > 0).alias("lacks_mode"))
 
