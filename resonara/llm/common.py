@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from resonara.plans.scratch import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a key table (64 bytes a row or less) up to which it may be broadcast.
+#: Rows of a key table (16 bytes a row or less) up to which it may be broadcast.
 BROADCAST_ROWS = 500_000
-#: Rows of a key beyond which it counts as hot in ``looked_up``.
-HOT_ROWS = 100_000
+#: Rows of a table up to which ``looked_up`` broadcasts it, and rows of a key beyond which the key is hot.
+LOOKUP_ROWS, HOT_ROWS = 100_000, 50_000
 
 _written: list[tuple] = []
 
@@ -87,15 +87,17 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[str], size: str, label
     """Inner join of ``rows`` with a table of one row a key (64 bytes or less), of which ``size`` counts the key's rows.
 
     No task gets all rows of a hot key.  The table is written and counted; up to
-    BROADCAST_ROWS it is broadcast.  Beyond that only its hot keys are, which the
+    LOOKUP_ROWS it is broadcast.  Beyond that only its hot keys are, which the
     number of rows bounds, and the other keys, of a bounded number of rows each,
     meet in a shuffle.
     """
     table = written(table, label)
-    if table.count() <= BROADCAST_ROWS:
+    if table.count() <= LOOKUP_ROWS:
         return rows.join(F.broadcast(table), on)
-    many = max(HOT_ROWS, -(-rows.count() // BROADCAST_ROWS))
+    many = max(HOT_ROWS, -(-table.agg(F.sum(size)).first()[0] // LOOKUP_ROWS))
     hot, rest = table.where(F.col(size) > many), table.where(F.col(size) <= many)
+    if hot.isEmpty():
+        return rows.join(rest, on)
     cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
     return rows.join(F.broadcast(hot), on).unionByName(cold)
 

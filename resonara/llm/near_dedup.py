@@ -12,11 +12,13 @@ No pair of a bucket's documents is lost, and none is enumerated in a bucket:
 1. Documents with equal sets form a class; its smallest doc_id represents it.
 2. Each bucket links its members to its smallest one; verified links give
    components.
-3. Buckets whose members are then still in several components are compared
-   exactly, each bucket by itself, and buckets of the same documents once.  A
-   bucket's documents are dealt into blocks of a bounded number of shingles and
-   documents, and tasks, one for each pair of blocks, compare all sets exactly,
-   and return no more than a spanning forest of the links found.
+3. Buckets whose members are then still in several components are looked at as
+   wholes, each by itself, and buckets of the same documents once.  Their
+   documents are dealt into blocks of a bounded size, and tasks, one for each pair
+   of blocks, compare all registers; documents that agree with none of another
+   component about as often as the threshold asks for are done.  The sets of the
+   others are compared exactly in blocks as well; what comes back is no more than a
+   spanning forest of the links found.
 
 No task gets all rows of a hot bucket: buckets are looked up by broadcast after
 being counted, or the hot ones of them.
@@ -39,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resonara.operators.components import connected_components
@@ -258,25 +260,56 @@ def mixed_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
     return looked_up(labelled, once, ["key"], "docs", "mixed-buckets").select("key", "doc_id", "component")
 
 
-def dealt_blocks(docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """(key, lo, hi, block, component, shingles): each document of a bucket with each pair of blocks it has to meet in."""
-    size = docs.groupBy("key").agg(F.sum(F.length("shingles") / F.lit(8)).alias("shingles"), F.count("*").alias("docs"))
-    blocks = size.select("key", F.greatest(F.ceil(F.col("shingles") / F.lit(sketch.block)), F.ceil(F.col("docs") / F.lit(sketch.block_docs))).cast("int").alias("blocks"), "docs")
+def dealt_blocks(docs: DataFrame, weight: Column | None, sketch: Sketch) -> DataFrame:
+    """``docs`` (with key, doc_id) with block, lo, hi: each document of a bucket once for each pair of blocks it has to meet in.
+
+    ``weight`` is a document's number of shingles, where blocks are bounded in them as well.
+    """
+    count = F.ceil(F.count("*") / F.lit(sketch.block_docs))
+    blocks = docs.groupBy("key").agg((count if weight is None else F.greatest(count, F.ceil(F.sum(weight) / F.lit(sketch.block)))).cast("int").alias("blocks"), F.count("*").alias("docs"))
     return (
         looked_up(docs, blocks, ["key"], "docs", "bucket-blocks")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "component", "shingles")
+        .select(*docs.columns, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
     )
 
 
-def _across(members: DataFrame, sets: DataFrame, components: DataFrame, percent: int, sketch: Sketch) -> DataFrame | None:
-    """Links between components that still share buckets; None if no bucket has several."""
+def agreeing(rows: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Documents of two blocks (or one) that have ``least`` registers or more in common with one of another component."""
+    found = []
+    low, high = rows["lo"].iloc[0], rows["hi"].iloc[0]
+    sides = [rows[rows["block"] == b] for b in (low, high)]
+    if all(len(side) for side in sides):
+        first, second = (np.frombuffer(b"".join(side["registers"]), "<u2").reshape(len(side), -1) for side in sides)
+        own, other = (side["component"].to_numpy() for side in sides)
+        met = np.zeros(len(second), dtype=bool)
+        hit = np.zeros(len(first), dtype=bool)
+        for i in range(len(first)):
+            near = ((second == first[i]).sum(axis=1) >= least) & (other != own[i])
+            hit[i] = near.any()
+            met |= near
+        found = [sides[0][hit], sides[1][met]]
+    columns = ["key", "doc_id", "component"]
+    return pd.concat(found)[columns].drop_duplicates() if found else rows.iloc[:0][columns]
+
+
+def _across(members: DataFrame, reps: DataFrame, own: DataFrame, components: DataFrame, k: int, percent: int, sketch: Sketch) -> DataFrame | None:
+    """Links between components that still share buckets; None if there are none."""
     rows = written(mixed_buckets(members, components), "mixed")
     if rows.isEmpty():
         return None
-    docs = written(rows.join(sets, "doc_id"), "bucket-sets")
-    return written(dealt_blocks(docs, sketch).groupBy("key", "lo", "hi").applyInPandas(lambda rows: compared_blocks(rows, percent), "a long, b long").distinct(), "bucket-links")
+    # registers of two sets agree at least as often as the sets are similar
+    least = int((percent / 100 - sketch.margin) * sketch.size)
+    kinds = "key long, doc_id long, component long"
+    dealt = dealt_blocks(rows, None, sketch).join(reps.select("doc_id", "registers"), "doc_id")
+    near = written(dealt.groupBy("key", "lo", "hi").applyInPandas(lambda r: agreeing(r, least), kinds).distinct(), "agreeing")
+    if near.isEmpty():
+        return None
+    sets = written(semi_join(own, near, "doc_id").mapInArrow(_sets(k), "doc_id long, shingles binary"), "bucket-sets")
+    sized = near.join(reps.select("doc_id", "n_shingles"), "doc_id")
+    compared = dealt_blocks(sized, F.col("n_shingles"), sketch).join(sets, "doc_id").select("key", "lo", "hi", "block", "component", "shingles")
+    return written(compared.groupBy("key", "lo", "hi").applyInPandas(lambda r: compared_blocks(r, percent), "a long, b long").distinct(), "bucket-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
@@ -303,11 +336,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
         edges.join(side(reps, "a", na="n_shingles", ra="registers"), "a").join(side(reps, "b", nb="n_shingles", rb="registers"), "b").mapInArrow(_plausible(percent, sketch), "a long, b long"),
         "candidates",
     )
-    wanted = plausible.select(F.col("a").alias("doc_id")).union(plausible.select("b")).union(members.where("n > 2").select("doc_id"))
+    wanted = plausible.select(F.col("a").alias("doc_id")).union(plausible.select("b"))
     sets = written(semi_join(own, wanted, "doc_id").mapInArrow(_sets(k), "doc_id long, shingles binary"), "shingles")
     links = written(plausible.join(side(sets, "a", sa="shingles"), "a").join(side(sets, "b", sb="shingles"), "b").mapInArrow(_verified(percent), "a long, b long"), "links")
     components = connected_components(links)
-    more = _across(members, sets, components, percent, sketch)
+    more = _across(members, reps, own, components, k, percent, sketch)
     if more is not None:
         components = connected_components(more.unionByName(components.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     return (

@@ -205,7 +205,7 @@ def test_line_runs_stay_where_they_are(spark):
 
 
 def test_line_dedup_with_more_frequent_lines_than_are_broadcast(docs, rows, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 40)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 40)
     for hot in (1, 8, 10**6):
         monkeypatch.setattr(common, "HOT_ROWS", hot)
         assert Counter(map(tuple, line_dedup.line_dedup(docs, min_docs=2).collect())) == _line_brute(rows, 2)
@@ -265,6 +265,8 @@ def test_bands_meet_in_similar_pairs():
     flat = regs.reshape(len(pairs), 2, -1)
     guess = near_dedup.estimate(flat[:, 0], flat[:, 1], sizes[:, 0], sizes[:, 1], sketch.base)
     assert (guess >= 0.8 - sketch.margin).mean() >= 0.9995
+    # so often do registers agree that decide whether sets of a mixed bucket are compared
+    assert ((flat[:, 0] == flat[:, 1]).sum(axis=1) >= int((0.8 - sketch.margin) * sketch.size)).mean() >= 0.9995
 
 
 @pytest.mark.parametrize("bounds", [{"block": 900}, {"block_docs": 3}])
@@ -291,6 +293,19 @@ def test_buckets_of_the_same_documents_are_compared_once(spark):
     assert got == {(1, 1, 1), (1, 2, 1), (1, 3, 3), (3, 1, 1), (3, 2, 1), (3, 4, 4)}
 
 
+def test_agreeing_documents_equal_brute_force():
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    regs = rng.integers(0, 3, (40, 12)).astype("<u2")
+    frame = pd.DataFrame({"key": 5, "doc_id": range(40), "component": [i % 3 for i in range(40)], "lo": 0, "hi": 1, "block": [i % 2 for i in range(40)], "registers": [r.tobytes() for r in regs]})
+    for part, pairs in ((frame, [(i, j) for i in range(0, 40, 2) for j in range(1, 40, 2)]), (frame[frame["block"] == 0].assign(hi=0), [(i, j) for i in range(0, 40, 2) for j in range(0, 40, 2)])):
+        wanted = {x for i, j in pairs if i % 3 != j % 3 and (regs[i] == regs[j]).sum() >= 8 for x in (i, j)}
+        got = near_dedup.agreeing(part, 8)
+        assert sorted(got["doc_id"]) == sorted(wanted) and len(wanted) < 40
+    assert not len(near_dedup.agreeing(frame[frame["block"] == 0], 1))
+
+
 def test_compared_blocks_finds_all_links_between_components():
     import pandas as pd
 
@@ -332,7 +347,7 @@ def test_exact_dedup(docs, rows, empty, monkeypatch):
     assert exact_dedup.exact_dedup(empty).count() == 0
     # senders of few rows, and more groups than are broadcast
     monkeypatch.setattr(exact_dedup, "SENDER_ROWS", 7)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 10)
     for hot in (1, 2, 10**6):
         monkeypatch.setattr(common, "HOT_ROWS", hot)
         assert Counter(map(tuple, exact_dedup.exact_dedup(docs, owners=5).collect())) == _exact_brute(rows)
