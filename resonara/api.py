@@ -148,8 +148,6 @@ def welford_std(values: pd.Series) -> float:
     return (m2 / n) ** 0.5 if n else None
 
 
-#: Share of the proton's frequency at which a nucleus is observed: fixed values.
-FREQUENCY_RATIO = {"1H": 1.0, "13C": 0.25145020, "15N": 0.10136767}
 #: What is picked: nuclei in one dimension, experiments in two with their nuclei along F1.
 ONE_D, TWO_D = ("1H", "13C"), {"HSQC": "13C", "HMBC": "13C", "COSY": "1H"}
 
@@ -179,35 +177,34 @@ def ingest_jcamp(docs: DataFrame, thresholds: Sequence[str] = (), snr_floors: Se
     """Spectra of many samples read, picked and judged in one go.
 
     ``docs``: path, content; the files of one folder are a sample, ``list_id`` the
-    hash of the folder.  Thresholds are ``KEY=value`` (a nucleus or an experiment)
-    or a bare value for the others.  Files that can't be decoded, and second files
-    of a kind in a sample, are ``failed``; kinds that aren't picked are ``skipped``.
+    hash of the folder; each is read once.  Thresholds are ``KEY=value`` (a nucleus
+    or an experiment) or a bare value for the others.  Files that can't be decoded or
+    have no places in ppm, and second files of a kind in a sample, are ``failed``; kinds that aren't picked are ``skipped``.
     A failed file makes a passing sample fail.
     """
     settings = _settings(thresholds, snr_floors)
     points = kept(jcamp.parse_jcamp(docs), "jcamp")
-    kind = F.when(c("pages"), experiment_type(c("pulse_program"))).otherwise(c("nucleus"))
-    heads = kept(jcamp.headers(docs).withColumns({"kind": kind, "list_id": F.xxhash64(F.regexp_replace("path", "/?[^/]*$", ""))}), "jcamp-heads")
-    broken = points.where("error IS NOT NULL").select("path", "error")
-    sound = heads.join(broken.select("path"), "path", "left_anti")
-    wanted = sound.where(c("kind").isin(*settings))
-    first = kept(wanted.groupBy("list_id", "kind").agg(F.min("path").alias("path"), F.min_by("mhz", "path").alias("mhz")), "jcamp-files")
+    kind = F.when(c("two_d"), experiment_type(c("pulse_program"))).otherwise(c("nucleus"))
+    heads = kept(jcamp.headers(points).withColumns({"kind": kind, "list_id": F.xxhash64(F.regexp_replace("path", "/?[^/]*$", ""))}), "jcamp-heads")
+    picked = F.coalesce(c("kind").isin(*settings), F.lit(False))
+    broken = points.where("error IS NOT NULL").select("path", "error").unionByName(heads.where(picked & ~c("placed")).select("path", F.lit("no $OFFSET and $SF").alias("error")))
+    wanted = heads.where(picked & c("placed"))
+    first = kept(wanted.groupBy("list_id", "kind").agg(F.min("path").alias("path")), "jcamp-files")
     second = wanted.join(first.select("path"), "path", "left_anti").select("path", F.concat(F.lit("a second file of "), "kind").alias("error"))
     failed = broken.unionByName(second)
-    skipped = sound.where(~F.coalesce(c("kind").isin(*settings), F.lit(False))).select("path", F.concat(F.coalesce("kind", F.lit("unknown kind")), F.lit(" is not picked")).alias("reason"))
+    skipped = heads.where(~picked).select("path", F.concat(F.coalesce("kind", F.lit("unknown kind")), F.lit(" is not picked")).alias("reason"))
     # one file of a kind a sample: its number is its plane's
     numbered = kept(text.numbered(first, "path").withColumnRenamed("number", "plane_id"), "jcamp-planes")
-    cents = lambda hz, mhz: F.round(hz / mhz * 100).cast("bigint")
+    cents = lambda ppm: F.round(c(ppm) * 100).cast("bigint")
     one, two = None, None
     for name, (share, floor) in settings.items():
         own = points.join(numbered.where(c("kind") == name), "path")
         if name in ONE_D:
             found = peaks.pick_1d(own.select("path", "i", c("value").alias("y")), ["path"], "y", share=share, snr_floor=floor, negative=True)
-            part = found.join(own.select("path", "list_id", "i", cents(c("x_hz"), c("mhz")).alias("pos_c")), ["path", "i"]).select("list_id", F.lit(name).alias("nucleus"), "pos_c", c("y").alias("intensity"), "snr")
+            part = found.join(own.select("path", "list_id", "i", cents("x_ppm").alias("pos_c")), ["path", "i"]).select("list_id", F.lit(name).alias("nucleus"), "pos_c", c("y").alias("intensity"), "snr")
             one = part if one is None else one.unionByName(part)
         else:
-            ratio = F.lit(FREQUENCY_RATIO[TWO_D[name]])
-            grid = own.select("plane_id", c("row").alias("i"), c("i").alias("j"), c("value").alias("z"), cents(c("y_hz"), c("mhz") * ratio).alias("f1"), cents(c("x_hz"), c("mhz")).alias("f2"))
+            grid = own.select("plane_id", c("row").alias("i"), c("i").alias("j"), c("value").alias("z"), cents("y_ppm").alias("f1"), cents("x_ppm").alias("f2"))
             found = peaks.pick_2d(grid, share=share, snr_floor=floor, negative=name != "COSY")
             part = found.join(numbered.select("plane_id", "list_id"), "plane_id").select("list_id", F.lit(name).alias("experiment"), "rank", c("f1").alias("f1_c"), c("f2").alias("f2_c"), c("z").alias("intensity"), "snr")
             two = part if two is None else two.unionByName(part)

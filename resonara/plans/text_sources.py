@@ -136,21 +136,32 @@ def _(v):
 
 
 def _pages(v, head: str = ""):
-    """Every plane as a 2D document of 48 pages; cells without a value are 0."""
+    """Every plane as a 2D document of 48 pages, trimmed from 99 (the first page lies 4700 Hz below the axis' start); cells without a value are 0."""
     cells = v.grid2d.select("plane_id").distinct().select("plane_id", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("i")).select("plane_id", "i", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("j")).join(v.grid2d, ["plane_id", "i", "j"], "left")
     rows = cells.groupBy("plane_id", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.coalesce("z", F.lit(0)).alias("z")))), lambda p: p["z"].cast("string")), " ").alias("ys"))
-    page = lambda r: F.concat(F.lit("##PAGE= F1= "), (47 - r["i"]).cast("string"), F.lit("\n##DATA TABLE= (F2++(Y..Y)), PROFILE\n0 "), r["ys"])
+    page = lambda r: F.concat(F.lit("##PAGE= F1= "), ((47 - r["i"]) * 100).cast("string"), F.lit("  $$ trimmed\n##DATA TABLE= (F2++(Y..Y)), PROFILE\n0 "), r["ys"])
     pages = rows.groupBy("plane_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "ys"))), page), "\n").alias("t"))
-    content = F.concat(F.lit(f"##TITLE= x\n{head}##SYMBOL= F1, F2, Y\n##VAR_DIM= 48, 48, 2304\n##FACTOR= 1, 1, 1\n##FIRST= 4700, 4700, 0\n##LAST= 0, 0, 0\n"), c("t"), F.lit("\n##END=\n"))
+    content = F.concat(F.lit(f"##TITLE= x\n{head}##$NUC1= <1H>\n##$OFFSET= 12.5\n##$SF= 400\n##$NUC1= <1H>\n##$OFFSET= 25.5\n##$SF= 400\n##NUM DIM= 2\n##SYMBOL= F1, F2, Y\n##.NUCLEUS= 1H, 1H\n##VAR_DIM= 48, 48, 2304\n##FACTOR= 1, 1, 1\n##FIRST= 9400, 4700, 0\n##LAST= -400, 0, 0\n"), c("t"), F.lit("\n##END=\n"))
     return pages.select(F.concat(F.lit("/in/"), c("plane_id").cast("string"), F.lit("/plane.dx")).alias("path"), content.alias("content"))
 
 
 @query(
     "S8_jcamp_pages",
-    "SELECT '/in/' || p.plane_id || '/plane.dx' AS path, p.r AS row, p.k AS i, coalesce(g.z, 0)::DOUBLE AS value FROM (SELECT plane_id, r, k FROM (SELECT DISTINCT plane_id FROM {grid2d}) d, (SELECT unnest(range(48)) AS r) x, (SELECT unnest(range(48)) AS k) y) p LEFT JOIN {grid2d} g ON g.plane_id = p.plane_id AND g.i = p.r AND g.j = p.k",
+    "SELECT '/in/' || p.plane_id || '/plane.dx' AS path, p.r AS row, p.k AS i, (13.75 - 0.25 * p.r)::DOUBLE AS y_ppm, (12.5 - 0.25 * p.k)::DOUBLE AS x_ppm, coalesce(g.z, 0)::DOUBLE AS value FROM (SELECT plane_id, r, k FROM (SELECT DISTINCT plane_id FROM {grid2d}) d, (SELECT unnest(range(48)) AS r) x, (SELECT unnest(range(48)) AS k) y) p LEFT JOIN {grid2d} g ON g.plane_id = p.plane_id AND g.i = p.r AND g.j = p.k",
 )
 def _(v):
-    return jcamp.parse_jcamp(_pages(v)).select("path", "row", "i", "value")
+    return jcamp.parse_jcamp(_pages(v)).select("path", "row", "i", "y_ppm", "x_ppm", "value")
+
+
+@query("S8_jcamp_channels", "SELECT cast(spectrum_id AS string) AS path, i, round((12.3456789 - i * 10.0::DOUBLE / greatest(n - 1, 1)) * 1000)::BIGINT AS ppm_m, y::DOUBLE * 0.5::DOUBLE AS value FROM (SELECT *, max(i) OVER (PARTITION BY spectrum_id) + 1 AS n FROM {point1d}) x")
+def _(v):
+    # a real and an imaginary page; 4,000 Hz at 400 MHz from one end to the other
+    lists = v.point1d.groupBy("spectrum_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda p: p["y"].cast("string")), " ").alias("ys"), F.count("*").alias("n"))
+    head = F.concat(F.lit("##TITLE= x\r\n##DATA CLASS= NTUPLES  $$ as reconstructed\r\n##.OBSERVE NUCLEUS= ^1H\r\n##$OFFSET= 12.3456789\r\n##$SF= 400\r\n##$NUC1= <1H>\r\n##SYMBOL= X, R, I\r\n##VAR_DIM= "), c("n").cast("string"), F.lit(", 1, 1\r\n##FACTOR= 1, 0.5, 1\r\n##FIRST= 4400, 0, 0\r\n##LAST= 400, 0, 0\r\n"))
+    page = lambda n, x, ys: F.concat(F.lit(f"##PAGE= N={n}\r\n##DATA TABLE= (X++({x}..{x})), XYDATA\r\n0 "), ys, F.lit("\r\n"))
+    content = F.concat(head, page(1, "R", c("ys")), page(2, "I", F.lit("7 7 7")), F.lit("##END=\r\n"))
+    points = jcamp.parse_jcamp(lists.select(c("spectrum_id").cast("string").alias("path"), content.alias("content")))
+    return points.select("path", "i", F.round(c("x_ppm") * 1000).cast("bigint").alias("ppm_m"), "value")
 
 
 @query(
@@ -159,7 +170,7 @@ def _(v):
        reach AS (SELECT plane_id, n AS start, n AS node FROM e UNION SELECT r.plane_id, r.start, y.n FROM reach r JOIN e x ON x.plane_id = r.plane_id AND x.n = r.node JOIN e y ON y.plane_id = x.plane_id AND abs(y.i - x.i) <= 1 AND abs(y.j - x.j) <= 1),
        region AS (SELECT plane_id, start, min(node) AS region FROM reach GROUP BY ALL), r AS (SELECT e.*, region FROM e JOIN region g ON g.plane_id = e.plane_id AND g.start = e.n),
        best AS (SELECT plane_id, arg_min(i, struct_pack(z := -z, i := i, j := j)) AS i, arg_min(j, struct_pack(z := -z, i := i, j := j)) AS j, max(z) AS z FROM r GROUP BY plane_id, region)
-       SELECT 'COSY' AS experiment, (47 - i) * 100 AS f1_c, (47 - j) * 100 AS f2_c, count(*) AS peaks, sum(z)::DOUBLE AS total FROM best GROUP BY ALL""",
+       SELECT 'COSY' AS experiment, 1375 - 25 * i AS f1_c, 1250 - 25 * j AS f2_c, count(*) AS peaks, sum(z)::DOUBLE AS total FROM best GROUP BY ALL""",
 )
 def _(v):
     from resonara.api import ingest_jcamp
