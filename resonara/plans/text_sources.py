@@ -27,8 +27,8 @@ def _molecules(v):
 
 
 def write_measured(v, path: str) -> None:
-    """All compounds as SD files of the measured flavour."""
-    entry = F.concat(F.expr(_T), F.lit(";0.0"), F.coalesce(F.expr("substring('SDTQ', cast(h_count AS int) + 1, 1)"), F.lit("X")), F.when(c("atom_index").isNotNull(), F.concat(F.lit(";"), (c("atom_index") + 1).cast("string"))).otherwise(""))
+    """All compounds as SD files of the measured flavour, whose atoms count from 0."""
+    entry = F.concat(F.expr(_T), F.lit(";0.0"), F.coalesce(F.expr("substring('SDTQ', cast(h_count AS int) + 1, 1)"), F.lit("X")), F.when(c("atom_index").isNotNull(), F.concat(F.lit(";"), c("atom_index").cast("string"))).otherwise(""))
     spectra = v.signal.groupBy("compound_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]), "|").alias("s"))
     rows = _molecules(v).join(spectra, "compound_id").withColumn("properties", F.create_map(F.lit("InChI"), c("inchi"), F.lit("InChI key"), c("inchi_key"), F.lit("Spectrum 13C 0"), c("s")))
     sdf.write_sdf(rows.select("name", "atoms", "bonds", "properties"), path)
@@ -76,12 +76,26 @@ def _(v):
     return sdf.sdf_bonds(sdf.records(v.spark, path))
 
 
-@query("S4_detect_flavour", "SELECT 'first' AS file, 'measured' AS flavour UNION ALL SELECT 'second', 'predicted'")
+@query("S4_detect_flavour", "SELECT 'first' AS file, 'measured' AS flavour, count(*) AS records FROM {compound} k WHERE EXISTS (SELECT 1 FROM {signal} s WHERE s.compound_id = k.id) UNION ALL SELECT 'second', 'predicted', count(*) FROM {compound} k WHERE EXISTS (SELECT 1 FROM {signal} s WHERE s.compound_id = k.id) UNION ALL SELECT 'both', 'mixed', 2 * count(*) FROM {compound} k WHERE EXISTS (SELECT 1 FROM {signal} s WHERE s.compound_id = k.id)")
 def _(v):
-    a, b = _folder(v, "sdf"), _folder(v, "sdf")
+    top = _folder(v, "sdf")
+    a, b = f"{top}/measured", f"{top}/predicted"
     write_measured(v, a)
     _write_predicted(v, b)
-    return v.spark.createDataFrame([("first", sdf.detect_sdf_flavour(v.spark, a)), ("second", sdf.detect_sdf_flavour(v.spark, b))], "file string, flavour string")
+    found = {"first": a, "second": b, "both": f"{top}/*"}
+    return v.spark.createDataFrame([(k, sdf.detect_sdf_flavour(v.spark, p), sdf.sdf_flavours(v.spark, p).agg(F.sum("records")).first()[0]) for k, p in found.items()], "file string, flavour string, records bigint")
+
+
+@query("S2_read_sdf_mixed", f"{_ROUND.replace('{formula}', 'k.formula_norm').replace('{atom}', 's.atom_index')} UNION ALL {_ROUND.replace('{formula}', 'k.formula_norm').replace('{atom}', 's.pos')}")
+def _(v):
+    # one folder with both flavours, CRLF and LF, read in small byte ranges
+    top = _folder(v, "sdf")
+    write_measured(v, f"{top}/plain")
+    _write_predicted(v, f"{top}/predicted")
+    crlf = v.spark.read.text(f"{top}/plain", lineSep="\n")
+    crlf.write.text(f"{top}/measured", lineSep="\r\n")
+    read = sdf.parse_sdf(sdf.records(v.spark, f"{top}/{{measured,predicted}}"))
+    return read.select("name", "formula", "carbon_count", F.inline("signals")).select("name", "formula", "carbon_count", F.round(c("shift") * 100).cast("bigint").alias("shift_c"), "h_count", "atom_index")
 
 
 @query("S5_formula_json", "SELECT k.formula_norm AS formula, k.source, cast(k.id AS string) AS source_id, k.smiles, count(s.pos) AS n, coalesce(string_agg(cast(s.shift_c AS string), ',' ORDER BY s.shift_c), '') AS shifts, count(s.h_count) AS known_h FROM {compound} k LEFT JOIN {signal} s ON s.compound_id = k.id GROUP BY ALL")

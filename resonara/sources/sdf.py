@@ -1,7 +1,11 @@
 """SD-file source: records, signals, atoms and bonds of V2000 blocks.
 
-Files are read as text with the record separator as line separator, so that large
-files are split between tasks; everything else is column expressions.
+Files are read as text with the record separator as line separator, so that Spark
+splits large files between tasks by byte ranges; everything else is column
+expressions.  Line ends may be LF or CRLF, in one folder or file.  Each record has
+its own flavour: ``measured`` if it has MEASURED_FIELD, whose atoms count from 0,
+or ``predicted`` if it has PREDICTED_FIELD, whose atoms count from 1; of both, the
+predicted one.  Any line that begins with four dollar signs ends a record.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from resonara.functions.parsing import measured_signals, multiplicity_map, predi
 c = F.col
 
 SEPARATOR = "$$$$\n"
+#: What ends a record whatever the line ends are; the rest of the separator's line stays with the record after it.
+SPLIT = "\n$$$$"
 MEASURED_FIELD, PREDICTED_FIELD = "Spectrum 13C 0", "CNMR_SHIFTS"
 
 
@@ -26,49 +32,70 @@ def sdf_property(record: Column, name: str) -> Column:
     return F.when(F.rlike(record, F.lit(rf"(?i)>\s*<{name}>")), F.rtrim(F.regexp_replace(found, r"\n+$", "")))
 
 
+def clean_record(record: Column) -> Column:
+    """A record between two separators, with LF and from its name line on."""
+    lines = F.regexp_replace(record, r"\r\n|\r$", "\n")
+    # counts stand on the fourth line; names may be empty, so only that tells what is left of a separator
+    whole = F.regexp_extract(lines, r"(?s)\A(?:(?:\$\$\$\$)?[^\S\n]*\n)?((?:[^\n]*\n){3}(?:[ \d]{5}\d|[^\n]*V[23]000).*)", 1)
+    return F.when(whole != "", whole).otherwise(F.regexp_replace(lines, r"\A(?:\$\$\$\$)?[^\S\n]*\n", ""))
+
+
+def raw_records(read, path: str) -> DataFrame:
+    """(record) of all SD files at ``path`` by a text reader, batch or streaming."""
+    return read.format("text").option("lineSep", SPLIT).load(path).where(F.rlike("value", F.lit(r"\S"))).select(clean_record(c("value")).alias("record"))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(record) of all SD files at ``path``."""
-    return spark.read.text(path, lineSep=SEPARATOR).select(c("value").alias("record")).where(F.trim("record") != "")
+    return raw_records(spark.read, path)
+
+
+def record_flavour(record: Column) -> Column:
+    """``measured``, ``predicted`` or null by a record's property names."""
+    return F.when(F.contains(record, F.lit(f"<{PREDICTED_FIELD}>")), "predicted").when(F.contains(record, F.lit(f"<{MEASURED_FIELD}>")), "measured")
+
+
+def sdf_flavours(spark: SparkSession, path: str) -> DataFrame:
+    """(flavour, records) of all SD files at ``path``; records without a spectrum have none."""
+    return records(spark, path).groupBy(record_flavour(c("record")).alias("flavour")).agg(F.count("*").alias("records"))
 
 
 def detect_sdf_flavour(spark: SparkSession, path: str) -> str | None:
-    """``measured`` or ``predicted`` by the property names of the first records."""
-    found = records(spark, path).limit(100).agg(
-        F.max(F.contains(c("record"), F.lit(f"<{PREDICTED_FIELD}>"))).alias("predicted"), F.max(F.contains(c("record"), F.lit(f"<{MEASURED_FIELD}>"))).alias("measured")
-    ).first()
-    return "predicted" if found["predicted"] else "measured" if found["measured"] else None
+    """``measured``, ``predicted``, ``mixed`` or None, by all records."""
+    found = [r.flavour for r in sdf_flavours(spark, path).collect() if r.flavour]  # two rows at most
+    return "mixed" if len(found) > 1 else found[0] if found else None
 
 
-def parse_sdf(df: DataFrame, flavour: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Compounds with nested signals of raw records (S1, S2); records without a spectrum are dropped.
+def parse_sdf(df: DataFrame, flavour: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Compounds with nested signals of raw records (S1, S2); of one flavour, or each by its own.
 
-    Columns: those of ``keep``, name, formula, inchi, inchi_key, carbon_count,
-    signals (shift, h_count, atom_index; 0-based in both flavours).
+    Records without a spectrum, or of the other flavour, are dropped.  Columns:
+    those of ``keep``, name, formula, inchi, inchi_key, carbon_count, signals
+    (shift, h_count, atom_index; 0-based in both flavours).
     """
-    inchi = F.coalesce(sdf_property(c("record"), "InChI"), F.lit(""))
-    common = df.select(*keep, "record", F.trim(F.substring_index("record", "\n", 1)).alias("name"), inchi.alias("inchi"), F.coalesce(sdf_property(c("record"), "InChI key"), F.lit("")).alias("inchi_key"))
-    if flavour == "measured":
-        # the cheap test of the field comes before anything is parsed
-        spectra = common.where(F.contains("record", F.lit(f"<{MEASURED_FIELD}>")))
-        signals = F.transform(measured_signals(sdf_property(c("record"), MEASURED_FIELD)), lambda s: F.struct(s["shift"], s["h_count"], (s["atom_index"] - 1).alias("atom_index")))
-        rows = spectra.withColumns({"formula": F.coalesce(formula_from_inchi(c("inchi")), sdf_property(c("record"), "Formula")), "signals": signals})
-    elif flavour == "predicted":
-        spectra = common.where(F.contains("record", F.lit(f"<{PREDICTED_FIELD}>")))
-        hydrogens = multiplicity_map(*(sdf_property(c("record"), f) for f in ("Quaternaries", "Tertiaries", "Secondaries", "Primaries")))
-        # one element that holds both, so that the map is made once a record and not once a signal
-        both = F.array(F.struct(hydrogens.alias("h"), predicted_signals(sdf_property(c("record"), PREDICTED_FIELD)).alias("s")))
-        counted = lambda b: F.transform(b["s"], lambda s: F.struct(s["shift"], F.try_element_at(b["h"], s["atom_index"] + 1).cast("bigint").alias("h_count"), s["atom_index"]))
-        rows = spectra.withColumns({"formula": sdf_property(c("record"), "Formula"), "signals": F.get(F.transform(both, counted), F.lit(0))})
-    else:
+    if flavour not in (None, "measured", "predicted"):
         raise ValueError(f"unknown flavour {flavour!r}")
+    # the cheap test of the field comes before anything is parsed
+    asked = df.select(*keep, "record", record_flavour(c("record")).alias("_flavour")).where(c("_flavour").isNotNull() if flavour is None else c("_flavour") == flavour)
+    inchi = F.coalesce(sdf_property(c("record"), "InChI"), F.lit(""))
+    common = asked.select(*keep, "record", "_flavour", F.trim(F.substring_index("record", "\n", 1)).alias("name"), inchi.alias("inchi"), F.coalesce(sdf_property(c("record"), "InChI key"), F.lit("")).alias("inchi_key"))
+    formula = sdf_property(c("record"), "Formula")
+    measured = F.transform(measured_signals(sdf_property(c("record"), MEASURED_FIELD)), lambda s: F.struct(s["shift"], s["h_count"], s["atom_index"]))
+    hydrogens = multiplicity_map(*(sdf_property(c("record"), f) for f in ("Quaternaries", "Tertiaries", "Secondaries", "Primaries")))
+    # one element that holds both, so that the map is made once a record and not once a signal
+    both = F.array(F.struct(hydrogens.alias("h"), predicted_signals(sdf_property(c("record"), PREDICTED_FIELD)).alias("s")))
+    counted = lambda b: F.transform(b["s"], lambda s: F.struct(s["shift"], F.try_element_at(b["h"], s["atom_index"] + 1).cast("bigint").alias("h_count"), s["atom_index"]))
+    predicted = F.get(F.transform(both, counted), F.lit(0))
+    is_measured = c("_flavour") == "measured"
+    rows = common.withColumns({
+        "formula": F.when(is_measured, F.coalesce(formula_from_inchi(c("inchi")), formula)).otherwise(formula),
+        "signals": {"measured": measured, "predicted": predicted, None: F.when(is_measured, measured).otherwise(predicted)}[flavour],
+    })
     return rows.where(F.size("signals") > 0).select(*keep, "name", "formula", "inchi", "inchi_key", count_carbons(F.coalesce("formula", F.lit(""))).alias("carbon_count"), "signals")
 
 
 def read_sdf(spark: SparkSession, path: str, flavour: str | None = None) -> DataFrame:
-    """Compounds of SD files; the flavour is detected unless given."""
-    flavour = flavour or detect_sdf_flavour(spark, path)
-    if flavour is None:
-        raise ValueError(f"no spectrum property in the first records at {path}")
+    """Compounds of SD files, each by its record's flavour, or those of one flavour."""
     return parse_sdf(records(spark, path), flavour)
 
 

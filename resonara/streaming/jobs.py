@@ -92,7 +92,7 @@ def build_stats(spark: SparkSession, source: str, schema, state: str, checkpoint
     return _incremental(stream, State(spark, state, _summed), checkpoint, lambda batch, _: statistics.env_state(batch))
 
 
-def sdf_observations(records: DataFrame, flavour: str, radius: int) -> DataFrame:
+def sdf_observations(records: DataFrame, flavour: str | None, radius: int) -> DataFrame:
     """Observations (code, radius, shift_c, state and counters) of the carbons of raw SD records.
 
     Records are told apart by themselves, whatever their names.  Hybridisation,
@@ -103,7 +103,7 @@ def sdf_observations(records: DataFrame, flavour: str, radius: int) -> DataFrame
     from resonara.sources import sdf
 
     # numbered once and written, so that all parts of a record keep its number
-    own = kept(records.where(F.trim("record") != "").select("record", F.monotonically_increasing_id().alias("compound_id")))
+    own = kept(records.where(F.rlike("record", F.lit(r"\S"))).select("record", F.monotonically_increasing_id().alias("compound_id")))
     atoms = kept(sdf.sdf_atoms(own, ["compound_id"]).select("compound_id", "pos", "element"))
     one_way = sdf.sdf_bonds(own, ["compound_id"]).select("compound_id", "i", "j", "bond_order")
     bonds = kept(one_way.unionByName(one_way.select("compound_id", c("j").alias("i"), c("i").alias("j"), "bond_order")))
@@ -117,7 +117,7 @@ def build_stats_from_sdf(spark: SparkSession, source: str, flavour: str, state:
     """Statistics table straight from SD files: atoms, bonds and signals of each chunk make the codes."""
     from resonara.sources import sdf
 
-    stream = spark.readStream.format("text").option("lineSep", sdf.SEPARATOR).option("maxFilesPerTrigger", files_per_batch).load(source).select(c("value").alias("record"))
+    stream = sdf.raw_records(spark.readStream.option("maxFilesPerTrigger", files_per_batch), source)
     return _incremental(stream, State(spark, state, _summed), checkpoint, lambda batch, _: statistics.env_state(sdf_observations(batch, flavour, radius)))
 
 
