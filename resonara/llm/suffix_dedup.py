@@ -44,7 +44,7 @@ from .exact_dedup import FINGERPRINT_BITS, golomb_decode, golomb_encode
 #: Bytes of a gram, and of a removed string.
 GRAM, MATCH = 24, 50
 #: Bytes of a chunk (a longer document is one by itself), and bytes that are looked at together.
-CHUNK, SLICE = 8 << 20, 1 << 20
+CHUNK, SLICE = 8 << 20, 1 << 17
 #: Fingerprints of an owner and suffixes of a bucket, about; suffixes beyond which a gram is hot.
 OWNER_ROWS, BUCKET_ROWS, HOT = 500_000, 50_000, 4096
 #: Words of eight bytes that the quicksort looks at before tries take over.
@@ -134,10 +134,13 @@ def anchors(raw: np.ndarray, lengths: np.ndarray, match: int = MATCH) -> Anchors
 def contexts(raw: np.ndarray, a: Anchors, which: np.ndarray, match: int = MATCH) -> np.ndarray:
     """For each anchor the bytes before and from its place on, zero beyond what its strings cover."""
     before = match - GRAM
-    at = np.arange(-before, match)
-    place = a.at[which, None] + at
-    covered = (at >= -a.left[which, None]) & (at < a.right[which, None])
-    return np.where(covered, raw[np.clip(place, 0, max(0, len(raw) - 1))], 0).astype(np.uint8)
+    padded = np.concatenate([np.zeros(before, np.uint8), raw, np.zeros(match, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, before + match)[a.at[which]]
+    kept_left = np.arange(-before, 0) >= -np.arange(before + 1)[:, None]
+    kept_right = np.arange(match) < np.arange(match + 1)[:, None]
+    rows[:, :before] *= kept_left[a.left[which]]
+    rows[:, before:] *= kept_right[a.right[which]]
+    return rows
 
 
 def distinct(raw: np.ndarray, a: Anchors, match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +148,21 @@ def distinct(raw: np.ndarray, a: Anchors, match: int = MATCH) -> tuple[np.ndarra
     _, first, inverse = np.unique(a.key, return_index=True, return_inverse=True)
     inverse = inverse.ravel()
     again = np.flatnonzero(first[inverse] != np.arange(len(inverse)))
-    odd = [part[(contexts(raw, a, part, match) != contexts(raw, a, first[inverse[part]], match)).any(axis=1)] for part in np.array_split(again, 1 + len(again) // 50_000)]
+    before, padded = match - GRAM, np.concatenate([np.zeros(match - GRAM, np.uint8), raw, np.zeros(match, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, before + match)
+    odd = []
+    for part in np.array_split(again, 1 + len(again) // 20_000):
+        to = first[inverse[part]]
+        # the covered part of both must be the same bytes
+        alike = np.flatnonzero((a.left[part] == a.left[to]) & (a.right[part] == a.right[to]))
+        x, y = part[alike], to[alike]
+        differ = around[a.at[x]] != around[a.at[y]]
+        # of the differences the nearest on either side must lie beyond what is covered
+        right = np.where(differ[:, before:].any(axis=1), differ[:, before:].argmax(axis=1), match) < a.right[x]
+        left = np.where(differ[:, :before].any(axis=1), differ[:, :before][:, ::-1].argmax(axis=1), before) < a.left[x]
+        apart = np.ones(len(part), bool)
+        apart[alike] = left | right
+        odd.append(part[apart])
     odd = np.concatenate(odd)  # texts that only share their hash stand for themselves
     inverse[odd] = len(first) + np.arange(len(odd))
     return np.concatenate([first, odd]), inverse
