@@ -25,6 +25,17 @@ def _(v):
     return jobs.build_stats(v.spark, f"{base}/in", obs.schema, f"{base}/state", f"{base}/checkpoint", 2)
 
 
+@query("T1_build_counters", "SELECT 3 * count(*) AS processed, count(*) AS failed, 2 * count(*) AS observations FROM {env_key} WHERE train")
+def _(v):
+    # a third of the rows fail, and the build begins anew after a first one
+    base, obs = _folder(v), v.env_key.where("train")
+    obs.repartition(4).write.parquet(f"{base}/in")
+    jobs.build_stats(v.spark, f"{base}/in", obs.schema, f"{base}/state", f"{base}/checkpoint", 4)
+    obs.unionByName(obs.withColumn("code", F.lit(None).cast("string"))).repartition(8).write.mode("append").parquet(f"{base}/in")
+    jobs.build_stats(v.spark, f"{base}/in", obs.schema, f"{base}/state", f"{base}/checkpoint", 4, fresh=True)
+    return jobs.build_counters(v.spark, f"{base}/state")
+
+
 _DOUBLED = "SELECT DISTINCT b.compound_id, b.i AS atom FROM {bond} b JOIN five ON five.compound_id = b.compound_id AND five.atom = b.j WHERE b.bond_order IN (2, 4)"
 _FACTS = f"""ring AS MATERIALIZED ({' UNION ALL '.join(_ring_sql(n) for n in (3, 4, 5, 6))}), five AS MATERIALIZED (SELECT DISTINCT compound_id, atom FROM ring WHERE size >= 5), pi AS MATERIALIZED ({_DOUBLED}),
     closed AS (SELECT r.compound_id, r.size, r.ring, count(p.atom) AS n, count(*) FILTER (p.atom IS NULL AND a.element IN ('N', 'O', 'S')) AS lone FROM ring r JOIN {{atom}} a ON a.compound_id = r.compound_id AND a.pos = r.atom LEFT JOIN pi p ON p.compound_id = r.compound_id AND p.atom = r.atom WHERE r.size >= 5 GROUP BY ALL),
@@ -64,7 +75,7 @@ def _(v):
     return jobs.extract_fragments(v.spark, f"{base}/in", rows.schema, f"{base}/state", f"{base}/checkpoint", files_per_batch=1)
 
 
-_STATUS = """SELECT f.run_id, 'running' AS state, coalesce(try_cast(regexp_extract(coalesce(a.active_phase, ''), '^lsd-iteration-(\\d+)$', 1) AS BIGINT), 0) AS iteration, a.active_phase, f.started, f.last_epoch
+_STATUS = """SELECT f.run_id, 'running' AS state, coalesce(try_cast(regexp_extract(coalesce(a.active_phase, ''), '^lsd-iteration-(\\d+)$', 1) AS BIGINT), 0) AS iteration, a.active_phase, f.started, f.last_epoch, CASE WHEN f.started IS NOT NULL THEN greatest(f.last_epoch - f.started, 0) END AS elapsed_s
     FROM (SELECT run_id, arg_min(epoch::BIGINT, seq) FILTER (event = 'run_start') AS started, max(epoch::BIGINT) AS last_epoch FROM {run_event} GROUP BY run_id) f
     LEFT JOIN (SELECT run_id, arg_max(phase, seq) AS active_phase FROM {run_event} e WHERE event = 'phase_start' AND NOT EXISTS (SELECT 1 FROM {run_event} x WHERE x.event = 'phase_end' AND x.run_id = e.run_id AND x.phase = e.phase) GROUP BY run_id) a ON a.run_id = f.run_id"""
 
@@ -74,14 +85,30 @@ def _(v):
     return jobs.run_status(v.run_event)
 
 
+@query(
+    "T4_run_status_tiers",
+    f"""WITH s AS ({_STATUS}), done AS (SELECT run_id, max(try_cast(regexp_extract(phase, '^lsd-iteration-(\\d+)$', 1) AS BIGINT)) AS top FROM {{run_event}} WHERE run_id % 5 = 0 GROUP BY run_id)
+    SELECT s.run_id, 'complete' AS state, CASE WHEN top > 0 THEN top END AS iteration, NULL AS active_phase, 60 + s.run_id % 50 AS elapsed_s FROM s JOIN done ON done.run_id = s.run_id
+    UNION ALL SELECT run_id, state, iteration, active_phase, elapsed_s FROM s WHERE run_id % 5 <> 0 UNION ALL SELECT -1 - run_id, 'waiting', NULL, NULL, NULL FROM s""",
+)
+def _(v):
+    runs = v.run_event.select("run_id").distinct()
+    done = v.run_event.where("run_id % 5 = 0").groupBy("run_id").agg(F.collect_set("phase").alias("phases")).withColumn("elapsed_s", 60 + c("run_id") % 50)
+    every = runs.unionByName(runs.select((-1 - c("run_id")).alias("run_id")))
+    return jobs.run_status(v.run_event, done, runs=every).drop("started", "last_epoch")
+
+
 @query("T4_run_status_stream", _STATUS)
 def _(v):
     base = _folder(v)
-    v.run_event.repartition(3).write.parquet(f"{base}/in")
-    events = v.spark.readStream.schema(v.run_event.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    timed = events.withColumn("ts", F.timestamp_seconds(c("epoch").cast("bigint")))
-    # the files aren't in order of time, so the watermark lies before all of them
-    return jobs.follow_into(timed, f"{base}/state", f"{base}/checkpoint", idle_minutes=10 * 365 * 24 * 60)
+    timed = v.run_event.withColumn("ts", F.timestamp_seconds(c("epoch").cast("bigint")))
+    low, high = timed.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    # one file after the other in order of time, so that idle runs leave the state and come back
+    for k in range(4):
+        at = F.floor((F.unix_seconds("ts") - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1))
+        timed.where(at == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    events = v.spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return jobs.follow_into(events, f"{base}/state", f"{base}/checkpoint", idle_minutes=10)
 
 
 @query("T5_meta", "SELECT key, arg_max(value, seq) AS value, max(seq) AS seq FROM (SELECT 'k' || cast(ord % 300 AS string) AS key, cast(part AS string) AS value, ord * 32 + pos AS seq FROM {item}) x GROUP BY key UNION ALL SELECT 'bin_size', '2.0', 0::BIGINT")

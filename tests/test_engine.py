@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from resonara import api
@@ -157,17 +158,61 @@ def test_lookup_groups_asked_compounds_only(spark):
 # -- incremental builds ------------------------------------------------------------------------
 
 
-def test_state_compacts_and_forgets_repeats(spark, tmp_path):
+def test_state_compacts_and_forgets_repeats(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT", 2)
     total = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
     state = jobs.State(spark, str(tmp_path / "s"), total)
-    assert state.table() is None
+    assert state.table() is None and state.start(str(tmp_path / "cp"))
     one = lambda before: spark.createDataFrame([(1, 1)], "k int, n bigint")
-    for number in range(2 * jobs.COMPACT + 1):
+    for number in range(7):
         state.add(one, number)
         state.add(one, number)  # a batch that runs again
-    assert state.numbers("base") == [2 * jobs.COMPACT - 1] and state.numbers("delta") == [2 * jobs.COMPACT]
-    state.add(one, 3)  # long in the base
-    assert state.table().first().n == 2 * jobs.COMPACT + 1
+    assert state.runs() == [(2, 3), (1, 5), (0, 6)]
+    state.add(one, 2)  # long in a run
+    assert state.table().first().n == 7 and state.table(6).first().n == 6
+    # a new checkpoint folder is numbered after the others; one that is there goes on
+    (tmp_path / "cp2").mkdir()
+    other = jobs.State(spark, str(tmp_path / "s"), total)
+    other.start(str(tmp_path / "cp2"))
+    assert other.offset == 8
+    other.add(one, 0)
+    assert other.table().first().n == 8
+    again = jobs.State(spark, str(tmp_path / "s"), total)
+    assert not again.start(str(tmp_path / "cp2")) and again.offset == 8
+    again.add(one, 0)
+    assert again.table().first().n == 8
+    assert again.start(str(tmp_path / "cp2"), fresh=True) and again.table() is None and again.offset == 0
+
+
+def test_builds_count_what_they_read(spark, tmp_path):
+    source, state, checkpoint = (str(tmp_path / x) for x in ("in", "state", "cp"))
+    (tmp_path / "in").mkdir()
+    good = [_record(f"m{i}", ["C", "Cl" if i % 2 else "O"], [(0, 1, 1)], f"{20 + i}.5;0.0Q;0") for i in range(12)]
+    bad = ["broken\n> <Spectrum 13C 0>\n1.0;0.0Q;0\n", _record("none", ["C"], [], "nothing"), _record("hetero", ["O"], [], "9.0;0.0Q;0"), _record("x", ["C"], [], "1.0;0.0Q;0").replace("Spectrum 13C 0", "Other")]
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.sdf").write_text("".join(r + sdf.SEPARATOR for r in [*good[3 * k : 3 * k + 3], bad[k]]))
+    build = lambda **o: jobs.build_stats_from_sdf(spark, source, None, state, checkpoint, radius=1, files_per_batch=1, **o)
+    stats = {r.code: r for r in build().collect()}
+    assert stats["C;-Cl"].n == 6 and stats["C;-Cl"].halogen == 6 and stats["C;-O"].halogen == 0
+    read = lambda: tuple(jobs.build_counters(spark, state).first())
+    assert read() == (16, 4, 12)
+    build()
+    assert read() == (16, 4, 12)
+    # the last batch runs again: what it committed is taken away from the checkpoint
+    for kind in ("commits", "offsets"):
+        for name in (".3.crc", "3"):
+            path = tmp_path / "cp" / kind / name
+            if kind == "commits" and path.exists():
+                path.unlink()
+    assert {r.code: r.n for r in build().collect()} == {k: r.n for k, r in stats.items()} and read() == (16, 4, 12)
+    observed = Observation("records")
+    sdf.records(spark, source).observe(observed, F.count("*").alias("n"), F.count_if(sdf.record_flavour(c("record")).isNull()).alias("plain")).write.format("noop").mode("overwrite").save()
+    assert observed.get == {"n": 16, "plain": 1}
+    build(fresh=True)
+    assert read() == (16, 4, 12)
+    # a new checkpoint folder over the same table adds
+    jobs.build_stats_from_sdf(spark, source, None, state, str(tmp_path / "other"), radius=1)
+    assert read() == (32, 8, 24)
 
 
 EVENTS = "run_id bigint, seq bigint, event string, phase string, epoch string, ts timestamp"
@@ -188,7 +233,16 @@ def test_following_runs_again_without_news(spark, tmp_path):
     assert again[1].iteration == 0 and again[1].active_phase is None and again[2].started == 1005
 
 
-def test_idle_runs_leave_the_state(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, jobs.ROCKSDB)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_idle_runs_leave_the_state(spark, tmp_path, rocksdb):
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
     seen = []
 
@@ -196,14 +250,52 @@ def test_idle_runs_leave_the_state(spark, tmp_path):
         query = jobs.follow_runs(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source), 10).writeStream.outputMode("update")
         query = query.foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-        return [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), query.recentProgress) if p["stateOperators"]]
 
     _events(spark, [(1, 1, "run_start", "", 1000)]).coalesce(1).write.parquet(source)
-    assert run()[-1] == 1
+    run()
     for k, at in enumerate((10_000, 20_000)):
         _events(spark, [(2, k, "run_start", "", at)]).coalesce(1).write.mode("append").parquet(source)
-        rows = run()
-    assert rows[-1] == 1 and {r.run_id for r in seen} == {1, 2}
+        run()
+    assert {r.run_id for r in seen} == {1, 2} and [(r.run_id, r.started) for r in seen if r.state == "idle"][0] == (1, 1000)
+
+
+def test_a_run_goes_on_after_a_pause(spark, tmp_path):
+    source, state, checkpoint = (str(tmp_path / x) for x in ("in", "state", "cp"))
+    parts = [
+        [(1, 1, "run_start", "", 1_700_000_000), (1, 2, "phase_start", "lsd-iteration-2", 1_700_000_010), (1, 3, "phase_end", "lsd-iteration-2", 1_700_000_020), (1, 4, "phase_start", "lsd-iteration-3", 1_700_000_030)],
+        [(2, 1, "run_start", "", 1_700_007_200)], [(2, 2, "phase_start", "x", 1_700_014_400)], [(1, 5, "other", "", 1_700_014_500)],
+    ]
+    for part in parts:
+        _events(spark, part).coalesce(1).write.mode("append").parquet(source)
+    follow = lambda folder, **k: jobs.follow_into(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source), state, folder, **k)
+    batch = lambda: sorted(map(tuple, jobs.run_status(spark.read.schema(EVENTS).parquet(source)).collect()))
+    rows = sorted(map(tuple, follow(checkpoint).collect()))
+    assert rows == batch() and rows[0] == (1, "running", 3, "lsd-iteration-3", 1_700_000_000, 1_700_014_500, 14_500)
+    # a new checkpoint begins with the table's facts, and reads everything again without harm
+    _events(spark, [(1, 6, "phase_end", "lsd-iteration-3", 1_700_014_600)]).coalesce(1).write.mode("append").parquet(source)
+    assert sorted(map(tuple, follow(str(tmp_path / "cp2")).collect())) == batch()
+    done = spark.createDataFrame([(2, ["lsd-iteration-07", "x"], 99)], "run_id bigint, phases array<string>, elapsed_s bigint")
+    known = spark.createDataFrame([(1,), (2,), (3,)], "run_id bigint")
+    tiers = {r.run_id: (r.state, r.iteration, r.elapsed_s) for r in follow(str(tmp_path / "cp2"), finalized=done, runs=known).collect()}
+    assert tiers == {1: ("running", 0, 14_600), 2: ("complete", 7, 99), 3: ("waiting", None, None)}
+
+
+def test_known_facts_are_the_state_to_begin_with(spark, tmp_path, rocksdb):
+    source, seen = str(tmp_path / "in"), []
+    known = jobs.run_facts(_events(spark, [(1, 1, "run_start", "", 1000), (1, 2, "phase_start", "lsd-iteration-4", 1010)]))
+    _events(spark, [(1, 3, "phase_start", "lsd-iteration-5", 1020), (1, 4, "phase_end", "lsd-iteration-5", 1030)]).write.parquet(source)
+    query = jobs.follow_runs(spark.readStream.schema(EVENTS).parquet(source), None, known=known).writeStream.outputMode("update")
+    query.foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.run_id, r.started, r.iteration, r.active_phase, r.elapsed_s) for r in seen] == [(1, 1000, 4, "lsd-iteration-4", 30)]
+
+
+def test_facts_of_parts_make_those_of_the_whole(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(1, 4), k, rng.choice(["run_start", "phase_start", "phase_end", "other"]), rng.choice(["", "a", "lsd-iteration-2"]), rng.choice([100 + k, "x"])) for k in range(200)]
+    frame = spark.createDataFrame([(*r[:4], str(r[4])) for r in rows], "run_id bigint, seq bigint, event string, phase string, epoch string")
+    whole = sorted(map(str, jobs.run_facts(frame).collect()))
+    parts = [jobs.run_facts(frame.where(c("seq") % 3 == k)) for k in range(3)]
+    assert sorted(map(str, jobs.merged_facts(parts[2].unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[0])).collect())) == whole
 
 
 def _record(name, atoms, bonds, spectrum):

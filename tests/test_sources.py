@@ -76,7 +76,9 @@ def test_build_resumes_and_counts_every_input_once(spark, tmp_path):
 def test_run_status_tiers(spark):
     rows = [(1, 1, "run_start", "", "100"), (1, 2, "phase_start", "lsd-iteration-03", "110"), (1, 3, "phase_start", "qc", "x"), (1, 4, "phase_end", "qc", "130"), (2, 1, "other", "", "5")]
     events = spark.createDataFrame(rows, "run_id bigint, seq bigint, event string, phase string, epoch string")
-    done = spark.createDataFrame([(2, "complete", 4, None, 1, 9)], jobs.STATUS)
-    waiting = spark.createDataFrame([(1, "waiting", 0, None, None, None), (3, "waiting", 0, None, None, None)], jobs.STATUS)
-    got = {r.run_id: (r.state, r.iteration, r.active_phase) for r in jobs.run_status(events, done, waiting).collect()}
-    assert got == {1: ("running", 3, "lsd-iteration-03"), 2: ("complete", 4, None), 3: ("waiting", 0, None)}
+    done = spark.createDataFrame([(2, ["lsd-iteration-4", "qc", "lsd-iteration-x"], 9), (4, [], 3)], "run_id bigint, phases array<string>, elapsed_s bigint")
+    fallback = spark.createDataFrame([(1, 9, "a"), (3, 2, "writer")], "run_id bigint, iteration bigint, active_phase string")
+    known = spark.createDataFrame([(k,) for k in (1, 2, 3, 5)], "run_id bigint")
+    got = {r.run_id: (r.state, r.iteration, r.active_phase, r.elapsed_s) for r in jobs.run_status(events, done, fallback, known).collect()}
+    assert got == {1: ("running", 3, "lsd-iteration-03", 30), 2: ("complete", 4, None, 9), 3: ("running", 2, "writer", None), 4: ("complete", None, None, 3), 5: ("waiting", None, None, None)}
+    assert {r.run_id: r.elapsed_s for r in jobs.run_status(events, now=90).collect()} == {1: 0, 2: None}
