@@ -1,14 +1,13 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-1. A sender is a bounded run of rows of one input partition.  It keeps its rows
-   (ids and digests) in a table bucketed by sender, where they stay.  It sends
-   every owner, a range of the fingerprint space, its sorted distinct 48-bit
-   fingerprints there, Golomb-Rice coded, and nothing else.
+1. A sender is a chunk: a bounded run of rows that stays where it is, texts and all
+   (``chunks``).  It sends every owner, a range of the fingerprint space, its sorted
+   distinct 48-bit fingerprints there, Golomb-Rice coded, and nothing else.
 2. Owners decode what they got and answer each message with a bitmap of the
    fingerprints that other senders have too.
 3. Bitmaps go back to the senders, which mark as suspects the rows whose bit is
-   set and those that repeat within the sender.  Only suspects have their texts
-   shuffled; grouping by the whole normalised text verifies them byte by byte.
+   set and those that repeat within the sender.  Only suspects leave it with their
+   texts; grouping by the whole normalised text verifies them byte by byte.
 
 Groups are looked up by broadcast after being counted, so that no task gets all
 rows of one text.
@@ -21,21 +20,24 @@ gives an empty result; further columns of the input are not looked at.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bucketed, looked_up, semi_join, written
+from .chunks import Chunks
+from .common import ascii_lower, looked_up, written
 
 FINGERPRINT_BITS = 48
-#: Rows of a sender at most; bounds what a task holds.
-SENDER_ROWS = 1_000_000
 #: Rows for each owner of the fingerprint space, and owners at most.
 OWNER_ROWS, MOST_OWNERS = 500_000, 4096
 
-_MESSAGE = "sender long, owner int, n long, rice_bits int, unary binary, rest binary"
+_MESSAGE = "chunk long, owner int, n long, rice_bits int, unary binary, rest binary"
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -61,13 +63,19 @@ def golomb_decode(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
     return np.cumsum((quotients << k) + (bits << np.arange(k)[None, :]).sum(axis=1))
 
 
-def _prints(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _digests(texts: pa.ChunkedArray) -> np.ndarray:
+    """SHA-256 of each text, a row of 32 bytes."""
+    raw = b"".join(hashlib.sha256(t.as_buffer() if t.is_valid else b"").digest() for part in texts.chunks for t in part.cast(pa.binary()))
+    return np.frombuffer(raw, np.uint8).reshape(-1, 32)
+
+
+def _prints(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sender's sorted distinct fingerprints, and the place of each row's among them."""
-    digests = np.frombuffer(b"".join(table.column("digest").to_pylist()), np.uint8).reshape(-1, 32)
     size = FINGERPRINT_BITS // 8
     raw = np.zeros((len(digests), 8), dtype=np.uint8)
     raw[:, 8 - size :] = digests[:, :size]
-    return np.unique(raw.view(">i8").ravel().astype(np.int64), return_inverse=True)
+    values, place = np.unique(raw.view(">i8").ravel().astype(np.int64), return_inverse=True)
+    return values, place.ravel()
 
 
 def _width(owners: int) -> int:
@@ -83,14 +91,14 @@ def _shares(distinct: np.ndarray, owners: int) -> np.ndarray:
 def _messages(owners: int):
     """One message from a sender to each owner that it has fingerprints for."""
 
-    def send(table: pa.Table) -> pa.Table:
-        distinct, _ = _prints(table)
+    def send(chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        distinct, _ = _prints(_digests(rows.column("text")))
         bounds = _shares(distinct, owners)
         to = np.flatnonzero(np.diff(bounds))
         coded = [golomb_encode(distinct[bounds[o] : bounds[o + 1]] - o * _width(owners)) for o in to.tolist()]
-        columns = [pa.array([table.column("sender")[0].as_py()] * len(to), pa.int64()), pa.array(to, pa.int32()), pa.array(np.diff(bounds)[to], pa.int64())]
+        columns = [pa.array([chunk] * len(to), pa.int64()), pa.array(to, pa.int32()), pa.array(np.diff(bounds)[to], pa.int64())]
         columns += [pa.array([c[k] for c in coded], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in _MESSAGE.split(", ")])
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _MESSAGE.split(", ")])
 
     return send
 
@@ -100,48 +108,43 @@ def _answers(messages: pd.DataFrame) -> pd.DataFrame:
     values, counts = np.unique(np.concatenate(decoded), return_counts=True)
     shared = values[counts > 1]
     bitmaps = [np.packbits(np.isin(d, shared, assume_unique=True)).tobytes() for d in decoded]
-    return pd.DataFrame({"sender": messages["sender"], "owner": messages["owner"], "bitmap": bitmaps})
+    return pd.DataFrame({"chunk": messages["chunk"], "owner": messages["owner"], "bitmap": bitmaps})
 
 
 def _marked(owners: int):
-    """A sender's rows with ``suspect``, from the owners' bitmaps."""
+    """A sender's rows with ``suspect``, from the owners' bitmaps, and the texts of suspects."""
 
-    def mark(own: pa.Table, answers: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "digest": pa.array([], pa.binary()), "suspect": pa.array([], pa.bool_())})
-        distinct, place = _prints(own)
+    def mark(_: int, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        digests = _digests(rows.column("text"))
+        distinct, place = _prints(digests)
         bounds = _shares(distinct, owners)
         elsewhere = np.zeros(len(distinct), dtype=bool)
         for owner, bitmap in zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True):
             lo, hi = bounds[owner], bounds[owner + 1]
             elsewhere[lo:hi] = np.unpackbits(np.frombuffer(bitmap, np.uint8))[: hi - lo].astype(bool)
-        here = np.bincount(place.ravel(), minlength=len(distinct)) > 1
-        return pa.Table.from_arrays([own.column("doc_id"), own.column("digest"), pa.array((elsewhere | here)[place.ravel()])], names=["doc_id", "digest", "suspect"])
+        here = np.bincount(place, minlength=len(distinct)) > 1
+        suspect = pa.array((elsewhere | here)[place])
+        text = pc.if_else(suspect, rows.column("text").combine_chunks(), pa.scalar(None, pa.string()))
+        return pa.table({"doc_id": rows.column("doc_id"), "digest": pa.array([d.tobytes() for d in digests], pa.binary()), "suspect": suspect, "text": text})
 
     return mark
 
 
-def marked_rows(digests: DataFrame, owners: int) -> DataFrame:
-    """doc_id, digest and whether the row may have an equal one, by the exchange of fingerprints."""
-    spark = digests.sparkSession
-    row = F.monotonically_increasing_id()  # the partition's number above, the row's below
-    senders = F.shiftright(row, 33) * F.lit(1 << 20) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(SENDER_ROWS))
-    home = bucketed(digests.select(senders.cast("long").alias("sender"), "doc_id", "digest"), "fingerprints", ["sender"], int(spark.conf.get("spark.sql.shuffle.partitions")), ["sender", "digest"])
-    answers = home.groupBy("sender").applyInArrow(_messages(owners), _MESSAGE).groupBy("owner").applyInPandas(_answers, "sender long, owner int, bitmap binary")
-    return home.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(_marked(owners), "doc_id long, digest binary, suspect boolean")
+def marked_rows(texts: Chunks, owners: int) -> DataFrame:
+    """doc_id, digest, whether the row may have an equal one, by the exchange of fingerprints, and then its text."""
+    answers = texts.each(_messages(owners), _MESSAGE).groupBy("owner").applyInPandas(_answers, "chunk long, owner int, bitmap binary")
+    return texts.met(answers, _marked(owners), "doc_id long, digest binary, suspect boolean, text string")
 
 
 def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    own = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
-    owners = owners or min(MOST_OWNERS, max(16, -(-docs.count() // OWNER_ROWS)))
-    marked = written(marked_rows(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest")), owners), "suspects")
+    texts = Chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("text")), "texts")
+    owners = owners or min(MOST_OWNERS, max(16, -(-(texts.home.agg(F.sum("n")).first()[0] or 0) // OWNER_ROWS)))
+    marked = written(marked_rows(texts, owners), "suspects")
     suspects = marked.where("suspect")
-    # ids without a value can't be joined, so their rows are all looked at
-    texts = semi_join(own, suspects, "doc_id").unionByName(own.where(F.col("doc_id").isNull()))
-    verified = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    verified = suspects.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.any_value("digest").alias("digest"))
     groups = (
-        verified.groupBy(F.unhex(F.sha2("text", 256)).alias("digest"))
+        verified.groupBy("digest")
         .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
         .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")))
         .drop("texts")

@@ -20,8 +20,9 @@ No pair of a bucket's documents is lost, and none is enumerated in a bucket:
    others are compared exactly in blocks as well; what comes back is no more than a
    spanning forest of the links found.
 
-No task gets all rows of a hot bucket: buckets are looked up by broadcast after
-being counted, or the hot ones of them.
+No task gets all rows of a hot bucket or text: both are looked up by broadcast after
+being counted, or the hot ones of them.  Texts stay in their chunks (``chunks``);
+only the sets of candidates leave them.
 
 With 48 bands of 7 registers a pair of similarity 0.8 shares a bucket with
 probability 0.99999, one of 0.85 with 0.9999999.
@@ -34,19 +35,21 @@ gives an empty result; further columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resonara.operators.components import connected_components
 
-from .common import looked_up, semi_join, slices, written
+from .chunks import Chunks
+from .common import looked_up, slices, written
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -294,7 +297,7 @@ def agreeing(rows: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.concat(found)[columns].drop_duplicates() if found else rows.iloc[:0][columns]
 
 
-def _across(members: DataFrame, reps: DataFrame, own: DataFrame, components: DataFrame, k: int, percent: int, sketch: Sketch) -> DataFrame | None:
+def _across(members: DataFrame, reps: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], components: DataFrame, percent: int, sketch: Sketch) -> DataFrame | None:
     """Links between components that still share buckets; None if there are none."""
     rows = written(mixed_buckets(members, components), "mixed")
     if rows.isEmpty():
@@ -306,18 +309,61 @@ def _across(members: DataFrame, reps: DataFrame, own: DataFrame, components: Dat
     near = written(dealt.groupBy("key", "lo", "hi").applyInPandas(lambda r: agreeing(r, least), kinds).distinct(), "agreeing")
     if near.isEmpty():
         return None
-    sets = written(semi_join(own, near, "doc_id").mapInArrow(_sets(k), "doc_id long, shingles binary"), "bucket-sets")
+    sets = sets_of(near, "bucket-sets")
     sized = near.join(reps.select("doc_id", "n_shingles"), "doc_id")
     compared = dealt_blocks(sized, F.col("n_shingles"), sketch).join(sets, "doc_id").select("key", "lo", "hi", "block", "component", "shingles")
     return written(compared.groupBy("key", "lo", "hi").applyInPandas(lambda r: compared_blocks(r, percent), "a long, b long").distinct(), "bucket-links")
 
 
+def _with_chunk(work):
+    """``work`` over a chunk's ids and texts, with the chunk's number beside what it gives."""
+
+    def run(chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in work(rows.select([0, 1]).to_batches()):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, chunk, np.int64))], names=[*batch.schema.names, "chunk"])
+
+    return run
+
+
+def _asked_sets(k: int):
+    """Sets of the rows whose doc_id is among a chunk's notes."""
+
+    def run(_: int, rows: pa.Table, notes: pa.Table) -> pa.Table:
+        asked = rows.filter(pc.is_in(rows.column(0), pc.unique(notes.column("doc_id")).cast(rows.schema.field(0).type)))
+        found = list(_sets(k)(asked.select([0, 1]).to_batches()))
+        return pa.Table.from_batches(found) if found else pa.table({"doc_id": pa.array([], pa.int64()), "shingles": pa.array([], pa.binary())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(own.mapInArrow(_sketches(k, sketch), "doc_id long, n_shingles long, print binary, registers binary"), "sketches")
+    return _judged(Chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "texts"), k, percent, sketch).drop("chunk")
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
+    """Rows of ``docs``, with their columns, that are no copy of a document with a smaller doc_id."""
+    order = [F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    rows = Chunks(docs.select(*order), "documents")
+    gone = written(_judged(rows, k, percent, sketch).where("NOT kept").select("chunk", "doc_id").distinct(), "near-copies")
+
+    def rest(_: int, own: pa.Table, notes: pa.Table) -> pa.Table:
+        return own.filter(pc.invert(pc.is_in(own.column(0), pc.unique(notes.column("doc_id")))))
+
+    return rows.met(gone, rest, rows.schema).select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns))
+
+
+def _judged(texts: Chunks, k: int, percent: int, sketch: Sketch) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, chunk of every row."""
+    sketched = written(texts.each(_with_chunk(_sketches(k, sketch)), "doc_id long, n_shingles long, print binary, registers binary, chunk long"), "sketches")
+
+    def sets_of(ids: DataFrame, label: str) -> DataFrame:
+        """Sets of shingles of the documents of ``ids``; their ids travel to the chunks, and only the sets leave."""
+        at = sketched.select("chunk", "doc_id").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        return written(texts.met(at, _asked_sets(k), "doc_id long, shingles binary"), label)
+
     known = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("print").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = written(known.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
     reps = written(
         known.join(classes.select(F.col("print"), F.col("class_id").alias("doc_id")), ["print", "doc_id"], "left_semi").select("doc_id", "n_shingles", "registers"),
         "representatives",
@@ -337,19 +383,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
         "candidates",
     )
     wanted = plausible.select(F.col("a").alias("doc_id")).union(plausible.select("b"))
-    sets = written(semi_join(own, wanted, "doc_id").mapInArrow(_sets(k), "doc_id long, shingles binary"), "shingles")
+    sets = sets_of(wanted, "shingles")
     links = written(plausible.join(side(sets, "a", sa="shingles"), "a").join(side(sets, "b", sb="shingles"), "b").mapInArrow(_verified(percent), "a long, b long"), "links")
     components = connected_components(links)
-    more = _across(members, reps, own, components, k, percent, sketch)
+    more = _across(members, reps, sets_of, components, percent, sketch)
     if more is not None:
         components = connected_components(more.unionByName(components.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-    return (
-        sketched.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
-        .join(classes, "print", "left")
-        .join(components.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    facts = classes.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").select("print", "copies", F.coalesce("component", "class_id").alias("component_id"))
+    judged = looked_up(known.select("doc_id", "n_shingles", "chunk", "print"), facts, ["print"], "copies", "class-components")
+    alone = sketched.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "component_id", "chunk"]
+    return judged.select(*columns).unionByName(alone.select(*columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "chunk")
 
 
 ORACLE_SQL = r"""

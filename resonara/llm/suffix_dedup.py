@@ -361,7 +361,8 @@ def _messages(owners: int, match: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 raw, lengths, _ = _opened(r)
                 a = anchors(raw, lengths, match)
                 first, _ = distinct(raw, a, match)

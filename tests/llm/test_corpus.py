@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resonara.llm import bpe, common, embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, registry, sharding, token_counts
+from resonara.llm import bpe, chunks, common, embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, registry, sharding, token_counts
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\f\r"
@@ -346,7 +347,7 @@ def test_exact_dedup(docs, rows, empty, monkeypatch):
     assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) == _exact_brute(rows)
     assert exact_dedup.exact_dedup(empty).count() == 0
     # senders of few rows, and more groups than are broadcast
-    monkeypatch.setattr(exact_dedup, "SENDER_ROWS", 7)
+    monkeypatch.setattr(chunks, "CHUNK", 2000)
     monkeypatch.setattr(common, "LOOKUP_ROWS", 10)
     for hot in (1, 2, 10**6):
         monkeypatch.setattr(common, "HOT_ROWS", hot)
@@ -360,20 +361,72 @@ def test_exact_dedup_needs_the_exchange(docs, rows, monkeypatch):
     assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) != _exact_brute(rows)
 
 
-def test_fingerprints_travel_compressed_and_alone(spark):
-    digests = spark.range(40_000).select(F.col("id").alias("doc_id"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest")).repartition(3)
-    marked = exact_dedup.marked_rows(digests, 16)
-    plan = marked._jdf.queryExecution().executedPlan().toString()
-    # messages to owners and bitmaps back; the senders' rows stay in their buckets
-    assert plan.count("Exchange") == 2 and "digest" not in plan[plan.index("Exchange") :].split("\n")[0]
+def _exchanged(frame):
+    """The columns that each exchange of a plan moves."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    out, left = [], [plan]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "Exchange":
+            out.append([node.output().apply(i).name() for i in range(node.output().size())])
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_fingerprints_travel_compressed_and_alone(spark, monkeypatch):
+    texts = spark.range(40_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")).repartition(3)
+    own = chunks.Chunks(texts, "texts")
+    marked = exact_dedup.marked_rows(own, 16)
+    # messages to owners and bitmaps back; the senders' rows stay in their chunks
+    assert len(_exchanged(marked)) == 2 and not {"rows", "text", "digest"} & {c for x in _exchanged(marked) for c in x}
     assert marked.where("suspect").count() == 0
-    table = digests.toArrow()
-    sender = table.append_column("sender", [[1] * len(table)])
-    coded = exact_dedup._messages(16)(sender)
+    coded = pa.Table.from_batches(list(exact_dedup._messages(16)(1, texts.toArrow())))
     sent = sum(len(x) for c in ("unary", "rest") for x in coded.column(c).to_pylist())
     assert sum(coded.column("n").to_pylist()) == 40_000 and sent < 0.8 * 40_000 * exact_dedup.FINGERPRINT_BITS / 8
 
 
+@pytest.mark.parametrize("size", [1, 3000, 1 << 20])
+def test_chunks_hold_every_row_once(docs, rows, size):
+    own = chunks.Chunks(docs, "rows", size)
+    given = sorted(map(str, docs.collect()))
+
+    def same(_, table, notes):
+        return table
+
+    assert sorted(map(str, own.met(own.home.select("chunk"), same, docs.schema).collect())) == given
+    sizes = own.home.agg(F.sum("n"), F.count("*"), F.countDistinct("chunk")).first()
+    assert sizes[0] == len(rows) and sizes[1] == sizes[2] and (sizes[1] == len(rows) if size == 1 else sizes[1] < len(rows))
+
+
+def test_texts_stay_in_their_chunks_beyond_the_broadcast_bounds(docs, spark, monkeypatch):
+    """No exchange of op5 and op6 moves the texts of all rows, whatever may be broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 1)
+    moved = []
+    for module in (exact_dedup, near_dedup):
+        stored = module.written
+        monkeypatch.setattr(module, "written", lambda df, *a, stored=stored, **k: (moved.append((a[0], _exchanged(df))), stored(df, *a, **k))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ends = [exact_dedup.exact_dedup(docs), near_dedup.near_duplicates(docs, k=2), near_dedup.without_near_copies(docs, k=2)]
+        moved += [("result", _exchanged(df)) for df in ends]
+        assert all(df.count() for df in ends)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # only the groups of suspects are dealt by text
+    assert len(moved) > 10 and {label for label, exchanges in moved for x in exchanges if "text" in x or "rows" in x} <= {"text-groups"}
+
+
+def test_without_near_copies_keeps_columns(docs, rows):
+    kept = near_dedup.without_near_copies(docs, k=2)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    judged = Counter(r.doc_id for r in near_dedup.near_duplicates(docs, k=2).where("kept").collect())
+    assert Counter(r.doc_id for r in kept.collect()) == judged
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(0)
     for n in (1, 2, 50, 4000):
