@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resonara.llm import language_id, line_dedup, near_dedup, packing
-from resonara.llm.common import anti_join, written
+from resonara.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more over five-word shingles."""
-    groups = near_dedup.near_duplicates(docs, k=5, percent=80)
-    return anti_join(docs, written(groups.where("NOT kept").select("doc_id"), "near-copies"), "doc_id")
+    return near_dedup.without_near_copies(docs, k=5, percent=80)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
