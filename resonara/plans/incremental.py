@@ -40,24 +40,28 @@ _DOUBLED = "SELECT DISTINCT b.compound_id, b.i AS atom FROM {bond} b JOIN five O
 _FACTS = f"""ring AS MATERIALIZED ({' UNION ALL '.join(_ring_sql(n) for n in (3, 4, 5, 6))}), five AS MATERIALIZED (SELECT DISTINCT compound_id, atom FROM ring WHERE size >= 5), pi AS MATERIALIZED ({_DOUBLED}),
     closed AS (SELECT r.compound_id, r.size, r.ring, count(p.atom) AS n, count(*) FILTER (p.atom IS NULL AND a.element IN ('N', 'O', 'S')) AS lone FROM ring r JOIN {{atom}} a ON a.compound_id = r.compound_id AND a.pos = r.atom LEFT JOIN pi p ON p.compound_id = r.compound_id AND p.atom = r.atom WHERE r.size >= 5 GROUP BY ALL),
     arom AS (SELECT DISTINCT r.compound_id, r.atom FROM ring r JOIN closed k ON k.compound_id = r.compound_id AND k.ring = r.ring WHERE k.size = 6 AND k.n = 6 OR k.size = 5 AND k.n = 4 AND k.lone = 1),
-    around AS (SELECT b.compound_id, b.i AS pos, count(*) FILTER (b.bond_order = 3) AS tr, count(*) FILTER (b.bond_order = 2) AS dbl, bool_or(x.element = 'C') AS has_c, bool_or(x.element = 'O') AS has_o, bool_or(x.element = 'N') AS has_n, bool_or(x.element = 'S') AS has_s FROM {{bond}} b JOIN {{atom}} x ON x.compound_id = b.compound_id AND x.pos = b.j GROUP BY ALL),
-    fact AS MATERIALIZED (SELECT a.compound_id, a.pos, CASE WHEN coalesce(n.tr, 0) > 0 OR coalesce(n.dbl, 0) > 1 THEN 'sp1' WHEN coalesce(n.dbl, 0) > 0 THEN 'sp2' ELSE 'sp3' END AS state, n.has_c, n.has_o, n.has_n, n.has_s,
+    around AS (SELECT b.compound_id, b.i AS pos, count(*) FILTER (b.bond_order = 3) AS tr, count(*) FILTER (b.bond_order = 2) AS dbl, bool_or(x.element = 'C') AS has_c, bool_or(x.element = 'O') AS has_o, bool_or(x.element = 'N') AS has_n, bool_or(x.element = 'S') AS has_s, bool_or(x.element IN ('F', 'Cl', 'Br', 'I')) AS has_x FROM {{bond}} b JOIN {{atom}} x ON x.compound_id = b.compound_id AND x.pos = b.j GROUP BY ALL),
+    fact AS MATERIALIZED (SELECT a.compound_id, a.pos, CASE WHEN coalesce(n.tr, 0) > 0 OR coalesce(n.dbl, 0) > 1 THEN 'sp1' WHEN coalesce(n.dbl, 0) > 0 THEN 'sp2' ELSE 'sp3' END AS state, n.has_c, n.has_o, n.has_n, n.has_s, n.has_x,
        EXISTS (SELECT 1 FROM ring r WHERE r.compound_id = a.compound_id AND r.atom = a.pos AND r.size = 3) AS ring3, EXISTS (SELECT 1 FROM ring r WHERE r.compound_id = a.compound_id AND r.atom = a.pos AND r.size = 4) AS ring4,
        EXISTS (SELECT 1 FROM arom r WHERE r.compound_id = a.compound_id AND r.atom = a.pos) AS aromatic FROM {{atom}} a LEFT JOIN around n ON n.compound_id = a.compound_id AND n.pos = a.pos WHERE a.element = 'C')"""
 
 
+#: Every third nitrogen as a halogen, so that the counter of halogens has something to count.
+_HALIDES = "(SELECT compound_id, pos, CASE WHEN element = 'N' AND (compound_id + pos) % 3 = 0 THEN 'Cl' ELSE element END AS element FROM {atom})"
+
+
 @query(
     "T2_build_stats_from_sdf",
     f"""{CODES_CTE}, codes AS MATERIALIZED ({CODES}), {_FACTS}
        SELECT k.code, k.radius, count(*) AS n, sum(g.shift_c)::BIGINT AS sum_c, sum(g.shift_c * g.shift_c)::BIGINT AS sumsq_c, count(*) FILTER (f.state = 'sp3') AS sp3, count(*) FILTER (f.state = 'sp2') AS sp2, count(*) FILTER (f.state = 'sp1') AS sp1,
-         count(*) FILTER (f.has_c) AS carbon, count(*) FILTER (f.has_o) AS oxygen, count(*) FILTER (f.has_n) AS nitrogen, count(*) FILTER (f.has_s) AS sulfur, 0::BIGINT AS halogen, count(*) FILTER (f.ring3) AS ring3, count(*) FILTER (f.ring4) AS ring4, count(*) FILTER (f.aromatic) AS aromatic
-       FROM codes k JOIN fact f ON f.compound_id = k.compound_id AND f.pos = k.pos JOIN {{signal}} g ON g.compound_id = k.compound_id AND g.atom_index = k.pos GROUP BY k.code, k.radius""",
+         count(*) FILTER (f.has_c) AS carbon, count(*) FILTER (f.has_o) AS oxygen, count(*) FILTER (f.has_n) AS nitrogen, count(*) FILTER (f.has_s) AS sulfur, count(*) FILTER (f.has_x) AS halogen, count(*) FILTER (f.ring3) AS ring3, count(*) FILTER (f.ring4) AS ring4, count(*) FILTER (f.aromatic) AS aromatic
+       FROM codes k JOIN fact f ON f.compound_id = k.compound_id AND f.pos = k.pos JOIN {{signal}} g ON g.compound_id = k.compound_id AND g.atom_index = k.pos GROUP BY k.code, k.radius""".replace("{atom}", _HALIDES),
 )
 def _(v):
     from .text_sources import write_measured
 
     base = _folder(v)
-    write_measured(v, f"{base}/in")
+    write_measured(v, f"{base}/in", v.sql(f"SELECT * FROM {_HALIDES} x"))
     return jobs.build_stats_from_sdf(v.spark, f"{base}/in", "measured", f"{base}/state", f"{base}/checkpoint", files_per_batch=4)
 
 

@@ -20,17 +20,17 @@ def _folder(v, name: str) -> str:
 _T = "cast(cast((shift_c - shift_c % 100) / 100 AS bigint) AS string) || '.' || lpad(cast(shift_c % 100 AS string), 2, '0')"
 
 
-def _molecules(v):
-    atoms = v.atom.groupBy("compound_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "element"))), lambda x: x["element"]).alias("atoms"))
+def _molecules(v, atom=None):
+    atoms = (v.atom if atom is None else atom).groupBy("compound_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "element"))), lambda x: x["element"]).alias("atoms"))
     bonds = v.edge.groupBy("compound_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "bond_order"))).alias("bonds"))
     return v.compound.withColumnRenamed("id", "compound_id").join(atoms, "compound_id").join(bonds, "compound_id", "left").withColumn("bonds", F.coalesce("bonds", F.array().cast("array<struct<i:bigint,j:bigint,bond_order:int>>")))
 
 
-def write_measured(v, path: str) -> None:
-    """All compounds as SD files of the measured flavour, whose atoms count from 0."""
+def write_measured(v, path: str, atom=None) -> None:
+    """All compounds as SD files of the measured flavour, whose atoms count from 0; with other atoms than the view's, if given."""
     entry = F.concat(F.expr(_T), F.lit(";0.0"), F.coalesce(F.expr("substring('SDTQ', cast(h_count AS int) + 1, 1)"), F.lit("X")), F.when(c("atom_index").isNotNull(), F.concat(F.lit(";"), c("atom_index").cast("string"))).otherwise(""))
     spectra = v.signal.groupBy("compound_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]), "|").alias("s"))
-    rows = _molecules(v).join(spectra, "compound_id").withColumn("properties", F.create_map(F.lit("InChI"), c("inchi"), F.lit("InChI key"), c("inchi_key"), F.lit("Spectrum 13C 0"), c("s")))
+    rows = _molecules(v, atom).join(spectra, "compound_id").withColumn("properties", F.create_map(F.lit("InChI"), c("inchi"), F.lit("InChI key"), c("inchi_key"), F.lit("Spectrum 13C 0"), c("s")))
     sdf.write_sdf(rows.select("name", "atoms", "bonds", "properties"), path)
 
 
