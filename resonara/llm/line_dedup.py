@@ -6,12 +6,12 @@ and with A-Z lower-cased.  Keys of ``min_chars`` code points or more that
 doc_id that holds them.
 
 ``LineRuns`` keeps what is known of line keys as sorted runs in levels, each dealt
-into the same buckets by hash and sorted in them.  A new batch is grouped once and
-then merge-joined with the runs, bucket by bucket, without moving or sorting them:
-the keys that no run has (the anti-join) enter as firsts, the others as updates,
-and both form the batch's own run.  ``fanout`` runs of a level are compacted into
-one run of the next, bucket by bucket as well.  A key has one first over all runs;
-what is known of it is its first and its updates together.
+into the same buckets by hash and sorted in them.  No key is in two runs.  A new
+batch is grouped once and then merge-joined with the runs, bucket by bucket, without
+moving or sorting them: the keys that no run has (the anti-join) enter as the batch's
+own run; the others wait as updates of the run that holds them.  ``fanout`` runs of a
+level are compacted into one run of the next, bucket by bucket as well, and take
+their updates in.  What is known of a key is the row of its one run with its updates.
 
 Keys of many documents are looked up by broadcast after being counted, so that no
 task gets all rows of one line; each other key has a bounded number of rows.
@@ -24,6 +24,8 @@ Further columns are not looked at, or are kept by ``without_repeated_lines``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,16 @@ def _hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.hash(key).alias("h2"))
 
 
+@dataclass
+class Run:
+    """Rows (h1, h2, n, last) of a run, and later batches' rows of its keys."""
+
+    rows: DataFrame
+    updates: list[DataFrame] = field(default_factory=list)
+
+
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n, last, firsts)."""
+    """Levelled sorted runs with disjoint keys."""
 
     KEYS = ["h1", "h2"]
 
@@ -56,10 +66,10 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         # as many as a grouping has partitions, so that the batch meets the runs where they are
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[Run]] = []
 
     @property
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[Run]:
         return [run for level in self.levels for run in level]
 
     def _stored(self, rows: DataFrame, level: int) -> DataFrame:
@@ -70,46 +80,53 @@ class LineRuns:
         finally:
             self.spark.conf.set(_ORDERED, before)
 
-    def marked(self, batch: DataFrame) -> DataFrame:
-        """The batch's rows with ``firsts``: 1 for keys that the anti-join with all runs leaves, 0 for updates."""
-        met = batch.withColumn("known", F.lit(False))
-        for run in self.runs:
-            keys = run.where("firsts > 0").select(*self.KEYS, F.lit(True).alias("there"))
-            met = met.join(keys.hint("merge"), self.KEYS, "left").withColumn("known", F.col("known") | F.col("there").isNotNull()).drop("there")
-        return met.withColumn("firsts", F.when(F.col("known"), 0).otherwise(1)).drop("known")
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of (h1, h2, n, last), grouped by key; returns its run."""
-        run = self._stored(self.marked(batch), 0)
-        self._push(run, 0)
-        return run
-
-    def _push(self, run: DataFrame, level: int) -> None:
+    def held(self, batch: DataFrame) -> DataFrame:
+        """The batch's rows with the number of the run that holds their key, null for those that the anti-join with all runs leaves."""
+        met = batch.withColumn("run", F.lit(None).cast("int"))
+        for number, run in enumerate(self.runs):
+            keys = run.rows.select(*self.KEYS, F.lit(number).alias("there"))
+            met = met.join(keys.hint("merge"), self.KEYS, "left").withColumn("run", F.coalesce("run", "there")).drop("there")
+        return met
+
+    def add(self, batch: DataFrame) -> None:
+        """Add a batch of (h1, h2, n, last), grouped by key: new keys as a run, the others as updates."""
+        runs = self.runs
+        stored = self._stored(self.held(batch), 0)
+        for number, run in enumerate(runs):
+            run.updates.append(stored.where(F.col("run") == number).drop("run"))
+        self._push(Run(stored.where("run IS NULL").drop("run")), 0)
+
+    def _push(self, run: Run, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             together, self.levels[level] = self.levels[level], []
-            self._push(self._compacted(together, level + 1), level + 1)
-
-    def _compacted(self, runs: list[DataFrame], level: int) -> DataFrame:
-        """One run of several, merged two at a time."""
-        merged = runs[0]
-        for other in runs[1:]:
-            merged = self._stored(self.merged(merged, other), level)
-        return merged
-
-    def merged(self, one: DataFrame, other: DataFrame) -> DataFrame:
-        """A row a key of two runs, by a merge join of their buckets."""
-        side = lambda run, x: run.select(*self.KEYS, *(F.col(c).alias(f"{c}{x}") for c in ("n", "last", "firsts")))
-        total = lambda c: F.coalesce(f"{c}0", F.lit(0)) + F.coalesce(f"{c}1", F.lit(0))
-        both = side(one, 0).join(side(other, 1).hint("merge"), self.KEYS, "full")
-        return both.select(*self.KEYS, total("n").alias("n"), F.greatest("last0", "last1").alias("last"), total("firsts").alias("firsts"))
+            merged = self.current(together[0])
+            for other in together[1:]:
+                merged = self._stored(self.merged(merged, self.current(other)), level + 1)
+            self._push(Run(merged), level + 1)
+
+    def merged(self, one: DataFrame, other: DataFrame, how: str = "full") -> DataFrame:
+        """The rows of both sides, those of one key together, by a merge join of their buckets."""
+        side = lambda rows, x: rows.select(*self.KEYS, *(F.col(c).alias(f"{c}{x}") for c in ("n", "last")))
+        both = side(one, 0).join(side(other, 1).hint("merge"), self.KEYS, how)
+        return both.select(*self.KEYS, (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"), F.greatest("last0", "last1").alias("last"))
+
+    def current(self, run: Run) -> DataFrame:
+        """A run's rows with their updates; updates bring no keys."""
+        rows = run.rows
+        for update in run.updates:
+            rows = self.merged(rows, update, "left")
+        return rows
 
     def totals(self) -> DataFrame:
-        """h1, h2, documents and largest doc_id over all batches."""
-        once = F.when(F.col("firsts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("a line key must enter the runs once")).cast("long"))
-        return self._compacted(self.runs, len(self.levels)).select(*self.KEYS, once.alias("n"), "last")
+        """h1, h2, n (documents) and largest doc_id (last) over all batches: the runs' own rows, whose keys are disjoint."""
+        parts = [self.current(run) for run in self.runs]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        return every
 
 
 def _dropped(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:

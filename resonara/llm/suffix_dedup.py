@@ -44,7 +44,7 @@ from .exact_dedup import FINGERPRINT_BITS, golomb_decode, golomb_encode
 #: Bytes of a gram, and of a removed string.
 GRAM, MATCH = 24, 50
 #: Bytes of a chunk (a longer document is one by itself), and bytes that are looked at together.
-CHUNK, SLICE = 8 << 20, 1 << 17
+CHUNK, SLICE = 4 << 20, 1 << 17
 #: Fingerprints of an owner and suffixes of a bucket, about; suffixes beyond which a gram is hot.
 OWNER_ROWS, BUCKET_ROWS, HOT = 500_000, 50_000, 4096
 #: Words of eight bytes that the quicksort looks at before tries take over.
@@ -487,6 +487,18 @@ def _packed(m: pd.DataFrame) -> pd.DataFrame:
     return _replies(*(m[x].to_numpy() for x in ("chunk", "at", "o", "o", "least")))
 
 
+def _covered(start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of the ranges."""
+    change = np.zeros(size + 1, np.int8)
+    if len(start):
+        order = np.argsort(start)
+        start, end = start[order], np.maximum.accumulate(end[order])
+        fresh = start[1:] > end[:-1]  # ranges that meet are one
+        change[start[np.r_[True, fresh]]] += 1
+        change[end[np.r_[fresh, True]]] -= 1
+    return np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+
+
 def _cut(match: int):
     """The documents of a chunk without what the replies cover."""
 
@@ -517,11 +529,7 @@ def _cut(match: int):
                 low.append(low_r[reply[real]])
                 high.append(high_r[reply[real]])
             place, low, high = map(np.concatenate, (place, low, high))
-            size = len(raw)
-            change = np.zeros(size + 1, np.int64)
-            change += np.bincount(place - high, minlength=size + 1)
-            change -= np.bincount(place - low + match, minlength=size + 1)
-            gone = np.cumsum(change)[:-1] > 0
+            gone = _covered(place - high, place - low + match, len(raw))
             start = 0
             for doc_id, length in zip(ids.tolist(), lengths.tolist(), strict=True):
                 mask = gone[start : start + length]

@@ -172,22 +172,25 @@ def _line_batch(spark, *keys):
     return rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
 
 
-def test_line_runs_know_first_sightings(spark):
+def test_line_runs_hold_disjoint_keys(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
-    assert {r.h1 for r in runs.add(_line_batch(spark, 1, 2)).where("firsts = 1").collect()} == {1, 2}
-    assert {r.h1 for r in runs.add(_line_batch(spark, 2, 3, 3)).where("firsts = 1").collect()} == {3}
-    assert {r.h1 for r in runs.add(_line_batch(spark, 3, 1, 4)).where("firsts = 1").collect()} == {4}
-    assert {(r.h1, r.n) for r in runs.totals().collect()} == {(1, 2), (2, 2), (3, 3), (4, 1)}
-    assert [len(level) for level in runs.levels] == [1, 1]
+    own = lambda: [sorted(r.h1 for r in run.rows.collect()) for run in runs.runs]
+    updates = lambda: [[sorted((r.h1, r.n) for r in u.collect()) for u in run.updates] for run in runs.runs]
+    runs.add(_line_batch(spark, 1, 2))
+    assert own() == [[1, 2]]
+    runs.add(_line_batch(spark, 2, 3, 3))
+    assert own() == [[1, 2, 3]] and updates() == [[]] and [len(level) for level in runs.levels] == [0, 1]
+    runs.add(_line_batch(spark, 3, 1, 4))
+    assert own() == [[4], [1, 2, 3]] and updates() == [[], [[(1, 1), (3, 1)]]]
+    assert sorted((r.h1, r.n, r.last) for r in runs.totals().collect()) == [(1, 2, 1), (2, 2, 2), (3, 3, 3), (4, 1, 4)]
+    runs.add(_line_batch(spark, 4, 4, 1, 5))
+    assert own() == [[1, 2, 3, 4, 5]] and sorted((r.h1, r.n) for r in runs.totals().collect()) == [(1, 3), (2, 2), (3, 3), (4, 3), (5, 1)]
 
 
-def test_line_runs_need_their_anti_join(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup.LineRuns, "marked", lambda self, batch: batch.withColumn("firsts", F.lit(1)))
-    runs = line_dedup.LineRuns(spark)
-    for keys in ((1, 2), (2, 3)):
-        runs.add(_line_batch(spark, *keys))
-    with pytest.raises(Exception, match="must enter the runs once"):
-        runs.totals().collect()
+def test_line_dedup_needs_the_anti_join(docs, rows, monkeypatch):
+    """Where every key enters every batch's run, runs share keys and results are wrong, without any error."""
+    monkeypatch.setattr(line_dedup.LineRuns, "held", lambda self, batch: batch.withColumn("run", F.lit(None).cast("int")))
+    assert Counter(map(tuple, line_dedup.line_dedup(docs).collect())) != _line_brute(rows)
 
 
 def test_line_runs_stay_where_they_are(spark):
@@ -197,12 +200,12 @@ def test_line_runs_stay_where_they_are(spark):
         runs.add(_line_batch(spark, *keys))
     spark.conf.set(line_dedup._ORDERED, "true")
     try:
-        plan = runs.marked(_line_batch(spark, 3, 4))._jdf.queryExecution().executedPlan().toString()
-        whole = runs.merged(*runs.runs)._jdf.queryExecution().executedPlan().toString()
+        plan = runs.held(_line_batch(spark, 3, 4))._jdf.queryExecution().executedPlan().toString()
+        whole = runs.merged(*map(runs.current, runs.runs))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(line_dedup._ORDERED, "false")
     assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2 and plan.count("Sort [") == 1
-    assert "Exchange" not in whole and "Sort [" not in whole and whole.count("SortMergeJoin") == 1
+    assert "Exchange" not in whole and "Sort [" not in whole and whole.count("SortMergeJoin") == 2
 
 
 def test_line_dedup_with_more_frequent_lines_than_are_broadcast(docs, rows, monkeypatch):
