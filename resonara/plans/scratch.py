@@ -3,39 +3,62 @@
 Iterative operators cut their lineage by writing to the folder all executors
 share.  The folder is the one the cluster names in ``spark.checkpoint.dir``;
 only where that is unset and Spark runs on one machine (tests, notebooks) is a
-folder of this machine set; elsewhere its absence is an error.  What is written
-here is deleted when the session's process ends.
+folder of this machine set; elsewhere its absence is an error.
+
+What is written here is deleted when the JVM ends, whether or not the session was
+stopped before, and earlier where a caller says that it has what it needs
+(``releasing``).
 """
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_written: list[tuple] = []
+_written: list[str] = []
 
 
-def _forget() -> None:
-    for context, path in _written:
-        try:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            return
+def _system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-atexit.register(_forget)
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    target, system = _system(spark, path)
+    system.mkdirs(target)  # only what is there can be marked
+    system.deleteOnExit(target)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A new name in the shared folder; what is written there is deleted at the end."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext, path))
-    return path
+    _delete_at_end(spark, path)
+    _written.append(path)
+    return f"{path}/data"
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete what is written meanwhile, but for the folders that are put into the list."""
+    before, keep = len(_written), []
+    try:
+        yield keep
+    finally:
+        mine = _written[before:]
+        _written[before:] = [p for p in mine if p in keep]
+        for path in mine:
+            if path not in keep:
+                target, system = _system(spark, path)
+                system.delete(target, True)
+
+
+def last_folder() -> str:
+    """The folder that was named last, for ``releasing``."""
+    return _written[-1]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +70,9 @@ def shared_dir(spark: SparkSession) -> str:
         if current is None:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="resonara-"))
+            made = tempfile.mkdtemp(prefix="resonara-")
+            context.setCheckpointDir(made)
+            _delete_at_end(spark, made)
             current = context.getCheckpointDir()
         return current
     if context.getCheckpointDir() is None:
@@ -56,13 +81,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` eagerly in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` without its lineage, written in the shared folder."""
+    return kept(df, "cut")
 
 
 def kept(df: DataFrame, label: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; unlike ``cut`` the plan above knows nothing of the one below."""
+    """``df`` as a Parquet table in the shared folder; the plan above knows nothing of the one below."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

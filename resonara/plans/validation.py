@@ -253,11 +253,9 @@ def _(v):
 
 @query("S20_routing", f"{_CHECKS} SELECT verdict, confidence, count(*) AS peaks FROM (SELECT p.peak_id, g.verdict, CASE g.verdict WHEN 'PASS' THEN 'high' WHEN 'PARTIAL' THEN 'low' END AS confidence FROM {{peak2d}} p JOIN (SELECT list_id, {_VERDICT} AS verdict FROM checks GROUP BY list_id) g ON g.list_id = p.list_id) x GROUP BY ALL")
 def _(v):
-    import uuid
+    from .scratch import new_folder
 
-    from .scratch import shared_dir
-
-    base = f"{shared_dir(v.spark)}/routing-{uuid.uuid4().hex}"
+    base = new_folder(v.spark, "routing")
     qc.route_by_verdict(v.peak2d, qc.qc_report(v.peak2d, v.peak1d, _dept(v)), f"{base}/out", f"{base}/quarantine")
     good, bad = v.spark.read.parquet(f"{base}/out"), v.spark.read.parquet(f"{base}/quarantine")
     return good.select("verdict", "confidence").unionByName(bad.select("verdict", F.lit(None).cast("string").alias("confidence"))).groupBy("verdict", "confidence").agg(F.count("*").alias("peaks"))

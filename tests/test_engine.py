@@ -1,7 +1,9 @@
 """Whole operators against brute force: paths, regions, widths, searches, streams, ingest, sinks."""
 
-import json
 import random
+import subprocess
+import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -364,6 +366,39 @@ def test_a_cluster_needs_a_shared_folder():
         scratch.shared_dir(type("Session", (), {"sparkContext": Context()})())
 
 
+_PROGRAM = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from resonara.operators.components import connected_components
+from resonara.plans import scratch
+
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", 2).config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+scratch.kept(spark.range(10))
+with scratch.releasing(spark) as keep:
+    scratch.kept(spark.range(5), "gone")
+    table = scratch.kept(spark.range(7), "stays")
+    keep.append(scratch.last_folder())
+assert table.count() == 7
+import os
+assert not [x for x in os.listdir(sys.argv[1]) if x.startswith("gone")] and [x for x in os.listdir(sys.argv[1]) if x.startswith("stays")]
+connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count()
+spark.stop()
+"""
+
+
+def test_a_stopped_session_leaves_nothing(tmp_path):
+    folder = tmp_path / "shared"
+    folder.mkdir()
+    subprocess.run([sys.executable, "-c", _PROGRAM, str(folder)], check=True, capture_output=True, timeout=300)
+    for _ in range(100):  # the JVM ends a little later
+        if not [p for p in folder.rglob("*") if p.is_file()]:
+            break
+        time.sleep(0.3)
+    # but for an empty folder that Spark makes itself
+    assert not [p for p in folder.rglob("*") if p.is_file()] and len(list(folder.iterdir())) <= 1
+
+
 def _dx(nucleus, mhz, values, more=""):
     body = "\n".join(f"{i} {' '.join(map(str, values[i : i + 20]))}" for i in range(0, len(values), 20))
     return f"##TITLE= x\n##.OBSERVE NUCLEUS= ^{nucleus}\n##$OFFSET= 100\n##$SF= {mhz}\n{more}##YFACTOR= 1\n##FIRSTX= {100 * mhz}\n##LASTX= 0\n##XYDATA= (X++(Y..Y))  $$ packed\n{body}\n##END=\n"
