@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resonara.plans.scratch import shared_dir
+from resonara.plans.scratch import new_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a key table (16 bytes a row or less) up to which it may be broadcast.
@@ -19,31 +19,10 @@ BROADCAST_ROWS = 500_000
 #: Rows of a table up to which ``looked_up`` broadcasts it, and rows of a key beyond which the key is hot.
 LOOKUP_ROWS, HOT_ROWS = 100_000, 50_000
 
-_written: list[tuple] = []
-
-
-def _forget() -> None:
-    for context, path in _written:
-        try:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            return
-
-
-atexit.register(_forget)
-
-
-def _new_path(spark, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext, path))
-    return path
-
-
 def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the folder all executors share, in a folder for each value of ``by``, and read it back."""
     spark = df.sparkSession
-    path = _new_path(spark, label)
+    path = new_folder(spark, label)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,14 +35,23 @@ def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int, order: li
     sort either while ``spark.sql.legacy.bucketedTableScan.outputOrdering`` is set.
     """
     spark = df.sparkSession
-    path = _new_path(spark, label)
-    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = new_folder(spark, label)
+    database = _database(spark)
+    name = f"{database}.{label}_{uuid.uuid4().hex}".replace("-", "_")
     df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*(order or keys)).option("path", path).saveAsTable(name)
     table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay until the session ends
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay
     return table
 
 
+def _database(spark) -> str:
+    """A database of this application, for entries that are dropped at once."""
+    name = f"resonara_{re.sub(r'[^a-z0-9]', '_', spark.sparkContext.applicationId.lower())}"
+    if not spark.catalog.databaseExists(name):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{new_folder(spark, 'catalog')}'")
+    return name
+
+
 def _bounded(keys: DataFrame, on: str) -> DataFrame:
     keys = keys.select(on).distinct()
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
