@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from resonara.llm import language_id, line_dedup, near_dedup, packing
 from resonara.llm.common import written
+from resonara.plans.scratch import last_folder, releasing
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``, each result written and read again."""
+    """The stages one after the other over ``documents``, each result written and read again; what a stage wrote besides is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with releasing(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), name)
+            keep.append(last_folder())
     return docs
