@@ -1,26 +1,31 @@
 """License scans by a trained paragraph classifier.
 
-A sparse logistic regression over word unigrams and bigrams names a span's
-licence family or ``unknown``.  Its positive rows are variants of public notices
-and of short grants made by rule (``FORMS`` with the families' names), with words
-lost and cut short.  Its negative rows are windows of the corpus, mentions of
-licences that grant nothing, grants of invented licences, and licence words out
-of order.  A temperature calibrates its probabilities on rows kept apart: other
-forms, and families that it never saw (``UNSEEN``), which must be unknown.
+A sparse logistic regression over word unigrams and bigrams names a window's
+licence family or ``unknown``; it alone decides what is looked at and what counts.
+Its positive rows are variants of public notices and of short grants made by rule
+(``FORMS`` with the families' names), whole paragraphs or between other words.  Its
+negative rows are windows of the corpus, mentions and denials of licences, names
+between other words, grants of invented licences, and licence words out of order.
+A temperature calibrates its probabilities on rows kept apart: other forms, and
+families that it never saw (``UNSEEN``), which must be unknown.
 
 A paragraph ends at a line without a letter or digit; its other lines are joined,
-so that wrapped and commented notices are read as one.  Spans of a paragraph are
-sought along the whole of it, around each bigram that only one family's templates
-have: the words that a template's bigrams reach there.  A span names a family if
-the classifier does, with a probability of ``CONFIDENT`` or more, and a template
-of that family confirms it by sharing enough bigrams.  A title, such as a licence's
-name, counts only where it makes up most of its paragraph.  Of overlapping spans
-the one that shares most stays.  Paragraphs without such a bigram are unknown.
+so that wrapped and commented notices are read as one, and its ends are words of
+their own.  N-grams whose weights speak for a family are cues.  Runs of cues that
+lie close together, with a few words around them, are windows; those whose cues
+can't outweigh ``unknown`` are passed over by a bound on the weights, all others are
+judged.  Where cues of several families stand in a window, each family is judged
+without the cues of the others, so that a window may name several.
+
+The templates of the family then confirm a finding, or lower its score by what they
+don't share with it; it counts with ``CONFIDENT`` or more (``BESIDES`` for further
+families of a window).
 
 Null texts have no paragraph.  Documents are independent and the training sample
 is chosen by hash, so repeated rows give equal results, whatever the order or the
 partitions of the input; an empty table gives an empty result; further columns
-are not looked at.  Work is linear in the length of a text.
+are not looked at.  Work is linear in the length of a text: a window is judged once
+for each family that it has cues of.
 """
 
 from __future__ import annotations
@@ -38,10 +43,10 @@ from .common import slices
 
 #: Names of public licences by family: fixed values.
 NAMES = {
-    "agpl": ["GNU Affero General Public License, version 3", "AGPL v3", "AGPLv3", "GNU AGPL", "Affero GPL"],
-    "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 license"],
+    "agpl": ["GNU Affero General Public License, version 3", "AGPL v3", "AGPLv3", "GNU AGPL", "Affero GPL", "AGPL"],
+    "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 license", "Apache 2.0"],
     "boost": ["Boost Software License, Version 1.0", "Boost Software License"],
-    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License", "3-clause BSD license", "2-clause BSD license", "New BSD License", "Simplified BSD License", "BSD license"],
+    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License", "3-clause BSD license", "2-clause BSD license", "New BSD License", "Simplified BSD License", "BSD license", "BSD"],
     "cc": [
         "CC BY 4.0", "CC BY-SA 4.0", "CC BY-NC 4.0", "CC BY-ND 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC BY-SA 3.0",
         "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International License",
@@ -49,9 +54,9 @@ NAMES = {
     ],
     "cc0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0"],
     "epl": ["Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "EPL 2.0", "EPL v1.0"],
-    "gpl": ["GNU General Public License, version 3", "GNU General Public License v2.0", "GNU GPL v3", "GNU GPL", "GPL v2", "GPL v3", "GPL version 2", "GPLv2", "GPLv3"],
+    "gpl": ["GNU General Public License, version 3", "GNU General Public License v2.0", "GNU GPL v3", "GNU GPL", "GPL", "GPL v2", "GPL v3", "GPL version 2", "GPLv2", "GPLv3"],
     "isc": ["ISC License", "ISC licence"],
-    "lgpl": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v3.0", "LGPL v2.1", "LGPL v3", "LGPLv3", "GNU LGPL"],
+    "lgpl": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v3.0", "LGPL v2.1", "LGPL v3", "LGPLv3", "GNU LGPL", "LGPL"],
     "mit": ["MIT License", "MIT License (MIT)", "MIT licence", "Expat License", "MIT/Expat license"],
     "mpl": ["Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"],
     "unlicense": ["Unlicense"],
@@ -104,20 +109,36 @@ NOTICES = {
     "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."],
 }
 #: Short grants; those of ``APART`` serve calibration alone.
-FORMS = ["Licensed under the {}", "Licensed under {}", "Released under the {}", "Distributed under the terms of the {}", "This project is licensed under the terms of the {}", "This work is licensed under {}", "Published under {}, or any later version"]
-APART = ["Made available under the {}", "Subject to the terms of the {}", "You may use this file under the {}"]
+FORMS = [
+    "Licensed under the {}", "Licensed under {}", "Released under the {}", "Distributed under the terms of the {}", "This project is licensed under the terms of the {}", "This work is licensed under {}", "Published under {}, or any later version",
+    "License: {}", "Licence: {}", "License {}", "{} licensed", "The {} applies to this code", "see the {} for details", "covered by the {}", "It is available under either the {}", "Dual licensed under {}", "at your option the {}", "under the terms of {}", "use is governed by the {}", "Code is {}", "available under the {}",
+]
+APART = ["Made available under the {}", "Subject to the terms of the {}", "You may use this file under the {}", "SPDX: {}", "Licensed with {}", "All files are {} licensed"]
+#: What stands before and after a name that is a grant by itself, in lists.
+LISTS = ["{} or", "or {}", "{} and", "and {}", "either of {} or"]
 #: Licences that training never sees; calibration expects them to be unknown.
 UNSEEN = ["Artistic License 2.0", "European Union Public Licence 1.2", "SIL Open Font License 1.1", "Microsoft Public License", "CeCILL Free Software License", "Academic Free License 3.0", "Python Software Foundation License"]
-MENTIONS = ["the {} was discussed at length", "a history of the {}", "many people like the {} more than others", "the {} and its critics", "compared with the {} this is long", "the {}", "what is the {}"]
+MENTIONS = [
+    "the {} was discussed at length", "a history of the {}", "many people like the {} more than others", "the {} and its critics", "compared with the {} this is long", "what is the {}", "we like the {} for its clarity", "the {} is popular among authors",
+    "an essay about the {} and others", "lawyers have read the {} many times", "he wrote the {} in those years",
+]
+DENIALS = ["not licensed under the {}", "is not released under the {}", "never distributed under the {}", "no longer available under the {}", "was not licensed under {}", "this is not {} licensed", "incompatible with the {}", "cannot be combined with {} code", "the text isn t under the {}", "unlike the {} this"]
+
+#: Words of licences that name none.
+NAMELESS = ["version 3 of this license or any later one", "the second version of that license", "a copy of the license", "see the license for details", "version 2.0 of the license", "any later version of the license", "under the terms of the license"]
 
 #: Windows of the corpus that the classifier is trained against, and words of each.
 SAMPLE_WINDOWS, WINDOW_WORDS = 3000, 60
 VARIANTS = 6
-CONFIDENT = 0.5
-#: Share of the smaller bigram set that a template and a span must have in common, and what suffices for a span.
-CONFIRMED, ENOUGH = 0.62, 12
-#: A span's words for each word of its template.
-SLACK = 1.25
+#: Score of a finding at least, and of further families of a window that surely grants one.
+CONFIDENT, BESIDES = 0.6, 0.5
+#: How much more an n-gram must weigh for a family than for ``unknown`` to be a cue, and than for other families to be the family's own.
+CUE, OWN = 0.15, 1.8
+#: Words between cues of a window at most, and words around them that are judged with them.
+GAP, AROUND = 6, 3
+#: Shared bigrams, or share of a window's, that confirm it; what is left of a score without any.
+ENOUGH, CONFIRMED, UNSHARED = 8, 0.5, 0.92
+FIRST, LAST = "<p>", "</p>"
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _BREAK = re.compile(r"\n(?:[^\w\n]*\n)+")
@@ -142,83 +163,96 @@ def templates(family: str) -> list[list[str]]:
     return [words_of(n) for n in NOTICES[family]] + [words_of(f.format(n)) for n in NAMES[family] for f in FORMS] + tags
 
 
-@dataclass
-class Template:
-    family: int
-    grams: frozenset
-    #: Words before the first place of each bigram.
-    places: dict
-    size: int
-    #: Names count where they make up most of a paragraph.
-    title: bool = False
-
-
 @dataclass
 class Classifier:
-    """Weights (features and bias and strangeness x classes; the last class is unknown) and the templates that confirm."""
+    """Weights (features and bias and strangeness x classes; the last class is unknown), and the templates' bigrams that confirm."""
 
     families: list[str]
     features: dict = field(default_factory=dict)
     weights: np.ndarray | None = None
     temperature: float = 1.0
-    #: Bigram of a single family -> its templates.
-    anchors: dict = field(default_factory=dict)
-
-    def index_templates(self) -> None:
-        every = []
-        for k, family in enumerate(self.families):
-            for words, title in [*((w, False) for w in templates(family)), *((words_of(n), True) for n in [*NAMES[family], *SPDX[family]])]:
-                pairs = bigrams(words)
-                every.append(Template(k, frozenset(pairs), {g: i for i, g in reversed(list(enumerate(pairs)))}, len(words), title))
-        owner: dict = {}
-        for t in every:
-            for g in t.grams:
-                owner[g] = t.family if owner.get(g, t.family) == t.family else -1
-        for t in every:
-            for g in t.grams:
-                if owner[g] >= 0:
-                    self.anchors.setdefault(g, []).append(t)
-
-    def index_of(self, words: list[str]) -> tuple[list[int], float]:
+    #: N-gram -> (how much it speaks for a family at most, the family that it is own to, or -1).
+    cues: dict = field(default_factory=dict)
+    shared: list[frozenset] = field(default_factory=list)
+
+    def index_of(self, words: list[str], without: set | frozenset = frozenset()) -> tuple[list[int], float]:
         """Known n-grams and the share of those it doesn't know."""
-        found = {self.features[g] for g in (*words, *bigrams(words)) if g in self.features}
-        return sorted(found), 1 - len(found) / max(1, 2 * len(words) - 1)
+        grams = [g for g in (*words, *bigrams(words)) if g not in without]
+        found = {self.features[g] for g in grams if g in self.features}
+        return sorted(found), 1 - len(found) / max(1, len(set(grams)))
 
-    def probabilities(self, words: list[str]) -> np.ndarray:
-        index, strange = self.index_of(words)
+    def probabilities(self, words: list[str], without: set | frozenset = frozenset()) -> np.ndarray:
+        index, strange = self.index_of(words, without)
         logits = (self.weights[index].sum(axis=0) + self.weights[-2] + strange * self.weights[-1]) / self.temperature
         e = np.exp(logits - logits.max())
         return e / e.sum()
 
+    def index_cues(self) -> None:
+        """Find the cues by the weights, and the templates' bigrams of each family."""
+        gain = self.weights[:-2, :-1] - self.weights[:-2, -1:]
+        order = np.sort(gain, axis=1)
+        for gram, at in self.features.items():
+            top = order[at, -1]
+            if top >= CUE:
+                self.cues[gram] = (float(top), int(gain[at].argmax()) if top - order[at, -2] >= OWN else -1)
+        self.shared = [frozenset(g for t in templates(f) for g in bigrams(t)) for f in self.families]
+        #: What cues must outweigh for a window to be named.
+        bias = self.weights[-2] + np.minimum(0, self.weights[-1])
+        self.least = float(max(0.0, (self.weights[-2, -1] + min(0.0, self.weights[-1, -1])) - (self.weights[-2, :-1] + np.maximum(0, self.weights[-1, :-1])).max())) if len(bias) else 0.0
+
+    def windows(self, words: list[str]) -> Iterator[tuple[int, int, list[int]]]:
+        """(first, end, places of cues) of runs of cues that may outweigh unknown."""
+        cues, run, weight = self.cues, [], 0.0
+        seen: set = set()
+        for i, word in enumerate([*words, None]):
+            hit = word is not None and (word in cues or (i + 1 < len(words) and (word, words[i + 1]) in cues))
+            if run and (word is None or i - run[-1] > GAP):
+                if weight > self.least:
+                    yield run[0], min(len(words), run[-1] + 2), run
+                run, weight, seen = [], 0.0, set()
+            if hit:
+                run.append(i)
+                for g in (word, (word, words[i + 1]) if i + 1 < len(words) else None):
+                    if g in cues and g not in seen:
+                        seen.add(g)
+                        weight += cues[g][0]
+
     def find(self, words: list[str]) -> list[tuple[str, float, int, int]]:
-        """(family, probability, first word, end) of the licence spans of a paragraph of any length."""
-        pairs = bigrams(words)
-        anchors, named, done = self.anchors, [], {}
-        for i, g in enumerate(pairs):
-            if g not in anchors:
-                continue
-            for t in anchors[g]:
-                if done.get(t.family, -1) > i:
-                    continue
-                at = t.places[g]
-                a, b = max(0, i - int(SLACK * at) - 1), i + int(SLACK * (t.size - 1 - at)) + 2
-                there = [j for j, p in enumerate(pairs[a:b], a) if p in t.grams]
-                shared = len({pairs[j] for j in there})
-                first, end = there[0], there[-1] + 2
-                wide = len(pairs) if t.title else min(len(pairs), b) - a
-                need = CONFIRMED * max(len(t.grams), wide) if t.title else min(CONFIRMED * min(len(t.grams), wide), ENOUGH)
-                if shared < need:
+        """(family, score, first word, end) of the licence windows of a paragraph of any length."""
+        marked, found = [FIRST, *words, LAST], []
+        for first, end, places in self.windows(marked):
+            own: dict[int, list] = {}
+            at: dict[int, list[int]] = {}
+            for i in places:
+                for g in (marked[i], (marked[i], marked[i + 1]) if i + 1 < len(marked) else None):
+                    if g in self.cues and (k := self.cues[g][1]) >= 0:
+                        own.setdefault(k, []).append(g)
+                        at.setdefault(k, []).append(i)
+            judged = marked[max(0, first - AROUND) : end + AROUND]
+            p = self.probabilities(judged)
+            named = {int(p.argmax()): float(p.max())}
+            for k in own if len(own) > 1 else ():
+                near = {i + d for j, places_ in at.items() if j != k for i in places_ for d in (-1, 0, 1)}
+                if near >= set(at[k]):  # part of another family's name
                     continue
-                p = self.probabilities(words[first:end])
-                if int(p.argmax()) == t.family and p[t.family] >= CONFIDENT:
-                    named.append((shared, float(p[t.family]), first, end, t.family))
-                    if shared >= ENOUGH:
-                        done[t.family] = end - 1
-        taken: list[tuple] = []
-        for x in sorted(named, key=lambda x: (-x[0], -x[1], x[2])):
-            if all(x[3] <= y[2] or y[3] <= x[2] for y in taken):
-                taken.append(x)
-        return [(self.families[x[4]], x[1], x[2], x[3]) for x in sorted(taken, key=lambda x: x[2])]
+                p = self.probabilities(judged, {g for j, grams in own.items() if j != k for g in grams})
+                if int(p.argmax()) == k:  # a family is named besides by its own cues
+                    named[k] = max(float(p[k]), named.get(k, 0.0))
+            named.pop(len(self.families), None)
+            sure = max(named.values(), default=0.0) >= 0.9
+            for best, p in named.items():
+                if len(named) == 1 or best not in at:
+                    a, b = first, end
+                else:
+                    a, b = min(at[best]), max(at[best]) + 2
+                a, b = max(a, 1) - 1, min(b, len(marked) - 1) - 1
+                pairs = set(bigrams(words[a:b]))
+                share = len(pairs & self.shared[best])
+                if share < min(ENOUGH, CONFIRMED * max(1, len(pairs))):
+                    p *= UNSHARED + (1 - UNSHARED) * share / max(1, len(pairs))
+                if p >= (BESIDES if sure else CONFIDENT) and b > a:
+                    found.append((self.families[best], p, a, b))
+        return sorted(found, key=lambda x: (x[2], x[3]))
 
 
 def _variants(words: list[str], rng: np.random.Generator) -> list[list[str]]:
@@ -241,30 +275,56 @@ def _invented(rng: np.random.Generator) -> str:
     return str(rng.choice(kinds)).format(word(), word())
 
 
+def _between(words: list[str], corpus: list[list[str]], rng: np.random.Generator) -> list[str]:
+    """Words as they stand inside a longer paragraph."""
+    some = lambda: list(corpus[int(rng.integers(len(corpus)))][: int(rng.integers(1, AROUND + 1))]) if corpus else []
+    return [*some(), *words, *some()]
+
+
 def training_rows(corpus: list[list[str]], apart: bool) -> list[tuple[list[str], str, str]]:
     """(words, family or unknown, kind of row); with ``apart`` those for calibration.  All rows of a kind weigh as much as those of another."""
     rng = np.random.default_rng(23 if apart else 11)
+    whole = lambda w: [FIRST, *w, LAST]
+    inside = lambda w: _between(w, corpus[apart::2], rng)
     rows: list[tuple[list[str], str, str]] = []
     for family in sorted(NAMES):
+        names = NAMES[family] + SPDX[family]
         if apart:
-            positive = [words_of(f.format(n)) for n in NAMES[family] for f in APART] + [w for n in NOTICES[family] for w in _variants(words_of(n), rng)[1:]]
+            grants = [words_of(f.format(n)) for n in NAMES[family] for f in APART]
+            positive = [x for g in grants for x in (whole(g), inside(g))] + [inside(w) for n in NOTICES[family] for w in _variants(words_of(n), rng)[1:]]
+            titles: list[list[str]] = []
         else:
-            titles = [words_of(n) for n in NAMES[family] + SPDX[family]]
-            positive = [v for t in templates(family) for v in _variants(t, rng)] + [[*t, *x] for t in titles for x in ([], [t[-1]])]
-            positive += [["under", "the", *words_of(n)] for n in NAMES[family]]
-        rows += [(w, family, family) for w in positive]
+            grants = [words_of(f.format(n)) for n in names for f in FORMS] + [words_of(f"SPDX-License-Identifier: {i}") for i in SPDX[family]]
+            positive = [x for g in grants for x in (whole(g), inside(g), inside(g), [FIRST, *g, *inside([])], [*inside([]), *g, LAST])]
+            positive += [x for n in NOTICES[family] for v in _variants(words_of(n), rng) for x in (v, whole(v), inside(v), [FIRST, *v, *inside([])], [*inside([]), *v, LAST])]
+            positive += [x for n in NAMES[family] for w in (["under", "the", *words_of(n)], ["under", *words_of(n)]) for x in (w, inside(w), [*inside(w), LAST])]
+            lists = [words_of(f"Licensed under {x}".format(n)) for n in names for x in LISTS]
+            positive += [inside(x) for x in lists]
+            titles = [v for n in names for v in (whole(words_of(n)), whole(["the", *words_of(n)]), [FIRST, *words_of(n), "or", LAST], [FIRST, "or", *words_of(n), LAST])]
+            # a later version, a word lost or another one in its place
+            titles += [whole([*words_of(n), "or", "later"]) for n in names]
+            odd = lambda w, i: [w[:i] + w[i + 1 :], [*w[:i], "other", *w[i + 1 :]]]
+            titles += [whole(x) for n in NAMES[family] for w in [words_of(n)] if len(w) > 3 for i in range(1, len(w)) for x in odd(w, i)]
+        rows += [(w, family, family) for w in positive] + [(w, family, f"title of {family}") for w in titles]
         for n in NAMES[family]:
-            rows += [(words_of(m.format(n)), "unknown", "mention of " + family) for m in (MENTIONS[::2] if apart else MENTIONS)]
+            mentions, denials = (MENTIONS[::2], DENIALS[::2]) if apart else (MENTIONS, DENIALS)
+            rows += [(x, "unknown", "mention of " + family) for m in mentions for x in (whole(words_of(m.format(n))), inside(words_of(m.format(n))))]
+            rows += [(x, "unknown", "denial of " + family) for m in denials for x in (whole(words_of(m.format(n))), inside(words_of(m.format(n))))]
+            # a name is a grant by itself only where it is a paragraph of its own
+            w = words_of(n)
+            rows += [(x, "unknown", "name of " + family) for x in (inside(w), [FIRST, *w, *inside([])], [FIRST, "the", *w, *inside([])])]
             rows.append((list(rng.permutation(words_of(FORMS[0].format(n)))), "unknown", "disorder"))
     names = UNSEEN if apart else [_invented(rng) for _ in range(150)]
-    rows += [(words_of(f.format(n)), "unknown", "other licence") for n in names for f in (APART if apart else FORMS)] + [(words_of(n), "unknown", "other licence") for n in names]
+    rows += [(x, "unknown", "other licence") for n in names for f in (APART if apart else FORMS) for x in (whole(words_of(f.format(n))), inside(words_of(f.format(n))))] + [(whole(words_of(n)), "unknown", "other licence") for n in names]
+    rows += [(x, "unknown", "no licence") for f in FORMS + MENTIONS + DENIALS + NAMELESS for x in (whole(words_of(f.format(""))), inside(words_of(f.format(""))))]
     return rows + [(w, "unknown", "corpus") for w in corpus[apart::2]]
 
 
 def _even(kinds: list[str]) -> np.ndarray:
-    """Weights of rows that give each kind the same total."""
-    _, kind, counts = np.unique(kinds, return_inverse=True, return_counts=True)
-    return 1 / counts[kind] / len(counts)
+    """Weights of rows that give each kind the same total, but grants of a family three times as much, as there are three kinds against them."""
+    names, kind, counts = np.unique(kinds, return_inverse=True, return_counts=True)
+    share = np.where(np.isin(names, list(NAMES)), 3, 1) / counts
+    return share[kind] / len(counts)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -306,14 +366,19 @@ class _Rows:
 def fit(windows: list[str]) -> Classifier:
     """Classifier from the templates, the forms and a sample of the corpus's windows."""
     model = Classifier(sorted(NAMES))
-    model.index_templates()
     corpus = [w for w in map(words_of, windows) if w]
-    # corpus windows that hold the better part of a template say nothing about what is none
-    looks = lambda w: any(len(t.grams & set(bigrams(w))) >= CONFIRMED * len(t.grams) for g in bigrams(w) if g in model.anchors for t in model.anchors[g])
-    corpus = [w for w in corpus if not looks(w)]
+    # windows of the corpus that speak of licences say nothing about what is none
+    named = frozenset(g for f in model.families for n in NAMES[f] + NOTICES[f] for g in bigrams(words_of(n)))
+    corpus = [w for w in corpus if len(named & set(bigrams(w))) < 2]
     rows, apart = training_rows(corpus, False), training_rows(corpus, True)
-    own = [w for w, label, _ in rows if label != "unknown"] + [words_of(m.format("")) for m in MENTIONS]
-    model.features = {g: i for i, g in enumerate(sorted({g for w in own for g in w}) + sorted({g for w in own for g in bigrams(w)}))}
+    # n-grams of what is said about licences, for and against; words of the corpus are strange
+    plain = {g for w in corpus for g in (*w, *bigrams(w))} - named
+    own = [w for w, label, kind in rows if label != "unknown" or kind == "disorder"] + [words_of(m.format("")) for m in MENTIONS + DENIALS + FORMS]
+    said = {g for m in MENTIONS + DENIALS for n in ("mit license", "gpl", "") for g in (*words_of(m.format(n)), *bigrams(words_of(m.format(n))))}
+    fixed = {g for f in model.families for t in (*templates(f), *map(words_of, NAMES[f] + SPDX[f])) for g in (*t, *bigrams(t))} | said | {FIRST, LAST}
+    known = {g for w in own for g in (*w, *bigrams(w))}
+    known = {g for g in known if g in fixed or (g not in plain and (isinstance(g, str) or FIRST in g or LAST in g)) and all(x in fixed for x in ((g,) if isinstance(g, str) else g))}
+    model.features = {g: i for i, g in enumerate(sorted(g for g in known if isinstance(g, str)) + sorted(g for g in known if not isinstance(g, str)))}
     classes = [*model.families, "unknown"]
     shape = (len(model.features) + 2, len(classes))
     model.weights = np.zeros(shape)
@@ -327,6 +392,7 @@ def fit(windows: list[str]) -> Classifier:
     weight = _even([kind for _, _, kind in apart])
     loss = lambda t: -float((np.log(_softmax(z / t)[np.arange(len(z)), wanted].clip(1e-12)) * weight).sum())
     model.temperature = min(np.geomspace(0.05, 4, 40).tolist(), key=loss)
+    model.index_cues()
     return model
 
 
