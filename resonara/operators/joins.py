@@ -268,20 +268,35 @@ def prescreen(queries: DataFrame, fragments: DataFrame, bins: int = 1) -> DataFr
     """Pairs (query_id, fragment_id) whose fragment bits are all in the (expanded) query bits.
 
     A fragment can only be contained where the query has all of its bits, so the
-    pairs meet on one of them: the one that the fewest queries have.  The eight
-    ANDs decide.
+    pairs meet on two of them: the two that the fewest queries have.  A query asks
+    for pairs of its bits that some fragment has as its key, of which there are at
+    most 32,896.  The eight ANDs decide.  A fragment of one bit has it twice; one
+    without any is contained in every query, and meets all of them in salted parts.
     """
-    wanted = queries.select("query_id", bits.expanded(c("shifts")).alias("qfp"), F.array_distinct(F.flatten(F.transform("shifts", lambda s: F.transform(F.sequence(F.lit(-bins), F.lit(bins)), lambda d: F.least(F.greatest(bits.bin_of(s) + d, F.lit(0)), F.lit(255)))))).alias("qbins"))
-    if bins == 0:
-        wanted = wanted.withColumn("qfp", bits.words(c("qbins")))
+    near = lambda s: F.transform(F.sequence(F.lit(-bins), F.lit(bins)), lambda d: F.least(F.greatest(bits.bin_of(s) + d, F.lit(0)), F.lit(bits.BITS - 1)))
+    qbins = F.filter(F.array_distinct(F.flatten(F.transform("shifts", near))), lambda b: b.isNotNull())
+    wanted = queries.select("query_id", qbins.alias("qbins")).withColumn("qfp", bits.words(c("qbins")))
     # a count for each of the 256 bits
     held = {r["bit"]: r["n"] for r in wanted.select(F.explode("qbins").alias("bit")).groupBy("bit").agg(F.count("*").alias("n")).collect()}
     counts = F.array(*(F.lit(held.get(b, 0)).cast("bigint") for b in range(bits.BITS)))
-    own = F.filter(F.transform("shifts", bits.bin_of), lambda b: b.isNotNull())
-    rarest = F.array_min(F.transform(own, lambda b: F.struct(F.get(counts, b).alias("n"), b.alias("bit"))))
-    stored = fragments.select("fragment_id", bits.fingerprint(c("shifts")).alias("fp"), rarest["bit"].alias("bit"))
-    pairs = wanted.withColumn("bit", F.explode("qbins")).join(stored, "bit")
-    return pairs.where(bits.contained(c("fp"), c("qfp"))).select("query_id", "fragment_id")
+    own = F.array_distinct(F.filter(F.transform("shifts", bits.bin_of), lambda b: b.isNotNull()))
+    rarest = F.array_sort(F.transform(own, lambda b: F.struct(F.get(counts, b).alias("n"), b.alias("bit"))))
+    stored = fragments.select("fragment_id", bits.fingerprint(c("shifts")).alias("fp"), rarest.alias("r")).select(
+        "fragment_id", "fp", F.get("r", F.lit(0))["bit"].alias("first"), F.coalesce(F.get("r", F.lit(1))["bit"], F.get("r", F.lit(0))["bit"]).alias("second")
+    )
+    keyed = stored.where("first IS NOT NULL")
+    # a row for each of the 256 bits at most
+    seconds = F.broadcast(keyed.groupBy("first").agg(F.collect_set("second").alias("seconds")))
+    asked = wanted.withColumn("first", F.explode("qbins")).join(seconds, "first").withColumn("second", F.explode(F.array_intersect("seconds", "qbins")))
+    pairs = asked.join(keyed, ["first", "second"]).where(bits.contained(c("fp"), c("qfp"))).select("query_id", "fragment_id")
+    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+    empty = stored.where("first IS NULL").select("fragment_id", F.explode(salts).alias("salt"))
+    all_ = wanted.select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(_SALTS)).cast("int").alias("salt")).join(empty, "salt").select("query_id", "fragment_id")
+    return pairs.unionByName(all_)
+
+
+#: Parts of the queries that a fragment without bits meets.
+_SALTS = 64
 
 
 def fine_match(pairs: DataFrame, max_dev: int = 200, max_avg: int = 100) -> DataFrame:

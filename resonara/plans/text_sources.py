@@ -26,12 +26,12 @@ def _molecules(v, atom=None):
     return v.compound.withColumnRenamed("id", "compound_id").join(atoms, "compound_id").join(bonds, "compound_id", "left").withColumn("bonds", F.coalesce("bonds", F.array().cast("array<struct<i:bigint,j:bigint,bond_order:int>>")))
 
 
-def write_measured(v, path: str, atom=None) -> None:
+def write_measured(v, path: str, atom=None, end: str = "\n") -> None:
     """All compounds as SD files of the measured flavour, whose atoms count from 0; with other atoms than the view's, if given."""
     entry = F.concat(F.expr(_T), F.lit(";0.0"), F.coalesce(F.expr("substring('SDTQ', cast(h_count AS int) + 1, 1)"), F.lit("X")), F.when(c("atom_index").isNotNull(), F.concat(F.lit(";"), c("atom_index").cast("string"))).otherwise(""))
     spectra = v.signal.groupBy("compound_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]), "|").alias("s"))
     rows = _molecules(v, atom).join(spectra, "compound_id").withColumn("properties", F.create_map(F.lit("InChI"), c("inchi"), F.lit("InChI key"), c("inchi_key"), F.lit("Spectrum 13C 0"), c("s")))
-    sdf.write_sdf(rows.select("name", "atoms", "bonds", "properties"), path)
+    sdf.write_sdf(rows.select("name", "atoms", "bonds", "properties"), path, end)
 
 
 def _write_predicted(v, path: str) -> None:
@@ -88,12 +88,10 @@ def _(v):
 
 @query("S2_read_sdf_mixed", f"{_ROUND.replace('{formula}', 'k.formula_norm').replace('{atom}', 's.atom_index')} UNION ALL {_ROUND.replace('{formula}', 'k.formula_norm').replace('{atom}', 's.pos')}")
 def _(v):
-    # one folder with both flavours, CRLF and LF, read in small byte ranges
+    # one path with both flavours, one with CRLF
     top = _folder(v, "sdf")
-    write_measured(v, f"{top}/plain")
+    write_measured(v, f"{top}/measured", end="\r\n")
     _write_predicted(v, f"{top}/predicted")
-    crlf = v.spark.read.text(f"{top}/plain", lineSep="\n")
-    crlf.write.text(f"{top}/measured", lineSep="\r\n")
     read = sdf.parse_sdf(sdf.records(v.spark, f"{top}/{{measured,predicted}}"))
     return read.select("name", "formula", "carbon_count", F.inline("signals")).select("name", "formula", "carbon_count", F.round(c("shift") * 100).cast("bigint").alias("shift_c"), "h_count", "atom_index")
 

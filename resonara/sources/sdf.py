@@ -122,8 +122,8 @@ def sdf_bonds(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.select(*keep, "name", (at(1) - 1).alias("i"), (at(4) - 1).alias("j"), at(7).alias("bond_order"))
 
 
-def write_sdf(df: DataFrame, path: str) -> None:
-    """Write rows (name, atoms, bonds, properties) as SD files.
+def write_sdf(df: DataFrame, path: str, end: str = "\n") -> None:
+    """Write rows (name, atoms, bonds, properties) as SD files with LF or other line ends.
 
     ``atoms``: array of element; ``bonds``: array of (i, j, bond_order), 0-based;
     ``properties``: map.
@@ -135,4 +135,5 @@ def write_sdf(df: DataFrame, path: str) -> None:
     head = F.concat(c("name"), F.lit("\n\n\n"), number(F.size("atoms")), number(F.size("bonds")), F.lit("  0  0  0  0  0  0  0  0999 V2000"))
     props = F.transform(F.map_entries("properties"), lambda p: F.concat(F.lit("> <"), p["key"], F.lit(">\n"), p["value"], F.lit("\n")))
     text = F.concat(head, F.lit("\n"), F.array_join(F.concat(atom_lines, bond_lines, F.array(F.lit("M  END")), props), "\n"), F.lit("\n"))
-    df.select(text.alias("value")).write.mode("overwrite").text(path, lineSep=SEPARATOR)
+    whole = text if end == "\n" else F.replace(text, F.lit("\n"), F.lit(end))
+    df.select(whole.alias("value")).write.mode("overwrite").text(path, lineSep=SEPARATOR.replace("\n", end))

@@ -124,3 +124,32 @@ def test_verdicts(spark):
     checks = spark.createDataFrame(rows, "list_id int, name string, passed boolean, critical boolean").withColumns({"value": F.lit(0.0), "threshold": F.lit(0.0)})
     errors = spark.createDataFrame([(4,), (2,)], "list_id int")
     assert {r.list_id: r.verdict for r in qc.verdicts(checks, errors).collect()} == {1: "PASS", 2: "PARTIAL", 3: "FAIL", 4: "FAIL"}
+
+
+def test_prescreen_equals_all_pairs(spark):
+    rng = random.Random(3)
+    # a third of the fragments share their rarest bit, some have no bit at all
+    common = lambda: [1050, 2050]
+    fragments = [(i, common() + [rng.randrange(0, 51200, 50)] if i % 3 else [rng.randrange(0, 51200, 50) for _ in range(3)]) for i in range(300)]
+    fragments += [(900, []), (901, [-500, 60000]), (902, [1050]), (903, [1050, 1060])]
+    queries = [(q, [rng.randrange(0, 51200, 50) for _ in range(rng.randint(1, 40))] + (common() if q % 2 else [])) for q in range(40)] + [(99, [])]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} bigint, shifts array<bigint>")
+    bit = lambda s: s // 200 if 0 <= s < 51200 else None
+    for bins in (0, 1):
+        expected = set()
+        for q, shifts in queries:
+            have = {min(max(bit(s) + d, 0), 255) for s in shifts for d in range(-bins, bins + 1)}
+            expected |= {(q, f) for f, own in fragments if {bit(s) for s in own} - {None} <= have}
+        got = [tuple(r) for r in joins.prescreen(frame(queries, "query_id"), frame(fragments, "fragment_id"), bins).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+    assert {(q, f) for q, f in got if f in (900, 901)} == {(q, f) for q, _ in queries for f in (900, 901)}
+
+
+def test_no_key_of_the_prescreen_holds_many_fragments(spark):
+    """Where all fragments share one bit, the second rarest spreads them."""
+    fragments = spark.createDataFrame([(i, [1050, 200 * (10 + i % 120)]) for i in range(1200)], "fragment_id bigint, shifts array<bigint>")
+    queries = spark.createDataFrame([(q, [200 * (10 + (q * 7 + k) % 120) for k in range(30)] + ([1050] if q < 2 else [])) for q in range(50)], "query_id bigint, shifts array<bigint>")
+    pairs = joins.prescreen(queries, fragments, 0)
+    joined = [n for n in pairs._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in n]
+    assert any("first" in n and "second" in n for n in joined)
+    assert {r.query_id for r in pairs.select("query_id").distinct().collect()} == {0, 1}
