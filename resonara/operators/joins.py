@@ -139,17 +139,11 @@ def nearest_join(predicted: DataFrame, experimental: DataFrame, on: Sequence[str
 
 
 def nearest_sorted(predicted: DataFrame, experimental: DataFrame, on: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """As ``nearest_join`` for long lists: one sort of both sides together instead of all pairs of a list."""
-    from pyspark.sql import Window as W
+    """As ``nearest_join`` for long lists: one sort of both sides together, cut into ranges, instead of all pairs of a list."""
+    from .ranges import neighbours
 
-    both = predicted.select(*on, *keys, "shift_c", F.lit(None).cast("bigint").alias("exp_c")).unionByName(
-        experimental.select(*on, *(F.lit(None).cast(predicted.schema[k].dataType).alias(k) for k in keys), "shift_c", c("shift_c").alias("exp_c"))
-    )
-    # two running frames, one a direction; a frame up to the end would be computed anew for each row
-    up, down = (W.partitionBy(*on).orderBy(o, F.col("exp_c").isNull()).rowsBetween(W.unboundedPreceding, 0) for o in (c("shift_c").asc(), c("shift_c").desc()))
-    below, above = (F.last("exp_c", ignorenulls=True).over(w) for w in (up, down))
-    found = both.withColumns({"_lo": below, "_hi": above}).where(c(keys[0]).isNotNull())
-    return found.select(*on, *keys, "shift_c", F.least(F.abs(c("shift_c") - c("_lo")), F.abs(c("_hi") - c("shift_c"))).alias("error_c"))
+    found = neighbours(predicted.select(*on, *keys, "shift_c"), experimental, on, "shift_c")
+    return found.select(*on, *keys, "shift_c", F.least(F.abs(c("shift_c") - c("below")), F.abs(c("above") - c("shift_c"))).alias("error_c"))
 
 
 def nearest_within(peaks: DataFrame, refs: DataFrame, value: str, ref_value: str, tolerance: int, on: Sequence[str], key: str, ref_key: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from resonara.functions.scoring import multiplicity_compatible, ratio
 from resonara.plans.scratch import kept
 
+from . import ranges
+
 c = F.col
 
 #: Solvent windows in ppm: fixed values.
@@ -49,9 +51,14 @@ def noise_sigma(points: DataFrame, by: Sequence[str], value: str, k: float = 3.0
 
     ``approximate`` trades exact medians for mergeable sketches, for long spectra.
     """
-    middle = (lambda x: F.approx_percentile(x, 0.5, 10_000)) if approximate else F.median
-    centre = points.groupBy(*by).agg(middle(value).alias("_m"), F.max(F.abs(value)).alias("_top"))
-    spread = points.join(centre, list(by)).groupBy(*by).agg(middle(F.abs(c(value) - c("_m"))).alias("_mad"), F.first("_top").alias("_top"))
+    top = points.groupBy(*by).agg(F.max(F.abs(value)).alias("_top"))
+    if approximate:
+        middle = lambda df, x: df.groupBy(*by).agg(F.approx_percentile(x, 0.5, 10_000).alias("median"))
+    else:
+        middle = lambda df, x: ranges.medians(df, by, x)
+    centre = middle(points, value).select(*by, c("median").alias("_m"))
+    away = points.join(kept(centre), list(by)).select(*by, F.abs(c(value) - c("_m")).alias("_away"))
+    spread = middle(away, "_away").select(*by, c("median").alias("_mad")).join(top, list(by))
     return spread.select(*by, F.when(c("_mad") > 0, F.lit(1.4826) * c("_mad")).otherwise(F.lit(0.05) * c("_top") / F.lit(k)).alias("sigma"))
 
 
@@ -78,15 +85,10 @@ def negative_signals(points: DataFrame, by: Sequence[str], value: str, share: fl
 def local_maxima(points: DataFrame, by: Sequence[str], value: str, least: Column | None = None) -> DataFrame:
     """Rows of local maxima; a plateau counts once, at its middle.
 
-    ``points``: i, consecutive from 0.  Ends of a spectrum are no maxima.
+    ``points``: i, consecutive from 0.  Ends of a spectrum are no maxima.  A long
+    spectrum is many pieces (``ranges.local_maxima``).
     """
-    order = W.partitionBy(*by).orderBy("i")
-    change = F.when(F.lag(value).over(order) == c(value), 0).otherwise(1)
-    runs = points.withColumn("_new", change).withColumn("_run", F.sum("_new").over(order))
-    plateau = runs.groupBy(*by, "_run").agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"), F.first(value).alias("_v"))
-    over = W.partitionBy(*by).orderBy("_run")
-    tops = plateau.withColumns({"_before": F.lag("_v").over(over), "_after": F.lead("_v").over(over)}).where((c("_v") > c("_before")) & (c("_v") > c("_after")))
-    found = tops.select(*by, F.floor((c("_lo") + c("_hi")) / 2).cast("bigint").alias("i"), c("_v").alias(value))
+    found = ranges.local_maxima(points, by, value)
     return found if least is None else found.where(least)
 
 
@@ -197,7 +199,8 @@ def width_summary(widths: DataFrame, by: Sequence[str], ppm_per_point: float, fa
     w = c("width") * F.lit(ppm_per_point)
     some = F.count_if(w < widest).over(W.partitionBy(*by))
     used = widths.withColumn("_w", w).withColumn("_some", some).where((c("_some") == 0) | (c("_w") < widest))
-    return used.groupBy(*by).agg(F.median("_w").alias("median"), F.min("_w").alias("min"), F.max("_w").alias("max"), (F.median("_w") * F.lit(factor)).alias("distance"), F.count("*").alias("n"))
+    ends = used.groupBy(*by).agg(F.min("_w").alias("min"), F.max("_w").alias("max"), F.count("*").alias("n"))
+    return ranges.medians(used, by, "_w").drop("n").join(ends, list(by)).select(*by, "median", "min", "max", (c("median") * F.lit(factor)).alias("distance"), "n")
 
 
 def pick_1d(points: DataFrame, by: Sequence[str], value: str = "y", share: float | None = None, snr_floor: float = 5.0, ppm_per_point: float = 0.01, negative: bool = False) -> DataFrame:
@@ -279,10 +282,7 @@ def threshold_search(peaks: DataFrame, refs: DataFrame, by: Sequence[str], toler
 
 def gap_clusters(df: DataFrame, by: Sequence[str], value: str, tolerance: int) -> DataFrame:
     """First value and size of each chain of sorted values no more than ``tolerance`` apart."""
-    order = W.partitionBy(*by).orderBy(value)
-    new = F.when(c(value) - F.lag(value).over(order) <= tolerance, 0).otherwise(1)
-    marked = df.withColumn("_new", new).withColumn("_cluster", F.sum("_new").over(order))
-    return marked.groupBy(*by, "_cluster").agg(F.min(value).alias(value), F.count("*").alias("n")).drop("_cluster")
+    return ranges.gap_clusters(df, by, value, tolerance)
 
 
 def group_signals(lists: DataFrame, tolerance: int = 25) -> DataFrame:
@@ -325,7 +325,7 @@ def aromatic_pairs(grouped: DataFrame, key: str, low: int = 10000, high: int = 1
 
 def number_atoms(peaks: DataFrame) -> DataFrame:
     """Peaks with atom_no by descending shift, from 1."""
-    return peaks.withColumn("atom_no", F.row_number().over(W.partitionBy("list_id").orderBy(c("pos_c").desc(), "peak_id")).cast("bigint"))
+    return ranges.numbered(peaks, ["list_id"], [c("pos_c").desc(), c("peak_id")], "atom_no")
 
 
 def intensity_doubled(peaks: DataFrame, refs: DataFrame, by: Sequence[str], tolerance: int = 100, least: float = 1.6) -> DataFrame:
@@ -333,7 +333,7 @@ def intensity_doubled(peaks: DataFrame, refs: DataFrame, by: Sequence[str], tole
     from .joins import intensity_pairs
 
     aromatic = peaks.where(c("pos_c").between(10000, 16500))
-    middle = aromatic.groupBy(*by).agg(F.median("intensity").alias("_m"), F.count("*").alias("_n")).where("_n >= 2 AND _m > 0")
+    middle = ranges.medians(aromatic, by, "intensity").select(*by, c("median").alias("_m"), c("n").alias("_n")).where("_n >= 2 AND _m > 0")
     pairs = intensity_pairs(refs, aromatic, by, tolerance).join(middle, list(by))
     return pairs.withColumn("ratio", c("intensity").cast("double") / c("_m")).where(c("ratio") >= least).select(*by, "peak_id", "pos_c", "ratio", F.rint("ratio").cast("bigint").alias("carbons"))
 

@@ -131,9 +131,11 @@ def detect_pairs(formulas: DataFrame, stats: DataFrame, compounds: DataFrame, th
 
 def code_stats(obs: DataFrame) -> DataFrame:
     """Median, mean, sample deviation, range and count of each code."""
+    from .ranges import medians
+
     state = obs.groupBy("code", "radius").agg(
-        F.count("*").alias("n"), F.sum("shift_c").alias("sum_c"), F.sum(c("shift_c") * c("shift_c")).alias("sumsq_c"), F.median("shift_c").alias("median_c"), F.min("shift_c").alias("min_c"), F.max("shift_c").alias("max_c")
-    )
+        F.count("*").alias("n"), F.sum("shift_c").alias("sum_c"), F.sum(c("shift_c") * c("shift_c")).alias("sumsq_c"), F.min("shift_c").alias("min_c"), F.max("shift_c").alias("max_c")
+    ).join(medians(obs, ["code", "radius"], "shift_c").select("code", "radius", c("median").alias("median_c")), ["code", "radius"])
     return state.select("code", "radius", (c("median_c") / F.lit(100.0)).alias("median"), mean().alias("mean"), sample_std().alias("std"), "min_c", "max_c", "n")
 
 
