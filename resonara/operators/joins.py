@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from resonara.functions import bits
 from resonara.functions.scoring import match_score, ratio, tolerance_c
+from resonara.plans.scratch import kept
 
 c = F.col
 
@@ -68,13 +69,39 @@ def known_env(keys: DataFrame, stats: DataFrame) -> DataFrame:
     return keys.join(stats, ["code", "radius"], "left_semi")
 
 
+#: Most rows of statistics that are sent to all tasks; counted before.
+BROADCAST_ROWS = 100_000
+
+
 def predict_fallback(keys: DataFrame, stats: DataFrame, by: Sequence[str], max_radius: int = 6, min_radius: int = 1) -> DataFrame:
-    """For each atom, the statistics of the highest radius that has any; nulls where none has."""
-    asked = keys.where(c("radius").between(min_radius, max_radius))
+    """For each atom, the statistics of the highest radius that has any; nulls where none has.
+
+    ``stats`` has one row a code and radius.  Rounds go from the highest radius
+    down and only what missed so far goes on.  The codes of small radii are few and
+    each is asked by a large share of all atoms: as many of the lowest radii as
+    together have at most ``BROADCAST_ROWS`` rows are looked up without a shuffle.
+    """
+    radii = range(min_radius, max_radius + 1)
     state = [x for x in stats.columns if x not in ("code", "radius")]
-    hit = F.when(c("n").isNotNull(), F.struct("code", "radius", *state))
-    best = asked.join(stats, ["code", "radius"], "left").groupBy(*by).agg(F.max_by(hit, F.when(c("n").isNotNull(), c("radius"))).alias("hit"))
-    return best.select(*by, *(c(f"hit.{x}").alias(x) for x in ("code", "radius", *state)))
+    known = kept(stats.where(c("radius").between(min_radius, max_radius) & c("n").isNotNull()), "fallback")
+    sizes = {r.radius: r.n for r in known.groupBy("radius").agg(F.count("*").alias("n")).collect()}  # one row a radius
+    code = lambda r: f"_code{r}"
+    left = keys.where(c("radius").between(min_radius, max_radius)).groupBy(*by).agg(*(F.max(F.when(c("radius") == r, c("code"))).alias(code(r)) for r in radii))
+    hits = lambda r: known.where(c("radius") == r).select(c("code").alias(code(r)), F.struct("code", "radius", *state).alias("_hit"))
+    light = {r for r in radii if sum(sizes.get(k, 0) for k in radii if k <= r) <= BROADCAST_ROWS}
+    done: list[DataFrame] = []
+    for r in sorted(set(radii) - light, reverse=True):
+        # atoms without a code here would all meet on null
+        met = kept(left.where(c(code(r)).isNotNull()).join(hits(r), code(r), "left"), "fallback")
+        done.append(met.where(c("_hit").isNotNull()).select(*by, "_hit"))
+        left = met.where(c("_hit").isNull()).drop("_hit").unionByName(left.where(c(code(r)).isNull()))
+    for r in light:
+        left = left.join(F.broadcast(hits(r).withColumnRenamed("_hit", f"_hit{r}")), code(r), "left")
+    found = F.coalesce(*(c(f"_hit{r}") for r in sorted(light, reverse=True))) if light else F.lit(None).cast(known.select(F.struct("code", "radius", *state)).schema[0].dataType)
+    best = left.select(*by, found.alias("_hit"))
+    for part in done:
+        best = best.unionByName(part)
+    return best.select(*by, *(c(f"_hit.{x}").alias(x) for x in ("code", "radius", *state)))
 
 
 def _fold(observed: Column, references: Column, tolerance: Callable[[Column], Column]) -> Column:

@@ -57,7 +57,7 @@ def noise_sigma(points: DataFrame, by: Sequence[str], value: str, k: float = 3.0
     else:
         middle = lambda df, x: ranges.medians(df, by, x)
     centre = middle(points, value).select(*by, c("median").alias("_m"))
-    away = points.join(kept(centre), list(by)).select(*by, F.abs(c(value) - c("_m")).alias("_away"))
+    away = points.join(centre, list(by)).select(*by, F.abs(c(value) - c("_m")).alias("_away"))
     spread = middle(away, "_away").select(*by, c("median").alias("_mad")).join(top, list(by))
     return spread.select(*by, F.when(c("_mad") > 0, F.lit(1.4826) * c("_mad")).otherwise(F.lit(0.05) * c("_top") / F.lit(k)).alias("sigma"))
 
@@ -281,8 +281,16 @@ def threshold_search(peaks: DataFrame, refs: DataFrame, by: Sequence[str], toler
 
 
 def gap_clusters(df: DataFrame, by: Sequence[str], value: str, tolerance: int) -> DataFrame:
-    """First value and size of each chain of sorted values no more than ``tolerance`` apart."""
-    return ranges.gap_clusters(df, by, value, tolerance)
+    """First value and size of each chain of sorted values no more than ``tolerance`` apart.
+
+    Equal values are counted before they are sorted, so a group of any size is at most
+    as many rows as the axis has hundredths of a ppm.  Nulls are one chain.
+    """
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    order = W.partitionBy(*by).orderBy(value)
+    new = F.when(c(value) - F.lag(value).over(order) <= tolerance, 0).otherwise(1)
+    marked = counts.withColumn("_new", new).withColumn("_cluster", F.sum("_new").over(order))
+    return marked.groupBy(*by, "_cluster").agg(F.min(value).alias(value), F.sum("n").alias("n")).drop("_cluster")
 
 
 def group_signals(lists: DataFrame, tolerance: int = 25) -> DataFrame:

@@ -6,6 +6,9 @@ slots of whole numbers; windows run within a piece, and what crosses from one
 piece into the next (a running sum, the last value, an open run) is worked out
 from one row a piece and goes into the piece as a row of its own, before the
 others.  So no row is joined with anything, and nulls in keys stay groups.
+
+Groups are counted first: where none has more than ``PIECE`` rows, plain windows
+over whole groups do the same with fewer steps.
 """
 
 from __future__ import annotations
@@ -20,10 +23,18 @@ from resonara.plans.scratch import kept
 
 c = F.col
 
-#: Whole numbers in a slot, hence most distinct values in a piece.
+#: Most rows of a group that one task takes whole.
+PIECE = 1_000_000
+
+#: Whole numbers in a slot.
 SLOT = 65_536
 
 
+def large(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether some group has more than ``PIECE`` rows."""
+    return not df.groupBy(*by).agg(F.count("*").alias("_n")).where(c("_n") > PIECE).isEmpty()
+
+
 def ranged(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` with ``_part``: ranges of (by, order), as many as there are shuffle partitions.
 
@@ -40,7 +51,12 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], number:
     ``order`` must leave no ties, or rows that tie are numbered in any order.
     ``total`` names a column for the sum over the group.
     """
-    rows = ranged(df.withColumn("_w", F.lit(1).cast("bigint") if weight is None else c(weight).cast("bigint")), by, order)
+    weighted = df.withColumn("_w", F.lit(1).cast("bigint") if weight is None else c(weight).cast("bigint"))
+    if not large(df, by):
+        upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        of = [] if total is None else [F.sum("_w").over(W.partitionBy(*by)).alias(total)]
+        return weighted.select(*df.columns, F.sum("_w").over(upto).alias(number), *of)
+    rows = ranged(weighted, by, order)
     sums = rows.groupBy(*by, "_part").agg(F.sum("_w").alias("_w"))
     earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = sums.select(
@@ -58,6 +74,8 @@ def medians(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     Equal values are counted before they are sorted, so neither a large group nor a
     frequent value is one task.  Nulls don't count; without values the median is null.
     """
+    if not large(df, by):
+        return df.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("n"))
     counts = df.groupBy(*by, c(value).cast("double").alias("_v")).agg(F.count(value).alias("_k"))
     seen = numbered(counts, by, [c("_v").asc()], "_upto", weight="_k", total="_of")
     lower, upper = F.floor((c("_of") + 1) / 2), F.floor((c("_of") + 2) / 2)
@@ -75,6 +93,10 @@ def neighbours(probes: DataFrame, marks: DataFrame, by: Sequence[str], at: str)
     both = probes.withColumn("_mark", F.lit(None).cast(marks.schema[at].dataType)).unionByName(points.withColumn("_mark", c(at)), allowMissingColumns=True)
     # the other columns keep a frequent place of a large group from being one range
     rest = [c(x) for x in probes.columns if x not in (*by, at)]
+    if not large(both, by):
+        whole = lambda order: W.partitionBy(*by).orderBy(order, c("_mark").isNull()).rowsBetween(W.unboundedPreceding, 0)
+        near = {"below": F.last("_mark", ignorenulls=True).over(whole(c(at).asc())), "above": F.last("_mark", ignorenulls=True).over(whole(c(at).desc()))}
+        return both.withColumns(near).where(c("_mark").isNull()).select(*probes.columns, "below", "above")
     rows = ranged(both, by, [c(at), c("_mark").isNull(), *rest])
     edges = rows.groupBy(*by, "_part").agg(F.max("_mark").alias("_last"), F.min("_mark").alias("_first"))
     side = lambda order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -95,23 +117,13 @@ def _slot(at: str) -> Column:
     return F.floor(c(at) / F.lit(SLOT)).cast("bigint")
 
 
-def gap_clusters(df: DataFrame, by: Sequence[str], value: str, tolerance: int) -> DataFrame:
-    """First value and size of each chain of whole values no more than ``tolerance`` apart; a null is a chain of its own.
-
-    Equal values are counted first.  A slot's first and last chain may go on in its
-    neighbours; only these are looked at again, two rows a slot.
-    """
-    counts = df.where(c(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")).withColumn("_slot", _slot(value))
-    inside = W.partitionBy(*by, "_slot").orderBy(value)
-    new = F.when(c(value) - F.lag(value).over(inside) <= tolerance, 0).otherwise(1)
-    marked = counts.withColumn("_new", new).withColumn("_run", F.sum("_new").over(inside))
-    runs = marked.groupBy(*by, "_slot", "_run").agg(F.min(value).alias(value), F.max(value).alias("_end"), F.sum("n").alias("n"))
-    placed = runs.withColumn("_border", (c("_run") == 1) | (c("_run") == F.max("_run").over(W.partitionBy(*by, "_slot"))))
-    across = W.partitionBy(*by).orderBy(value)
-    borders = placed.where("_border").withColumn("_new", F.when(c(value) - F.lag("_end").over(across) <= tolerance, 0).otherwise(1)).withColumn("_cluster", F.sum("_new").over(across))
-    joined = borders.groupBy(*by, "_cluster").agg(F.min(value).alias(value), F.sum("n").alias("n")).drop("_cluster")
-    alone = df.where(c(value).isNull()).select(*by, value, F.lit(1).cast("bigint").alias("n"))
-    return placed.where(~c("_border")).select(*by, value, "n").unionByName(joined).unionByName(alone)
+def _whole_maxima(points: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    order = W.partitionBy(*by).orderBy("i")
+    runs = points.withColumn("_new", F.when(F.lag(value).over(order) == c(value), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    plateau = runs.groupBy(*by, "_run").agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"), F.first(value).alias("_v"))
+    over = W.partitionBy(*by).orderBy("_run")
+    tops = plateau.withColumns({"_before": F.lag("_v").over(over), "_after": F.lead("_v").over(over)}).where((c("_v") > c("_before")) & (c("_v") > c("_after")))
+    return tops.select(*by, F.floor((c("_lo") + c("_hi")) / 2).cast("bigint").alias("i"), c("_v").alias(value))
 
 
 def local_maxima(points: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -120,6 +132,8 @@ def local_maxima(points: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     A maximum is a step up that is followed by a step down.  Each slot gets the last
     point of the one before; the first and the last step of each slot meet again.
     """
+    if not large(points, by):
+        return _whole_maxima(points, by, value)
     rows = points.select(*by, "i", c(value).alias("_v"), _slot("i").alias("_slot"))
     lasts = rows.groupBy(*by, "_slot").agg(F.max(F.struct("i", "_v")).alias("_last"))
     over = W.partitionBy(*by).orderBy("_slot")

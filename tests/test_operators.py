@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resonara.operators import components, graphs, joins, peaks, qc, ranking, statistics
+from resonara.plans import scratch
 
 c = F.col
 
@@ -153,3 +154,26 @@ def test_no_key_of_the_prescreen_holds_many_fragments(spark):
     joined = [n for n in pairs._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in n]
     assert any("first" in n and "second" in n for n in joined)
     assert {r.query_id for r in pairs.select("query_id").distinct().collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("bound", [0, 12, 100_000])
+def test_fallback_rounds_equal_one_join_and_carry_misses_only(spark, monkeypatch, bound):
+    rng = random.Random(5)
+    keys = spark.createDataFrame([(m, p, f"{r}:{rng.randrange(3 ** r)}" if rng.random() > 0.05 else None, r) for m in range(60) for p in range(5) for r in range(1, 6)], "m int, p int, code string, radius int")
+    stats = spark.createDataFrame([(f"{r}:{k}", r, rng.randrange(1, 50), k) for r in range(1, 6) for k in range(3 ** r) if rng.random() < 0.3], "code string, radius int, n int, sum_c int")
+    passed = []
+
+    def spy(df, label):
+        written = scratch.kept(df, label)
+        passed.append(written.count())
+        return written
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(joins, "kept", spy)
+    found = joins.predict_fallback(keys, stats, ["m", "p"], max_radius=5)
+    hit = F.when(c("n").isNotNull(), F.struct("code", "radius", "n", "sum_c"))
+    plain = keys.join(stats, ["code", "radius"], "left").groupBy("m", "p").agg(F.max_by(hit, F.when(c("n").isNotNull(), c("radius"))).alias("h")).select("m", "p", "h.*")
+    assert sorted(found.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    rounds = passed[1:]  # the first is the table of statistics
+    # a radius without statistics, as radius 1 here, needs no round
+    assert all(a > b for a, b in zip(rounds, rounds[1:])) and (len(rounds) >= 4 if bound == 0 else len(rounds) < 5)
