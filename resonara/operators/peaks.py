@@ -198,7 +198,7 @@ def width_summary(widths: DataFrame, by: Sequence[str], ppm_per_point: float, fa
     """Median and range of widths under ``widest`` ppm, and the spacing they call for in ppm."""
     w = c("width") * F.lit(ppm_per_point)
     some = F.count_if(w < widest).over(W.partitionBy(*by))
-    used = widths.withColumn("_w", w).withColumn("_some", some).where((c("_some") == 0) | (c("_w") < widest))
+    used = kept(widths.withColumn("_w", w).withColumn("_some", some).where((c("_some") == 0) | (c("_w") < widest)).select(*by, "_w"))
     ends = used.groupBy(*by).agg(F.min("_w").alias("min"), F.max("_w").alias("max"), F.count("*").alias("n"))
     return ranges.medians(used, by, "_w").drop("n").join(ends, list(by)).select(*by, "median", "min", "max", (c("median") * F.lit(factor)).alias("distance"), "n")
 
