@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from resonara.functions import bits, formula, parsing, records, scoring
+from resonara.operators.statistics import population_std
 
 from .catalog import query
 
@@ -90,8 +91,7 @@ def _(v):
         + 0.2::DOUBLE * greatest(0.5::DOUBLE, 1.0::DOUBLE - sqrt((n * sumsq_c - sum_c * sum_c)::DOUBLE) / n::DOUBLE / 100.0::DOUBLE / 20.0::DOUBLE)) * 1000)::BIGINT AS confidence_milli FROM {env_state}""",
 )
 def _(v):
-    std = F.sqrt((c("n") * c("sumsq_c") - c("sum_c") * c("sum_c")).cast("double")) / c("n").cast("double") / F.lit(100.0)
-    return v.env_state.select("code", "radius", F.round(scoring.confidence(c("radius"), c("n"), std, 6) * 1000).cast("bigint").alias("confidence_milli")).withColumn("radius", c("radius"))
+    return v.env_state.select("code", "radius", F.round(scoring.confidence(c("radius"), c("n"), population_std(), 6) * 1000).cast("bigint").alias("confidence_milli")).withColumn("radius", c("radius"))
 
 
 _CODE = "'C-' || cast(supp % 4 AS string) || ';' || CASE supp % 3 WHEN 0 THEN '=OCO' WHEN 1 THEN '*C*C' ELSE 'ClCCBr' END || CASE WHEN part % 5 = 0 THEN '' ELSE '(CC,,//)' END"

@@ -70,3 +70,13 @@ def test_a_copy_without_the_corpus_folders_works(tmp_path):
 def test_what_the_corpus_part_needs_may_be_missing():
     code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'dereplicate' in q and 'op1_sharding' not in q and 'pipeline' not in q; print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout) > 150
+
+
+def test_confidence_of_codes_seen_often(spark):
+    # n times the sum of squares passes 63 bits, as it does for common codes of large tables
+    class View:
+        env_state = spark.createDataFrame([("a", 1, 600_000, 600_000 * 11_000, 600_000 * 11_000**2), ("b", 1, 2, 3_000, 5_000_000)], "code string, radius int, n bigint, sum_c bigint, sumsq_c bigint")
+
+    catalog.queries()
+    got = {r.code: r.confidence_milli for r in catalog._QUERIES["P10_confidence"](View()).collect()}
+    assert got == {"a": 583, "b": round((0.5 / 6 + 0.3 * (0.5 + 0.25 * 0.3010299956639812) + 0.2 * 0.75) * 1000)}
