@@ -199,15 +199,38 @@ def parse_tsv(docs: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     Names are compared without case; a column that a file lacks is null.
     """
     lines = F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "")
-    named = docs.select(F.transform(F.split(F.get(lines, F.lit(0)), "\t"), lambda x: F.lower(F.trim(x))).alias("_names"), F.explode(F.slice(lines, 2, F.size(lines) + 1)).alias("_line"))
-    cells = named.withColumn("_cells", F.split("_line", "\t"))
+    # the header is taken apart below the explode: once a document and not once a line
+    split = docs.select(lines.alias("_lines")).select(_header(F.get("_lines", F.lit(0))).alias("_names"), "_lines")
+    return _cells(split.select("_names", F.explode(F.slice("_lines", F.lit(2), F.size("_lines") + 1)).alias("_line")), aliases)
+
+
+def _header(line: Column) -> Column:
+    return F.transform(F.split(line, "\t"), lambda x: F.lower(F.trim(x)))
+
+
+def _cells(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """The wanted columns of rows (_names, _line)."""
+    cells = df.withColumn("_cells", F.split("_line", "\t"))
     places = lambda names: F.array_min(F.filter(F.array(*(F.nullif(F.array_position("_names", n.lower()), F.lit(0)) for n in names)), lambda x: x.isNotNull()))
     return cells.select(*(F.get(c("_cells"), (places(names) - 1).cast("int")).alias(k) for k, names in aliases.items()))
 
 
+#: Parts in which the lines of a file meet its header.
+_SALTS = 64
+
+
 def read_tsv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
-    """``parse_tsv`` of the files at ``path``."""
-    return parse_tsv(documents(spark, path), aliases)
+    """As ``parse_tsv``, of the files at ``path``, which are split between tasks by byte ranges.
+
+    A file's header is the first line, by byte range and order in it, that is not blank.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n")
+    at = F.struct(c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = read.select(c("_metadata.file_path").alias("path"), at.alias("at"), F.regexp_replace("value", r"\r$", "").alias("_line")).where(F.trim("_line") != "")
+    first = lines.groupBy("path").agg(F.min(F.struct("at", "_line")).alias("h"))
+    headers = first.select("path", c("h.at").alias("_first"), _header(c("h._line")).alias("_names"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
+    rows = lines.withColumn("_salt", F.pmod(F.xxhash64("_line"), F.lit(_SALTS)).cast("int")).join(headers, ["path", "_salt"]).where("at <> _first")
+    return _cells(rows.select("_names", "_line"), aliases)
 
 
 def select_experiment(catalog: DataFrame, kind: str) -> DataFrame:

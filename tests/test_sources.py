@@ -82,3 +82,19 @@ def test_run_status_tiers(spark):
     got = {r.run_id: (r.state, r.iteration, r.active_phase, r.elapsed_s) for r in jobs.run_status(events, done, fallback, known).collect()}
     assert got == {1: ("running", 3, "lsd-iteration-03", 30), 2: ("complete", 4, None, 9), 3: ("running", 2, "writer", None), 4: ("complete", None, None, 3), 5: ("waiting", None, None, None)}
     assert {r.run_id: r.elapsed_s for r in jobs.run_status(events, now=90).collect()} == {1: 0, 2: None}
+
+
+def test_tsv_files_are_split_and_their_headers_taken_apart_once(spark, tmp_path):
+    # one long file over many byte ranges, blank lines before the header, and CRLF in another
+    (tmp_path / "a.tsv").write_text("\n \nCase\tInChI_Key\n" + "".join(f"c{i}\tk{i}\n" for i in range(40_000)))
+    (tmp_path / "b.tsv").write_bytes(b"key\tname\tcase\r\nq\tn\tz\r\n\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        read = text.read_tsv(spark, str(tmp_path), {"case": ["case"], "key": ["inchi_key", "key"], "name": ["name"]})
+        wanted = [(f"c{i}", f"k{i}", None) for i in range(40_000)] + [("z", "q", "n")]
+        assert sorted(map(tuple, read.collect()), key=str) == sorted(wanted, key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    docs = spark.createDataFrame([("x", "Case\tKey\n" + "c\tk\n" * 40_000)], "path string, content string")
+    assert text.parse_tsv(docs, {"case": ["case"], "key": ["key"]}).groupBy("case", "key").count().collect() == [("c", "k", 40_000)]
