@@ -1,13 +1,17 @@
 """Neighbourhoods, paths and rings over atom and bond tables.
 
 ``atoms``: compound_id, pos, element; ``bonds``: compound_id, i, j, bond_order,
-both directions of each bond.  Every operator works on all compounds at once;
-rounds are bounded by a radius, a ring size or a path length.
+both directions of each bond.  Every operator works on all compounds at once:
+small ones as rows with lists of their atoms and bonds, larger ones in rounds of
+joins, which are bounded by a radius, a ring size or a path length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resonara.functions.scoring import coupling_label
@@ -19,12 +23,67 @@ c = F.col
 BOND_SIGNS = {1: "-", 2: "=", 3: "#"}
 
 
+#: Most rows of a compound (atoms, bonds, signals together) that are gathered into lists; counted before.
+LIST_ROWS = 512
+
+
+def _by_size(lists: Callable[..., DataFrame], rounds: Callable[..., DataFrame], *frames: DataFrame) -> DataFrame:
+    """``lists`` of the compounds with at most LIST_ROWS rows in all ``frames``, ``rounds`` of the larger ones."""
+    counted = reduce(DataFrame.unionAll, (x.select("compound_id") for x in frames))
+    large = kept(counted.groupBy("compound_id").agg(F.count("*").alias("n")).where(c("n") > LIST_ROWS).select("compound_id"), "large")
+    if large.isEmpty():
+        return lists(*frames)
+    pick = lambda how: (x.join(large, "compound_id", how) for x in frames)
+    return lists(*pick("left_anti")).unionByName(rounds(*pick("left_semi")))
+
+
+def _edges(bonds: DataFrame, *carry: str) -> DataFrame:
+    """(compound_id, edges): the bonds of each compound as one list."""
+    return bonds.groupBy("compound_id").agg(F.collect_list(F.struct("i", "j", *carry)).alias("edges"))
+
+
+def _named_edges(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(compound_id, nodes, edges): atoms and bonds of each compound as lists; bonds with the elements x and y of their ends."""
+    nodes = atoms.groupBy("compound_id").agg(F.collect_list(F.struct("pos", "element")).alias("nodes"))
+    element = lambda p: F.get(F.filter("nodes", lambda n: n["pos"] == p), F.lit(0))["element"]
+    edges = F.transform("edges", lambda e: F.struct(e["i"].alias("i"), e["j"].alias("j"), e["bond_order"].alias("bond_order"), element(e["i"]).alias("x"), element(e["j"]).alias("y")))
+    return nodes.join(_edges(bonds, "bond_order"), "compound_id", "left").select("compound_id", "nodes", F.coalesce(edges, F.array().cast("array<struct<i:bigint,j:bigint,bond_order:int,x:string,y:string>>")).alias("edges"))
+
+
+def _onward(edges: Column, front: Column, seen: Column) -> Column:
+    """Bonds from ``front`` to what is not in ``seen``."""
+    return F.filter(edges, lambda e: F.array_contains(front, e["i"]) & ~F.array_contains(seen, e["j"]))
+
+
+_ATOMS = "array<bigint>"
+
+
 def shells(atoms: DataFrame, bonds: DataFrame, radius: int | None) -> DataFrame:
     """(compound_id, pos, atom, distance) of all atoms within ``radius`` bonds, the centre included.
 
     Without a radius the search goes on until no atom is new, so that whatever an
-    atom can reach is found, however far.
+    atom can reach is found, however far.  Small compounds are searched list by
+    list, without a shuffle a round; the others in rounds of joins.
     """
+    return _by_size(lambda a, b: _shells_in_lists(a, b, radius), lambda a, b: _shells_in_rounds(a, b, radius), atoms.select("compound_id", "pos"), bonds)
+
+
+def _shells_in_lists(atoms: DataFrame, bonds: DataFrame, radius: int | None) -> DataFrame:
+    rows = atoms.join(_edges(bonds), "compound_id", "left").where("pos IS NOT NULL").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<i:bigint,j:bigint>>")))
+    most = F.size("edges") if radius is None else F.lit(radius)
+    start = F.struct(F.array("pos").cast(_ATOMS).alias("seen"), F.array("pos").cast(_ATOMS).alias("front"), F.array(F.struct(c("pos").alias("atom"), F.lit(0).cast("bigint").alias("distance"))).alias("out"))
+
+    def step(acc: Column, d: Column) -> Column:
+        front = F.array_distinct(F.transform(_onward(c("edges"), acc["front"], acc["seen"]), lambda e: e["j"]))
+        # all in one struct, so that the search of a round is made once
+        return F.transform(F.array(front), lambda f: F.struct(F.concat(acc["seen"], f).alias("seen"), f.alias("front"), F.concat(acc["out"], F.transform(f, lambda x: F.struct(x.alias("atom"), d.cast("bigint").alias("distance")))).alias("out")))[0]
+
+    rounds = F.sequence(F.lit(1), F.greatest(most, F.lit(1)))
+    found = F.aggregate(rounds, start, lambda acc, d: F.when((F.size(acc["front"]) == 0) | (d > most), acc).otherwise(step(acc, d)))
+    return rows.select("compound_id", "pos", found["out"].alias("_out")).select("compound_id", "pos", F.inline("_out"))
+
+
+def _shells_in_rounds(atoms: DataFrame, bonds: DataFrame, radius: int | None) -> DataFrame:
     step = bonds.select("compound_id", c("i").alias("atom"), c("j").alias("_to"))
     reached = atoms.select("compound_id", "pos", c("pos").alias("atom"), F.lit(0).cast("bigint").alias("distance"))
     frontier, d = reached, 0
@@ -47,9 +106,31 @@ def sphere_codes(atoms: DataFrame, bonds: DataFrame, radius: int = 6) -> DataFra
     away, by their bonds to sphere k - 1; the code of a radius extends that of
     the one before.
     """
+    return _by_size(lambda a, b: _codes_in_lists(a, b, radius), lambda a, b: _codes_in_rounds(a, b, radius), atoms.select("compound_id", "pos", "element"), bonds)
+
+
+def _codes_in_lists(atoms: DataFrame, bonds: DataFrame, radius: int) -> DataFrame:
+    signs = F.create_map(*(x for k, v in BOND_SIGNS.items() for x in (F.lit(k), F.lit(v))))
+    labelled = F.transform("edges", lambda e: F.struct(e["i"].alias("i"), e["j"].alias("j"), F.concat(signs[e["bond_order"].cast("int")], e["y"]).alias("label")))
+    rows = _named_edges(atoms, bonds).select("nodes", "compound_id", labelled.alias("edges")).select("compound_id", F.explode("nodes").alias("_n"), "edges").select("compound_id", "_n.pos", "_n.element", "edges")
+    start = F.struct(F.array("pos").cast(_ATOMS).alias("seen"), F.array("pos").cast(_ATOMS).alias("front"), F.array().cast("array<string>").alias("texts"))
+
+    def step(acc: Column, _: Column) -> Column:
+        text = lambda met: F.concat_ws(",", F.sort_array(F.filter(F.transform(met, lambda e: e["label"]), lambda x: x.isNotNull())))
+        front = lambda met: F.array_distinct(F.transform(met, lambda e: e["j"]))
+        return F.transform(F.array(_onward(c("edges"), acc["front"], acc["seen"])), lambda met: F.struct(F.concat(acc["seen"], front(met)).alias("seen"), front(met).alias("front"), F.concat(acc["texts"], F.array(text(met))).alias("texts")))[0]
+
+    texts = F.aggregate(F.sequence(F.lit(1), F.lit(radius)), start, step)["texts"]
+    every = rows.select("compound_id", "pos", "element", texts.alias("_texts"))
+    upto = lambda r: F.array_join(F.slice("_texts", 1, r), "/")
+    codes = every.select("compound_id", "pos", F.explode(F.array(*(F.struct(F.lit(r).cast("bigint").alias("radius"), F.concat(c("element"), F.lit(";"), upto(r)).alias("code")) for r in range(1, radius + 1)))).alias("_c"))
+    return codes.select("compound_id", "pos", "_c.radius", "_c.code")
+
+
+def _codes_in_rounds(atoms: DataFrame, bonds: DataFrame, radius: int) -> DataFrame:
     from pyspark.sql import Window as W
 
-    reach = kept(shells(atoms, bonds, radius))
+    reach = kept(_shells_in_rounds(atoms, bonds, radius))
     signs = F.create_map(*(x for k, v in BOND_SIGNS.items() for x in (F.lit(k), F.lit(v))))
     inner = reach.select("compound_id", "pos", c("atom").alias("i"), c("distance").alias("d"))
     outer = reach.select("compound_id", "pos", c("atom").alias("j"), c("distance").alias("e"))
@@ -63,9 +144,29 @@ def sphere_codes(atoms: DataFrame, bonds: DataFrame, radius: int = 6) -> DataFra
 
 def path_lengths(bonds: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (compound_id, a, b) with their shortest path in bonds, of any length; null if unreachable."""
+    return _by_size(_paths_in_lists, _paths_in_rounds, bonds, pairs)
+
+
+def _paths_in_lists(bonds: DataFrame, pairs: DataFrame) -> DataFrame:
+    rows = pairs.join(_edges(bonds), "compound_id", "left")
+    none = F.lit(None).cast("bigint")
+    start = F.struct(F.array("a").cast(_ATOMS).alias("seen"), F.array("a").cast(_ATOMS).alias("front"), F.when(c("a") == c("b"), F.lit(0).cast("bigint")).alias("path"))
+
+    def step(acc: Column, d: Column) -> Column:
+        front = F.array_distinct(F.transform(_onward(c("edges"), acc["front"], acc["seen"]), lambda e: e["j"]))
+        return F.transform(F.array(front), lambda f: F.struct(F.concat(acc["seen"], f).alias("seen"), f.alias("front"), F.when(F.array_contains(f, c("b")), d.cast("bigint")).otherwise(none).alias("path")))[0]
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.size("edges"), F.lit(1)))
+    # a round without new atoms, or after the other end was found, costs two tests
+    over = lambda acc: acc["path"].isNotNull() | (F.size(acc["front"]) == 0)
+    path = F.when(c("a").isNull() | c("b").isNull(), none).when(c("edges").isNull(), F.when(c("a") == c("b"), F.lit(0).cast("bigint"))).otherwise(F.aggregate(rounds, start, lambda acc, d: F.when(over(acc), acc).otherwise(step(acc, d)))["path"])
+    return rows.withColumn("path", path).drop("edges")
+
+
+def _paths_in_rounds(bonds: DataFrame, pairs: DataFrame) -> DataFrame:
     starts = pairs.select("compound_id", c("a").alias("pos")).distinct()
-    reach = shells(starts, bonds, None).select("compound_id", c("pos").alias("a"), c("atom").alias("b"), c("distance").alias("path"))
-    return pairs.join(reach, ["compound_id", "a", "b"], "left")
+    reach = _shells_in_rounds(starts, bonds, None).select("compound_id", c("pos").alias("a"), c("atom").alias("b"), c("distance").alias("path"))
+    return pairs.join(reach, ["compound_id", "a", "b"], "left").select(*pairs.columns, "path")
 
 
 def j_summary(paths: DataFrame) -> DataFrame:
@@ -96,8 +197,46 @@ def _keyed(members: DataFrame, atoms: DataFrame, bonds: DataFrame, by: list[str]
 def ego_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, radius: int = 3) -> DataFrame:
     """Atom-centred fragments of radius 1 to ``radius`` with the known shifts inside."""
     known = signals.where("atom_index IS NOT NULL").select("compound_id", c("atom_index").alias("atom"), "shift_c")
+    return _by_size(lambda a, b, k: _egos_in_lists(a, b, k, radius), lambda a, b, k: _egos_in_rounds(a, b, k, radius), atoms.select("compound_id", "pos", "element"), bonds, known)
+
+
+def _fragment(edges: Column, inside: Column, known: Column) -> Column:
+    """atom_count, key and shifts of the atoms ``inside``: the row-wise twin of ``_keyed``.
+
+    A generator, so that a filter on its columns doesn't make them twice.
+    """
+    within = F.filter(edges, lambda e: (e["i"] < e["j"]) & F.array_contains(inside, e["i"]) & F.array_contains(inside, e["j"]) & e["x"].isNotNull() & e["y"].isNotNull())
+    labels = F.transform(within, lambda e: F.concat(F.least(e["x"], e["y"]), e["bond_order"].cast("string"), F.greatest(e["x"], e["y"])))
+    shifts = F.transform(F.filter(known, lambda k: F.array_contains(inside, k["atom"])), lambda k: k["shift_c"])
+    return F.inline(F.array(F.struct(F.size(inside).cast("bigint").alias("atom_count"), F.sort_array(labels).alias("_labels"), F.size(shifts).alias("_known"), F.sort_array(F.array_compact(shifts)).alias("shifts"))))
+
+
+def _finished(found: DataFrame, *by: str) -> DataFrame:
+    """Fragments that have a bond and a known atom."""
+    return found.where((F.size("_labels") > 0) & (c("_known") > 0)).select("compound_id", *by, "atom_count", F.concat_ws(",", "_labels").alias("key"), "shifts")
+
+
+def _known_lists(known: DataFrame) -> DataFrame:
+    return known.groupBy("compound_id").agg(F.collect_list(F.struct("atom", "shift_c")).alias("known"))
+
+
+def _egos_in_lists(atoms: DataFrame, bonds: DataFrame, known: DataFrame, radius: int) -> DataFrame:
+    whole = _named_edges(atoms, bonds).join(_known_lists(known), "compound_id")
+    rows = whole.select("compound_id", "edges", "known", F.array_intersect(F.transform("nodes", lambda n: n["pos"]), F.transform("known", lambda k: k["atom"])).alias("_centres")).select("compound_id", "edges", "known", F.explode("_centres").alias("pos"))
+    start = F.struct(F.array("pos").cast(_ATOMS).alias("seen"), F.array("pos").cast(_ATOMS).alias("front"), F.array().cast(f"array<{_ATOMS}>").alias("balls"))
+
+    def step(acc: Column, _: Column) -> Column:
+        front = F.array_distinct(F.transform(_onward(c("edges"), acc["front"], acc["seen"]), lambda e: e["j"]))
+        return F.transform(F.array(front), lambda f: F.struct(F.concat(acc["seen"], f).alias("seen"), f.alias("front"), F.concat(acc["balls"], F.array(F.concat(acc["seen"], f))).alias("balls")))[0]
+
+    balls = F.aggregate(F.sequence(F.lit(1), F.lit(radius)), start, step)["balls"]
+    of = rows.select("compound_id", "pos", "edges", "known", balls.alias("_balls")).select("compound_id", "pos", "edges", "known", F.posexplode("_balls").alias("_r", "_inside"))
+    return _finished(of.select("compound_id", "pos", (c("_r") + 1).cast("bigint").alias("radius"), _fragment(c("edges"), c("_inside"), c("known"))), "pos", "radius")
+
+
+def _egos_in_rounds(atoms: DataFrame, bonds: DataFrame, known: DataFrame, radius: int) -> DataFrame:
     centres = atoms.join(known.select("compound_id", c("atom").alias("pos")), ["compound_id", "pos"], "left_semi")
-    reach = shells(centres, bonds, radius)
+    reach = _shells_in_rounds(centres, bonds, radius)
     members = kept(reach.withColumn("radius", F.explode(F.sequence(F.greatest("distance", F.lit(1)), F.lit(radius).cast("bigint")))))
     shifts = members.join(known, ["compound_id", "atom"]).groupBy("compound_id", "pos", "radius").agg(F.sort_array(F.collect_list("shift_c")).alias("shifts"))
     return _keyed(members, atoms, bonds, ["pos", "radius"]).join(shifts, ["compound_id", "pos", "radius"])
@@ -107,8 +246,27 @@ def ring_members(bonds: DataFrame, sizes: range = range(3, 7)) -> DataFrame:
     """(compound_id, size, ring, atom): simple cycles, each once, named by its sorted atoms.
 
     Paths start at a ring's smallest atom and turn towards the smaller of its
-    two neighbours there, so that no ring is found twice.
+    two neighbours there, so that no ring is found twice.  In small compounds a
+    path grows beside the list of its compound's bonds, row by row.
     """
+    members = lambda paths: paths.select("compound_id", F.size("path").cast("bigint").alias("size"), F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("ring"), F.explode("path").alias("atom"))
+    return _by_size(lambda b: members(_rings_in_lists(_edges(b), sizes)), lambda b: _rings_in_rounds(b, sizes), bonds)
+
+
+def _rings_in_lists(lists: DataFrame, sizes: range) -> DataFrame:
+    """``lists`` (compound_id, edges and others) with a row for each ``path`` that is a ring."""
+    begun = F.transform(F.filter("edges", lambda e: e["i"] < e["j"]), lambda e: F.struct(F.array(e["i"], e["j"]).cast(_ATOMS).alias("path"), F.lit(False).alias("closed")))
+    rows = lists.select(*lists.columns, F.explode(begun).alias("_p"))
+    for length in range(2, max(sizes) + 1):
+        path, end = c("_p.path"), F.element_at("_p.path", -1)
+        grown = F.transform(F.filter("edges", lambda e: (e["i"] == end) & (e["j"] > path[0]) & ~F.array_contains(path, e["j"])), lambda e: F.struct(F.concat(path, F.array(e["j"])).cast(_ATOMS).alias("path"), F.lit(False).alias("closed")))
+        ring = F.transform(F.filter("edges", lambda e: (e["i"] == end) & (e["j"] == path[0]) & (path[1] < end)), lambda e: F.struct(path.alias("path"), F.lit(True).alias("closed")))
+        after = (grown if length < max(sizes) else F.slice(grown, 1, 0), *([ring] if length in sizes else []))
+        rows = rows.select(*lists.columns, F.explode(F.when(c("_p.closed"), F.array("_p")).otherwise(F.concat(*after))).alias("_p"))
+    return rows.where("_p.closed").select(*lists.columns, "_p.path")
+
+
+def _rings_in_rounds(bonds: DataFrame, sizes: range) -> DataFrame:
     out = None
     step = bonds.select("compound_id", c("i").alias("_end"), c("j").alias("_next"))
     path = bonds.where("i < j").select("compound_id", F.array("i", "j").alias("path"))
@@ -158,10 +316,21 @@ def atom_facts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 
 def ring_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, largest: int = 6) -> DataFrame:
     """Rings with their direct neighbours and the known shifts inside."""
-    rings = kept(ring_members(bonds, range(3, largest + 1)))
+    known = signals.where("atom_index IS NOT NULL").select("compound_id", c("atom_index").alias("atom"), "shift_c")
+    return _by_size(lambda a, b, k: _ring_fragments_in_lists(a, b, k, largest), lambda a, b, k: _ring_fragments_in_rounds(a, b, k, largest), atoms.select("compound_id", "pos", "element"), bonds, known)
+
+
+def _ring_fragments_in_lists(atoms: DataFrame, bonds: DataFrame, known: DataFrame, largest: int) -> DataFrame:
+    rings = _rings_in_lists(_named_edges(atoms, bonds).join(_known_lists(known), "compound_id").select("compound_id", "edges", "known"), range(3, largest + 1))
+    around = F.transform(F.filter("edges", lambda e: F.array_contains("path", e["i"])), lambda e: e["j"])
+    rows = rings.select("compound_id", "edges", "known", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("ring"), F.array_distinct(F.concat("path", around)).alias("_inside"))
+    return _finished(rows.select("compound_id", "ring", _fragment(c("edges"), c("_inside"), c("known"))), "ring")
+
+
+def _ring_fragments_in_rounds(atoms: DataFrame, bonds: DataFrame, known: DataFrame, largest: int) -> DataFrame:
+    rings = kept(_rings_in_rounds(bonds, range(3, largest + 1)))
     around = rings.join(bonds.select("compound_id", c("i").alias("atom"), "j"), ["compound_id", "atom"]).select("compound_id", "ring", c("j").alias("atom"))
     members = rings.select("compound_id", "ring", "atom").unionByName(around).distinct()
-    known = signals.where("atom_index IS NOT NULL").select("compound_id", c("atom_index").alias("atom"), "shift_c")
     shifts = members.join(known, ["compound_id", "atom"]).groupBy("compound_id", "ring").agg(F.sort_array(F.collect_list("shift_c")).alias("shifts"))
     return _keyed(members, atoms, bonds, ["ring"]).join(shifts, ["compound_id", "ring"])
 

@@ -177,3 +177,40 @@ def test_fallback_rounds_equal_one_join_and_carry_misses_only(spark, monkeypatch
     rounds = passed[1:]  # the first is the table of statistics
     # a radius without statistics, as radius 1 here, needs no round
     assert all(a > b for a, b in zip(rounds, rounds[1:])) and (len(rounds) >= 4 if bound == 0 else len(rounds) < 5)
+
+
+def test_graph_searches_in_lists_equal_those_in_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    atoms, edges = [], set()
+    for k in range(6):
+        n = rng.randrange(1, 12)
+        atoms += [(k, p, rng.choice("CNO")) for p in range(n)]
+        edges |= {(k, *sorted(rng.sample(range(n), 2))) for _ in range(n + 3) if n > 1}
+    bonds = spark.createDataFrame([(k, *ij, 1 + (i + j) % 3) for k, i, j in edges for ij in ((i, j), (j, i))], "compound_id bigint, i bigint, j bigint, bond_order int")
+    atoms = spark.createDataFrame(atoms, "compound_id bigint, pos bigint, element string")
+    pairs = atoms.select("compound_id", c("pos").alias("a"), ((c("pos") * 5 + 3) % 8).alias("b"))
+    signals = atoms.where("pos % 3 < 2").select("compound_id", c("pos").alias("atom_index"), (c("pos") * 100).alias("shift_c"))
+    work = [
+        lambda: graphs.shells(atoms, bonds, 3), lambda: graphs.shells(atoms, bonds, None), lambda: graphs.sphere_codes(atoms, bonds, 4), lambda: graphs.path_lengths(bonds, pairs), lambda: graphs.ego_fragments(atoms, bonds, signals, 2),
+        lambda: graphs.ring_members(bonds), lambda: graphs.ring_fragments(atoms, bonds, signals),
+    ]
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    lists = [rows(f()) for f in work]
+    assert all(lists)
+    for limit in (0, 20):  # all in rounds, and some
+        monkeypatch.setattr(graphs, "LIST_ROWS", limit)
+        assert [rows(f()) for f in work] == lists
+
+
+def test_bonds_of_the_views_are_one_pass_over_the_items(spark):
+    from resonara.plans.views import VIEWS, Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    assert v.edge.schema.simpleString() == spark.sql(VIEWS["edge"], atom=v.atom).schema.simpleString()
+    plain = spark.sql(VIEWS["edge"], atom=v.atom)
+    assert sorted(v.edge.collect()) == sorted(plain.collect()) and v.edge.count() > 100
+    assert sorted(v.bond.collect()) == sorted(spark.sql(VIEWS["bond"], edge=plain).collect())
+    exchanges = lambda df: df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(v.bond) <= 2
+    # searches of small compounds don't shuffle a round
+    assert exchanges(graphs.sphere_codes(v.atom, v.bond, 6)) <= 4
