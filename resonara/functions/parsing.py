@@ -51,10 +51,14 @@ def multiplicity_map(quaternaries: Column, tertiaries: Column, secondaries: Colu
         atoms = F.transform(F.split(F.coalesce(field, F.lit("")), "\n"), lambda line: F.trim(_part(F.split(F.trim(line), "\t"), 0)).try_cast("bigint"))
         return F.transform(F.filter(atoms, lambda a: a.isNotNull()), lambda a: F.struct(a.alias("atom"), F.lit(hydrogens).alias("h")))
 
+    def largest(every: Column) -> Column:
+        atoms = F.array_distinct(F.transform(every, lambda e: e["atom"]))
+        # fields come in order of hydrogens, so the last one is the largest
+        return F.map_from_entries(F.transform(atoms, lambda a: F.struct(a, F.array_max(F.transform(F.filter(every, lambda e: e["atom"] == a), lambda e: e["h"])))))
+
     every = F.concat(*(entries(f, h) for h, f in enumerate((quaternaries, tertiaries, secondaries, primaries))))
-    atoms = F.array_distinct(F.transform(every, lambda e: e["atom"]))
-    # fields come in order of hydrogens, so the last one is the largest
-    return F.map_from_entries(F.transform(atoms, lambda a: F.struct(a, F.array_max(F.transform(F.filter(every, lambda e: e["atom"] == a), lambda e: e["h"])))))
+    # bound as a variable: the fields are taken apart once and not once an atom
+    return F.get(F.transform(F.array(every), largest), F.lit(0))
 
 
 def sphere1_elements(code: Column) -> Column:

@@ -87,11 +87,11 @@ def parse_sdf(df: DataFrame, flavour: str | None = None, keep: Sequence[str] = (
     counted = lambda b: F.transform(b["s"], lambda s: F.struct(s["shift"], F.try_element_at(b["h"], s["atom_index"] + 1).cast("bigint").alias("h_count"), s["atom_index"]))
     predicted = F.get(F.transform(both, counted), F.lit(0))
     is_measured = c("_flavour") == "measured"
-    rows = common.withColumns({
-        "formula": F.when(is_measured, F.coalesce(formula_from_inchi(c("inchi")), formula)).otherwise(formula),
-        "signals": {"measured": measured, "predicted": predicted, None: F.when(is_measured, measured).otherwise(predicted)}[flavour],
-    })
-    return rows.where(F.size("signals") > 0).select(*keep, "name", "formula", "inchi", "inchi_key", count_carbons(F.coalesce("formula", F.lit(""))).alias("carbon_count"), "signals")
+    signals = {"measured": measured, "predicted": predicted, None: F.when(is_measured, measured).otherwise(predicted)}[flavour]
+    rows = common.withColumn("formula", F.when(is_measured, F.coalesce(formula_from_inchi(c("inchi")), formula)).otherwise(formula))
+    # a generator's column, so that no filter on it, here or in a caller, takes the record apart again
+    made = rows.select(*keep, "name", "formula", "inchi", "inchi_key", F.explode(F.array(signals)).alias("signals")).where(F.size("signals") > 0)
+    return made.select(*keep, "name", "formula", "inchi", "inchi_key", count_carbons(F.coalesce("formula", F.lit(""))).alias("carbon_count"), "signals")
 
 
 def read_sdf(spark: SparkSession, path: str, flavour: str | None = None) -> DataFrame:

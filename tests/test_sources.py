@@ -98,3 +98,13 @@ def test_tsv_files_are_split_and_their_headers_taken_apart_once(spark, tmp_path)
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     docs = spark.createDataFrame([("x", "Case\tKey\n" + "c\tk\n" * 40_000)], "path string, content string")
     assert text.parse_tsv(docs, {"case": ["case"], "key": ["key"]}).groupBy("case", "key").count().collect() == [("c", "k", 40_000)]
+
+
+def test_hydrogen_fields_are_taken_apart_once_a_record(spark):
+    from resonara.functions.parsing import multiplicity_map
+
+    fields = spark.createDataFrame([("1\t10.0\n2\t20.0", None, "2\t20.0", "7\t1.0")], "fq string, ft string, fs string, fp string")
+    made = fields.select(multiplicity_map(c("fq"), c("ft"), c("fs"), c("fp")).alias("m"))
+    assert made.first().m == {1: 0, 2: 2, 7: 3}
+    # once where it is read and once where it is used
+    assert made._jdf.queryExecution().analyzed().toString().count("fq#") == 2
