@@ -14,7 +14,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import DoubleType
 
 from resonara.functions.scoring import experiment_type
-from resonara.operators import analysis, joins, peaks, qc, ranking
+from resonara.operators import analysis, joins, peaks, qc
 from resonara.plans.scratch import kept
 from resonara.sources import jcamp, sdf, text
 
@@ -130,10 +130,7 @@ def fragment_search(queries: DataFrame, fragments: DataFrame, limit: int = 5, bi
 
     ``queries``: query_id, shifts; ``fragments``: fragment_id, atom_count, shifts.
     """
-    pairs = joins.prescreen(queries, fragments, bins)
-    full = joins.fetch_by_id(pairs.select("fragment_id").distinct(), fragments, "fragment_id")
-    matched = joins.fine_match(pairs.join(queries.withColumnRenamed("shifts", "query"), "query_id").join(full, "fragment_id"))
-    return ranking.rank_fragments(matched, limit=limit)
+    return joins.fine_search(queries, fragments, bins, limit)
 
 
 @F.pandas_udf(DoubleType())

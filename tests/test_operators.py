@@ -156,6 +156,27 @@ def test_no_key_of_the_prescreen_holds_many_fragments(spark):
     assert {r.query_id for r in pairs.select("query_id").distinct().collect()} == {0, 1}
 
 
+def test_fine_search_compares_equal_lists_once(spark, monkeypatch):
+    rng = random.Random(11)
+    lists = [[rng.randrange(0, 22000) for _ in range(3)] for _ in range(6)]
+    # copies in other orders, a fragment without shifts, ties in size
+    fragments = [(i, 2 + i % 4, rng.sample(lists[i % 6], 3)) for i in range(120)] + [(900, 9, []), (901, 9, None)]
+    queries = [(q, rng.sample(x, len(x))) for q in range(12) for x in [lists[q % 3] + [s + 90 for s in lists[3 + q % 3]]]]
+    frames = spark.createDataFrame(queries, "query_id bigint, shifts array<bigint>"), spark.createDataFrame(fragments, "fragment_id bigint, atom_count bigint, shifts array<bigint>")
+    every = [(q, f, n, list(a), list(b)) for q, a in queries for f, n, b in fragments if b is not None]
+    plain = joins.fine_match(spark.createDataFrame(every, "query_id bigint, fragment_id bigint, atom_count bigint, query array<bigint>, shifts array<bigint>"))
+    folded, own = [], joins.fine_match
+    monkeypatch.setattr(joins, "fine_match", lambda pairs: (folded.append(pairs.count()), own(pairs))[1])
+    got = joins.fine_search(*frames)
+    columns = ["query_id", "fragment_id", "atom_count", "n", "dev_c"]
+    wanted = sorted(map(tuple, plain.select(*columns).collect()))
+    assert sorted(map(tuple, got.select(*columns).collect())) == wanted and len(wanted) >= 480
+    best = sorted(tuple(r)[:3] + (r["rank"],) for r in ranking.rank_fragments(plain, 5).select("query_id", "fragment_id", "atom_count", "rank").collect())
+    top = joins.fine_search(*frames, limit=5).select("query_id", "fragment_id", "atom_count", "rank")
+    assert sorted(map(tuple, top.collect())) == best and len(best) == 60
+    assert max(folded) <= 3 * 6
+
+
 @pytest.mark.parametrize("bound", [0, 12, 100_000])
 def test_fallback_rounds_equal_one_join_and_carry_misses_only(spark, monkeypatch, bound):
     rng = random.Random(5)
