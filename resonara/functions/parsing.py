@@ -18,16 +18,11 @@ def _part(parts: Column, i: int) -> Column:
 def measured_signals(field: Column) -> Column:
     """Signals (shift, h_count, atom_index) of ``shift;mult;atom|...``; S, D, T, Q carry 0 to 3 hydrogens."""
 
-    def signal(text: Column) -> Column:
-        parts = F.split(text, ";")
-        letter = F.regexp_extract(F.upper(F.coalesce(_part(parts, 1), F.lit(""))), "([SDTQ])$", 1)
-        return F.struct(
-            F.trim(_part(parts, 0)).try_cast("double").alias("shift"),
-            F.when(letter != "", F.instr(F.lit("SDTQ"), letter) - 1).cast("bigint").alias("h_count"),
-            F.trim(_part(parts, 2)).try_cast("bigint").alias("atom_index"),
-        )
-
-    return F.filter(F.transform(F.split(F.trim(field), r"\|"), lambda p: signal(F.trim(p))), lambda s: s["shift"].isNotNull())
+    # each step binds what the next one uses several times, so that a signal is split and searched once
+    parts = F.transform(F.split(F.trim(field), r"\|"), lambda p: F.split(F.trim(p), ";"))
+    read = F.transform(parts, lambda p: F.struct(F.trim(_part(p, 0)).try_cast("double").alias("shift"), F.regexp_extract(F.upper(F.coalesce(_part(p, 1), F.lit(""))), "([SDTQ])$", 1).alias("letter"), F.trim(_part(p, 2)).try_cast("bigint").alias("atom_index")))
+    hydrogens = lambda letter: F.when(letter != "", F.instr(F.lit("SDTQ"), letter) - 1).cast("bigint")
+    return F.transform(F.filter(read, lambda s: s["shift"].isNotNull()), lambda s: F.struct(s["shift"].alias("shift"), hydrogens(s["letter"]).alias("h_count"), s["atom_index"].alias("atom_index")))
 
 
 def predicted_signals(field: Column, base: int = 1) -> Column:

@@ -47,7 +47,8 @@ _FACTS = f"""ring AS MATERIALIZED ({' UNION ALL '.join(_ring_sql(n) for n in (3,
 
 
 #: Every third nitrogen as a halogen, so that the counter of halogens has something to count.
-_HALIDES = "(SELECT compound_id, pos, CASE WHEN element = 'N' AND (compound_id + pos) % 3 = 0 THEN 'Cl' ELSE element END AS element FROM {atom})"
+_HALIDE = "CASE WHEN element = 'N' AND (compound_id + pos) % 3 = 0 THEN 'Cl' ELSE element END"
+_HALIDES = f"(SELECT compound_id, pos, {_HALIDE} AS element FROM {{atom}})"
 
 
 @query(
@@ -61,7 +62,7 @@ def _(v):
     from .text_sources import write_measured
 
     base = _folder(v)
-    write_measured(v, f"{base}/in", v.sql(f"SELECT * FROM {_HALIDES} x"))
+    write_measured(v, f"{base}/in", _HALIDE)
     return jobs.build_stats_from_sdf(v.spark, f"{base}/in", "measured", f"{base}/state", f"{base}/checkpoint", files_per_batch=4)
 
 

@@ -10,7 +10,7 @@ predicted one.  Any line that begins with four dollar signs ends a record.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,8 @@ MEASURED_FIELD, PREDICTED_FIELD = "Spectrum 13C 0", "CNMR_SHIFTS"
 def sdf_property(record: Column, name: str) -> Column:
     """Value of a property, over all its lines up to the next blank one; null if the record lacks it."""
     found = F.regexp_extract(record, rf"(?i)>\s*<{name}>[^\n]*\n((?:[^\n]+\n?)*)", 1)
-    return F.when(F.rlike(record, F.lit(rf"(?i)>\s*<{name}>")), F.rtrim(F.regexp_replace(found, r"\n+$", "")))
+    # only an empty value needs the second search
+    return F.when(found != "", F.rtrim(F.rtrim(found, F.lit("\n")))).when(F.rlike(record, F.lit(rf"(?i)>\s*<{name}>")), "")
 
 
 def clean_record(record: Column) -> Column:
@@ -42,7 +43,13 @@ def clean_record(record: Column) -> Column:
 
 def raw_records(read, path: str) -> DataFrame:
     """(record) of all SD files at ``path`` by a text reader, batch or streaming."""
-    return read.format("text").option("lineSep", SPLIT).load(path).where(F.rlike("value", F.lit(r"\S"))).select(clean_record(c("value")).alias("record"))
+    # a generator's column, so that what filters records doesn't clean them again
+    return _between(read, path).select(F.explode(F.array(clean_record(c("value")))).alias("record"))
+
+
+def _between(read, path: str) -> DataFrame:
+    """(value) between two separators, blank ones left out."""
+    return read.format("text").option("lineSep", SPLIT).load(path).where(F.rlike("value", F.lit(r"\S")))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -57,13 +64,19 @@ def record_flavour(record: Column) -> Column:
 
 def sdf_flavours(spark: SparkSession, path: str) -> DataFrame:
     """(flavour, records) of all SD files at ``path``; records without a spectrum have none."""
-    return records(spark, path).groupBy(record_flavour(c("record")).alias("flavour")).agg(F.count("*").alias("records"))
+    # property names are the same before a record is cleaned
+    return _between(spark.read, path).groupBy(record_flavour(c("value")).alias("flavour")).agg(F.count("*").alias("records"))
+
+
+def folder_flavour(counted: Iterable[str | None]) -> str | None:
+    """``measured``, ``predicted``, ``mixed`` or None, by the flavours that records have."""
+    found = [x for x in counted if x]
+    return "mixed" if len(found) > 1 else found[0] if found else None
 
 
 def detect_sdf_flavour(spark: SparkSession, path: str) -> str | None:
     """``measured``, ``predicted``, ``mixed`` or None, by all records."""
-    found = [r.flavour for r in sdf_flavours(spark, path).collect() if r.flavour]  # two rows at most
-    return "mixed" if len(found) > 1 else found[0] if found else None
+    return folder_flavour(r.flavour for r in sdf_flavours(spark, path).collect())  # three rows at most
 
 
 def parse_sdf(df: DataFrame, flavour: str | None = None, keep: Sequence[str] = ()) -> DataFrame:

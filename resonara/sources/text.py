@@ -107,13 +107,19 @@ def parse_solutions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     atoms: path, solution, atom (from 1), element, h_count; bonds: path, solution,
     atom, neighbour, bond_order, in both directions as written.
     """
-    order = W.partitionBy("path").orderBy("line_no")
-    lines = _lines(docs).withColumn("_in", F.max(F.when(c("line") == "OUTLSD", 1).otherwise(0)).over(order)).where("_in = 1")
-    open_ = lines.withColumn("_end", F.sum(F.when(c("line") == "0", 1).otherwise(0)).over(order)).where("_end = 0")
-    header = F.rlike("line", F.lit(r"^\d+\s+\d+$"))
-    marked = open_.withColumns({"_segment": F.sum(F.when(header, 1).otherwise(0)).over(order), "_solution": F.last(F.when(header, F.regexp_extract("line", r"(\d+)$", 1).try_cast("bigint")), ignorenulls=True).over(order)})
-    parts = F.split("line", r"\s+")
-    rows = marked.where((c("_segment") > 0) & F.rlike("line", F.lit(r"^1\s+[A-Z]"))).withColumn("_n", F.row_number().over(W.partitionBy("path", "_segment").orderBy("line_no")).cast("bigint")).withColumn("p", parts).where(F.size("p") >= 8)
+    # a document is a row, and its solutions are cut out of it: nothing is sorted or shuffled
+    header = lambda x: F.rlike(x, F.lit(r"^\d+\s+\d+$"))
+    lines = docs.select("path", F.explode(F.array(F.transform(F.split("content", r"\r?\n"), lambda x: F.trim(x)))).alias("_all"))
+    after = lines.where(F.array_contains("_all", "OUTLSD")).select("path", F.explode(F.array(F.slice("_all", F.array_position("_all", "OUTLSD") + 1, F.size("_all")))).alias("_open"))
+    end = F.array_position("_open", "0")
+    open_ = after.select("path", F.explode(F.array(F.when(end > 0, F.slice("_open", F.lit(1), end.cast("int") - 1)).otherwise(c("_open")))).alias("_lines"))
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(header(x), F.struct((i + 1).alias("at"), F.regexp_extract(x, r"(\d+)$", 1).try_cast("bigint").alias("n")))), lambda h: h.isNotNull())
+    segments = open_.select("path", "_lines", F.explode(F.array(heads)).alias("_heads")).select("path", "_lines", "_heads", F.posexplode("_heads").alias("_k", "_head"))
+    until = F.coalesce(F.get("_heads", c("_k") + 1)["at"], F.size("_lines") + 1)
+    # a number that is none carries on the one before
+    number = F.coalesce("_head.n", F.get(F.reverse(F.filter(F.slice("_heads", F.lit(1), c("_k")), lambda h: h["n"].isNotNull())), F.lit(0))["n"])
+    kept_lines = F.filter(F.slice("_lines", c("_head.at") + 1, until - c("_head.at") - 1), lambda x: F.rlike(x, F.lit(r"^1\s+[A-Z]")))
+    rows = segments.select("path", number.alias("_solution"), F.posexplode(kept_lines).alias("_at", "line")).select("path", "_solution", (c("_at") + 1).cast("bigint").alias("_n"), F.split("line", r"\s+").alias("p")).where(F.size("p") >= 8)
     atoms = rows.select("path", c("_solution").alias("solution"), c("_n").alias("atom"), c("p")[1].alias("element"), c("p")[3].try_cast("bigint").alias("h_count"))
     pairs = F.transform(F.sequence(F.lit(7), F.size("p") - 2, F.lit(2)), lambda i: F.struct(F.get("p", i).try_cast("bigint").alias("neighbour"), F.get("p", i + 1).try_cast("bigint").alias("bond_order")))
     bonds = rows.where(F.size("p") >= 9).select("path", c("_solution").alias("solution"), c("_n").alias("atom"), F.inline(pairs)).where("neighbour > 0")

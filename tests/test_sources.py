@@ -108,3 +108,31 @@ def test_hydrogen_fields_are_taken_apart_once_a_record(spark):
     assert made.first().m == {1: 0, 2: 2, 7: 3}
     # once where it is read and once where it is used
     assert made._jdf.queryExecution().analyzed().toString().count("fq#") == 2
+
+
+def test_compounds_are_one_grouping_of_the_items(spark):
+    from resonara.plans.text_sources import _compounds
+    from resonara.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    made = _compounds(v, "element", "atom_index", "shift_c", "h_count")
+    sites = made.select("compound_id", F.inline("sites"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(sites.select("compound_id", "pos", "element", "part")) == rows(v.atom)
+    assert rows(sites.select("compound_id", "pos", "atom_index", "shift_c", "h_count")) == rows(v.signal)
+    assert rows(made.select("compound_id", F.inline("bonds"))) == rows(v.edge)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan
+
+
+def test_solutions_are_cut_out_of_their_documents(spark):
+    atom = lambda e, h, *bonds: " ".join(["1", e, "4", str(h), "3", "3", "0", *map(str, bonds), "0", "0"])
+    docs = [
+        ("a", "\n".join(["0", "3 9", atom("X", 1), "OUTLSD", atom("Y", 1), "2 1", atom("C", 3, 2, 1), "1 short", "1 C too few", atom("O", 1, 1, 1), "0 0", "99999999999999999999 99999999999999999999", atom("N", 2), "0", "2 5", atom("Z", 1)])),
+        ("b", "OUTLSD\r\n1 7\r\n" + atom("C", 4, 2, 2, 3, 1)), ("c", "2 1\n" + atom("C", 1)), ("d", "OUTLSD"),
+    ]
+    atoms, bonds = text.parse_solutions(spark.createDataFrame(docs, "path string, content string"))
+    assert sorted(map(tuple, atoms.collect())) == [("a", 0, 1, "N", 2), ("a", 1, 1, "C", 3), ("a", 1, 3, "O", 1), ("b", 7, 1, "C", 4)]
+    assert sorted(map(tuple, bonds.collect())) == [("a", 1, 1, 2, 1), ("a", 1, 3, 1, 1), ("b", 7, 1, 2, 2), ("b", 7, 1, 3, 1)]
+    plan = atoms._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
