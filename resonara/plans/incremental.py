@@ -8,7 +8,7 @@ from resonara.streaming import jobs
 
 from .catalog import query
 from .graphs import CODES, CODES_CTE, _ring_sql
-from .scratch import new_folder
+from .scratch import kept, new_folder
 from .statistics import _STATE
 
 c = F.col
@@ -18,10 +18,18 @@ def _folder(v) -> str:
     return new_folder(v.spark, "stream")
 
 
+#: Most rows of a file that a stream reads; the files are as many as that takes.
+FILE_ROWS = 4_000_000
+
+
+def _files(rows: int, least: int) -> int:
+    return max(least, -(-rows // FILE_ROWS))
+
+
 @query("T1_build_stats", f"SELECT {_STATE} FROM {{env_state}}")
 def _(v):
     base, obs = _folder(v), v.env_key.where("train")
-    obs.repartition(4).write.parquet(f"{base}/in")
+    obs.repartition(_files(obs.count(), 4)).write.parquet(f"{base}/in")
     return jobs.build_stats(v.spark, f"{base}/in", obs.schema, f"{base}/state", f"{base}/checkpoint", 2)
 
 
@@ -29,9 +37,10 @@ def _(v):
 def _(v):
     # a third of the rows fail, and the build begins anew after a first one
     base, obs = _folder(v), v.env_key.where("train")
-    obs.repartition(4).write.parquet(f"{base}/in")
+    rows = obs.count()
+    obs.repartition(_files(rows, 4)).write.parquet(f"{base}/in")
     jobs.build_stats(v.spark, f"{base}/in", obs.schema, f"{base}/state", f"{base}/checkpoint", 4)
-    obs.unionByName(obs.withColumn("code", F.lit(None).cast("string"))).repartition(8).write.mode("append").parquet(f"{base}/in")
+    obs.unionByName(obs.withColumn("code", F.lit(None).cast("string"))).repartition(_files(2 * rows, 8)).write.mode("append").parquet(f"{base}/in")
     jobs.build_stats(v.spark, f"{base}/in", obs.schema, f"{base}/state", f"{base}/checkpoint", 4, fresh=True)
     return jobs.build_counters(v.spark, f"{base}/state")
 
@@ -71,11 +80,14 @@ _ALL_FRAGMENTS = "SELECT p_type || '/' || p_brand AS smiles, ord * 32 + pos AS f
 
 @query("T3_extract_fragments", "SELECT smiles, min(fragment_id) AS fragment_id, arg_min(part, fragment_id) AS part FROM (SELECT p_type || '/' || p_brand AS smiles, ord * 32 + pos AS fragment_id, part FROM {item} JOIN {part} ON p_partkey = part) f GROUP BY smiles")
 def _(v):
-    base, rows = _folder(v), v.sql(_ALL_FRAGMENTS)
-    most = rows.agg(F.max("fragment_id")).first()[0] or 0
+    # made once and sorted by ids, so that each file below reads its own part
+    rows = v.sql(_ALL_FRAGMENTS)
+    base, rows = _folder(v), kept(rows.repartitionByRange("fragment_id").sortWithinPartitions("fragment_id"), "fragments")
+    most, n = rows.agg(F.max("fragment_id"), F.count("*")).first()
+    files, most = _files(n, 4), most or 0
     # files one after the other, in order of ids, so that it is known which fragment of a key comes first
-    for k in range(4):
-        part = rows.where((c("fragment_id") * 4 >= k * (most + 1)) & (c("fragment_id") * 4 < (k + 1) * (most + 1)))
+    for k in range(files):
+        part = rows.where((c("fragment_id") >= -(-k * (most + 1) // files)) & (c("fragment_id") < -(-(k + 1) * (most + 1) // files)))
         part.coalesce(1).write.mode("append").parquet(f"{base}/in")
     return jobs.extract_fragments(v.spark, f"{base}/in", rows.schema, f"{base}/state", f"{base}/checkpoint", files_per_batch=1)
 
@@ -106,12 +118,13 @@ def _(v):
 @query("T4_run_status_stream", _STATUS)
 def _(v):
     base = _folder(v)
-    timed = v.run_event.withColumn("ts", F.timestamp_seconds(c("epoch").cast("bigint")))
+    # made once: each file below takes its part of it
+    timed = kept(v.run_event.withColumn("ts", F.timestamp_seconds(c("epoch").cast("bigint"))), "events")
     low, high = timed.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
     # one file after the other in order of time, so that idle runs leave the state and come back
     for k in range(4):
         at = F.floor((F.unix_seconds("ts") - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1))
-        timed.where(at == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        timed.where(at == k).repartition(1).write.mode("append").parquet(f"{base}/in")
     events = v.spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     return jobs.follow_into(events, f"{base}/state", f"{base}/checkpoint", idle_minutes=10)
 
