@@ -316,23 +316,28 @@ def run_status(events: DataFrame, finalized: DataFrame | None = None, fallback:
 
 
 class _Runs(StatefulProcessor):
-    """Facts of each run: a value, a map of phases, and a timer that runs out when the run is idle."""
+    """Facts of each run as one value, read and written once a batch, and a timer that runs out when the run is idle."""
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.facts = handle.getValueState("facts", "started bigint, at bigint, last_epoch bigint, due bigint")
-        self.phases = handle.getMapState("phases", "phase string", "start bigint, ended boolean")
+        self.facts = handle.getValueState("facts", "started bigint, at bigint, last_epoch bigint, due bigint, phases array<struct<phase: string, start: bigint, ended: boolean>>")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         for r in initialState.itertuples():
             whole = [None if pd.isna(x) else int(x) for x in (r.started, r.at, r.last_epoch)]
-            self.facts.update((*whole, self._timer(timerValues.getCurrentWatermarkInMs())))
-            for p in r.phases:
-                start = p["start"]
-                self.phases.updateValue((p["phase"],), (None if start is None or pd.isna(start) else int(start), bool(p["ended"])))
+            phases = {p["phase"]: (None if p["start"] is None or pd.isna(p["start"]) else int(p["start"]), bool(p["ended"])) for p in r.phases}
+            self._keep(*whole, self._timer(timerValues.getCurrentWatermarkInMs()), phases)
+
+    def _known(self) -> tuple | None:
+        """(started, at, last_epoch, due, phases by name) or None."""
+        found = self.facts.get()
+        return None if found is None else (*found[:4], {p[0]: (p[1], p[2]) for p in found[4]})
+
+    def _keep(self, started, at, last, due, phases: dict[str, tuple]) -> None:
+        self.facts.update((started, at, last, due, [(p, *v) for p, v in phases.items()]))
 
     def _timer(self, latest: int, before: int | None = None) -> int | None:
         """Let the run's timer run out an idle time after ``latest``."""
@@ -347,9 +352,8 @@ class _Runs(StatefulProcessor):
         return due
 
     def handleInputRows(self, key, rows, timerValues):
-        started, at, last, due = self.facts.get() if self.facts.exists() else (None, None, None, None)
+        started, at, last, due, phases = self._known() or (None, None, None, None, {})
         latest = timerValues.getCurrentWatermarkInMs() if self.idle_ms is not None else 0
-        changed: dict[str, tuple] = {}
         for batch in rows:
             if self.idle_ms is not None and batch["ts"].notna().any():
                 latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
@@ -359,17 +363,13 @@ class _Runs(StatefulProcessor):
                 if r.event == "run_start" and (at is None or r.seq < at):
                     started, at = epoch, int(r.seq)
                 elif r.event in ("phase_start", "phase_end") and r.phase:
-                    if r.phase not in changed:
-                        changed[r.phase] = tuple(self.phases.getValue((r.phase,))) if self.phases.containsKey((r.phase,)) else (None, False)
-                    start, ended = changed[r.phase]
-                    changed[r.phase] = (max(int(r.seq), start or 0), ended) if r.event == "phase_start" else (start, True)
-        self.facts.update((started, at, last, self._timer(latest, due)))
-        for phase, value in changed.items():
-            self.phases.updateValue((phase,), value)
-        yield self._row(key, started, at, last, "running")
-
-    def _row(self, key, started, at, last, state) -> pd.DataFrame:
-        known = sorted((k[0], *v) for k, v in self.phases.iterator())
+                    start, ended = phases.get(r.phase, (None, False))
+                    phases[r.phase] = (max(int(r.seq), start or 0), ended) if r.event == "phase_start" else (start, True)
+        self._keep(started, at, last, self._timer(latest, due), phases)
+        yield self._row(key, started, at, last, phases, "running")
+
+    def _row(self, key, started, at, last, phases, state) -> pd.DataFrame:
+        known = sorted((p, *v) for p, v in phases.items())
         open_ = [(start, phase) for phase, start, ended in known if start is not None and not ended]
         active = max(open_)[1] if open_ else None
         number = re.fullmatch(r"lsd-iteration-(\d+)", active or "")
@@ -382,11 +382,10 @@ class _Runs(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """An idle run leaves the state; its last facts are given once more, as ``idle``."""
-        if self.facts.exists():
-            started, at, last, _ = self.facts.get()
-            yield self._row(key, started, at, last, "idle")
+        if known := self._known():
+            started, at, last, _, phases = known
+            yield self._row(key, started, at, last, phases, "idle")
         self.facts.clear()
-        self.phases.clear()
 
     def close(self) -> None:
         pass

@@ -136,3 +136,43 @@ def test_solutions_are_cut_out_of_their_documents(spark):
     assert sorted(map(tuple, bonds.collect())) == [("a", 1, 1, 2, 1), ("a", 1, 3, 1, 1), ("b", 7, 1, 2, 2), ("b", 7, 1, 3, 1)]
     plan = atoms._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_a_stream_gets_more_files_and_not_larger_ones():
+    from resonara.plans import incremental
+
+    assert [incremental._files(n, 4) for n in (0, 600_000, 16_000_000, 16_000_001, 216_000_000)] == [4, 4, 4, 5, 54]
+
+
+def test_a_batch_of_a_run_reads_and_writes_its_state_once():
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    runs = jobs._Runs(None)
+    runs.init(Handle())
+    events = [(s, "run_start" if s == 0 else ("phase_start", "phase_end")[s % 2], f"lsd-iteration-{s // 4:02d}", str(100 + s)) for s in range(80)]
+    feed = lambda part: next(runs.handleInputRows((7,), iter([pd.DataFrame(part, columns=["seq", "event", "phase", "epoch"])]), None))
+    feed(events[:50])
+    row = feed(events[50:]).iloc[0]
+    assert calls == ["get", "update"] * 2
+    assert (row.started, row["at"], row.last_epoch, row.elapsed_s) == (100, 0, 179, 79)
+    assert len(row.phases) == 20 and all(p["ended"] for p in row.phases) and row.phases[1] == {"phase": "lsd-iteration-01", "start": 6, "ended": True}
