@@ -16,9 +16,11 @@ No pair of a bucket's documents is lost, and none is enumerated in a bucket:
    wholes, each by itself, and buckets of the same documents once.  Their
    documents are dealt into blocks of a bounded size, and tasks, one for each pair
    of blocks, compare all registers; documents that agree with none of another
-   component about as often as the threshold asks for are done.  The sets of the
-   others are compared exactly in blocks as well; what comes back is no more than a
-   spanning forest of the links found.
+   component about as often as the threshold asks for are done.  The others form
+   families over all buckets, by whom they agree with, and the sets of a family are
+   compared exactly in blocks as well, once however many buckets its documents
+   share; what comes back is no more than a spanning forest of the links found.
+   In both steps documents of the largest component never meet each other.
 
 No task gets all rows of a hot bucket or text: both are looked up by broadcast after
 being counted, or the hot ones of them.  Texts stay in their chunks (``chunks``);
@@ -52,6 +54,7 @@ from .chunks import Chunks
 from .common import looked_up, slices, written
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+c = F.col
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -153,7 +156,7 @@ def similar(common: int | np.ndarray, n_left, n_right, percent: int):
 
 def _sketches(k: int, sketch: Sketch):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
             regs = registers(sets, sketch)
             yield pa.RecordBatch.from_arrays(
@@ -197,9 +200,8 @@ def _verified(percent: int):
     return run
 
 
-def _forest(left: np.ndarray, right: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
-    """Links (by component) that connect all that ``links`` connects, one less than the components at most."""
-    parent: dict[int, int] = {}
+def _forest(left: np.ndarray, right: np.ndarray, links: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Links (by component) that connect all that ``links`` connects and ``parent`` does not yet, one less than the components at most."""
 
     def root(x: int) -> int:
         while parent.setdefault(x, x) != x:
@@ -235,8 +237,8 @@ def compared_blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     starts = np.searchsorted(inverse[order], both)
     ends = np.searchsorted(inverse[order], both, side="right")
     common = np.zeros((len(a), len(b)), dtype=np.float32)
-    for start in range(0, len(both), 2048):  # a strip of shingles at a time
-        strip = slice(start, start + 2048)
+    for start in range(0, len(both), 512):  # a strip of shingles at a time
+        strip = slice(start, start + 512)
         counts = ends[strip] - starts[strip]
         where = np.concatenate([order[s:e] for s, e in zip(starts[strip], ends[strip], strict=True)])
         column = np.repeat(np.arange(len(counts)), counts)
@@ -245,8 +247,11 @@ def compared_blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         x[row[where[mine]], column[mine]] = 1
         y[row[where[~mine]], column[~mine]] = 1
         common += x @ y.T
-    links = similar(common.astype(np.int64), na[:, None], nb[None, :], percent) & (ca[:, None] != cb[None, :])
-    found = _forest(ca, cb, links)
+    found, parent = [], {}
+    for start in range(0, len(a), 128):  # a strip of documents at a time
+        strip = slice(start, start + 128)
+        links = similar(common[strip].astype(np.int64), na[strip, None], nb[None, :], percent) & (ca[strip, None] != cb[None, :])
+        found += _forest(ca[strip], cb, links, parent)
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -264,37 +269,57 @@ def mixed_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def dealt_blocks(docs: DataFrame, weight: Column | None, sketch: Sketch) -> DataFrame:
-    """``docs`` (with key, doc_id) with block, lo, hi: each document of a bucket once for each pair of blocks it has to meet in.
+    """``docs`` (with key, doc_id, component) with block, lo, hi: each document of a key once for each pair of blocks it has to meet in.
 
+    Where one block won't do, documents of the key's largest component are in blocks of their own, which meet the others' only.
     ``weight`` is a document's number of shingles, where blocks are bounded in them as well.
     """
-    count = F.ceil(F.count("*") / F.lit(sketch.block_docs))
-    blocks = docs.groupBy("key").agg((count if weight is None else F.greatest(count, F.ceil(F.sum(weight) / F.lit(sketch.block)))).cast("int").alias("blocks"), F.count("*").alias("docs"))
+    sizes = docs.groupBy("key", "component").agg(F.count("*").alias("n"), (F.lit(0) if weight is None else F.sum(weight)).cast("long").alias("weight"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("docs"), F.sum("weight").alias("weight"))
+    needed = lambda n, w: F.greatest(F.ceil(n / F.lit(sketch.block_docs)), F.ceil(w / F.lit(sketch.block)), F.lit(1)).cast("int")
+    fits = needed(c("docs"), c("weight")) == 1
+    few, many = needed(c("docs") - c("top")["n"], c("weight") - c("top")["weight"]), needed(c("top")["n"], c("top")["weight"])
+    blocks = tops.select("key", F.when(~fits, c("top")["component"]).alias("main"), F.when(fits, 1).otherwise(few).alias("few"), F.when(fits, 0).otherwise(many).alias("many"), "docs")
+    main, at = c("component").eqNullSafe(c("main")), F.xxhash64("doc_id")
     return (
         looked_up(docs, blocks, ["key"], "docs", "bucket-blocks")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("block", F.when(main, c("few") + F.pmod(at, c("many"))).otherwise(F.pmod(at, c("few"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, c("few")).otherwise(c("few") + c("many")) - 1)))
         .select(*docs.columns, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
     )
 
 
-def agreeing(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Documents of two blocks (or one) that have ``least`` registers or more in common with one of another component."""
+def agreeing(rows: pd.DataFrame, least: int, percent: int = 0) -> pd.DataFrame:
+    """Documents of two blocks (or one) that have ``least`` registers or more in common with one of another component.
+
+    ``family`` is the smallest doc_id of those that such pairs tie together here.
+    Pairs whose sizes (``n_shingles``, where given) rule out ``percent`` don't count.
+    """
     found = []
     low, high = rows["lo"].iloc[0], rows["hi"].iloc[0]
     sides = [rows[rows["block"] == b] for b in (low, high)]
     if all(len(side) for side in sides):
         first, second = (np.frombuffer(b"".join(side["registers"]), "<u2").reshape(len(side), -1) for side in sides)
         own, other = (side["component"].to_numpy() for side in sides)
+        n_own, n_other = (side["n_shingles"].to_numpy() if "n_shingles" in rows else np.ones(len(side), np.int64) for side in sides)
+        ids, place = np.unique(np.concatenate([side["doc_id"].to_numpy() for side in sides]), return_inverse=True)
+        here, there = place[: len(first)], place[len(first) :]
+        family = np.arange(len(ids))
         met = np.zeros(len(second), dtype=bool)
         hit = np.zeros(len(first), dtype=bool)
-        for i in range(len(first)):
-            near = ((second == first[i]).sum(axis=1) >= least) & (other != own[i])
-            hit[i] = near.any()
-            met |= near
-        found = [sides[0][hit], sides[1][met]]
-    columns = ["key", "doc_id", "component"]
-    return pd.concat(found)[columns].drop_duplicates() if found else rows.iloc[:0][columns]
+        # in one block, two documents of its largest component never meet
+        main = pd.Series(own).mode()[0] if low == high else None
+        for i in np.flatnonzero(own != main) if low == high else range(len(first)):
+            some = np.flatnonzero((other != own[i]) & (100 * np.minimum(n_other, n_own[i]) >= percent * np.maximum(n_other, n_own[i])))
+            near = some[np.count_nonzero(second[some] == first[i], axis=1) >= least]
+            if len(near):
+                hit[i] = met[near] = True
+                together = np.unique(np.append(family[there[near]], family[here[i]]))
+                if len(together) > 1:
+                    family[np.isin(family, together)] = together[0]
+        found = [side[mine].assign(family=ids[family[at[mine]]]) for side, mine, at in zip(sides, (hit, met), (here, there), strict=True)]
+    columns = ["key", "doc_id", "component", "family"]
+    return pd.concat(found)[columns].drop_duplicates() if found else rows.iloc[:0].assign(family=rows["doc_id"].iloc[:0])[columns]
 
 
 def _across(members: DataFrame, reps: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], components: DataFrame, percent: int, sketch: Sketch) -> DataFrame | None:
@@ -304,14 +329,17 @@ def _across(members: DataFrame, reps: DataFrame, sets_of: Callable[[DataFrame, s
         return None
     # registers of two sets agree at least as often as the sets are similar
     least = int((percent / 100 - sketch.margin) * sketch.size)
-    kinds = "key long, doc_id long, component long"
-    dealt = dealt_blocks(rows, None, sketch).join(reps.select("doc_id", "registers"), "doc_id")
-    near = written(dealt.groupBy("key", "lo", "hi").applyInPandas(lambda r: agreeing(r, least), kinds).distinct(), "agreeing")
+    kinds = "key long, doc_id long, component long, family long"
+    dealt = dealt_blocks(rows, None, sketch).join(reps, "doc_id")
+    near = written(dealt.groupBy("key", "lo", "hi").applyInPandas(lambda r: agreeing(r, least, percent), kinds).select("doc_id", "component", "family").distinct(), "agreeing")
     if near.isEmpty():
         return None
+    families = connected_components(near.select(c("family").alias("a"), c("doc_id").alias("b")))
     sets = sets_of(near, "bucket-sets")
-    sized = near.join(reps.select("doc_id", "n_shingles"), "doc_id")
-    compared = dealt_blocks(sized, F.col("n_shingles"), sketch).join(sets, "doc_id").select("key", "lo", "hi", "block", "component", "shingles")
+    sized = written(
+        near.select("doc_id", "component").distinct().join(families.select(c("component").alias("key"), c("node").alias("doc_id")), "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id"), "families"
+    )
+    compared = dealt_blocks(sized, c("n_shingles"), sketch).join(sets, "doc_id").select("key", "lo", "hi", "block", "component", "shingles")
     return written(compared.groupBy("key", "lo", "hi").applyInPandas(lambda r: compared_blocks(r, percent), "a long, b long").distinct(), "bucket-links")
 
 
@@ -378,8 +406,10 @@ def _judged(texts: Chunks, k: int, percent: int, sketch: Sketch) -> DataFrame:
     def side(table: DataFrame, end: str, **names: str) -> DataFrame:
         return table.select(F.col("doc_id").alias(end), *(F.col(c).alias(n) for n, c in names.items()))
 
+    # only pairs of sizes that may be similar take registers along
+    sized = edges.join(side(reps, "a", na="n_shingles"), "a").join(side(reps, "b", nb="n_shingles"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     plausible = written(
-        edges.join(side(reps, "a", na="n_shingles", ra="registers"), "a").join(side(reps, "b", nb="n_shingles", rb="registers"), "b").mapInArrow(_plausible(percent, sketch), "a long, b long"),
+        sized.join(side(reps, "a", ra="registers"), "a").join(side(reps, "b", rb="registers"), "b").mapInArrow(_plausible(percent, sketch), "a long, b long"),
         "candidates",
     )
     wanted = plausible.select(F.col("a").alias("doc_id")).union(plausible.select("b"))

@@ -290,6 +290,31 @@ def test_near_duplicates_of_a_chain_across_blocks(spark, bounds):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(group))
 
 
+def test_sets_meet_once_however_many_buckets_their_documents_share(spark, monkeypatch):
+    """Members of one group are dealt once for their sets, not once a bucket, and those of its largest component meet the others' only."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(0, 200, 2), 16 if i % 6 == 0 else 3):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    given, deal = [], near_dedup.dealt_blocks
+
+    def dealt_blocks(docs, weight, sketch):
+        if weight is not None:
+            given.append([r.doc_id for r in docs.collect()])
+        return deal(docs, weight, sketch)
+
+    monkeypatch.setattr(near_dedup, "dealt_blocks", dealt_blocks)
+    near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=2).collect()
+    assert len(given) == 1 and len(given[0]) > 20 and len(set(given[0])) == len(given[0])
+    rows = [(1, i, i if i < 3 else 9, 1) for i in range(103)]
+    dealt = deal(spark.createDataFrame(rows, "key bigint, doc_id bigint, component bigint, n bigint"), None, near_dedup.Sketch(block_docs=10)).collect()
+    assert len(dealt) == 100 + 3 * (1 + 10) and {(r.lo, r.hi) for r in dealt} == {(0, i) for i in range(11)}
+
+
 def test_buckets_of_the_same_documents_are_compared_once(spark):
     members = spark.createDataFrame([(k, d, 3) for k, ds in ((1, (1, 2, 3)), (2, (3, 2, 1)), (3, (1, 2, 4)), (4, (5, 6, 7))) for d in ds] + [(9, 1, 2), (9, 8, 2)], "key bigint, doc_id bigint, n bigint")
     components = spark.createDataFrame([(5, 5), (6, 5), (7, 5), (2, 1), (1, 1)], "node bigint, component bigint")
