@@ -18,8 +18,9 @@ sorted, each with the bytes before it:
 4. Chunks mark what the answers cover.
 
 Suffixes of a hot gram, which many documents hold with different neighbours, would
-meet in one bucket; they are dealt by the whole string instead, with the smallest
-doc_id pre-aggregated.  Equal suffixes travel once a chunk.
+meet in one bucket; they are dealt by the whole string instead, once a chunk and
+packed for its bucket, and the chunk's suffixes learn the smallest doc_id by the
+string's name.  Equal suffixes travel once a chunk.
 
 Texts are UTF-8 bytes; null counts as empty.  Strings are judged on the input and
 don't cross documents.  A null doc_id is smaller than any other; rows that share a
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, looked_up, written
+from .common import bucketed, written
 from .exact_dedup import FINGERPRINT_BITS, golomb_decode, golomb_encode
 
 #: Bytes of a gram, and of a removed string.
@@ -49,6 +50,8 @@ CHUNK, SLICE = 8 << 20, 1 << 17
 OWNER_ROWS, BUCKET_ROWS, HOT = 500_000, 50_000, 4096
 #: Words of eight bytes that the quicksort looks at before tries take over.
 SHALLOW = 4
+#: Hot suffixes whose strings are looked at together, and of a bucket of strings, about.
+HOT_SLICE = 4096
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -302,10 +305,11 @@ def first_documents(context: np.ndarray, left: np.ndarray, right: np.ndarray, do
 # Spark's side.
 
 _CHUNK = "chunk long, n_bytes long, ids binary, lengths binary, raw binary"
-_ANSWER = "chunk long, owner int, n_seen long, seen binary, hot binary"
+_ANSWER = "chunk long, owner int, n_seen long, n_hot long, seen binary, hot binary"
 _SUFFIXES = "bucket long, chunk long, n int, at binary, left binary, right binary, doc binary, context binary"
 _REPLY = "chunk long, at binary, low binary, high binary, least binary"
-_STRINGS = "string binary, doc long, chunk long, at long, o int"
+_STRINGS = "bucket long, chunk long, name binary, doc binary, last binary, string binary, at binary, o binary"
+_SHARED = "chunk long, name binary, least binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -389,7 +393,7 @@ def _answers(hot: int):
         cuts = np.cumsum([len(p) for p in prints])[:-1]
         places = np.split(place.ravel(), cuts)
         return pd.DataFrame({
-            "chunk": m["chunk"], "owner": m["owner"], "n_seen": [int((chunks[p] > 1).sum()) for p in places],
+            "chunk": m["chunk"], "owner": m["owner"], "n_seen": [int((chunks[p] > 1).sum()) for p in places], "n_hot": [int(c[many[p]].sum()) for p, c in zip(places, counts, strict=True)],
             "seen": [np.packbits(chunks[p] > 1).tobytes() for p in places], "hot": [np.packbits(many[p]).tobytes() for p in places],
         })
 
@@ -466,25 +470,112 @@ def _sorted_buckets(match: int):
     return run
 
 
-def _hot_strings(owners: int, match: int):
-    """Distinct strings of a chunk's hot suffixes."""
+def _equal_strings(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct string (a row of bytes), and the number of each row's."""
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = np.zeros((len(text), -(-text.shape[1] // 8) * 8), np.uint8)
+    words[:, : text.shape[1]] = text
+    words = words.view(np.uint64)
+    h = np.zeros(len(text), np.uint64)
+    for k in range(words.shape[1]):
+        h = _mixed(h, words[:, k])
+    number, names = pd.factorize(h)
+    first = np.empty(len(names), np.int64)
+    first[number[::-1]] = np.arange(len(h))[::-1]
+    odd = np.flatnonzero((words != words[first[number]]).any(axis=1))  # strings that only share their hash stand for themselves
+    if len(odd):
+        own, again = np.unique(text[odd], axis=0, return_index=True, return_inverse=True)[1:]
+        number[odd] = len(first) + again.ravel()
+        first = np.concatenate([first, odd[own]])
+    return first, number
+
+
+def _bucket_of(text: np.ndarray, buckets: int) -> np.ndarray:
+    h = np.zeros(len(text), np.uint64)
+    for k in range(0, text.shape[1] - 7, 8):
+        h = _mixed(h, np.ascontiguousarray(text[:, k : k + 8]).view(np.uint64).ravel())
+    return ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _hot_strings(owners: int, buckets: int, match: int):
+    """Distinct strings of a chunk's hot suffixes, packed for their buckets, and (bucket -1) which suffixes hold them."""
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[tuple, tuple] = {}
+        out, named = [], 0
+        pack = lambda *columns: [pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True) for x in columns]
         for r in own.to_pylist():
             raw, a, first, hot, least = _suspects(r, answers, owners, match)
-            text = raw.tobytes()
-            for f, doc in zip(first[hot].tolist(), least[hot].tolist(), strict=True):
-                at = int(a.at[f])
-                for o in range(match - int(a.right[f]), int(a.left[f]) + 1):
-                    out[r["chunk"], at, o] = (text[at - o : at - o + match], doc, r["chunk"], at, o)
-        return _arrow(list(out.values()), _STRINGS)
+            first, least = first[hot], least[hot]
+            order = np.argsort(a.gram[first], kind="stable")  # equal strings lie side by side, whatever the slices
+            for start in range(0, len(order), HOT_SLICE):
+                part = order[start : start + HOT_SLICE]
+                f = first[part]
+                low = match - a.right[f]
+                count = np.maximum(a.left[f] + 1 - low, 0)
+                o = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)
+                at, doc = np.repeat(a.at[f], count), np.repeat(least[part], count)
+                text = np.lib.stride_tricks.sliding_window_view(raw, match)[at - o] if len(at) else np.zeros((0, match), np.uint8)
+                one, number = _equal_strings(text)
+                lowest, highest = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), NO_ID)
+                np.minimum.at(lowest, number, doc)
+                np.maximum.at(highest, number, doc)
+                name = named + np.arange(len(one))
+                out.append((-1, r["chunk"], *pack(named + number, doc), None, None, *pack(at, o)))
+                bucket = _bucket_of(text[one], buckets)
+                dealt = np.argsort(bucket, kind="stable")
+                for mine in np.split(dealt, np.flatnonzero(np.diff(bucket[dealt])) + 1) if len(dealt) else ():
+                    out.append((int(bucket[mine[0]]), r["chunk"], *pack(name[mine], lowest[mine], highest[mine], text[one[mine]]), None, None))
+                named += len(one)
+        return _arrow(out, _STRINGS)
+
+    return run
+
+
+def _unpacked(parts: Iterable[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(pa.CompressedInputStream(pa.BufferReader(x), "zstd").read(), np.int64) for x in parts]
+
+
+def _shared_strings(match: int):
+    """The smallest doc_id of each string of a bucket, for the chunks that hold it in a larger one."""
+
+    def run(m: pd.DataFrame) -> pd.DataFrame:
+        names = _unpacked(m["name"])
+        text = np.concatenate([np.frombuffer(pa.decompress(t, len(n) * match, "zstd", asbytes=True), np.uint8).reshape(-1, match) for t, n in zip(m["string"], names, strict=True)])
+        doc, last = np.concatenate(_unpacked(m["doc"])), np.concatenate(_unpacked(m["last"]))
+        one, number = _equal_strings(text)
+        least = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, doc)
+        least = least[number]
+        chunk, name = np.repeat(m["chunk"].to_numpy(), [len(n) for n in names]), np.concatenate(names)
+        some = np.flatnonzero(least < last)
+        some = some[np.argsort(chunk[some], kind="stable")]
+        parts = np.split(some, np.flatnonzero(np.diff(chunk[some])) + 1) if len(some) else ()
+        return pd.DataFrame([(int(chunk[p[0]]), name[p].tobytes(), least[p].tobytes()) for p in parts], columns=_schema(_SHARED))
 
     return run
 
 
-def _packed(m: pd.DataFrame) -> pd.DataFrame:
-    return _replies(*(m[x].to_numpy() for x in ("chunk", "at", "o", "o", "least")))
+def _told(members: pa.Table, shared: pa.Table) -> pa.Table:
+    """Replies to a chunk's hot suffixes: runs of strings with one smallest doc_id."""
+    out = []
+    if members.num_rows and shared.num_rows:
+        told = [(np.frombuffer(n, np.int64), np.frombuffer(x, np.int64)) for n, x in zip(shared.column("name").to_pylist(), shared.column("least").to_pylist(), strict=True)]
+        names, found = (np.concatenate(x) for x in zip(*told, strict=True))
+        least = np.full(int(names.max()) + 1, np.iinfo(np.int64).max)
+        least[names] = found
+        for r in members.to_pylist():
+            name, doc, at, o = _unpacked(r[x] for x in ("name", "doc", "at", "o"))
+            known = name < len(least)
+            name, doc, at, o = name[known], doc[known], at[known], o[known]
+            earlier = least[name] < doc
+            at, o, value = at[earlier], o[earlier], least[name[earlier]]
+            if len(at):  # o runs upwards for each suffix
+                fresh = np.r_[True, (at[1:] != at[:-1]) | (o[1:] != o[:-1] + 1) | (value[1:] != value[:-1])]
+                begin = np.flatnonzero(fresh)
+                end = np.r_[begin[1:], len(at)] - 1
+                out.append((r["chunk"], at[begin].tobytes(), o[begin].astype(np.uint16).tobytes(), o[end].astype(np.uint16).tobytes(), value[begin].tobytes()))
+    return _arrow(out, _REPLY)
 
 
 def _covered(start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
@@ -558,15 +649,16 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, chunk: int = CHUNK, hot: i
     owners = max(16, -(-total // (14 * OWNER_ROWS)))
     messages = home.mapInArrow(_messages(owners, match), "chunk long, owner int, n long, rice_bits int, unary binary, rest binary, counts binary")
     answers = written(messages.groupBy("owner").applyInPandas(_answers(hot), _ANSWER), "gram-answers")
-    repeated, any_hot = answers.agg(F.sum("n_seen"), F.max(F.length(F.ltrim(F.hex("hot"), F.lit("0"))))).first()
+    repeated, many = answers.agg(F.sum("n_seen"), F.sum("n_hot")).first()
     buckets = max(parts, -(-(repeated or 0) // BUCKET_ROWS))
     asked = lambda work, ddl: home.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, ddl)
     replies = asked(_cold(owners, buckets, match), _SUFFIXES).groupBy("bucket").applyInPandas(_sorted_buckets(match), _REPLY)
-    if any_hot:
-        strings = written(asked(_hot_strings(owners, match), _STRINGS), "hot-strings")
-        least = strings.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
-        late = looked_up(strings, least, ["string"], "n", "shared-strings").where("least < doc").select("chunk", "at", "o", "least")
-        replies = replies.unionByName(late.groupBy("chunk").applyInPandas(_packed, _REPLY))
+    if many:
+        wide = max(parts, -(-many // HOT_SLICE))
+        strings = written(asked(_hot_strings(owners, wide, match), _STRINGS), "hot-strings")
+        shared = strings.where("bucket >= 0").groupBy("bucket").applyInPandas(_shared_strings(match), _SHARED)
+        members = strings.where("bucket < 0").select("chunk", "name", "doc", "at", "o")
+        replies = replies.unionByName(members.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_told, _REPLY))
     return home.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(match), _RESULT)
 
 

@@ -71,6 +71,25 @@ def test_removed_bytes_equal_brute_force(spark, match, chunk, hot):
     assert got(suffix_dedup.suffix_dedup(docs, match, chunk, hot)) == removed(rows, match)
 
 
+def test_hot_strings_travel_packed(spark, monkeypatch):
+    """A row for a chunk and a bucket, not one for each string, and equal strings of a chunk once."""
+    tables, write = {}, suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, label, *rest: tables.setdefault(label, write(df, label, *rest)))
+    rows = passages()
+    assert got(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3), hot=0)) == removed(rows)
+    strings, parts = tables["hot-strings"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks, slices = strings.select("chunk").distinct().count(), strings.where("bucket < 0").count()
+    buckets = strings.agg({"bucket": "max"}).first()[0] + 1
+    assert chunks <= 3 and strings.count() <= slices * (1 + max(parts, buckets)) < 1000
+
+
+def test_equal_strings_are_told_apart_whatever_their_hash(monkeypatch):
+    text = np.random.default_rng(2).integers(0, 2, (400, 11)).astype(np.uint8)[:, [0, 1, 2, 3, 4, 5, 5, 5, 6, 6, 6]]
+    monkeypatch.setattr(suffix_dedup, "_mixed", lambda h, word: word & np.uint64(1))
+    first, number = suffix_dedup._equal_strings(text)
+    assert (text[first[number]] == text).all() and len(first) == len({bytes(t) for t in text})
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(1, None, "", 0), (2, "", "", 0), (3, "short", "", 0)]
