@@ -51,10 +51,14 @@ from pyspark.sql import functions as F
 from resonara.operators.components import connected_components
 
 from .chunks import Chunks
-from .common import looked_up, slices, written
+from .common import arrow_rows, looked_up, slices, written
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 c = F.col
+#: Bytes of a chunk; only ids travel to chunks here, so that small ones cost nothing and spare memory.
+_CHUNK = 2 << 20
+#: Rows with texts, registers or sets that go to Python at once.
+_ROWS = 1000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -366,14 +370,16 @@ def _asked_sets(k: int):
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    return _judged(Chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "texts"), k, percent, sketch).drop("chunk")
+    with arrow_rows(docs.sparkSession, _ROWS):
+        return _judged(Chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "texts", _CHUNK), k, percent, sketch).drop("chunk")
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = Sketch()) -> DataFrame:
     """Rows of ``docs``, with their columns, that are no copy of a document with a smaller doc_id."""
     order = [F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    rows = Chunks(docs.select(*order), "documents")
-    gone = written(_judged(rows, k, percent, sketch).where("NOT kept").select("chunk", "doc_id").distinct(), "near-copies")
+    with arrow_rows(docs.sparkSession, _ROWS):
+        rows = Chunks(docs.select(*order), "documents", _CHUNK)
+        gone = written(_judged(rows, k, percent, sketch).where("NOT kept").select("chunk", "doc_id").distinct(), "near-copies")
 
     def rest(_: int, own: pa.Table, notes: pa.Table) -> pa.Table:
         return own.filter(pc.invert(pc.is_in(own.column(0), pc.unique(notes.column("doc_id")))))
@@ -383,7 +389,8 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, sketch:
 
 def _judged(texts: Chunks, k: int, percent: int, sketch: Sketch) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, chunk of every row."""
-    sketched = written(texts.each(_with_chunk(_sketches(k, sketch)), "doc_id long, n_shingles long, print binary, registers binary, chunk long"), "sketches")
+    with arrow_rows(texts.home.sparkSession, 1):  # a chunk at a time
+        sketched = written(texts.each(_with_chunk(_sketches(k, sketch)), "doc_id long, n_shingles long, print binary, registers binary, chunk long"), "sketches")
 
     def sets_of(ids: DataFrame, label: str) -> DataFrame:
         """Sets of shingles of the documents of ``ids``; their ids travel to the chunks, and only the sets leave."""
