@@ -54,13 +54,17 @@ def read_formula_json(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_params(docs: DataFrame, required: list[str]) -> DataFrame:
     """Parameters of ``##$KEY= value`` files as a MAP per experiment folder, with required keys that are missing."""
-    lines = _lines(docs).where(F.rlike("line", F.lit(r"^##\$?[^=]+=")))
-    key = F.regexp_extract("line", r"^##\$?([^=]+?)\s*=", 1)
-    value = F.regexp_replace(F.trim(F.regexp_extract("line", r"^##\$?[^=]+=(.*)$", 1)), "^<(.*)>$", "$1")
+    texts = F.filter(F.transform(F.split("content", r"\r?\n"), lambda x, i: F.struct(F.trim(x).alias("line"), i.alias("line_no"))), lambda x: F.rlike(x["line"], F.lit(r"^##\$?[^=]+=")))
+    key = lambda x: F.regexp_extract(x["line"], r"^##\$?([^=]+?)\s*=", 1)
+    value = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x["line"], r"^##\$?[^=]+=(.*)$", 1)), "^<(.*)>$", "$1")
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    entries = lines.select(folder.alias("folder"), F.struct(file_name(c("path")).alias("file"), key.alias("key"), value.alias("value"), "line_no").alias("e"))
-    last = entries.groupBy("folder", "e.file", "e.key").agg(F.max_by("e.value", "e.line_no").alias("value"))
-    maps = last.groupBy("folder").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(".", "file", "key"), "value"))).alias("params"))
+    # a row a file, not a line, is moved and sorted; of a file's lines with one key the last counts
+    read = docs.select(folder.alias("folder"), file_name(c("path")).alias("file"), F.transform(texts, lambda x: F.struct(key(x).alias("key"), x["line_no"].alias("line_no"), value(x).alias("value"))).alias("lines"))
+    files = read.where(F.size("lines") > 0).groupBy("folder").agg(F.collect_list(F.struct("file", "lines")).alias("files"))
+    every = F.flatten(F.transform("files", lambda f: F.transform(f["lines"], lambda x: F.struct(f["file"].alias("file"), x["key"].alias("key"), x["line_no"].alias("line_no"), x["value"].alias("value")))))
+    follows = lambda x, y: x["file"].eqNullSafe(y["file"]) & x["key"].eqNullSafe(y["key"])
+    last = F.filter("every", lambda x, i: ~follows(F.get("every", i + 1), x))
+    maps = files.select("folder", F.array_sort(every).alias("every")).select("folder", F.map_from_entries(F.transform(last, lambda x: F.struct(F.concat_ws(".", x["file"], x["key"]), x["value"]))).alias("params"))
     return maps.withColumn("missing", F.filter(F.array(*map(F.lit, required)), lambda k: ~F.map_contains_key("params", k)))
 
 

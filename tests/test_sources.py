@@ -176,3 +176,19 @@ def test_a_batch_of_a_run_reads_and_writes_its_state_once():
     assert calls == ["get", "update"] * 2
     assert (row.started, row["at"], row.last_epoch, row.elapsed_s) == (100, 0, 179, 79)
     assert len(row.phases) == 20 and all(p["ended"] for p in row.phases) and row.phases[1] == {"phase": "lsd-iteration-01", "start": 6, "ended": True}
+
+
+def test_parameters_move_a_row_a_file(spark):
+    """The last of a file's lines with one key counts, also where a file comes in parts; lines are not moved one by one."""
+    files = [
+        ("a/acqus", "##TITLE= t\r\n ##$TD= 1\n##$TD= 2\nnothing\n##$NUC1= <13C>"), ("a/acqu2s", "##$TD= 7\n$$ ##$X= 1"),
+        ("b/acqus", "no parameter"), ("b/acqu2s", None), ("c/acqus", "##$TD= 4\n##$SW= 1"), ("c/acqus", "##$SW= 2\n\n##$TD= 5"),
+    ]
+    read = text.parse_params(spark.createDataFrame(files, "path string, content string").repartition(3), ["acqus.TD", "acqus.SW"])
+    got = {r.folder: (r.params, list(r.missing)) for r in read.collect()}
+    assert got == {
+        "a": ({"acqus.TITLE": "t", "acqus.TD": "2", "acqus.NUC1": "13C", "acqu2s.TD": "7"}, ["acqus.SW"]),
+        "c": ({"acqus.TD": "5", "acqus.SW": got["c"][0]["acqus.SW"]}, []),
+    }
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
