@@ -235,3 +235,22 @@ def test_bonds_of_the_views_are_one_pass_over_the_items(spark):
     assert exchanges(v.bond) <= 2
     # searches of small compounds don't shuffle a round
     assert exchanges(graphs.sphere_codes(v.atom, v.bond, 6)) <= 4
+
+
+def test_nearest_join_keeps_no_pairs(spark):
+    """Pairs of predictions and experimental shifts are neither shuffled nor sorted; repeats, ties and nulls count as before."""
+    rng = random.Random(12)
+    predicted = [(rng.randrange(4), i % 30, i % 7, rng.choice([None, rng.randrange(50)])) for i in range(90)]
+    predicted += predicted[:10]
+    found = [(rng.randrange(1, 5), p, rng.randrange(50)) for p in range(40)]
+    left = spark.createDataFrame(predicted, "k int, id int, atom int, shift_c bigint")
+    best = joins.nearest_join(left, spark.createDataFrame(found, "k int, pos int, shift_c bigint"), ["k"], ["id", "atom"], 2)
+    want = set()
+    for k, i, atom, at in predicted:
+        near = [(abs(at - x) if at is not None else None, pos, x) for group, pos, x in found if group == k]
+        if near:
+            e, _, x = min(near, key=lambda n: (n[0] if n[0] is not None else -1, n[1]))
+            want.add((k, i, atom, at, x, e, None if e is None else e <= 2))
+    got = [tuple(r) for r in best.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
