@@ -80,3 +80,11 @@ def test_confidence_of_codes_seen_often(spark):
     catalog.queries()
     got = {r.code: r.confidence_milli for r in catalog._QUERIES["P10_confidence"](View()).collect()}
     assert got == {"a": 583, "b": round((0.5 / 6 + 0.3 * (0.5 + 0.25 * 0.3010299956639812) + 0.2 * 0.75) * 1000)}
+
+
+def test_fragment_search_asks_with_every_compound(spark, duck):
+    got = catalog.queries()["fragment_search"](spark, DATA).collect()
+    assert any(r.query_id % 100 for r in got)
+    asked = duck.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem").fetchone()[0]
+    hits = duck.execute(catalog.oracle_sql()["fragment_search"]).fetchall()
+    assert "% 100" not in catalog.oracle_sql()["fragment_search"] and asked > 100 and len(hits) == len(got)
