@@ -129,6 +129,19 @@ def test_nearest_index_takes_the_first_on_ties(spark):
     assert Counter((r.spectrum_id, r.probe_id, r.i) for r in got) == Counter((s, k, min((abs(at - x), i) for at, i in own[s])[1]) for s, k, x in asked if s in own)
 
 
+def test_nearest_index_gives_pairs_of_a_group_without_moving_them(spark):
+    rng = random.Random(5)
+    # rising, falling and uneven axes; the last one has a single point
+    axes = {1: [(i, 40 * i) for i in range(30)], 2: [(i, 2000 - 50 * i) for i in range(30)], 4: [(i, rng.randint(-3000, 3000)) for i in range(40)], 5: [(7, 100)]}
+    axis = spark.createDataFrame([(s, s % 3, i, at) for s, points in axes.items() for i, at in points], "spectrum_id int, part int, i bigint, axis_c bigint")
+    asked = [(k, k % 3, rng.choice((10 * rng.randint(-400, 400), rng.randint(-30_000, 30_000)))) for k in range(300)]
+    found = records.nearest_index(spark.createDataFrame(asked, "probe_id int, part int, shift_c bigint"), axis, "shift_c", "part")
+    wanted = Counter((s, k, min((abs(at - x), i) for i, at in points)[1]) for k, part, x in asked for s, points in axes.items() if s % 3 == part)
+    assert Counter((r.spectrum_id, r.probe_id, r.i) for r in found.collect()) == wanted
+    above = found._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert not any(x in above for x in ("Exchange", "Window", "Sort "))
+
+
 def test_surrogate_ids_do_not_clash(spark):
     rows = spark.range(300_000).select(F.concat(F.lit("src"), c("id") % 28).alias("source"), c("id").alias("key"))
     named = rows.withColumn("id", records.surrogate_id(c("source"), c("key")))
