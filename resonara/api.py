@@ -118,11 +118,13 @@ def build_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, radi
     """
     from resonara.operators import graphs
 
-    ego = graphs.ego_fragments(atoms, bonds, signals, radius).select("key", F.lit("ego").alias("kind"), "compound_id", c("pos").cast("string").alias("place"), "atom_count", "shifts")
-    rings = graphs.ring_fragments(atoms, bonds, signals).select("key", F.lit("ring").alias("kind"), "compound_id", c("ring").alias("place"), "atom_count", "shifts")
-    every = ego.unionByName(rings)
-    rest = [x for x in every.columns if x not in ("key", "kind")]
-    return every.groupBy("key", "kind").agg(F.min_by(F.struct(*rest), F.struct("compound_id", "place")).alias("r")).select("key", "kind", "r.compound_id", "r.atom_count", "r.shifts")
+    return first_of_keys(graphs.first_fragments(atoms, bonds, signals, radius))
+
+
+def first_of_keys(fragments: DataFrame) -> DataFrame:
+    """The first fragment of each key and kind by compound and place; what ``build_fragments`` gives, from fragments that were found already."""
+    rest = [x for x in fragments.columns if x not in ("key", "kind")]
+    return fragments.groupBy("key", "kind").agg(F.min_by(F.struct(*rest), F.struct("compound_id", "place")).alias("r")).select("key", "kind", "r.compound_id", "r.atom_count", "r.shifts")
 
 
 def fragment_search(queries: DataFrame, fragments: DataFrame, limit: int = 5, bins: int = 1) -> DataFrame:

@@ -8,9 +8,10 @@ joins, which are bounded by a radius, a ring size or a path length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,15 +256,17 @@ def ring_members(bonds: DataFrame, sizes: range = range(3, 7)) -> DataFrame:
 
 def _rings_in_lists(lists: DataFrame, sizes: range) -> DataFrame:
     """``lists`` (compound_id, edges and others) with a row for each ``path`` that is a ring."""
-    begun = F.transform(F.filter("edges", lambda e: e["i"] < e["j"]), lambda e: F.struct(F.array(e["i"], e["j"]).cast(_ATOMS).alias("path"), F.lit(False).alias("closed")))
-    rows = lists.select(*lists.columns, F.explode(begun).alias("_p"))
-    for length in range(2, max(sizes) + 1):
-        path, end = c("_p.path"), F.element_at("_p.path", -1)
-        grown = F.transform(F.filter("edges", lambda e: (e["i"] == end) & (e["j"] > path[0]) & ~F.array_contains(path, e["j"])), lambda e: F.struct(F.concat(path, F.array(e["j"])).cast(_ATOMS).alias("path"), F.lit(False).alias("closed")))
-        ring = F.transform(F.filter("edges", lambda e: (e["i"] == end) & (e["j"] == path[0]) & (path[1] < end)), lambda e: F.struct(path.alias("path"), F.lit(True).alias("closed")))
-        after = (grown if length < max(sizes) else F.slice(grown, 1, 0), *([ring] if length in sizes else []))
-        rows = rows.select(*lists.columns, F.explode(F.when(c("_p.closed"), F.array("_p")).otherwise(F.concat(*after))).alias("_p"))
-    return rows.where("_p.closed").select(*lists.columns, "_p.path")
+    start = F.transform(F.filter("edges", lambda e: e["i"] < e["j"]), lambda e: F.array(e["i"], e["j"]).cast(_ATOMS))
+    rows = lists.select(*lists.columns, start.alias("_paths"), F.array().cast(f"array<{_ATOMS}>").alias("_rings"))
+    # all paths of a length stand in one row: none is copied together with the lists of its compound
+    onward = lambda p, fits: F.filter("edges", lambda e: (e["i"] == F.element_at(p, -1)) & fits(e))
+    longer = F.flatten(F.transform("_paths", lambda p: F.transform(onward(p, lambda e: (e["j"] > p[0]) & ~F.array_contains(p, e["j"])), lambda e: F.concat(p, F.array(e["j"])).cast(_ATOMS))))
+    closed = F.flatten(F.transform(F.filter("_paths", lambda p: p[1] < F.element_at(p, -1)), lambda p: F.transform(onward(p, lambda e: e["j"] == p[0]), lambda _: p)))
+    for length in range(3, max(sizes) + 1):
+        rows = rows.select(*lists.columns, longer.alias("_paths"), "_rings")
+        if length in sizes:
+            rows = rows.select(*lists.columns, "_paths", F.concat("_rings", closed).alias("_rings"))
+    return rows.select(*lists.columns, F.explode("_rings").alias("path"))
 
 
 def _rings_in_rounds(bonds: DataFrame, sizes: range) -> DataFrame:
@@ -335,6 +338,116 @@ def _ring_fragments_in_rounds(atoms: DataFrame, bonds: DataFrame, known: DataFra
     return _keyed(members, atoms, bonds, ["ring"]).join(shifts, ["compound_id", "ring"])
 
 
+def first_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, radius: int = 3, largest: int = 6) -> DataFrame:
+    """(kind, compound_id, place, key, atom_count, shifts): the fragments, atom-centred (``ego``) and rings, that can be the first of their key by compound and place."""
+    known = signals.where("atom_index IS NOT NULL").select("compound_id", c("atom_index").alias("atom"), "shift_c")
+
+    def lists(a: DataFrame, b: DataFrame, k: DataFrame) -> DataFrame:
+        nodes = a.groupBy("compound_id").agg(F.collect_list(F.struct("pos", "element")).alias("nodes"))
+        return fragments_of_lists(nodes.join(_edges(b, "bond_order"), "compound_id").join(_known_lists(k), "compound_id"), radius, largest)
+
+    return _by_size(lists, lambda a, b, k: _fragments_in_rounds(a, b, k, radius, largest), atoms.select("compound_id", "pos", "element"), bonds, known)
+
+
+def fragments_of_lists(lists: DataFrame, radius: int = 3, largest: int = 6) -> DataFrame:
+    """``first_fragments`` of compounds as rows of lists: compound_id, nodes (pos, element), edges (i, j, bond_order, both directions), known (atom, shift_c).
+
+    Compounds of equal atoms and bonds, with signals of the same atoms, have the same
+    fragments at the same places, so of these only the one with the smallest id is
+    searched.
+    """
+    whole = kept(lists.select("compound_id", *(F.sort_array(x).alias(x) for x in ("nodes", "edges", "known"))).where((F.size("edges") > 0) & (F.size("known") > 0)), "compounds")
+    large = F.size("nodes") + F.size("edges") + F.size("known") > LIST_ROWS
+    small = whole.where(~large)
+    each = {
+        "_pos": F.transform("nodes", lambda n: n["pos"]), "_element": F.transform("nodes", lambda n: n["element"]), "_known": F.transform("known", lambda k: k["atom"]),
+        "_bonds": F.flatten(F.transform("edges", lambda e: F.array(e["i"].cast("bigint"), e["j"].cast("bigint"), e["bond_order"].cast("bigint")))),
+    }
+    alone = small.select("compound_id", *(x.alias(k) for k, x in each.items())).groupBy(*each).agg(F.min("compound_id").alias("compound_id")).select("compound_id")
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = small.join(alone, "compound_id", "left_semi").select("compound_id", *(x.alias(k) for k, x in each.items()), F.transform("known", lambda k: k["shift_c"]).alias("_shifts"))
+    # few bytes and much work, so their number of parts doesn't follow from their size
+    found = first.repartition(parts, "compound_id").mapInArrow(lambda batches: _search(batches, radius, largest), _FRAGMENT)
+    huge = whole.where(large)
+    if huge.isEmpty():
+        return found
+    flat = (huge.select("compound_id", F.inline(x)) for x in ("nodes", "edges", "known"))
+    return found.unionByName(_fragments_in_rounds(*flat, radius, largest))
+
+
+_FRAGMENT = "kind string, compound_id bigint, place string, key string, atom_count bigint, shifts array<bigint>"
+
+
+def _search(batches: Iterator[pa.RecordBatch], radius: int, largest: int) -> Iterator[pa.RecordBatch]:
+    """Fragments of compounds, the first by place of each key; sets of atoms are bits of whole numbers."""
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+    for batch in batches:
+        ids, *lists = (batch.column(x).to_pylist() for x in ("compound_id", "_pos", "_element", "_bonds", "_known", "_shifts"))
+        out = [(kind, id_, *row) for id_, *own in zip(ids, *lists) for kind, row in _fragments_of(*own, radius, largest)]
+        columns = list(zip(*out)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=[x.split()[0] for x in _FRAGMENT.split(", ")])
+
+
+def _fragments_of(pos: list, element: list, bonds: list, known: list, shifts: list, radius: int, largest: int) -> Iterator[tuple]:
+    """(kind, (place, key, atom_count, shifts)) of one compound: the row-wise twin of ``_keyed``."""
+    places = dict.fromkeys([*pos, *(x for k in (0, 1) for x in bonds[k::3])])
+    at = {p: k for k, p in enumerate(places)}
+    names, places = dict(zip(pos, element)), list(places)
+    near: list[list[int]] = [[] for _ in places]
+    labels, balls = [], [1 << k for k in range(len(places))]
+    for i, j, order in zip(bonds[::3], bonds[1::3], bonds[2::3]):
+        near[at[i]].append(at[j])
+        x, y = names.get(i), names.get(j)
+        if i < j and x is not None and y is not None:
+            labels.append(("" if order is None else f"{min(x, y)}{order}{max(x, y)}", 1 << at[i] | 1 << at[j]))
+    labels.sort()
+    marked = 0
+    for p in known:
+        marked |= 1 << at[p] if p in at else 0
+    centres = [at[p] for p in names if marked >> at[p] & 1]
+    found: dict[str, dict[int, str]] = {"ego": {}, "ring": {}}
+
+    def take(kind: str, inside: int, place: str) -> None:
+        before = found[kind].get(inside)
+        if before is None or place < before:
+            found[kind][inside] = place
+
+    around = balls
+    for _ in range(radius):
+        # what is within a bond more is what the neighbours reach
+        around = [reduce(int.__or__, (around[m] for m in near[k]), around[k]) for k in range(len(places))]
+        for k in centres:
+            take("ego", around[k], str(places[k]))
+    paths = [[p, q] for p in range(len(places)) for q in near[p] if places[p] < places[q]]
+    for _ in range(3, largest + 1):
+        paths = [[*path, q] for path in paths for q in near[path[-1]] if places[q] > places[path[0]] and q not in path]
+        for path in paths:
+            if places[path[1]] < places[path[-1]] and path[0] in near[path[-1]]:
+                inside = reduce(int.__or__, (balls[q] for p in path for q in (p, *near[p])))
+                take("ring", inside, ",".join(str(places[p]) for p in path))
+    for kind, sets in found.items():
+        best: dict[str, tuple[str, int]] = {}
+        for inside, place in sets.items():
+            within = [label for label, ends in labels if ends & inside == ends]
+            if within and inside & marked:
+                key = ",".join(x for x in within if x)
+                best[key] = min(best.get(key, (place, inside)), (place, inside))
+        for key, (place, inside) in best.items():
+            own = sorted(s for p, s in zip(known, shifts) if s is not None and p in at and inside >> at[p] & 1)
+            yield kind, (place, key, inside.bit_count(), own)
+
+
+def _of_kinds(egos: DataFrame, rings: DataFrame) -> DataFrame:
+    """Fragments of both kinds with their ``place``."""
+    rest = ("key", "atom_count", "shifts")
+    ego = egos.select(F.lit("ego").alias("kind"), "compound_id", c("pos").cast("string").alias("place"), *rest)
+    return ego.unionByName(rings.select(F.lit("ring").alias("kind"), "compound_id", c("ring").alias("place"), *rest))
+
+
+def _fragments_in_rounds(atoms: DataFrame, bonds: DataFrame, known: DataFrame, radius: int, largest: int) -> DataFrame:
+    return _of_kinds(_egos_in_rounds(atoms, bonds, known, radius), _ring_fragments_in_rounds(atoms, bonds, known, largest))
+
+
 def connected_regions(cells: DataFrame) -> DataFrame:
     """(plane_id, i, j, region_i, region_j) of grid cells that touch, corners included (G5); a region's cell is its first one.
 

@@ -223,6 +223,36 @@ def test_graph_searches_in_lists_equal_those_in_rounds(spark, monkeypatch):
         assert [rows(f()) for f in work] == lists
 
 
+def test_fragments_are_searched_once_a_structure(spark, monkeypatch):
+    from resonara import api
+
+    rng = random.Random(6)
+    shapes = []
+    for _ in range(12):
+        n = rng.randrange(1, 11)
+        shapes.append(([rng.choice("CNO") for _ in range(n)], {tuple(sorted(rng.sample(range(n), 2))) for _ in range(n + 2) if n > 1}))
+    # each structure several times, the signals at the same atoms or at others
+    made = [(k, *shapes[k % 12], rng.randrange(2)) for k in rng.sample(range(100), 60)]
+    atoms = spark.createDataFrame([(k, p, e) for k, names, _, _ in made for p, e in enumerate(names)], "compound_id bigint, pos bigint, element string")
+    bonds = spark.createDataFrame([(k, *ij, 1 + (i + j) % 3) for k, _, edges, _ in made for i, j in edges for ij in ((i, j), (j, i))], "compound_id bigint, i bigint, j bigint, bond_order int")
+    signals = spark.createDataFrame(
+        [(k, p if p % 3 else None, rng.randrange(20_000)) for k, names, _, odd in made for p in [*range(odd, len(names)), 1] if p < len(names)], "compound_id bigint, atom_index bigint, shift_c bigint"
+    )
+    kinds = {"ego": graphs.ego_fragments(atoms, bonds, signals).withColumn("place", c("pos").cast("string")), "ring": graphs.ring_fragments(atoms, bonds, signals).withColumn("place", c("ring"))}
+    first = {}
+    for kind, rows in kinds.items():
+        for r in rows.collect():
+            first[kind, r.key] = min(first.get((kind, r.key), ((r.compound_id + 1, ""),)), ((r.compound_id, r.place), r.atom_count, r.shifts))
+    wanted = sorted((kind, key, at[0], n, shifts) for (kind, key), (at, n, shifts) in first.items())
+    rows = lambda: sorted((r.kind, r.key, r.compound_id, r.atom_count, r.shifts) for r in api.build_fragments(atoms, bonds, signals).collect())
+    assert {kind for kind, *_ in wanted} == {"ego", "ring"} and rows() == wanted
+    searched = {r.compound_id for r in graphs.first_fragments(atoms, bonds, signals).select("compound_id").distinct().collect()}
+    assert len(searched) <= 24 < len({k for k, *_ in made})
+    for limit in (0, 20):  # all in rounds, and some
+        monkeypatch.setattr(graphs, "LIST_ROWS", limit)
+        assert rows() == wanted
+
+
 def test_bonds_of_the_views_are_one_pass_over_the_items(spark):
     from resonara.plans.views import VIEWS, Views
 
