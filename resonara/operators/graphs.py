@@ -287,6 +287,8 @@ def _rings_in_rounds(bonds: DataFrame, sizes: range) -> DataFrame:
 HALOGENS = ("F", "Cl", "Br", "I")
 #: Bond orders of the bond block that count as double; 4 is an aromatic bond.
 DOUBLE = (2, 4)
+#: Elements that each fact about neighbours asks for.
+KINDS = {"has_c": ("C",), "has_o": ("O",), "has_n": ("N",), "has_s": ("S",), "has_x": HALOGENS}
 
 
 def atom_facts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -299,9 +301,8 @@ def atom_facts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """
     order = c("bond_order")
     other = atoms.select("compound_id", c("pos").alias("j"), c("element").alias("_e"))
-    kinds = {"has_c": ("C",), "has_o": ("O",), "has_n": ("N",), "has_s": ("S",), "has_x": HALOGENS}
     around = bonds.join(other, ["compound_id", "j"]).groupBy("compound_id", c("i").alias("pos")).agg(
-        F.count_if(order == 3).alias("_triple"), F.count_if(order == 2).alias("_double"), F.count_if(order == 4).alias("_shared"), *(F.bool_or(c("_e").isin(*es)).alias(k) for k, es in kinds.items())
+        F.count_if(order == 3).alias("_triple"), F.count_if(order == 2).alias("_double"), F.count_if(order == 4).alias("_shared"), *(F.bool_or(c("_e").isin(*es)).alias(k) for k, es in KINDS.items())
     )
     rings = kept(ring_members(bonds, range(3, 7)))
     small = rings.groupBy("compound_id", c("atom").alias("pos")).agg(F.bool_or(c("size") == 3).alias("ring3"), F.bool_or(c("size") == 4).alias("ring4"))
@@ -314,7 +315,76 @@ def atom_facts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     found = atoms.select("compound_id", "pos", "element").join(around, ["compound_id", "pos"], "left").join(small, ["compound_id", "pos"], "left").join(aromatic, ["compound_id", "pos"], "left")
     n = lambda x: F.coalesce(x, F.lit(0))
     state = F.when((n("_triple") > 0) | (n("_double") > 1), "sp1").when((n("_double") > 0) | (n("_shared") > 0), "sp2").otherwise("sp3")
-    return found.select("compound_id", "pos", "element", state.alias("state"), *(F.coalesce(x, F.lit(False)).alias(x) for x in (*kinds, "ring3", "ring4", "aromatic")))
+    return found.select("compound_id", "pos", "element", state.alias("state"), *(F.coalesce(x, F.lit(False)).alias(x) for x in (*KINDS, "ring3", "ring4", "aromatic")))
+
+
+_ENVIRONMENT = "id bigint, pos bigint, radius bigint, code string, n bigint, sum_c bigint, sumsq_c bigint, state string, " + ", ".join(f"{x} boolean" for x in (*KINDS, "ring3", "ring4", "aromatic"))
+
+
+def environments(structures: DataFrame, radius: int = 6) -> DataFrame:
+    """``sphere_codes`` and ``atom_facts`` of the atoms ``pos`` of structures as rows of lists, without a join.
+
+    ``structures``: id, elements, bonds (i, j and order after each other, one
+    direction), and lists of equal length pos, n, sum_c, sumsq_c, which come along.
+    """
+    return structures.select("id", "elements", "bonds", "pos", "n", "sum_c", "sumsq_c").mapInArrow(lambda batches: _environments(batches, radius), _ENVIRONMENT)
+
+
+def _environments(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [x.split() for x in _ENVIRONMENT.split(", ")]
+    for batch in batches:
+        out = []
+        for id_, elements, bonds, *own in zip(*(x.to_pylist() for x in batch.columns)):
+            found = _environments_of(elements, bonds, set(own[0]), radius)
+            out += [(id_, pos, r, code, *sums, *facts) for pos, *sums in zip(*own) for codes, facts in [found[pos]] for r, code in enumerate(codes, 1)]
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, t) in zip(zip(*out), fields)], names=[f for f, _ in fields])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, t) in zip(zip(*out), fields)], names=[f for f, _ in fields])
+
+
+def _environments_of(elements: list, bonds: list, asked: set, radius: int) -> dict[int, tuple[list, tuple]]:
+    """pos -> (codes by radius, facts) of the atoms asked for: the row-wise twin of ``sphere_codes`` and ``atom_facts``."""
+    n = len(elements)
+    element = lambda p: elements[p] if 0 <= p < n else None
+    near: dict[int, list[tuple]] = {}
+    for i, j, order in zip(bonds[::3], bonds[1::3], bonds[2::3]):
+        if i is not None and j is not None:
+            near.setdefault(i, []).append((j, order))
+            near.setdefault(j, []).append((i, order))
+    rings: dict[tuple, int] = {}  # how often each is found: parallel bonds count
+    paths = [(p, q) for p in near for q, _ in near[p] if p < q]
+    for _ in range(3, 7):
+        paths = [(*path, q) for path in paths for q, _ in near[path[-1]] if q > path[0] and q not in path]
+        for path in paths:
+            if path[1] < path[-1] and (times := sum(q == path[0] for q, _ in near[path[-1]])):
+                rings[path] = rings.get(path, 0) + times
+    cyclic = {p for path in rings if len(path) > 4 for p in path}
+    pi = {i for i, others in near.items() if any(order in DOUBLE and j in cyclic for j, order in others)}
+    aromatic: set[int] = set()
+    for path, times in rings.items():
+        if len(path) > 4:
+            have = times * sum(p in pi for p in path if 0 <= p < n)
+            lone = times * sum(p not in pi and element(p) in ("N", "O", "S") for p in path)
+            if len(path) == 6 == have or len(path) == 5 and have == 4 and lone == 1:
+                aromatic.update(path)
+    found = {}
+    for pos in asked:
+        seen, front, texts, codes = {pos}, [pos], [], []
+        for _ in range(radius):
+            met = [(j, order) for p in front for j, order in near.get(p, ()) if j not in seen]
+            texts.append(",".join(sorted(BOND_SIGNS[order] + element(j) for j, order in met if order in BOND_SIGNS and element(j) is not None)))
+            front = list(dict.fromkeys(j for j, _ in met))
+            seen.update(front)
+            codes.append(f"{elements[pos]};{'/'.join(texts)}")
+        around = [(element(j), order) for j, order in near.get(pos, ()) if 0 <= j < n]
+        triple, double, shared = (sum(order == k for _, order in around) for k in (3, 2, 4))
+        state = "sp1" if triple > 0 or double > 1 else "sp2" if double > 0 or shared > 0 else "sp3"
+        small = [any(len(path) == k and pos in path for path in rings) for k in (3, 4)]
+        found[pos] = codes, (state, *(any(e in names for e, _ in around) for names in KINDS.values()), *small, pos in aromatic)
+    return found
 
 
 def ring_fragments(atoms: DataFrame, bonds: DataFrame, signals: DataFrame, largest: int = 6) -> DataFrame:

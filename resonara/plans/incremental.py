@@ -71,7 +71,7 @@ def _(v):
     from .text_sources import write_measured
 
     base = _folder(v)
-    write_measured(v, f"{base}/in", _HALIDE)
+    write_measured(v, f"{base}/in", _HALIDE, files=_files(v.compound.count(), 8))
     return jobs.build_stats_from_sdf(v.spark, f"{base}/in", "measured", f"{base}/state", f"{base}/checkpoint", files_per_batch=4)
 
 

@@ -135,6 +135,15 @@ def sdf_bonds(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.select(*keep, "name", (at(1) - 1).alias("i"), (at(4) - 1).alias("j"), at(7).alias("bond_order"))
 
 
+def sdf_structures(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(columns of ``keep``, elements, bonds) of each record that has both blocks: ``sdf_atoms`` and ``sdf_bonds`` as lists; of bonds i, j and order after each other."""
+    rows = _block(df, keep)
+    at = lambda line, start: F.trim(F.substring(line, start, 3))
+    bond = lambda line: F.array(at(line, 1).try_cast("bigint") - 1, at(line, 4).try_cast("bigint") - 1, at(line, 7).try_cast("bigint"))
+    atoms = F.transform(F.slice("_lines", F.lit(5), c("_atoms")), lambda line: at(line, 32))
+    return rows.select(*keep, atoms.alias("elements"), F.flatten(F.transform(F.slice("_lines", c("_atoms") + 5, c("_bonds")), bond)).alias("bonds"))
+
+
 def write_sdf(df: DataFrame, path: str, end: str = "\n") -> None:
     """Write rows (name, atoms, bonds, properties) as SD files with LF or other line ends.
 

@@ -179,18 +179,36 @@ def sdf_observations(records: DataFrame, flavour: str | None, radius: int) -> Da
     neighbours, small rings and aromaticity follow from the bond block
     (``graphs.atom_facts``).
     """
-    from resonara.operators.graphs import atom_facts, sphere_codes
+    from resonara.operators.graphs import environments
+
+    one = lambda x: F.transform("signals", x)
+    own = sdf_carbons(records, flavour).where(F.size("signals") > 0).withColumn("id", F.monotonically_increasing_id())
+    rows = own.select("id", "elements", "bonds", one(lambda s: s["pos"]).alias("pos"), one(lambda s: F.lit(1).cast("bigint")).alias("n"), one(lambda s: s["shift_c"]).alias("sum_c"), one(lambda s: F.lit(0).cast("bigint")).alias("sumsq_c"))
+    found = environments(rows, radius).withColumnsRenamed({"id": "compound_id", "sum_c": "shift_c"})
+    return found.drop("n", "sumsq_c")
+
+
+def sdf_carbons(records: DataFrame, flavour: str | None) -> DataFrame:
+    """(elements, bonds, signals): raw SD records with a spectrum as lists, with the signals (pos, shift_c) of their carbons."""
     from resonara.sources import sdf
 
-    # numbered once and written, so that all parts of a record keep its number
-    own = kept(records.where(F.rlike("record", F.lit(r"\S"))).select("record", F.monotonically_increasing_id().alias("compound_id")))
-    atoms = kept(sdf.sdf_atoms(own, ["compound_id"]).select("compound_id", "pos", "element"))
-    one_way = sdf.sdf_bonds(own, ["compound_id"]).select("compound_id", "i", "j", "bond_order")
-    bonds = kept(one_way.unionByName(one_way.select("compound_id", c("j").alias("i"), c("i").alias("j"), "bond_order")))
-    signals = sdf.parse_sdf(own, flavour, ["compound_id"]).select("compound_id", F.inline("signals")).where("atom_index IS NOT NULL")
-    shifts = signals.select("compound_id", c("atom_index").alias("pos"), F.round(c("shift") * 100).cast("bigint").alias("shift_c"))
-    codes = sphere_codes(atoms, bonds, radius)
-    return codes.join(shifts, ["compound_id", "pos"]).join(atom_facts(atoms, bonds).where("element = 'C'"), ["compound_id", "pos"])
+    own = sdf.sdf_structures(records.where(F.rlike("record", F.lit(r"\S"))), ["record"])
+    parsed = sdf.parse_sdf(own, flavour, ["elements", "bonds"])
+    carbons = F.filter("signals", lambda s: s["atom_index"].isNotNull() & (F.get("elements", s["atom_index"].cast("int")) == "C"))
+    return parsed.select("elements", "bonds", F.transform(carbons, lambda s: F.struct(s["atom_index"].alias("pos"), F.round(s["shift"] * 100).cast("bigint").alias("shift_c"))).alias("signals"))
+
+
+def carbon_stats(carbons: DataFrame, radius: int) -> DataFrame:
+    """``env_state`` of the observations of ``sdf_carbons``: compounds of one structure are summed up first, and its codes and facts made once."""
+    from resonara.operators.graphs import environments
+
+    flat = carbons.select("elements", "bonds", F.inline("signals"))
+    sums = flat.groupBy("elements", "bonds", "pos").agg(F.count("*").alias("n"), F.sum("shift_c").alias("sum_c"), F.sum(c("shift_c") * c("shift_c")).alias("sumsq_c"))
+    listed = sums.groupBy("elements", "bonds").agg(F.collect_list(F.struct("pos", "n", "sum_c", "sumsq_c")).alias("l"))
+    seen = environments(listed.select(F.lit(0).cast("bigint").alias("id"), "elements", "bonds", *(c("l")[x].alias(x) for x in ("pos", "n", "sum_c", "sumsq_c"))), radius)
+    of = lambda which: F.sum(F.when(which, c("n")).otherwise(0))
+    counters = [of(c("state") == s).alias(s) for s in statistics.STATES] + [of(c(k)).alias(v) for k, v in statistics.COUNTERS.items()]
+    return seen.groupBy("code", "radius").agg(*(F.sum(x).alias(x) for x in ("n", "sum_c", "sumsq_c")), *counters)
 
 
 def build_stats_from_sdf(spark: SparkSession, source: str, flavour: str | None, state: str, checkpoint: str, radius: int = 6, files_per_batch: int = 2, fresh: bool = False) -> DataFrame:
@@ -205,9 +223,9 @@ def build_stats_from_sdf(spark: SparkSession, source: str, flavour: str | None,
 
     def step(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         raw = kept(batch)
-        seen = kept(sdf_observations(raw, flavour, radius))
-        counts = raw.groupBy().agg(F.count("*").alias("processed")).join(seen.groupBy().agg(F.count("*").alias("observations"), F.count_distinct("compound_id").alias("good")))
-        return statistics.env_state(seen), counts.select("processed", (c("processed") - c("good")).alias("failed"), "observations")
+        seen = kept(sdf_carbons(raw, flavour))
+        counts = raw.groupBy().agg(F.count("*").alias("processed")).join(seen.groupBy().agg(F.coalesce(F.sum(F.size("signals")), F.lit(0)).alias("observations"), F.count_if(F.size("signals") > 0).alias("good")))
+        return carbon_stats(seen, radius), counts.select("processed", (c("processed") - c("good")).alias("failed"), "observations")
 
     return _build(stream, state, checkpoint, fresh, step)
 

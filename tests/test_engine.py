@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resonara import api
 from resonara.functions import records
-from resonara.operators import analysis, graphs, joins, peaks
+from resonara.operators import analysis, graphs, joins, peaks, statistics
 from resonara.plans import scratch
 from resonara.sources import jcamp, sdf, text
 from resonara.streaming import jobs
@@ -319,6 +319,18 @@ def _record(name, atoms, bonds, spectrum):
     return "\n".join([*lines, "M  END", "> <Spectrum 13C 0>", spectrum, ""])
 
 
+def test_statistics_of_records_sum_up_structures_first(spark, monkeypatch):
+    shapes = [(["C", "O", "C"], [(0, 1, 1), (1, 2, 2)]), (["C", "C"], [(0, 1, 3)])]
+    rows = [_record(f"r{k}", *shapes[k % 2], f"{10 + k}.5;0.0S;0|{k}.25;0.0S;{1 + k % 2}") for k in range(30)]
+    records = spark.createDataFrame([(r,) for r in rows], "record string")
+    given, environments = [], graphs.environments
+    monkeypatch.setattr(graphs, "environments", lambda structures, radius: given.append(structures.count()) or environments(structures, radius))
+    columns = ("code", "radius", *statistics.STATE_COLUMNS)
+    table = lambda df: sorted(df.select(*columns).collect())
+    assert table(jobs.carbon_stats(jobs.sdf_carbons(records, None), 3)) == table(statistics.env_state(jobs.sdf_observations(records, None, 3)))
+    assert given == [2, 30]
+
+
 def test_records_of_one_name_stay_apart(spark):
     benzene = [(i, (i + 1) % 6, 1 + i % 2) for i in range(6)]
     furan = [(0, 1, 1), (1, 2, 2), (2, 3, 1), (3, 4, 2), (4, 0, 1)]

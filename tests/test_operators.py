@@ -253,6 +253,27 @@ def test_fragments_are_searched_once_a_structure(spark, monkeypatch):
         assert rows() == wanted
 
 
+def test_environments_equal_codes_and_facts(spark):
+    rng = random.Random(7)
+    made = []
+    for k in range(40):
+        n = rng.randrange(1, 10)
+        # five- and six-rings with double bonds, so that some are aromatic
+        ring = [(i, (i + 1) % n, 1 + i % 2) for i in range(n)] if n in (5, 6) else []
+        loose = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(n) if n > 1} if rng.randrange(2) or not ring else set()
+        ends = {tuple(sorted(b[:2])) for b in ring}
+        made.append((k, [rng.choice("CCCONS") if n > 6 or p else "O" for p in range(n)], ring + [(i, j, rng.randint(1, 4)) for i, j in loose - ends]))
+    atoms = spark.createDataFrame([(k, p, e) for k, names, _ in made for p, e in enumerate(names)], "compound_id bigint, pos bigint, element string")
+    bonds = spark.createDataFrame([(k, *ij, o) for k, _, edges in made for i, j, o in edges for ij in ((i, j), (j, i))], "compound_id bigint, i bigint, j bigint, bond_order bigint")
+    lists = [(k, names, [x for b in edges for x in b], list(range(len(names))), *([v] * len(names) for v in (2, 3, 4))) for k, names, edges in made]
+    found = graphs.environments(spark.createDataFrame(lists, "id bigint, elements array<string>, bonds array<bigint>, pos array<bigint>, n array<bigint>, sum_c array<bigint>, sumsq_c array<bigint>"), 4)
+    assert {(r.n, r.sum_c, r.sumsq_c) for r in found.collect()} == {(2, 3, 4)}
+    wanted = graphs.sphere_codes(atoms, bonds, 4).join(graphs.atom_facts(atoms, bonds), ["compound_id", "pos"]).drop("element")
+    rows = lambda df: sorted(map(str, df.select(*sorted(wanted.columns)).collect()))
+    assert rows(found.withColumnRenamed("id", "compound_id")) == rows(wanted)
+    assert found.where("aromatic").count() and found.where("ring3").count() and found.where("state = 'sp1'").count()
+
+
 def test_bonds_of_the_views_are_one_pass_over_the_items(spark):
     from resonara.plans.views import VIEWS, Views
 
